@@ -143,7 +143,9 @@ def encode(
 
     def words_of(batches):
         for block in _blocks(batches, pattern, block_chars):
+            block.pieces.clear(), block.docs.clear()
             words = [w.encode("utf-8", "surrogatepass") for w in block.words]
+            block.words.clear()
             at: list[list[int]] = [[] for _ in range(buckets)]
             for code, w in enumerate(words):
                 at[xxhash.xxh64_intdigest(w) % buckets].append(code)
@@ -162,7 +164,9 @@ def encode(
 
     def texts_of(batches):
         for block in _blocks(batches, pattern, block_chars):
+            block.pieces.clear()
             key = _key([w.encode("utf-8", "surrogatepass") for w in block.words])
+            block.words.clear()
             for k in range(0, len(block.docs), 1000):
                 some = block.docs[k : k + 1000]
                 yield pa.RecordBatch.from_pydict(
