@@ -182,15 +182,15 @@ class _Run:
         if self.last is not None and self.last[4] == left and self.last[5] == right:
             partners = self.partners or [self.own]
         else:
-            found: dict[int, list] = {}
             me = [row, 0]
-            for o in range(WINDOW):
-                rest = WINDOW - 1 - o
-                if len(left) >= 2 * o and len(right) >= 2 * rest:
-                    other = self.seen.setdefault(hash((o, left[: 2 * o], right[: 2 * rest])), me)
-                    if other is not me:
-                        found[id(other)] = other
-            partners = list(found.values())
+            least = most = None
+            seen = self.seen
+            for o in range(max(0, WINDOW - 1 - len(right) // 2), min(WINDOW, len(left) // 2 + 1)):
+                other = seen.setdefault(hash((o, left[: 2 * o], right[: 2 * (WINDOW - 1 - o)])), me)
+                if other is not me:
+                    least, most = least or other, other
+            # the passages of these two cover all that any partner shares, since all of them hold the key
+            partners = [] if least is None else [least] if least is most else [least, most]
             self.own = me
         out = []
         for p in partners:

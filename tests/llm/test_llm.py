@@ -353,7 +353,7 @@ def plain_ids(path, texts):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(max_size=30), max_size=5))
+@given(st.lists(st.one_of(st.text(max_size=30), st.text("aBcÉßİΣσςﬁ'é ,.!1\u0301", max_size=30)), max_size=5))
 def test_chunks_encode_as_whole_texts(texts):
     path = q.tokenizer_file("word_bpe_49k.json")
     got = [np.frombuffer(x, "<u4").tolist() for x in WordEncoder(path, most=3).encode(texts)]
