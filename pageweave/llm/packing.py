@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageweave.functions.scratch import saved, small_arrow_batches
-from pageweave.llm.word_bpe import WordEncoder
+from pageweave.llm.word_bpe import encoder
 
 SIZE = 4096
 
@@ -21,11 +21,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = SI
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path).encode
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder.encode(b["text"].to_pylist())):
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), encode(b["text"].to_pylist())):
                 ids += end
                 n = len(ids) // 4
                 for k in range(0, n, size):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +12,7 @@ import numpy as np
 #: Unicode's White_Space; the file's normaliser and pre-tokeniser never join or look across it.
 _CHUNKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _ODD = re.compile("[\\x1c-\\x1f]")
+_MARKS = frozenset(".,;:!?")
 
 
 @lru_cache(maxsize=2)
@@ -30,8 +32,52 @@ class WordEncoder:
     of a text are those of its chunks between white space. ``most`` bounds what is remembered, never the result.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 900_000):
         self.tokenizer, self.known, self.most = _tokenizer(path), {}, most
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(chunks), 20_000):
+            encoded = self.tokenizer.encode_batch_fast(chunks[k : k + 20_000], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in encoded]
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone, many to a text: each is one pre-token, whose last id alone is one that ends words."""
+        out: list[bytes] = []
+        lines = [words[k : k + 500] for k in range(0, len(words), 500)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
+        for line, e in zip(lines, encoded):
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            if len(cuts) != len(line):
+                out += self._ids(line)
+                continue
+            at = 0
+            for cut in cuts:
+                out.append(raw[at:cut])
+                at = cut
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """A mark after a letter is a pre-token of its own, so a chunk that ends in one is the rest and the mark.
+
+        The file lower-cases, so an ASCII chunk is learned in lower case.
+        """
+        known = self.known
+        ended = {c for c in new if c[-1] in _MARKS and len(c) > 1 and c[-2].lower().isalpha()}
+        plain = (new - ended) | {c[:-1] for c in ended} | {c[-1] for c in ended}
+        low = {c: c.lower() if c.isascii() else c for c in plain if c not in known}
+        todo = set(low.values()).difference(known)
+        words = [c for c in todo if c.isalpha() and c.lower().isalpha()]
+        known.update(zip(words, self._words(words)))
+        rest = list(todo.difference(words))
+        known.update(zip(rest, self._ids(rest)))
+        known.update((c, known[x]) for c, x in low.items() if c != x)
+        known.update((c, known[c[:-1]] + known[c[-1]]) for c in ended)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [
@@ -40,9 +86,17 @@ class WordEncoder:
         if len(self.known) > self.most:
             self.known = {}
         known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        get = known.get
+        parts = [[get(c) for c in chunks] for chunks in split]
+        open_texts = [k for k, x in enumerate(parts) if None in x]
+        if open_texts:
+            self._learn({c for k in open_texts for c, x in zip(split[k], parts[k]) if x is None})
+            for k in open_texts:
+                parts[k] = [known[c] for c in split[k]]
+        return [b"".join(x) for x in parts]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One per worker process: what it has learned serves the worker's next tasks too."""
+    return WordEncoder(path)
