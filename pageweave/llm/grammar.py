@@ -11,20 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageweave.functions.scratch import new_path, small_arrow_batches
-from pageweave.llm.word_bpe import WordEncoder
+from pageweave.llm.word_bpe import encoder
 
 MAGIC = b"RPG1"
 SYMBOLS = 1 << 16
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 8, a_round: int = 2000, least: int = 6):
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 3, a_round: int = 5400, least: int = 6):
     """``(left, right, symbols, symbol ends)``: rules ``base + k -> left[k] right[k]`` and what the ids became.
 
     Each round counts the pairs of neighbours inside documents and replaces the most frequent ones by new symbols;
     of pairs that overlap in a run, every second one is replaced. It ends where no pair is frequent or all 16-bit
-    symbols are given away.
+    symbols are given away. A pair is 32 bits; a table by hash tells quickly which places cannot hold a chosen one.
     """
-    x = ids.astype(np.int64)
+    x = ids.astype(np.uint16)
     last = np.zeros(len(x), bool)
     last[ends - 1] = True
     left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -32,11 +32,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 8, a_ro
         spare = min(a_round, SYMBOLS - base - len(left))
         if spare <= 0 or len(x) < 2:
             break
-        pair = np.where(last[:-1], -1, x[:-1] << 16 | x[1:])
-        ordered = np.sort(pair[pair >= 0])
+        pair = x[:-1].astype(np.uint32) << 16 | x[1:]
+        ordered = np.sort(pair[~last[:-1]])
         if not len(ordered):
             break
-        cut = np.flatnonzero(np.diff(ordered, prepend=-1))
+        cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         counts = np.diff(np.append(cut, len(ordered)))
         pick = np.flatnonzero(counts >= least)
         if len(pick) > spare:
@@ -44,19 +44,26 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 8, a_ro
         if not len(pick):
             break
         chosen = np.sort(ordered[cut[pick]])
-        where = np.searchsorted(chosen, pair)
-        hit = chosen[np.minimum(where, len(chosen) - 1)] == pair
-        at = np.flatnonzero(hit)
+        may = np.zeros(1 << 18, bool)
+        may[_slot(chosen)] = True
+        at = np.flatnonzero(may[_slot(pair)] & ~last[:-1])
+        where = np.searchsorted(chosen, pair[at])
+        hit = chosen[np.minimum(where, len(chosen) - 1)] == pair[at]
+        at, where = at[hit], where[hit]
         run = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2
-        at = at[odd == 0]
-        x[at] = base + len(left) + where[at]
+        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 1
+        at, where = at[~odd], where[~odd]
+        x[at] = base + len(left) + where
         last[at] = last[at + 1]
         keep = np.ones(len(x), bool)
         keep[at + 1] = False
         x, last = x[keep], last[keep]
         left, right = np.append(left, chosen >> 16), np.append(right, chosen & 0xFFFF)
-    return left, right, x, np.flatnonzero(last) + 1
+    return left.astype(np.int64), right.astype(np.int64), x, np.flatnonzero(last) + 1
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return (pair * np.uint32(0x9E3779B1)) >> np.uint32(14)
 
 
 def expansions(left: np.ndarray, right: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +158,7 @@ def write_ids(
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder, end = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path).encode, np.array([end_id], "<u4").tobytes()
         held, size, block, start = [], 0, 0, 0
 
         def flush():
@@ -167,7 +174,7 @@ def write_ids(
             )
 
         for b in batches:
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder.encode(b["text"].to_pylist())):
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), encode(b["text"].to_pylist())):
                 held.append((doc_id, ids + end))
                 size += len(ids) // 4 + 1
                 if size >= ids_a_file:
