@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list[str] = []
+_MODULES = ["documents", "corpus"]
 
 
 def _all(name: str) -> dict:
