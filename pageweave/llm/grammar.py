@@ -68,13 +68,19 @@ def _slot(pair: np.ndarray) -> np.ndarray:
 
 def expansions(left: np.ndarray, right: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of all symbols and where each one's begin (one more place than symbols)."""
-    parts: list[np.ndarray] = []
+    parts: list[tuple] = []
     for a, b in zip(left.tolist(), right.tolist()):
-        parts.append(
-            np.concatenate([[s] if s < base else parts[s - base] for s in (a, b)]).astype(np.int64)
-        )
+        parts.append(((a,) if a < base else parts[a - base]) + ((b,) if b < base else parts[b - base]))
     sizes = np.concatenate([np.ones(base, np.int64), np.array([len(p) for p in parts], np.int64)])
-    return np.concatenate([np.arange(base), *parts]), np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.fromiter((x for p in parts for x in p), np.int64)
+    return np.concatenate([np.arange(base), flat]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def expansion_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
+    n: list[int] = []
+    for a, b in zip(left.tolist(), right.tolist()):
+        n.append((1 if a < base else n[a - base]) + (1 if b < base else n[b - base]))
+    return np.array(n, np.int64)
 
 
 def pack_file(doc_ids: list, ids: list[bytes], base: int) -> bytes:
@@ -84,8 +90,7 @@ def pack_file(doc_ids: list, ids: list[bytes], base: int) -> bytes:
         raise ValueError("an id is outside the vocabulary")
     ends = np.cumsum([len(x) // 4 for x in ids])
     left, right, symbols, cuts = compress(flat, ends, base)
-    _, starts = expansions(left, right, base)
-    lengths = np.diff(starts)[base:]
+    lengths = expansion_lengths(left, right, base)
     return b"".join(
         [
             MAGIC,

@@ -96,12 +96,12 @@ def oracle_sql() -> dict[str, str]:
         "op9_levelled_line_runs": f"""
             WITH l AS (
               SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                     unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS at
+                     unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
               FROM documents),
             k AS (SELECT *, translate(trim(line, {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
             f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
             m AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.last AS gone FROM k LEFT JOIN f USING (key))
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-                   sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
             FROM m GROUP BY doc_id""",
     }

@@ -80,6 +80,7 @@ class WordEncoder:
         known.update((c, known[c[:-1]] + known[c[-1]]) for c in ended)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        texts = [t.lower() if t and t.isascii() else t for t in texts]  # as the file does; fewer chunks to learn
         split = [
             [] if not t else t.split() if not _ODD.search(t) else [c for c in _CHUNKS.split(t) if c] for t in texts
         ]
