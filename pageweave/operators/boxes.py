@@ -148,3 +148,94 @@ def subdivide(rects: DataFrame, step: int) -> DataFrame:
     shapes = F.array(*[F.struct(*[(F.col(c) + (s * step if c == side else 0)).alias(c) for c in _BOX]) for side, s in sides])
     rows = rects.drop(*_BOX).columns
     return rects.select(*rows, F.explode(shapes).alias("r")).select(*rows, "r.*").filter("x2 > x1 and y2 > y1")
+
+
+def candidate_boxes(regions: DataFrame, line: list[str]) -> DataFrame:
+    """Regions up to 1.5 times their line's median width as they are; wider ones as windows of that width.
+
+    Windows go half a width on each time; one more ends at the region's right edge where the last falls short of it.
+    """
+    rows = regions.withColumn("__w", F.col("x2") - F.col("x1"))
+    expected = F.percentile("__w", F.lit(0.5)).over(Window.partitionBy(*line)).cast("int")
+    rows = rows.withColumn("__e", F.greatest(expected, F.lit(1)))
+    last = F.col("x2") - F.col("__e")
+    starts = F.array_distinct(F.concat(F.sequence("x1", last, F.greatest(F.expr("cast(__e div 2 as int)"), F.lit(1))), F.array(last)))
+    windows = F.transform(starts, lambda s: F.struct(s.alias("x1"), (s + F.col("__e")).alias("x2")))
+    whole = F.array(F.struct("x1", "x2"))
+    rows = rows.withColumn("__c", F.explode(F.when(F.col("__w") <= 1.5 * F.col("__e"), whole).otherwise(windows)))
+    return rows.withColumns({"x1": F.col("__c.x1"), "x2": F.col("__c.x2")}).drop("__c", "__e", "__w")
+
+
+def overlap_score(boxes: DataFrame, component: str) -> DataFrame:
+    """``score``: twice the area that a box shares with all boxes of its component, itself included."""
+    pairs = overlap_join(boxes, boxes, component).withColumn("inter", overlap_area())
+    return pairs.groupBy(component, F.col("a_id").alias("id")).agg((2 * F.sum("inter")).alias("score"))
+
+
+def sequence_search(boxes: DataFrame, group: str, word: str, reach: int = 64) -> DataFrame:
+    """``chain``: ids of boxes labelled with the word's letters, each inside the window of the one before.
+
+    The window of a box is itself, ``reach`` further to the right, up and down. ``boxes`` has a row per box and label. A
+    range join per letter over the distinct boxes, then equi-joins of neighbours. Words of one letter have no chains.
+    """
+    found = [boxes.filter(F.col("label") == c).select(group, "id", *_BOX).distinct() for c in word]
+    if len(found) < 2:
+        return boxes.select(group, F.array("id").alias("chain")).filter(F.lit(False))
+    chains = found[0].select(group, F.array("id").alias("chain"), F.col("id").alias("last"))
+    for left, right in zip(found, found[1:]):
+        window = left.withColumns({"y1": F.col("y1") - reach, "x2": F.col("x2") + reach, "y2": F.col("y2") + reach})
+        steps = contains_join(window, right, group).select(group, F.col("a_id").alias("last"), F.col("b_id").alias("next"))
+        chains = chains.join(steps, [group, "last"]).select(group, F.concat("chain", F.array("next")).alias("chain"), F.col("next").alias("last"))
+    return chains.drop("last")
+
+
+def greedy_same_label(cands: DataFrame, group: str) -> DataFrame:
+    """Candidates by rising distance (ties: upper, then left, then id); one that overlaps an accepted one of its label goes.
+
+    Spark finds the overlaps; only candidates that overlap another of their label are folded, per group.
+    """
+    own = cands.withColumn("__g", F.struct(group, "label"))
+    pairs = overlap_join(own, own, "__g").filter("a_id <> b_id")
+    links = pairs.select(F.col(f"__g.{group}").alias(group), F.col("__g.label").alias("label"), F.col("a_id").alias("id"), F.col("b_id").alias("other"))
+    met = links.groupBy(group, "label", "id").agg(F.collect_list("other").alias("others"))
+    met = met.join(cands.select(group, "label", "id", "distance", "y1", "x1"), [group, "label", "id"])
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: set = set()
+        lost = []
+        for r in pdf.sort_values(["distance", "y1", "x1", "id"]).itertuples():
+            if any((r.label, o) in kept for o in r.others):
+                lost.append((pdf[group].iloc[0], r.label, r.id))
+            else:
+                kept.add((r.label, r.id))
+        return pd.DataFrame(lost, columns=[group, "label", "id"])
+
+    kinds = dict(cands.dtypes)
+    lost = met.groupBy(group).applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in (group, "label", "id")))
+    return cands.join(lost, [group, "label", "id"], "left_anti")
+
+
+def drop_substring_overlaps(cands: DataFrame, group: str) -> DataFrame:
+    """Of two overlapping labels, one within the other, the longer stays; of equal length the later box stays.
+
+    Boxes are taken in the order of their sides, then labels; a box that is gone takes no other with it. Spark finds the
+    conflicts; only those are folded, per group.
+    """
+    met = overlap_join(cands, cands, group).filter("a_id <> b_id")
+    labels = cands.select(group, "id", "label")
+    for side in "ab":
+        met = met.join(labels.withColumnsRenamed({"id": f"{side}_id", "label": f"{side}_label"}), [group, f"{side}_id"])
+    place = {s: F.struct(*[f"{s}_{c}" for c in (*_BOX, "label", "id")]) for s in "ab"}
+    met = met.filter(place["a"] < place["b"]).filter(F.contains("a_label", "b_label") | F.contains("b_label", "a_label"))
+    order = [f"{s}_{c}" for s in "ab" for c in (*_BOX, "label", "id")]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone: set = set()
+        for r in pdf.sort_values(order).itertuples():
+            if r.a_id not in gone and r.b_id not in gone:
+                gone.add(r.b_id if len(r.a_label) > len(r.b_label) else r.a_id)
+        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(gone), "id": list(gone)})
+
+    kinds = dict(cands.dtypes)
+    lost = met.groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, id {kinds['id']}")
+    return cands.join(lost, [group, "id"], "left_anti")

@@ -110,3 +110,21 @@ def image_names(rows: DataFrame, index: str, url: str, prefix: str = "documents/
 def upsert(snapshot: DataFrame, changes: DataFrame, deleted: DataFrame, key: str, ts: str) -> DataFrame:
     """A registry's next snapshot: last write of a key wins, deleted keys go."""
     return insert_or_replace(snapshot, changes, key, ts).join(deleted.select(key), key, "left_anti")
+
+
+def collect_documents(found: DataFrame, counts: DataFrame, threshold: int, most: int) -> DataFrame:
+    """``url, source, index, name`` of the first ``most`` distinct URLs (by ``ordinal``) with enough paragraphs.
+
+    A URL without a row in ``counts`` (``url, paragraphs``) could not be fetched. It keeps the source that showed it first.
+    """
+    first = found.groupBy("url").agg(F.min(F.struct("ordinal", "source")).alias("f")).select("url", "f.*")
+    taken = take_budget(first.join(counts, "url"), ["ordinal", "url"], most, f"paragraphs >= {threshold}")
+    rows = assign_index(taken, "ordinal", 0)
+    name = F.format_string("doc_%04d_%s.png", F.col("idx"), F.substring(F.md5("url"), 1, 8))
+    return rows.select("url", "source", F.col("idx").alias("index"), name.alias("name"))
+
+
+def changed_files(previous: DataFrame, now: DataFrame) -> DataFrame:
+    """Rows of ``now`` (``path, hash``) whose hash differs from the last one seen; a new path is changed if it has a hash."""
+    before = previous.select("path", F.col("hash").alias("__h"))
+    return now.join(before, "path", "left").filter(~F.col("hash").eqNullSafe(F.col("__h"))).drop("__h")

@@ -192,3 +192,22 @@ def _simplify(ring: list, eps: float) -> list:
         return cut(line[: at + 1])[:-1] + cut(line[at:]) if best > eps else [line[0], line[-1]]
 
     return cut(ring[: far + 1])[:-1] + cut(ring[far:] + ring[:1])[:-1]
+
+
+def orientation_angle(dx: Column, dy: Column) -> Column:
+    """Degrees that turn the direction (dx, dy) upwards."""
+    return F.degrees(F.atan2(dx, -dy))
+
+
+def reverse_levels(df: DataFrame, c: str = "contour", levels: str = "levels") -> DataFrame:
+    """Contour points taken back through ``levels``, the deepest first, then rounded half to even.
+
+    A level is ``struct<scale,ox,oy,crop_x,crop_y,angle,cx,cy>``: pad, scale and crop are undone, then its turn about
+    (cx, cy). An empty list of levels only rounds.
+    """
+    x, y = "((q.x - l.ox) / l.scale + l.crop_x - l.cx)", "((q.y - l.oy) / l.scale + l.crop_y - l.cy)"
+    a = "radians(-l.angle)"
+    step = f"struct(cos({a}) * {x} + sin({a}) * {y} + l.cx AS x, -sin({a}) * {x} + cos({a}) * {y} + l.cy AS y)"
+    start = "struct(cast(p.x AS double) AS x, cast(p.y AS double) AS y)"
+    end = "q -> struct(cast(bround(q.x) AS int) AS x, cast(bround(q.y) AS int) AS y)"
+    return df.withColumn(c, F.expr(f"transform({c}, p -> aggregate({levels}, {start}, (q, l) -> {step}, {end}))"))

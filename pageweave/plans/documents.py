@@ -225,12 +225,14 @@ def b7_b8_overlap_pairs(spark, d):
     return boxes.overlap_pairs(_dets(spark, d), "doc_id").groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum("inter").cast("bigint").alias("area"))
 
 
-@register(f"""WITH RECURSIVE {WORDS}{DETS}, g AS (SELECT a_id, b_id FROM pr WHERE doc_id = -1)
- SELECT doc_id, count(DISTINCT id // 2) AS components FROM dets GROUP BY doc_id""")
+@register(f"""WITH RECURSIVE {WORDS}{DETS},
+ e AS (SELECT doc_id, a_id, b_id FROM pr WHERE inter >= 0.5 * least(aa, ba) UNION ALL SELECT doc_id, b_id, a_id FROM pr WHERE inter >= 0.5 * least(aa, ba)),
+ r(doc_id, id, root) AS (SELECT doc_id, id, id FROM dets UNION SELECT e.doc_id, e.b_id, root FROM r JOIN e ON r.doc_id = e.doc_id AND r.id = e.a_id)
+ SELECT doc_id, count(DISTINCT c) AS components, count(*) AS boxes FROM (SELECT doc_id, id, min(root) AS c FROM r GROUP BY ALL) GROUP BY doc_id""")
 def b9_box_components(spark, d):
-    """Each box and its moved copy: the copy of a word that is long enough overlaps it; the ids are global here."""
-    ids = _dets(spark, d).withColumn("id", F.concat_ws(":", F.lpad("doc_id", 9, "0"), F.lpad(F.expr("id div 2"), 9, "0"), F.expr("id % 2")))
-    return boxes.box_components(ids, "doc_id", 0.0001).withColumn("k", F.substring("component", 1, 19)).groupBy("doc_id").agg(F.count_distinct("k").alias("components"))
+    """Each box and its moved copy, linked where they share half of the smaller; the ids are global here."""
+    ids = _dets(spark, d).withColumn("id", F.concat_ws(":", F.lpad("doc_id", 9, "0"), F.lpad("id", 12, "0")))
+    return boxes.box_components(ids, "doc_id", 0.5).groupBy("doc_id").agg(F.count_distinct("component").alias("components"), F.count("*").alias("boxes"))
 
 
 @register("""SELECT doc_id, arg_max(struct_pack(x1 := x1, y1 := y1), (length(text), x1, y1, x2, y2)).x1 AS x1, arg_max(struct_pack(x1 := x1, y1 := y1), (length(text), x1, y1, x2, y2)).y1 AS y1,

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["documents", "corpus"]
+_MODULES = ["documents", "corpus", "search"]
 
 
 def _all(name: str) -> dict:

@@ -50,8 +50,19 @@ def ingest_once(
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_totals(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Rows per file so far, as the in-memory table ``name``."""
+def running_totals(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Rows per file so far: each round writes all totals to ``path`` under its number; ``totals`` reads the last."""
     counts = stream.groupBy("filename").agg(F.count("*").alias("n"))
-    writer = counts.writeStream.outputMode("complete").format("memory").queryName(name)
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = counts.writeStream.outputMode("complete").foreachBatch(run)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    """``filename, n`` after the last round of ``running_totals``."""
+    rows = spark.read.schema("filename string, n bigint, batch bigint").parquet(path)
+    last = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(last), "batch").select("filename", "n")  # one row

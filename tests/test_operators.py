@@ -7,13 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageweave.functions.vocab import characters
-from pageweave.operators import boxes, detect, geometry, layout, links, waves
+from pageweave.operators import boxes, crawl, detect, geometry, layout, links, waves
 from pageweave.plans import registry
 from pageweave.plans.common import table, words
 from pageweave.sources import files
 from pageweave.streaming import ingest
 
-CHECKED = ("h3_flatten_preorder", "h4_flat_to_nested", "h6_hierarchy_counts", "h8_assemble_text", "h10_local_to_global", "g2_to_retina", "g7_dominant_angles", "b1_content_regions", "b7_b8_overlap_pairs", "b20_nearest_template", "c1_extract_links", "c8_bfs_frontier", "c9_rate_limit_schedule", "c11_insert_or_replace", "t4_build_sequences", "t9_split_train_val", "w5_parse_responses", "w17_correction_rate", "m2_early_stop", "m7_class_loss")
+CHECKED = ("h3_flatten_preorder", "h4_flat_to_nested", "h6_hierarchy_counts", "h8_assemble_text", "h10_local_to_global", "g2_to_retina", "g7_dominant_angles", "b1_content_regions", "b7_b8_overlap_pairs", "b20_nearest_template", "c1_extract_links", "c8_bfs_frontier", "c9_rate_limit_schedule", "c11_insert_or_replace", "t4_build_sequences", "t9_split_train_val", "w5_parse_responses", "w17_correction_rate", "m2_early_stop", "m7_class_loss", "b2_candidate_boxes", "b9_box_components", "b10_overlap_score", "b13_sequence_search", "d1_score_wave", "d2_run_cascade", "d7_collect_documents", "g12_reverse_levels", "s3_s4_annotation_files", "s9_read_logs", "m11_changed_files", "x1_x2_once_per_file", "x6_status_sink", "x7_running_totals")
 
 
 def plain(v):
@@ -117,3 +117,69 @@ def test_vocabulary_and_layout(spark):
     rows = layout.layout_words(spark.createDataFrame([(1, "ab  c\n\nd"), (2, None), (3, "")], "doc_id long, text string")).collect()
     assert [(r["doc_id"], r["li"], r["wi"], r["text"], r["x1"]) for r in rows] == [(1, 0, 0, "ab", 40), (1, 0, 1, "c", 88), (1, 2, 0, "d", 40)]
     assert geometry.SIDE == 1024
+
+
+def _boxes(n, seed, labels):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        x, y = rng.randrange(300), rng.randrange(200)
+        rows.append((k % 2, k, rng.choice(labels), rng.randrange(9), x, y, x + rng.randrange(1, 80), y + rng.randrange(1, 60)))
+    return rows
+
+
+BOXES = "doc_id long, id long, label string, distance long, x1 int, y1 int, x2 int, y2 int"
+
+
+def _meet(a, b):
+    return a[4] <= b[6] and b[4] <= a[6] and a[5] <= b[7] and b[5] <= a[7]
+
+
+def test_greedy_same_label(spark):
+    rows = _boxes(120, 1, ["to", "top", "stop", "op"])
+    want = []
+    for r in sorted(rows, key=lambda r: (r[3], r[5], r[4], r[1])):
+        if not any(r[0] == k[0] and r[2] == k[2] and _meet(r, k) for k in want):
+            want.append(r)
+    got = boxes.greedy_same_label(spark.createDataFrame(rows, BOXES), "doc_id").collect()
+    assert 0 < len(got) < 120 and sorted(r["id"] for r in got) == sorted(r[1] for r in want)
+    assert boxes.greedy_same_label(spark.createDataFrame([], BOXES), "doc_id").count() == 0
+
+
+def test_drop_substring_overlaps(spark):
+    rows = _boxes(120, 2, ["to", "top", "stop", "op", "zz"])
+    alive = set()
+    for doc in (0, 1):
+        left = sorted((r for r in rows if r[0] == doc), key=lambda r: (*r[4:], r[2], r[1]))
+        gone = set()
+        for i, a in enumerate(left):
+            for b in left[i + 1 :]:
+                if a[1] in gone:
+                    break
+                if b[1] not in gone and (a[2] in b[2] or b[2] in a[2]) and _meet(a, b):
+                    gone.add(b[1] if len(a[2]) > len(b[2]) else a[1])
+        alive |= {r[1] for r in left} - gone
+    got = boxes.drop_substring_overlaps(spark.createDataFrame(rows, BOXES), "doc_id").collect()
+    assert 0 < len(got) < 120 and {r["id"] for r in got} == alive
+    assert boxes.drop_substring_overlaps(spark.createDataFrame([], BOXES), "doc_id").count() == 0
+
+
+def test_sequence_search(spark):
+    rows = _boxes(90, 3, ["a", "b"])
+    inside = lambda p, n: n[4] >= p[4] and n[5] >= p[5] - 64 and n[6] <= p[6] + 64 and n[7] <= p[7] + 64
+    want = [[r[1]] for r in rows if r[2] == "a"]
+    at = {r[1]: r for r in rows}
+    for c in "ba":
+        want = [w + [r[1]] for w in want for r in rows if r[2] == c and r[0] == at[w[-1]][0] and inside(at[w[-1]], r)]
+    df = spark.createDataFrame(rows, BOXES)
+    got = boxes.sequence_search(df, "doc_id", "aba").collect()
+    assert want and sorted(list(r["chain"]) for r in got) == sorted(want)
+    assert boxes.sequence_search(df, "doc_id", "a").count() == 0
+
+
+def test_changed_files(spark):
+    before = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, hash string")
+    now = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4"), ("d", None)], "path string, hash string")
+    assert sorted(r["path"] for r in crawl.changed_files(before, now).collect()) == ["b", "c"]
