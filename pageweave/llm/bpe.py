@@ -255,6 +255,36 @@ def encode(
     return met.mapInArrow(reassemble, f"doc_id {kind}, ids binary")
 
 
+def _decoded(batches, ranks_path: str):
+    table = {v: k for k, v in ranks(ranks_path).items()}
+    of = table.__getitem__
+    for batch in batches:
+        out = [b"".join(map(of, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch["ids"]]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+
+
+def _digested(batches):
+    import hashlib
+
+    names: dict[int, bytes] = {}
+    for batch in batches:
+        n, a, b = [], [], []
+        for ids, text in zip(batch["ids"], batch["decoded"]):
+            ids = np.frombuffer(ids.as_py() or b"", "<u4").tolist()
+            try:
+                line = b" ".join([names[i] for i in ids])
+            except KeyError:
+                names.update((i, b"%d" % i) for i in set(ids))
+                line = b" ".join([names[i] for i in ids])
+            n.append(len(ids))
+            a.append(hashlib.sha256(line).hexdigest())
+            b.append(hashlib.sha256(text.as_py() or b"").hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [batch["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``(doc_id, ids)`` -> the same with ``decoded``: the bytes of the ids, in order.
 
@@ -263,42 +293,24 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """
     small_arrow_batches(encoded.sparkSession)
     kind = dict(encoded.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, ids binary, decoded binary"
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, ranks_path), schema)
 
-    def run(batches):
-        table = {v: k for k, v in ranks(ranks_path).items()}
-        of = table.__getitem__
-        for batch in batches:
-            out = [b"".join(map(of, np.frombuffer(x or b"", "<u4").tolist())) for x in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["ids"], pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"]
-            )
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+_DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 def digests(decoded: DataFrame) -> DataFrame:
-    """``(doc_id, ids, decoded)`` -> ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    kind = dict(decoded.dtypes)["doc_id"]
+    """``(doc_id, ids, decoded)`` -> ``doc_id, n_tokens, ids_sha256, decoded_sha256``; a null counts as empty."""
+    return decoded.mapInArrow(_digested, f"doc_id {dict(decoded.dtypes)['doc_id']}, {_DIGESTS}")
 
-    def run(batches):
-        import hashlib
 
-        names: dict[int, bytes] = {}
-        for batch in batches:
-            n, a, b = [], [], []
-            for ids, text in zip(batch["ids"].to_pylist(), batch["decoded"].to_pylist()):
-                ids = np.frombuffer(ids or b"", "<u4").tolist()
-                try:
-                    line = b" ".join([names[i] for i in ids])
-                except KeyError:
-                    names.update((i, b"%d" % i) for i in set(ids))
-                    line = b" ".join([names[i] for i in ids])
-                n.append(len(ids))
-                a.append(hashlib.sha256(line).hexdigest())
-                b.append(hashlib.sha256(text or b"").hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(a), pa.array(b)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+def decoded_digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """``digests(decode(encoded))`` in one pass.
 
-    return decoded.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    Decoding and digests share a worker, so that the decoded bytes do not pass through the JVM.
+    """
+    small_arrow_batches(encoded.sparkSession)
+    kind = dict(encoded.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, {_DIGESTS}"
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _digested(_decoded(batches, ranks_path)), schema)

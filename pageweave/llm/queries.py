@@ -27,7 +27,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = tokenizer_file("byte_bpe_50k.tiktoken")
     ids = bpe.encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(ids, path))
+    return bpe.decoded_digests(ids, path)
 
 
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

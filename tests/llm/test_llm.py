@@ -57,6 +57,11 @@ def test_bpe_matches_tiktoken(spark, sf, tik):
     assert got == {k: digest(tik, t) for k, t in enumerate(texts)}
 
 
+def test_bpe_query_matches_tiktoken(spark, sf, tik):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r["doc_id"]: tuple(r)[1:] for r in q.op1_byte_bpe(spark, sf).collect()} == {k: digest(tik, t) for k, t in texts.items()}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=" \n\t　\x1caB'stré1²-!", max_size=40), max_size=4))
 def test_blocks_split_as_the_pattern_does(texts):
