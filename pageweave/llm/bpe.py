@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+import hashlib
+from array import array
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -16,7 +19,6 @@ from pageweave.functions.scratch import small_arrow_batches
 
 #: Unicode's White_Space, which is what ``\s`` means to the pattern's own engine.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_MASK = np.uint64(0x7F)
 
 
 @lru_cache(maxsize=4)
@@ -39,13 +41,21 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
-def _varint(n: int) -> bytes:
-    out = bytearray()
-    while n > 127:
-        out.append(n & 127 | 128)
-        n >>= 7
-    out.append(n)
-    return bytes(out)
+def _varints(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Little-endian base-128 numbers in one run of bytes, and where each of them ends there."""
+    size = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(size.max()) if len(size) else 0):
+        has = size > k
+        more = (size[has] > k + 1).astype(np.uint8) << 7
+        out[(ends - size)[has] + k] = (numbers[has] >> 7 * k & 127).astype(np.uint8) | more
+    return out, ends
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places ``start, start + 1, ...`` of every stretch, one stretch after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def _unvarint(raw: bytes) -> np.ndarray:
@@ -65,58 +75,134 @@ def _unvarint(raw: bytes) -> np.ndarray:
 class _Block:
     """Documents of one input slice: each distinct word once, and each text as its words' codes in order.
 
-    A code's place in the stream is its word's position. Pieces between single spaces split independently of
-    each other, so they are split once per block; a text with any other white space beside a space is split
-    whole.
+    A code's place in the stream is its word's position. The pattern lets a single space between two other
+    characters only open a word, so the pieces between such spaces split independently of each other: each
+    distinct piece of the block is split once, many to a call. A text with any other white space beside a space
+    is split whole.
     """
 
     def __init__(self, pattern: str):
-        self.find, self.words, self.pieces, self.docs, self.size = splitter(pattern).findall, {}, {}, [], 0
-        self.edge = regex.compile(f"^[{_SPACE}]|[{_SPACE}]$")
-
-    def codes(self, text: str) -> bytes:
-        words = self.words
-        return b"".join([_varint(words.setdefault(w, len(words))) for w in self.find(text)])
+        self.pattern, self.ids, self.pieces, self.bad = pattern, [], {}, bytearray()
+        self.whole: dict[int, str] = {}
+        self.places, self.counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        self.n_docs = 0
 
     def add(self, doc_id, text: str) -> None:
-        first, *rest = text.split(" ")
-        known = self.pieces
-        try:
-            stream = b"".join([known[p] for p in rest])
-        except KeyError:
-            for p in rest:
-                if p not in known:
-                    if not p or self.edge.search(p):
-                        stream = None
-                        break
-                    known[p] = self.codes(" " + p)
-            else:
-                stream = b"".join([known[p] for p in rest])
-        if stream is None or not first or self.edge.search(first):
-            stream = self.codes(text)
-        else:
-            stream = self.codes(first) + stream
-        self.docs.append((doc_id, stream))
-        self.size += len(text)
+        self.add_all(pa.array([doc_id]), pa.array([text], pa.string()))
+
+    def add_all(self, ids: pa.Array, texts: pa.Array) -> None:
+        known, at_edge = self.pieces, _edges()
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        for p in names:
+            if p not in known:
+                known[p] = len(known)
+                self.bad.append(p[:1] in at_edge or p[-1:] in at_edge)
+        here = np.fromiter((known[p] for p in names), np.int32, len(names))
+        bad = np.fromiter((self.bad[k] for k in here.tolist()), bool, len(names))
+        within = coded.indices.to_numpy()
+        for i in np.flatnonzero(np.logical_or.reduceat(bad[within], bounds[:-1])).tolist():
+            self.whole[self.n_docs + i] = texts[i].as_py()
+        self.places.append(here[within])
+        self.counts.append(np.diff(bounds).astype(np.int64))
+        self.ids.append(ids)
+        self.n_docs += len(texts)
+
+    @cached_property
+    def words(self) -> list[str]:
+        """The words in order of their codes; the block is closed by this."""
+        find, words = splitter(self.pattern).findall, {}
+        code = lambda found: [words.setdefault(w, len(words)) for w in found]
+        pieces = list(self.pieces)
+        self.pieces = {}
+        counts, places = np.concatenate(self.counts), np.concatenate(self.places)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        firsts = bounds[:-1]
+        inner = np.ones(self.n_docs, bool)
+        inner[list(self.whole)] = False
+        inner = np.repeat(inner, counts)
+        inner[firsts] = False
+        used = np.zeros(len(pieces), bool)
+        used[places[inner]] = True
+        sizes = np.zeros(len(pieces) + len(firsts), np.int64)
+        codes = []
+        chosen = np.flatnonzero(used)
+        for k in range(0, len(chosen), 5_000):
+            some = chosen[k : k + 5_000]
+            found = find(" " + " ".join([pieces[i] for i in some.tolist()]))
+            opens = np.flatnonzero(np.fromiter((w[0] == " " for w in found), bool, len(found)))
+            if len(opens) != len(some):
+                raise ValueError("the pattern does not open a word at every single space")
+            sizes[some] = np.diff(np.append(opens, len(found)))
+            codes.append(np.array(code(found), np.uint32))
+        lone = []
+        for i, first in enumerate(places[firsts].tolist()):
+            found = code(find(self.whole[i] if i in self.whole else pieces[first]))
+            sizes[len(pieces) + i] = len(found)
+            lone += found
+        codes.append(np.array(lone, np.uint32))
+        self.bounds, self.inner, self.places = bounds, inner, places
+        self.sizes, self.codes = sizes, np.concatenate(codes)
+        order = np.concatenate([chosen, np.arange(len(pieces), len(sizes))])
+        self.starts = np.zeros(len(sizes), np.int64)
+        self.starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        self.n_pieces = len(pieces)
+        self.whole.clear()
+        return list(words)
+
+    @property
+    def docs(self) -> list:
+        ids = [i for some in self.ids for i in some.to_pylist()]
+        return list(zip(ids, (x for some in self.streams(250) for x in some)))
+
+    def streams(self, docs: int):
+        """Lists of the codes of each text, packed, in the order of the input; ``words`` is read before."""
+        for k in range(0, len(self.bounds) - 1, docs):
+            bounds = self.bounds[k : k + docs + 1]
+            here = slice(bounds[0], bounds[-1])
+            units, stays = self.places[here].astype(np.int64), self.inner[here].copy()
+            firsts = bounds[:-1] - bounds[0]
+            units[firsts] = self.n_pieces + k + np.arange(len(firsts))
+            stays[firsts] = True
+            units = units[stays]
+            sizes = self.sizes[units]
+            raw, ends = _varints(self.codes[_ragged(self.starts[units], sizes)])
+            ends = np.concatenate([[0], ends])
+            last = np.append(np.cumsum(stays)[firsts] - 1, len(units))
+            cuts = ends[np.concatenate([[0], np.cumsum(sizes)])[last]]
+            yield [raw[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+@lru_cache(maxsize=1)
+def _edges() -> frozenset[str]:
+    """White space characters, and the empty string, which stands for a piece without characters."""
+    return frozenset(regex.findall(f"[{_SPACE}]", "".join(map(chr, range(0x3001))))) | {""}
 
 
 def _blocks(batches, pattern: str, limit: int):
-    block = _Block(pattern)
+    """Cut by the texts alone, however the batches fall."""
+    block, size = _Block(pattern), 0
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            block.add(doc_id, text)
-            if block.size > limit:
-                yield block
-                block = _Block(pattern)
-    if block.docs:
+        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start, before = 0, 0
+        while start < len(ends):
+            k = int(np.searchsorted(ends, before + limit - size, side="right"))
+            block.add_all(batch["doc_id"].slice(start, k + 1 - start), batch["text"].slice(start, k + 1 - start))
+            if k >= len(ends):
+                size += int(ends[-1]) - before
+                break
+            yield block
+            block, size, start, before = _Block(pattern), 0, k + 1, int(ends[k])
+    if block.n_docs:
         yield block
 
 
 def _key(words: list[bytes]) -> int:
     """A block's key follows from its words in order of their codes: equal keys have equal codes."""
-    h = xxhash.xxh64(seed=7)
-    for w in words:
-        h.update(len(w).to_bytes(4, "little") + w)
+    h = xxhash.xxh64(np.array([len(w) for w in words], np.uint32).tobytes(), seed=7)
+    h.update(b"".join(words))
     return h.intdigest() - (1 << 63)
 
 
@@ -143,9 +229,8 @@ def encode(
 
     def words_of(batches):
         for block in _blocks(batches, pattern, block_chars):
-            block.pieces.clear(), block.docs.clear()
-            words = [w.encode("utf-8", "surrogatepass") for w in block.words]
-            block.words.clear()
+            words = [w.encode() for w in block.words]
+            del block
             at: list[list[int]] = [[] for _ in range(buckets)]
             for code, w in enumerate(words):
                 at[xxhash.xxh64_intdigest(w) % buckets].append(code)
@@ -164,16 +249,15 @@ def encode(
 
     def texts_of(batches):
         for block in _blocks(batches, pattern, block_chars):
-            block.pieces.clear()
-            key = _key([w.encode("utf-8", "surrogatepass") for w in block.words])
+            key = _key([w.encode() for w in block.words])
             block.words.clear()
-            for k in range(0, len(block.docs), 1000):
-                some = block.docs[k : k + 1000]
+            ids = pa.chunked_array(block.ids)
+            for k, some in enumerate(block.streams(250)):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "block": pa.array([key] * len(some), pa.int64()),
-                        "doc_id": pa.array([d for d, _ in some], id_type),
-                        "codes": pa.array([c for _, c in some], pa.binary()),
+                        "doc_id": ids.slice(250 * k, len(some)).cast(id_type).combine_chunks(),
+                        "codes": pa.array(some, pa.binary()),
                     }
                 )
 
@@ -188,7 +272,7 @@ def encode(
                     w = words[at : at + n]
                     at += n
                     if (x := known.get(w)) is None:
-                        x = known[w] = np.array(one(w), np.uint16).tobytes()
+                        x = known[w] = array("H", one(w)).tobytes()
                     ids.append(x)
                 out["block"].append(block)
                 out["codes"].append(codes)
@@ -199,13 +283,26 @@ def encode(
                 | {c: pa.array(out[c], pa.binary()) for c in ("codes", "sizes", "ids")}
             )
 
+    def ids_of(run: list[bytes], table: np.ndarray, flat: np.ndarray) -> list[bytes]:
+        raw = b"".join(run)
+        at = _unvarint(raw)
+        if len(at) and (int(at.max()) >= table.shape[1] or (table[1, at] < 0).any()):
+            raise ValueError("the input gave other rows when it was read again")
+        n = table[1, at]
+        ids = flat[_ragged(table[0, at], n)].astype("<u4")
+        codes = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) < 128)])
+        cuts = np.concatenate([[0], np.cumsum(n)])[codes[np.cumsum([0, *map(len, run)])]]
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+
     def reassemble(batches):
         block, table, parts, flat = None, None, [], None
         for batch in batches:
-            ids_out, docs_out = [], []
-            for key, codes, sizes, ids, doc_id in zip(
-                *(batch[c].to_pylist() for c in ("block", "codes", "sizes", "ids", "doc_id"))
-            ):
+            out, run, size = [], [], 0
+            rows = zip(*(batch[c].to_pylist() for c in ("block", "codes", "sizes", "ids")))
+            for key, codes, sizes, ids in rows:
+                if run and (key != block or size > 1 << 19):
+                    out += ids_of(run, table, flat)
+                    run, size = [], 0
                 if key != block:
                     block, table, parts = key, None, []
                 if ids is not None:
@@ -219,17 +316,12 @@ def encode(
                     table[1] = -1
                     table[0, c], table[1, c] = np.cumsum(n, dtype=np.int64) - n, n
                     parts = []
-                at = _unvarint(codes)
-                if len(at) and (int(at.max()) >= table.shape[1] or (table[1, at] < 0).any()):
-                    raise ValueError("the input gave other rows when it was read again")
-                n = table[1, at]
-                total = int(n.sum())
-                where = np.repeat(table[0, at] - (np.cumsum(n) - n), n) + np.arange(total)
-                ids_out.append(flat[where].astype("<u4").tobytes())
-                docs_out.append(doc_id)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": pa.array(docs_out, id_type), "ids": pa.array(ids_out, pa.binary())}
-            )
+                run.append(codes)
+                size += len(codes)
+            if run:
+                out += ids_of(run, table, flat)
+            docs_out = batch["doc_id"].filter(batch["ids"].is_null())
+            yield pa.RecordBatch.from_arrays([docs_out, pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     kind = "bigint" if id_type == pa.int64() else "string"
     words = texts.mapInArrow(
@@ -255,29 +347,46 @@ def encode(
     return met.mapInArrow(reassemble, f"doc_id {kind}, ids binary")
 
 
+@lru_cache(maxsize=4)
+def _token_bytes(ranks_path: str) -> pa.Array:
+    """The token-byte table by id; ids that the file leaves out are null."""
+    of = {v: k for k, v in ranks(ranks_path).items()}
+    return pa.array([of.get(i) for i in range(max(of, default=-1) + 1)], pa.large_binary())
+
+
+@lru_cache(maxsize=2)
+def _decimals(n: int) -> pa.Array:
+    return pa.array([b"%d " % i for i in range(n)], pa.large_binary())
+
+
+def _joined(table: pa.Array, ids: np.ndarray) -> memoryview | bytes:
+    """The values of ``table`` at ``ids``, one after the other."""
+    values = table.take(pa.array(ids))
+    if values.null_count:
+        raise ValueError("an id is not in the token-byte table")
+    if not len(ids):
+        return b""
+    _, ends, data = values.buffers()
+    return memoryview(data)[: int(np.frombuffer(ends, np.int64)[len(ids)])]
+
+
 def _decoded(batches, ranks_path: str):
-    table = {v: k for k, v in ranks(ranks_path).items()}
-    of = table.__getitem__
+    table = _token_bytes(ranks_path)
     for batch in batches:
-        out = [b"".join(map(of, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch["ids"]]
+        out = [bytes(_joined(table, np.frombuffer(x.as_py() or b"", "<u4"))) for x in batch["ids"]]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
 
 def _digested(batches):
-    import hashlib
-
-    names: dict[int, bytes] = {}
+    names = _decimals(1 << 16)
     for batch in batches:
         n, a, b = [], [], []
         for ids, text in zip(batch["ids"], batch["decoded"]):
-            ids = np.frombuffer(ids.as_py() or b"", "<u4").tolist()
-            try:
-                line = b" ".join([names[i] for i in ids])
-            except KeyError:
-                names.update((i, b"%d" % i) for i in set(ids))
-                line = b" ".join([names[i] for i in ids])
+            ids = np.frombuffer(ids.as_py() or b"", "<u4")
+            if len(ids) and int(ids.max()) >= len(names):
+                names = _decimals(int(ids.max()) + 1)
             n.append(len(ids))
-            a.append(hashlib.sha256(line).hexdigest())
+            a.append(hashlib.sha256(_joined(names, ids)[:-1]).hexdigest())
             b.append(hashlib.sha256(text.as_py() or b"").hexdigest())
         yield pa.RecordBatch.from_arrays(
             [batch["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
