@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The vocabulary's ranges of code points and single signs, in its order.
-RANGES = ((0x20, 0x7E), (0xA1, 0xFF), (0x100, 0x17F), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9))
+# The vocabulary's ranges of code points, then its single signs, in its order. 455 characters.
+RANGES = ((0x20, 0x7E), (0xA0, 0xFF), (0x100, 0x17F), (0x391, 0x3A9), (0x3B1, 0x3C9))
+SIGNS = (
+    "∀∂∃∅∇∈∉∋∏∑−∕∗√∝∞∠∧∨∩∪∫∬∭∴∵∼≈≠≡≤≥≪≫⊂⊃⊆⊇⊎⊑⊒⊕⊗⊢⊣⊥⋅⋆⋮⋯"
+    "←↑→↓↔↕↦⇐⇑⇒⇓⇔"
+    "ℏℑℓℕℙℚℝℤℬℰℱℋℐℒℳ"
+    "×÷…–—‘’“”′″"
+)
 STRUCTURE = ("NONE", "PAGE", "PARAGRAPH", "LINE", "WORD")
 FIRST_CHAR = 5
 
 
 def characters() -> list[str]:
-    return list(dict.fromkeys(chr(c) for a, b in RANGES for c in range(a, b + 1)))
+    return list(dict.fromkeys([*(chr(c) for a, b in RANGES for c in range(a, b + 1)), *SIGNS]))
 
 
 def vocabulary(spark: SparkSession) -> DataFrame:

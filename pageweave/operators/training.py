@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageweave.operators import geometry, hierarchy, layout
+
 
 def item_index(parents: DataFrame, n: str = "n") -> DataFrame:
     """One row per item of each parent (``n`` children) plus one NONE item."""
@@ -47,6 +49,16 @@ def pad_batch(sequences: DataFrame, seq: str, batch: int) -> DataFrame:
     return rows.withColumn("target", F.concat("target", F.array_repeat(F.lit(0), F.col("padding"))))
 
 
+def parent_local(children: DataFrame, parent: list[str]) -> DataFrame:
+    """Children's boxes in the retina of the box that their parent's children span.
+
+    Children without a value in a ``parent`` column go, as they have no parent.
+    """
+    parents = layout.rollup_boxes(children, parent)
+    frames = geometry.retina_frame(parents).select(*parent, "scale", "ox", "oy")
+    return geometry.to_retina(hierarchy.local_boxes(children, parents, parent).join(frames, parent))
+
+
 def split_train_val(df: DataFrame, key: str, share: float, seed: int, least: int = 1) -> DataFrame:
     """``split``: exactly ``max(least, int(n * share))`` rows are ``val``, the least by md5 of seed and key.
 

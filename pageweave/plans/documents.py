@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageweave.functions.vocab import decode_class, encode_chars, vocabulary
+from pageweave.functions.vocab import SIGNS, decode_class, encode_chars, vocabulary
 from pageweave.operators import boxes, detect, geometry, hierarchy, layout, training, waves
 from pageweave.plans.common import WORDS, lines, longs, table, words
 
@@ -66,7 +66,11 @@ def h6_hierarchy_counts(spark, d):
 CHARS = """, chars AS (SELECT doc_id, pi, li, wi, (unnest(range(length(text))))::INT AS ci, text[unnest(range(length(text)))::INT + 1] AS ch, x1 FROM words)"""
 
 
-@register(f"WITH {WORDS}{CHARS} SELECT doc_id, count(*) AS n FROM chars WHERE unicode(ch) BETWEEN 32 AND 126 OR unicode(ch) BETWEEN 161 AND 383 OR unicode(ch) BETWEEN 913 AND 929 OR unicode(ch) BETWEEN 931 AND 937 OR unicode(ch) BETWEEN 945 AND 969 GROUP BY doc_id")
+#: Whether ``ch`` is in the vocabulary.
+KNOWN = f"(unicode(ch) BETWEEN 32 AND 126 OR unicode(ch) BETWEEN 160 AND 383 OR unicode(ch) BETWEEN 913 AND 937 OR unicode(ch) BETWEEN 945 AND 969 OR strpos('{SIGNS}', ch) > 0)"
+
+
+@register(f"WITH {WORDS}{CHARS} SELECT doc_id, count(*) AS n FROM chars WHERE {KNOWN} GROUP BY doc_id")
 def h7_filter_charset(spark, d):
     return hierarchy.filter_charset(layout.layout_chars(words(spark, d)), vocabulary(spark)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
@@ -357,13 +361,24 @@ def t5_pad_batch(spark, d):
     return training.pad_batch(_sequences(spark, d), "doc_id", 8).select("doc_id", "pi", "li", "batch", "padding")
 
 
-@register(f"""WITH {WORDS}{CHARS} SELECT CASE WHEN unicode(ch) BETWEEN 32 AND 126 OR unicode(ch) BETWEEN 161 AND 383 THEN '''' || ch || '''' ELSE 'NONE' END AS label, count(*) AS n FROM chars GROUP BY ALL""")
+@register(f"""WITH {WORDS}{CHARS} SELECT CASE WHEN {KNOWN} THEN '''' || ch || '''' ELSE 'NONE' END AS label, count(*) AS n FROM chars GROUP BY ALL""")
 def t6_encode_decode(spark, d):
     v = vocabulary(spark)
     codes = encode_chars(layout.layout_chars(words(spark, d)).select("ch"), v).select("class_id")
     return decode_class(codes, v).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@register(f"""WITH {WORDS},
+ f AS (SELECT doc_id, pi, li, x1 AS fx, y1 AS fy, least(1024.0::DOUBLE / (x2 - x1), 1024.0::DOUBLE / (y2 - y1)) AS s, x2 - x1 AS w, y2 - y1 AS h FROM lines),
+ o AS (SELECT *, floor((1024 - trunc(w * s)) / 2) AS ox, floor((1024 - trunc(h * s)) / 2) AS oy FROM f)
+ SELECT v.doc_id, v.pi, v.li, v.wi, trunc((v.x1 - fx) * s + ox)::INT AS x1, trunc((v.y1 - fy) * s + oy)::INT AS y1, trunc((v.x2 - fx) * s + ox)::INT AS x2, trunc((v.y2 - fy) * s + oy)::INT AS y2
+ FROM words v JOIN o USING (doc_id, pi, li)""")
+def t8_parent_local(spark, d):
+    """Words in the retina of their line."""
+    w = words(spark, d)
+    return training.parent_local(w, ["doc_id", "pi", "li"]).select("doc_id", "pi", "li", "wi", *_BOX)
+
+
 @register("""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) <= greatest(1, trunc(count(*) OVER () * 0.15)) THEN 'val' ELSE 'train' END AS split FROM documents""")
 def t9_split_train_val(spark, d):
     return training.split_train_val(table(spark, d, "documents").select("doc_id"), "doc_id", 0.15, 7)

@@ -166,6 +166,17 @@ def s7_export_metadata(spark, d):
     return spark.read.schema("o_orderkey long, o_orderstatus string").json(path)
 
 
+@register("SELECT DISTINCT coalesce(lang, 'none') AS lang, 'png' AS kind FROM documents")
+def s2_list_images(spark, d):
+    """A folder of image-named and other files of every document, by language; only the images are listed."""
+    path = new_path(spark, "images")
+    docs = table(spark, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("folder"), F.md5("text").alias("line"))
+    docs.write.partitionBy("folder").option("extension", "png").csv(path)
+    docs.write.mode("append").partitionBy("folder").text(path)
+    listed = files.list_images(spark, path)
+    return listed.select(F.regexp_extract("path", "folder=([^/]+)/", 1).alias("lang"), F.regexp_extract("name", "([^.]+)$", 1).alias("kind")).distinct()
+
+
 @register(f"WITH {LOGS} SELECT 'run' || run AS file, round(arg_max(loss, epoch) FILTER (improved), 3) AS best FROM b GROUP BY run")
 def s9_read_logs(spark, d):
     """Logs written as a text file per run, read back in line order and parsed."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageweave.functions.vocab import characters
-from pageweave.operators import boxes, crawl, detect, geometry, layout, links, waves
+from pageweave.operators import boxes, crawl, detect, geometry, layout, links, training, waves
 from pageweave.plans import registry
 from pageweave.plans.common import table, words
 from pageweave.sources import files
@@ -112,8 +112,16 @@ def test_stream_handles_each_file_once(spark, sf, tmp_path):
     assert status.count() == 3 and {r["status"] for r in status.collect()} == {"annotated"}
 
 
+def test_parent_local(spark):
+    rows = [(1, 0, 10, 20, 522, 276), (1, 1, 522, 20, 1034, 532), (None, 0, 0, 0, 5, 5)]
+    got = training.parent_local(spark.createDataFrame(rows, "p int, k int, x1 int, y1 int, x2 int, y2 int"), ["p"]).collect()
+    assert sorted((r["k"], r["x1"], r["y1"], r["x2"], r["y2"]) for r in got) == [(0, 0, 256, 512, 512), (1, 512, 256, 1024, 768)]
+
+
 def test_vocabulary_and_layout(spark):
-    assert characters()[33] == "A"
+    chars = characters()
+    assert len(chars) == len(set(chars)) == 455 and all(len(c) == 1 for c in chars)
+    assert chars[33] == "A" and chars[95] == "\xa0" and chars[369] == "∀" and chars[-1] == "″"
     rows = layout.layout_words(spark.createDataFrame([(1, "ab  c\n\nd"), (2, None), (3, "")], "doc_id long, text string")).collect()
     assert [(r["doc_id"], r["li"], r["wi"], r["text"], r["x1"]) for r in rows] == [(1, 0, 0, "ab", 40), (1, 0, 1, "c", 88), (1, 2, 0, "d", 40)]
     assert geometry.SIDE == 1024
