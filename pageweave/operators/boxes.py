@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageweave.functions.scratch import saved
 from pageweave.operators.graph import connected_components
 
 _BOX = ("x1", "y1", "x2", "y2")
@@ -189,6 +190,38 @@ def sequence_search(boxes: DataFrame, group: str, word: str, reach: int = 64) ->
     return chains.drop("last")
 
 
+def _representatives(rows: DataFrame, place: list[str], least: float) -> DataFrame:
+    """Per place, the box of the highest overlap score of each component; ties to the larger box, then id."""
+    key = F.concat_ws("/", *place)
+    rows = rows.withColumns({"__at": key, "__id": F.col("id")}).withColumn("id", F.concat_ws("/", key, "id"))
+    rows = saved(box_components(rows, "__at", least), "letters")
+    scored = rows.join(overlap_score(rows, "component").select("id", "score"), "id")
+    best = scored.groupBy(*place, "component").agg(F.max(F.struct("score", *_BOX, "__id")).alias("b"))
+    return best.select(*place, F.col("b.__id").alias("id"), *[F.col("b." + c).alias(c) for c in _BOX])
+
+
+def merged_sequence_search(boxes: DataFrame, group: str, word: str, reach: int = 64, least: float = 0.9) -> DataFrame:
+    """``sequence_search`` that reduces the boxes found at each letter to one box per component before the next.
+
+    Components are those of the boxes within one window (``box_components``), and each gives its best box. A word of one
+    letter has chains of one box. Rows with a null ``group`` go; an empty word has no chains.
+    """
+    found = [boxes.filter(F.col(group).isNotNull() & (F.col("label") == c)).select(group, "id", *_BOX).distinct() for c in word]
+    if not found:
+        return boxes.select(group, F.array("id").alias("chain")).filter(F.lit(False))
+    best = saved(_representatives(found[0], [group], least), "letters")
+    chains = best.select(group, F.array("id").alias("chain"), F.col("id").alias("last"))
+    for right in found[1:]:
+        windows = best.select(group, "id", *_BOX).distinct()
+        windows = windows.withColumns({"y1": F.col("y1") - reach, "x2": F.col("x2") + reach, "y2": F.col("y2") + reach})
+        inside = contains_join(windows, right, group)
+        inside = inside.select(group, F.col("a_id").alias("last"), F.col("b_id").alias("id"), *[F.col("b_" + c).alias(c) for c in _BOX])
+        best = saved(_representatives(inside, [group, "last"], least), "letters")
+        steps = best.select(group, "last", F.col("id").alias("next"))
+        chains = chains.join(steps, [group, "last"]).select(group, F.concat("chain", F.array("next")).alias("chain"), F.col("next").alias("last"))
+    return chains.drop("last")
+
+
 def greedy_same_label(cands: DataFrame, group: str) -> DataFrame:
     """Candidates by rising distance (ties: upper, then left, then id); one that overlaps an accepted one of its label goes.
 

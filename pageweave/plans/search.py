@@ -57,6 +57,18 @@ def b13_sequence_search(spark, d):
     return found.select("doc_id", *[F.col("chain")[k].alias(n) for k, n in enumerate(("first", "second", "third"))])
 
 
+@register(f"""WITH {WORDS}, f AS (SELECT doc_id, (2 * (1000 * (5 * pi + li) + wi) + 1)::BIGINT AS id, lower(text[1]) AS label, x1, y1, x2, y2 FROM words WHERE lower(text[1]) IN ('s', 't', 'a'))
+ SELECT a.doc_id, a.id AS first, b.id AS second, c.id AS third FROM f a
+ JOIN f b ON a.doc_id = b.doc_id AND b.label = 't' AND b.x1 >= a.x1 AND b.y1 >= a.y1 - 64 AND b.x2 <= a.x2 + 64 AND b.y2 <= a.y2 + 64
+ JOIN f c ON b.doc_id = c.doc_id AND c.label = 'a' AND c.x1 >= b.x1 AND c.y1 >= b.y1 - 64 AND c.x2 <= b.x2 + 64 AND c.y2 <= b.y2 + 64 WHERE a.label = 's'""")
+def b13_merged_sequence_search(spark, d):
+    """Each word with a copy one step to the right: a component of two, whose larger box is the copy."""
+    rows = _named(spark, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.withColumns({"id": 2 * F.col("id") + F.col("copy"), "x1": F.col("x1") + F.col("copy"), "x2": F.col("x2") + F.col("copy")})
+    found = boxes.merged_sequence_search(rows, "doc_id", "sta")
+    return found.select("doc_id", *[F.col("chain")[k].alias(n) for k, n in enumerate(("first", "second", "third"))])
+
+
 def _cands(spark, d):
     """Words and their moved copies, each also half a line lower, labelled by a prefix of the word."""
     w = words(spark, d).withColumn("k", (1000 * (5 * F.col("pi") + F.col("li")) + F.col("wi")).cast("bigint"))

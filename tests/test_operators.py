@@ -187,6 +187,38 @@ def test_sequence_search(spark):
     assert boxes.sequence_search(df, "doc_id", "a").count() == 0
 
 
+def test_merged_sequence_search(spark):
+    rows = _boxes(60, 5, ["a", "b"])
+    rows += [(r[0], 1000 + r[1], r[2], r[3], r[4] + 1, *r[5:]) for r in rows]
+
+    def shared(a, b):
+        return max(0, min(a[6], b[6]) - max(a[4], b[4])) * max(0, min(a[7], b[7]) - max(a[5], b[5]))
+
+    def best(some):
+        """One box per component of ``some``."""
+        area, left, out = lambda r: (r[6] - r[4]) * (r[7] - r[5]), list(some), []
+        while left:
+            part = [left.pop()]
+            for r in part:
+                near = [x for x in left if area(r) and area(x) and shared(r, x) >= 0.9 * min(area(r), area(x))]
+                part += near
+                left = [x for x in left if x not in near]
+            out.append(max(part, key=lambda r: (sum(2 * shared(r, x) for x in part), *r[4:8], r[1])))
+        return out
+
+    def chains(last, word):
+        if not word:
+            return [[]]
+        some = [r for r in rows if r[2] == word[0] and r[0] == last[0] and (len(last) == 1 or (r[4] >= last[4] and r[5] >= last[5] - 64 and r[6] <= last[6] + 64 and r[7] <= last[7] + 64))]
+        return [[b[1], *rest] for b in best(some) for rest in chains(b, word[1:])]
+
+    df = spark.createDataFrame(rows, BOXES)
+    for word in ("ab", "a"):
+        want = sorted(c for g in {r[0] for r in rows} for c in chains((g,), word))
+        assert want and sorted(list(r["chain"]) for r in boxes.merged_sequence_search(df, "doc_id", word).collect()) == want
+    assert boxes.merged_sequence_search(df, "doc_id", "").count() == 0
+
+
 def test_changed_files(spark):
     before = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, hash string")
     now = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4"), ("d", None)], "path string, hash string")
