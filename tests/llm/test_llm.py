@@ -81,6 +81,25 @@ def test_blocks_split_as_the_pattern_does(texts):
         assert [i for w in parts for i in whole._encode_single_piece(w)] == whole.encode_ordinary(t)
 
 
+def test_bpe_blocks_of_any_size(spark, tik):
+    """Blocks cut within a batch, and blocks over several batches, give the same ids."""
+    import public_tokenizers as P
+
+    texts = [t or "" for t in ODD * 3]
+    path = P.path("byte_bpe_50k.tiktoken")
+    for chars in (1, 40, 1 << 20):
+        rows = bpe.encode(frame(spark, texts), path, P.PATTERN, block_chars=chars).collect()
+        assert {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in rows} == {k: tik.encode_ordinary(t) for k, t in enumerate(texts)}
+
+
+def test_decode_refuses_unknown_ids(spark):
+    import public_tokenizers as P
+
+    wrong = spark.createDataFrame([(1, bytearray(np.array([60_000], "<u4").tobytes()))], "doc_id long, ids binary")
+    with pytest.raises(Exception):
+        bpe.decode(wrong, P.path("byte_bpe_50k.tiktoken")).collect()
+
+
 def test_bpe_empty_table_and_null_id(spark):
     assert bpe_rows(spark, frame(spark, [])) == []
     rows = bpe_rows(spark, spark.createDataFrame([(None, "hi there"), (None, None), (4, "hi there"), (4, "hi there")], "doc_id long, text string"))
