@@ -22,6 +22,9 @@ NAVIGATION = re.compile(
 BOILERPLATE = re.compile(
     r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept cookies|lorem ipsum|javascript"
 )
+#: A longer line fails by these two only if what matches holds this share of its word characters.
+SHORT_LINE = 30
+MATCHED = 0.5
 #: Largest share of a document's word characters that failed lines may hold.
 MOST_LOST = 0.5
 MOST_SYMBOLS = 0.2
@@ -31,7 +34,8 @@ def line_fails(line: str) -> bool:
     """Punctuation, navigation and boilerplate rules of one line; a line without a word never fails.
 
     Punctuation: more than a fifth of its word characters are symbols, or most words end in such marks or in two
-    exclamation marks.
+    exclamation marks. Navigation and boilerplate: a line of at most SHORT_LINE words that matches, a longer one if the
+    matches hold at least the share MATCHED of its word characters, so that prose may name such a phrase.
     """
     words = line.encode("utf-8", "surrogatepass").split()
     if not words:
@@ -42,7 +46,14 @@ def line_fails(line: str) -> bool:
     if 2 * sum(w.endswith(b"!!") or w[-1:] in b"#*$%&|<>" for w in words) > len(words):
         return True
     low = line.lower()
-    return bool(NAVIGATION.search(low.strip()) or BOILERPLATE.search(low))
+    if len(words) <= SHORT_LINE:
+        return bool(NAVIGATION.search(low.strip()) or BOILERPLATE.search(low))
+    matched = sum(
+        len(m[0]) - sum(m[0].count(c) for c in SPACES)
+        for rule, x in ((NAVIGATION, low.strip()), (BOILERPLATE, low))
+        for m in rule.finditer(x)
+    )
+    return matched > 0 and matched >= MATCHED * chars
 
 
 def measure(text: str | None) -> tuple:
