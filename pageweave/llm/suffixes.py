@@ -169,7 +169,8 @@ class _Run:
     """Suffixes of one key, in order. Each passage of MIN_WORDS that holds the key is looked up by its words.
 
     A passage takes ``o`` words before the key's place and the rest after; the first suffix that holds it is the
-    partner of all later ones. Neighbours with equal context share their partner without a look-up.
+    partner of all later ones. Neighbours with equal context share their partner without a look-up. ``seen`` holds a
+    suffix with the words before and after the key that its own side was reported with.
     """
 
     def __init__(self):
@@ -178,30 +179,39 @@ class _Run:
 
     def add(self, row) -> tuple[list, bool]:
         """Matches of ``row`` and whether an earlier suffix has any of its passages."""
-        left, right = row[4], row[5]
+        left, right, out = row[4], row[5], []
         if self.last is not None and self.last[4] == left and self.last[5] == right:
             partners = self.partners or [self.own]
         else:
-            me = [row, 0]
+            me = [row, 0, 0]
             least = most = None
+            between = {}
             seen = self.seen
             for o in range(max(0, WINDOW - 1 - len(right) // 2), min(WINDOW, len(left) // 2 + 1)):
                 other = seen.setdefault(hash((o, left[: 2 * o], right[: 2 * (WINDOW - 1 - o)])), me)
                 if other is not me:
                     least, most = least or other, other
+                    between[id(other)] = other
             # the passages of these two cover all that any partner shares, since all of them hold the key
             partners = [] if least is None else [least] if least is most else [least, most]
             self.own = me
-        out = []
+            # the others hold a passage first, so their own side counts
+            for p in between.values():
+                if p is not least and p is not most:
+                    self._report(p, row, out)
         for p in partners:
-            m = _match(row, p[0], False)
-            out.append(m)
-            if m[2] > p[1]:
-                p[1] = m[2]
-                out.append(_match(p[0], row, True))
+            out.append(_match(row, p[0], False))
+            self._report(p, row, out)
         self.last, self.partners = row, partners
         return out, bool(partners)
 
+    def _report(self, p, row, out) -> None:
+        """``p``'s own side of its match with ``row``, unless the sides reported before cover it: all hold the key."""
+        back, on = _common(p[0][4], row[4]), _common(p[0][5], row[5])
+        if back + KEY_WORDS + on >= MIN_WORDS and (back > p[1] or on > p[2]):
+            p[1], p[2] = max(p[1], back), max(p[2], on)
+            out.append(_match(p[0], row, True))
+
 
 def _match(a, b, first):
     """Of suffix ``a`` with ``b``: both extended left and right as far as their words agree."""
