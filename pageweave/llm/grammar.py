@@ -147,7 +147,7 @@ class GrammarFile:
 
 
 def write_ids(
-    docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, base: int = 49408, ids_a_file: int = 1 << 21
+    docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, base: int = 49408, ids_a_file: int = 1 << 21, added: bool = False
 ) -> str:
     """Write the ids of all documents in ascending ``doc_id`` order; a Parquet table with a file in each row.
 
@@ -163,7 +163,7 @@ def write_ids(
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode, end = encoder(tokenizer_path).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path, added).encode, np.array([end_id], "<u4").tobytes()
         held, size, block, start = [], 0, 0, 0
 
         def flush():
@@ -231,10 +231,10 @@ def read_ids(spark, path: str) -> DataFrame:
     return files.select("shard", "start", "data").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
-def stored_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def stored_ids(docs: DataFrame, tokenizer_path: str, added: bool = False) -> DataFrame:
     """Write and read back; ``doc_id, start, n_tokens, ids``."""
     spark = docs.sparkSession
-    return read_ids(spark, write_ids(docs, new_path(spark, "ids"), tokenizer_path))
+    return read_ids(spark, write_ids(docs, new_path(spark, "ids"), tokenizer_path, added=added))
 
 
 def id_checksums(read: DataFrame) -> DataFrame:

@@ -15,13 +15,16 @@ from pageweave.llm.word_bpe import encoder
 SIZE = 4096
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = SIZE, keep_ids: bool = False) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``): each document's ids and end id, cut at ``size``."""
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = SIZE, keep_ids: bool = False, added: bool = False) -> DataFrame:
+    """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``): each document's ids and end id, cut at ``size``.
+
+    With ``added``, the strings of the file's added tokens in a text are those tokens.
+    """
     small_arrow_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path, added).encode
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
@@ -110,14 +113,14 @@ def ranked(cut: DataFrame, per_task: int = 50_000) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = SIZE, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = SIZE, keep_ids: bool = False, added: bool = False) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``: every id of every document in exactly one piece.
 
     Documents of more than ``size`` ids are cut at multiples of it; others stay whole. Null and empty texts have their
     end id alone. Repeated rows are packed each; equal lengths go by document and place; other columns are ignored;
     an empty table gives no piece. The driver sees the histogram: at most ``size`` counts.
     """
-    cut = saved(pieces(docs, tokenizer_path, end_id, size, keep_ids), "pieces")
+    cut = saved(pieces(docs, tokenizer_path, end_id, size, keep_ids, added), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = cut.sparkSession.sparkContext.broadcast(slots(patterns(histogram, size)))  # its size depends on `size`
     order = ranked(cut)

@@ -58,7 +58,7 @@ def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    return packing.pack(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), added=True)
 
 
 def op9_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op9_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grammar.id_checksums(grammar.stored_ids(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json")))
+    return grammar.id_checksums(grammar.stored_ids(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), added=True))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

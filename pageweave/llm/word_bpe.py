@@ -21,7 +21,7 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
+    out.encode_special_tokens = True  # the strings of added tokens are parted off before, where they count
     return out
 
 
@@ -30,12 +30,17 @@ class WordEncoder:
 
     White space is dropped by the file's pre-tokeniser and nothing is merged or normalised across it, so the ids
     of a text are those of its chunks between white space. ``most`` bounds what is remembered, never the result.
+    With ``added``, the strings of the file's added tokens are those tokens, as is the library's default; they are
+    looked for in the text as it stands, before it is normalised. Without, they are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 900_000, added: bool = False):
         self.tokenizer, self.known, self.most = _tokenizer(path), {}, most
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        marks = {t.content: array("I", [k]).tobytes() for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = marks if added else {}
+        self.part = re.compile("(" + "|".join(map(re.escape, sorted(marks, key=len, reverse=True))) + ")")
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -80,6 +85,24 @@ class WordEncoder:
         known.update((c, known[c[:-1]] + known[c[-1]]) for c in ended)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        holds = [k for k, t in enumerate(texts) if t and any(m in t for m in self.added)]
+        if not holds:
+            return self._plain(texts)
+        parted = {k: self.part.split(texts[k]) for k in holds}  # stretches and, at odd places, added tokens
+        rest = [None if k in parted else t for k, t in enumerate(texts)]
+        between = [x for k in holds for x in parted[k][::2]]
+        got = self._plain([*rest, *between])
+        out, at = got[: len(texts)], len(texts)
+        for k in holds:
+            marks = parted[k][1::2]
+            ids = [got[at]]
+            for j, m in enumerate(marks, 1):
+                ids += [self.added[m], got[at + j]]
+            out[k] = b"".join(ids)
+            at += len(marks) + 1
+        return out
+
+    def _plain(self, texts: list[str | None]) -> list[bytes]:
         texts = [t.lower() if t and t.isascii() else t for t in texts]  # as the file does; fewer chunks to learn
         split = [
             [] if not t else t.split() if not _ODD.search(t) else [c for c in _CHUNKS.split(t) if c] for t in texts
@@ -98,6 +121,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, added: bool = False) -> WordEncoder:
     """One per worker process: what it has learned serves the worker's next tasks too."""
-    return WordEncoder(path)
+    return WordEncoder(path, added=added)
