@@ -11,48 +11,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageweave.functions.scratch import new_path, small_arrow_batches
-from pageweave.llm.word_bpe import encoder
+from pageweave.llm.word_bpe import closed, encoder
 
 MAGIC = b"RPG1"
 SYMBOLS = 1 << 16
+SLOT_BITS = 20
+#: Ids that a reader holds expanded at once, or one document's if it has more.
+IDS_AT_ONCE = 1 << 20
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 3, a_round: int = 5400, least: int = 6):
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 6):
     """``(left, right, symbols, symbol ends)``: rules ``base + k -> left[k] right[k]`` and what the ids became.
 
-    Each round counts the pairs of neighbours inside documents and replaces the most frequent ones by new symbols;
-    of pairs that overlap in a run, every second one is replaced. It ends where no pair is frequent or all 16-bit
-    symbols are given away. A pair is 32 bits; a table by hash tells quickly which places cannot hold a chosen one.
+    Re-Pair by falling frequency: the pairs of neighbours inside documents that stand at least half as often as the
+    most frequent one get new symbols, together; then the pairs are counted again. Of pairs that overlap, the left one
+    is replaced; a pair that would be replaced fewer than ``least`` times gets no symbol. It ends where no pair is
+    left that can be replaced ``least`` times, or where all 16-bit symbols are given away.
     """
     x = ids.astype(np.uint16)
     last = np.zeros(len(x), bool)
     last[ends - 1] = True
     left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for _ in range(rounds):
-        spare = min(a_round, SYMBOLS - base - len(left))
-        if spare <= 0 or len(x) < 2:
-            break
+    often = None
+    while len(x) > 1 and (spare := SYMBOLS - base - len(left)) > 0:
         pair = x[:-1].astype(np.uint32) << 16 | x[1:]
-        ordered = np.sort(pair[~last[:-1]])
-        if not len(ordered):
-            break
-        cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        counts = np.diff(np.append(cut, len(ordered)))
-        pick = np.flatnonzero(counts >= least)
-        if len(pick) > spare:
-            pick = pick[np.argsort(-counts[pick], kind="stable")[:spare]]
-        if not len(pick):
+        slot = _slot(pair)
+        inside = ~last[:-1]
+        full = np.bincount(slot[inside], minlength=1 << SLOT_BITS)  # no pair is more frequent than its slot
+        top = int(full.max())
+        often = min(often or top, top)
+        at = np.zeros(0, np.int64)
+        while often >= least and not len(at):
+            often = max(least, often // 2) if often > least else least
+            open_places = np.flatnonzero((full >= often)[slot] & inside)
+            at, where, chosen = _replaceable(pair[open_places], open_places, often, spare, least)
+            if not len(at) and often == least:
+                often = 0
+        if not len(at):
             break
-        chosen = np.sort(ordered[cut[pick]])
-        may = np.zeros(1 << 18, bool)
-        may[_slot(chosen)] = True
-        at = np.flatnonzero(may[_slot(pair)] & ~last[:-1])
-        where = np.searchsorted(chosen, pair[at])
-        hit = chosen[np.minimum(where, len(chosen) - 1)] == pair[at]
-        at, where = at[hit], where[hit]
-        run = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 1
-        at, where = at[~odd], where[~odd]
         x[at] = base + len(left) + where
         last[at] = last[at + 1]
         keep = np.ones(len(x), bool)
@@ -62,18 +58,33 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 3, a_ro
     return left.astype(np.int64), right.astype(np.int64), x, np.flatnonzero(last) + 1
 
 
-def _slot(pair: np.ndarray) -> np.ndarray:
-    return (pair * np.uint32(0x9E3779B1)) >> np.uint32(14)
+def _replaceable(pair: np.ndarray, places: np.ndarray, often: int, spare: int, least: int):
+    """Places to replace, which pair stands at each, and the pairs: the most frequent ones of ``often`` or more."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    ordered = np.sort(pair)
+    cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else none[0]
+    counts = np.diff(np.append(cut, len(ordered)))
+    pick = np.flatnonzero(counts >= often)
+    if not len(pick):
+        return none
+    pick = pick[np.argsort(-counts[pick], kind="stable")[:spare]]
+    for some in (pick, pick[:1]):  # where the pairs take each other's places, the most frequent one goes alone
+        chosen = np.sort(ordered[cut[some]])
+        where = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
+        hit = chosen[where] == pair
+        at, where = places[hit], where[hit]
+        run = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        even = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
+        at, where = at[even], where[even]
+        enough = np.bincount(where, minlength=len(chosen)) >= least
+        if enough.any():
+            good = enough[where]
+            return at[good], (np.cumsum(enough) - 1)[where[good]], chosen[enough]
+    return none
 
 
-def expansions(left: np.ndarray, right: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids of all symbols and where each one's begin (one more place than symbols)."""
-    parts: list[tuple] = []
-    for a, b in zip(left.tolist(), right.tolist()):
-        parts.append(((a,) if a < base else parts[a - base]) + ((b,) if b < base else parts[b - base]))
-    sizes = np.concatenate([np.ones(base, np.int64), np.array([len(p) for p in parts], np.int64)])
-    flat = np.fromiter((x for p in parts for x in p), np.int64)
-    return np.concatenate([np.arange(base), flat]), np.concatenate([[0], np.cumsum(sizes)])
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
 
 
 def expansion_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
@@ -126,28 +137,48 @@ class GrammarFile:
         self.null, self.doc_ids = take(np.uint8, self.n_docs), take("<i8", self.n_docs)
         self.first_symbol, self.first_id = take("<u4", self.n_docs + 1), take("<u4", self.n_docs + 1)
         self.symbols = take("<u2", n_symbols)
-        self.flat, self.starts = expansions(left, right, self.base)
-        self.sizes = np.diff(self.starts)
+        self.left, self.right = left.astype(np.int64), right.astype(np.int64)
+        self.sizes = np.concatenate([np.ones(self.base, np.int64), self.lengths.astype(np.int64)])
+
+    def documents(self, first: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the documents ``first`` to ``stop``, one after the other, and the bounds of each there."""
+        ids = self._expand(self.symbols[self.first_symbol[first] : self.first_symbol[stop]])
+        return ids, self.first_id[first : stop + 1].astype(np.int64) - int(self.first_id[first])
 
     def document(self, k: int) -> np.ndarray:
-        return self._expand(self.symbols[self.first_symbol[k] : self.first_symbol[k + 1]])
+        return self.documents(k, k + 1)[0]
 
     def stretch(self, k: int, start: int, stop: int) -> np.ndarray:
-        """Ids ``start`` to ``stop`` of a document; only the symbols that cover them are expanded."""
+        """Ids ``start`` to ``stop`` of a document; by the stored lengths only what covers them is expanded."""
         s = self.symbols[self.first_symbol[k] : self.first_symbol[k + 1]]
+        stop = max(start, stop)
         ends = np.cumsum(self.sizes[s])
         i, j = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-        skip = int(ends[i - 1]) if i else 0
-        return self._expand(s[i:j])[start - skip : max(start, stop) - skip]
+        skip = start - (int(ends[i - 1]) if i else 0)
+        return self._expand(s[i:j], skip, stop - start) if stop > start else s[:0].astype("<u4")
 
-    def _expand(self, s: np.ndarray) -> np.ndarray:
+    def _expand(self, s: np.ndarray, skip: int = 0, take: int | None = None) -> np.ndarray:
+        """Ids of a run of symbols, or ``take`` of them after ``skip``.
+
+        A rule's lengths tell where its two sides go, so that sides beyond the stretch are left as they are.
+        """
+        s = s.astype(np.int64)
         n = self.sizes[s]
-        where = np.repeat(self.starts[s] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return self.flat[where].astype("<u4")
+        place = np.cumsum(n) - n - skip
+        out = np.empty(int(n.sum()) if take is None else min(take, int(n.sum()) - skip), "<u4")
+        while len(s):
+            inside = (place < len(out)) & (place + self.sizes[s] > 0)
+            s, place = s[inside], place[inside]
+            leaf = s < self.base
+            out[place[leaf]] = s[leaf]
+            rule, place = s[~leaf] - self.base, place[~leaf]
+            one, two = self.left[rule], self.right[rule]
+            s, place = np.concatenate([one, two]), np.concatenate([place, place + self.sizes[one]])
+        return out
 
 
 def write_ids(
-    docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, base: int = 49408, ids_a_file: int = 1 << 21, added: bool = False
+    docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, base: int = 49408, ids_a_file: int = 1 << 21
 ) -> str:
     """Write the ids of all documents in ascending ``doc_id`` order; a Parquet table with a file in each row.
 
@@ -156,14 +187,14 @@ def write_ids(
     comes first; rows of one ``doc_id`` go by text; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    small_arrow_batches(spark, rows=2500)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode, end = encoder(tokenizer_path, added).encode, np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer_path).flat
         held, size, block, start = [], 0, 0, 0
 
         def flush():
@@ -179,9 +210,10 @@ def write_ids(
             )
 
         for b in batches:
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), encode(b["text"].to_pylist())):
-                held.append((doc_id, ids + end))
-                size += len(ids) // 4 + 1
+            ids, bounds = closed(*encode(b["text"]), end_id)
+            for doc_id, i, j in zip(b["doc_id"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                held.append((doc_id, ids[i:j].tobytes()))
+                size += j - i
                 if size >= ids_a_file:
                     yield flush()
                     held, block, start, size = [], block + 1, start + size, 0
@@ -216,25 +248,28 @@ def read_ids(spark, path: str) -> DataFrame:
             for shard, start, data in zip(*(b[c].to_pylist() for c in ("shard", "start", "data"))):
                 f = GrammarFile(data)
                 first = shared.value[shard] + start
-                for k in range(0, f.n_docs, 500):
-                    some = range(k, min(k + 500, f.n_docs))
-                    ids = [f.document(j) for j in some]
+                k = 0
+                while k < f.n_docs:
+                    stop = int(np.searchsorted(f.first_id, int(f.first_id[k]) + IDS_AT_ONCE, "right")) - 1
+                    stop = min(max(stop, k + 1), k + 500, f.n_docs)
+                    ids, bounds = f.documents(k, stop)
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "doc_id": pa.array([None if f.null[j] else int(f.doc_ids[j]) for j in some], pa.int64()),
-                            "start": pa.array([first + int(f.first_id[j]) for j in some], pa.int64()),
-                            "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                            "ids": pa.array([x.tobytes() for x in ids], pa.binary()),
+                            "doc_id": pa.array(f.doc_ids[k:stop], pa.int64(), mask=f.null[k:stop].astype(bool)),
+                            "start": pa.array(first + f.first_id[k:stop].astype(np.int64)),
+                            "n_tokens": pa.array(np.diff(bounds)),
+                            "ids": pa.array([ids[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()),
                         }
                     )
+                    k = stop
 
     return files.select("shard", "start", "data").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
-def stored_ids(docs: DataFrame, tokenizer_path: str, added: bool = False) -> DataFrame:
+def stored_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write and read back; ``doc_id, start, n_tokens, ids``."""
     spark = docs.sparkSession
-    return read_ids(spark, write_ids(docs, new_path(spark, "ids"), tokenizer_path, added=added))
+    return read_ids(spark, write_ids(docs, new_path(spark, "ids"), tokenizer_path))
 
 
 def id_checksums(read: DataFrame) -> DataFrame:

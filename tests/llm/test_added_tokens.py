@@ -22,7 +22,7 @@ def want():
 
 
 def test_added_tokens_are_found_in_texts(want):
-    got = WordEncoder(q.tokenizer_file("word_bpe_49k.json"), added=True).encode(TEXTS)
+    got = WordEncoder(q.tokenizer_file("word_bpe_49k.json")).encode(TEXTS)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
     assert want[0] == [637, 49407, 1237]
 
