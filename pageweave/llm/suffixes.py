@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,30 +16,31 @@ from pageweave.functions.scratch import saved, small_arrow_batches
 
 MIN_WORDS = 50
 WINDOW = 24
-#: Suffixes that share a passage of MIN_WORDS share this many words from some retained place on.
+#: Suffixes that share a passage of MIN_WORDS share this many words from the retained place on.
 KEY_WORDS = MIN_WORDS - WINDOW + 1
 GRAM = 8
 #: Bits of the table of repeated keys that every task gets: 8 MB, whatever the input.
 TABLE_BITS = 1 << 26
+#: Least number of suffixes of a key that are dealt over several tasks.
+MANY = 1000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_PLACE_BITS = np.uint64(24)
+#: Words that are hashed together at once.
+_AT_ONCE = 1 << 21
 
 
-class Hashes:
-    """64-bit hash of each white-space word."""
-
-    def __init__(self, most: int = 400_000):
-        self.known, self.most = {}, most
-
-    def of(self, raw: bytes) -> np.ndarray:
-        ws = raw.split()
-        known = self.known
-        if len(known) > self.most:
-            known = self.known = {}
-        try:
-            return np.array([known[w] for w in ws], np.uint64)
-        except KeyError:
-            known.update((w, xxhash.xxh64_intdigest(w, 11)) for w in set(ws).difference(known))
-            return np.array([known[w] for w in ws], np.uint64)
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every white-space word of the texts (null: none), and the bounds of each text."""
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
+    coded = split.flatten().dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, names, repeat(11)), np.uint64, len(names))
+    within, bounds = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+    if len(blank := np.flatnonzero(names == "")):  # a text without a word is one empty string
+        real = within != blank[0]
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        within = within[real]
+    return each[within], bounds
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,256 +68,266 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
             size *= 2
 
 
-def retained(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places that are the least gram of some window, and the hash of KEY_WORDS words from there on.
+def retained(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``place, key, first window, number of windows`` of each retained suffix, and the hashes of all its windows.
 
-    Any MIN_WORDS words hold WINDOW consecutive places from each of which KEY_WORDS words follow within them; the least
-    of those places is retained wherever the same words stand.
+    A window is MIN_WORDS consecutive words of a text. It holds WINDOW places from each of which KEY_WORDS words follow
+    inside it; the suffix at the one with the least gram is retained, wherever these words stand, and the window
+    counts as that suffix's: so many words to the left of its place and so many to the right of its key.
     """
-    if len(h) < MIN_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    keys = _grams(h, KEY_WORDS)
-    g = _grams(h, GRAM)[: len(keys)]
-    # the place stands in the low bits, so that the least tells its place and equal grams go by place
-    bits = np.uint64(max(20, len(g).bit_length()))
-    low, size = (g >> bits << bits) | np.arange(len(g), dtype=np.uint64), 1
-    while size < WINDOW:
-        step = min(size, WINDOW - size)
-        low = np.minimum(low[:-step], low[step:])
-        size += step
-    at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
-    return at, keys[at]
+    parts = []
+    for k in range(0, len(h) - MIN_WORDS + 1, _AT_ONCE):
+        some = h[k : k + _AT_ONCE + MIN_WORDS - 1]
+        windows, low = _grams(some, MIN_WORDS), _grams(some, GRAM)
+        # the place stands in the low bits, so that the least tells its place and equal grams go by place
+        low = (low >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(low), dtype=np.uint64)
+        size = 1
+        while size < WINDOW:
+            step = min(size, WINDOW - size)
+            low = np.minimum(low[:-step], low[step:])
+            size += step
+        at = (low[: len(windows)] & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+        parts.append((at + k, _grams(some, KEY_WORDS)[at], windows))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return none, none.astype(np.uint64), none, none, none.astype(np.uint64)
+    at, key, windows = (np.concatenate(x) for x in zip(*parts))
+    inside = np.zeros(len(windows) + 1, np.int64)
+    long = np.diff(bounds) >= MIN_WORDS
+    np.add.at(inside, bounds[:-1][long], 1)
+    np.add.at(inside, bounds[1:][long] - MIN_WORDS + 1, -1)
+    start = np.flatnonzero(np.cumsum(inside)[:-1])
+    at, key, windows = at[start], key[start], windows[start]
+    new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(start, prepend=-1) != 1))
+    return at[new], key[new], start[new], np.diff(np.append(new, len(start))), windows
+
+
+def _binaries(numbers: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Stretches of 64-bit numbers as binaries."""
+    ends = pa.py_buffer(np.concatenate([[0], 8 * np.cumsum(sizes)]).astype(np.int64).tobytes())
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, ends, pa.py_buffer(numbers.tobytes())]).cast(pa.binary())
 
 
 def suffixes(docs: DataFrame, repeated=None) -> DataFrame:
-    """``(doc_id, text)`` -> ``(key, doc_id, at, n_words, left, right)`` of retained suffixes.
+    """``(doc_id, text)`` -> ``(key, ways, doc_id, version, at, start, windows)`` of retained suffixes.
 
-    ``left`` and ``right`` are 16-bit hashes of WINDOW words before the place (nearest first) and after the key. With
-    ``repeated``, a broadcast bit table, only suffixes whose key may be repeated; without, ``key`` alone.
+    ``at`` is the suffix's place, ``windows`` the 64-bit hashes of the MIN_WORDS words from ``start``, ``start + 1``
+    and so on. With ``repeated``, a broadcast pair of a bit table and of the tasks that hot keys are dealt over, only
+    suffixes whose key may be repeated; without, ``key`` alone.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        hashes = Hashes()
-        bits = None if repeated is None else np.frombuffer(repeated.value, np.uint8)
+        table = None if repeated is None else np.frombuffer(repeated.value[0], np.uint8)
         for b in batches:
-            keys, ids, ats, sizes, lefts, rights = [], [], [], [], [], []
-            for doc_id, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                h = hashes.of((t or "").encode("utf-8", "surrogatepass"))
-                at, key = retained(h)
-                if bits is not None and len(at):
-                    slot = (key % np.uint64(TABLE_BITS)).astype(np.int64)
-                    on = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                    at, key = at[on], key[on]
-                if not len(at):
-                    continue
-                keys.append(key)
-                if bits is None:
-                    continue
-                short = (_mix(h) >> np.uint64(48)).astype(np.uint16)
-                for p in at.tolist():
-                    lefts.append(short[max(0, p - WINDOW) : p][::-1].tobytes())
-                    rights.append(short[p + KEY_WORDS : p + KEY_WORDS + WINDOW].tobytes())
-                ids += [doc_id] * len(at)
-                ats.append(at)
-                sizes += [len(h)] * len(at)
-            flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
-            if bits is None:
-                yield pa.RecordBatch.from_arrays([pa.array(flat)], ["key"])
+            h, bounds = word_hashes(b["text"])
+            at, key, start, sizes, windows = retained(h, bounds)
+            if table is None:
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
                 continue
+            slot = (key % np.uint64(TABLE_BITS)).astype(np.int64)
+            on = np.flatnonzero((table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            of = np.searchsorted(bounds, at[on], "right") - 1
+            hot, dealt = repeated.value[1:]
+            flat = key[on].view(np.int64)
+            ways = np.ones(len(on), np.int32)
+            if len(hot):
+                where = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
+                ways = np.where(hot[where] == flat, dealt[where], 1).astype(np.int32)
+            own = pa.array(of)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(flat),
-                    pa.array(ids, b.schema.field("doc_id").type),
-                    pa.array(np.concatenate([np.zeros(0, np.int64), *ats])),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(lefts, pa.binary()),
-                    pa.array(rights, pa.binary()),
+                    pa.array(ways),
+                    b["doc_id"].take(own),
+                    b["version"].take(own),
+                    pa.array(at[on] - bounds[of]),
+                    pa.array(start[on] - bounds[of]),
+                    _binaries(windows, sizes).take(pa.array(on)),
                 ],
-                ["key", "doc_id", "at", "n_words", "left", "right"],
+                ["key", "ways", "doc_id", "version", "at", "start", "windows"],
             )
 
-    schema = "key bigint" if repeated is None else f"key bigint, doc_id {kind}, at bigint, n_words bigint, left binary, right binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    if repeated is None:
+        return rows.mapInArrow(run, "key bigint")
+    return rows.mapInArrow(run, f"key bigint, ways int, doc_id {kind}, version bigint, at bigint, start bigint, windows binary")
+
 
+def _repeated_keys(docs: DataFrame, many: int):
+    """Broadcast: TABLE_BITS bits with the keys found twice or more, by their remainder; hot keys, and their tasks.
 
-def _repeated_keys(docs: DataFrame):
-    """Broadcast table of TABLE_BITS bits: the keys found twice or more, by their remainder."""
+    A key is hot if it has more than an eighth of what a task gets on average (and more than ``many``), so that there
+    are at most eight of them a task.
+    """
     spark = docs.sparkSession
+    counts = saved(suffixes(docs).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
     low = F.col("key").bitwiseAND(F.lit(TABLE_BITS - 1))
     words = (
-        suffixes(docs)
-        .groupBy("key")
-        .count()
-        .filter("count > 1")
-        .select(F.shiftright(low, 5).cast("int").alias("word"), low.bitwiseAND(F.lit(31)).cast("int").alias("bit"))
+        counts.select(F.shiftright(low, 5).cast("int").alias("word"), low.bitwiseAND(F.lit(31)).cast("int").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
         .toArrow()  # at most TABLE_BITS / 32 rows
     )
     table = np.zeros(TABLE_BITS // 32, np.uint32)
     table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return spark.sparkContext.broadcast(table.tobytes())
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(many, total // (8 * _tasks(spark)))
+    hot = counts.filter(F.col("n") > share).orderBy("key").toArrow()  # at most eight a task
+    dealt = -(-hot["n"].to_numpy() // share)
+    return spark.sparkContext.broadcast((table.tobytes(), hot["key"].to_numpy(), dealt))
+
+
+def _tasks(spark) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _common(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b)) // 2
-    if not n or a[: 2 * n] == b[: 2 * n]:
-        return n
-    x = np.frombuffer(a, np.uint16, n) != np.frombuffer(b, np.uint16, n)
-    return int(x.argmax())
+_FOUND = ("doc_id", "version", "start", "n_words", "of_doc_id", "of_start", "first", "window")
 
 
-class _Run:
-    """Suffixes of one key, in order. Each passage of MIN_WORDS that holds the key is looked up by its words.
+def _compared(rows: pa.Table) -> pa.RecordBatch:
+    """What the sorted suffixes of whole keys share, as rows of _FOUND.
 
-    A passage takes ``o`` words before the key's place and the rest after; the first suffix that holds it is the
-    partner of all later ones. Neighbours with equal context share their partner without a look-up. ``seen`` holds a
-    suffix with the words before and after the key that its own side was reported with.
+    Neighbours of one key agree on a window if its hash is the same: then their match extends as far to the left and
+    to the right as that window. A window's first holder is the first in order; stretches of windows that another
+    suffix holds first, and of those that this one holds first and another too, make a row each.
     """
+    sizes = pc.binary_length(rows["windows"]).to_numpy().astype(np.int64) // 8
+    windows = np.frombuffer(b"".join(rows["windows"].to_pylist()), np.uint64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.cumsum(sizes)
+    start = rows["start"].to_numpy()[row] + np.arange(len(row)) - (ends - sizes)[row]
+    entity = _entities(rows)[row]
+    with np.errstate(over="ignore"):
+        here = windows ^ _mix(rows["salt"].to_numpy().astype(np.uint64))[row]  # tasks of a hot key may meet in one
+    order = np.argsort(here, kind="stable")
+    group = np.flatnonzero(np.diff(here[order], prepend=~here[order[:1]]) != 0) if len(order) else order
+    count = np.diff(np.append(group, len(order)))
+    first = np.empty(len(order), np.int64)
+    first[order] = np.repeat(order[group], count)
+    other = (entity != entity[first]) | (start != start[first])
+    shared = np.empty(len(order), bool)
+    shared[order] = np.repeat(np.logical_or.reduceat(other[order], group) if len(group) else other, count)
+    # a row of the same document and place counts as one with the first
+    alone = (first == np.arange(len(order))) & ~other
+    dealt = (rows["ways"].to_numpy() > 1)[row]
+    parts = []
+    for mine, is_first in ((other, False), (alone & shared & ~dealt, True)):
+        k = np.flatnonzero(mine)
+        new = np.flatnonzero((np.diff(k, prepend=-2) != 1) | (np.diff(row[k], prepend=-1) != 0))
+        parts.append((k[new], np.diff(np.append(new, len(k))) + MIN_WORDS - 1, np.full(len(new), is_first), np.zeros(len(new), bool)))
+    late = np.flatnonzero(alone & dealt)
+    parts.append((late, np.full(len(late), MIN_WORDS), shared[late], np.ones(len(late), bool)))
+    k, n, is_first, is_late = (np.concatenate(x) for x in zip(*parts))
+    own, partner = pa.array(row[k]), pa.array(row[first[k]])
+    return pa.RecordBatch.from_arrays(
+        [
+            rows["doc_id"].combine_chunks().take(own),
+            rows["version"].combine_chunks().take(own),
+            pa.array(start[k]),
+            pa.array(n.astype(np.int64)),
+            rows["doc_id"].combine_chunks().take(partner),
+            pa.array(start[first[k]]),
+            pa.array(is_first),
+            pa.array(windows[k].view(np.int64), mask=~is_late),
+        ],
+        list(_FOUND),
+    )
+
+
+def _entities(rows: pa.Table) -> np.ndarray:
+    """A number for each document and version."""
+    ids = rows["doc_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    pair = np.stack([ids.astype(np.int64), rows["version"].to_numpy()], 1)
+    return np.unique(pair, axis=0, return_inverse=True)[1].reshape(-1)
 
-    def __init__(self):
-        self.seen: dict[int, list] = {}
-        self.last = self.partners = self.own = None
-
-    def add(self, row) -> tuple[list, bool]:
-        """Matches of ``row`` and whether an earlier suffix has any of its passages."""
-        left, right, out = row[4], row[5], []
-        if self.last is not None and self.last[4] == left and self.last[5] == right:
-            partners = self.partners or [self.own]
-        else:
-            me = [row, 0, 0]
-            least = most = None
-            between = {}
-            seen = self.seen
-            for o in range(max(0, WINDOW - 1 - len(right) // 2), min(WINDOW, len(left) // 2 + 1)):
-                other = seen.setdefault(hash((o, left[: 2 * o], right[: 2 * (WINDOW - 1 - o)])), me)
-                if other is not me:
-                    least, most = least or other, other
-                    between[id(other)] = other
-            # the passages of these two cover all that any partner shares, since all of them hold the key
-            partners = [] if least is None else [least] if least is most else [least, most]
-            self.own = me
-            # the others hold a passage first, so their own side counts
-            for p in between.values():
-                if p is not least and p is not most:
-                    self._report(p, row, out)
-        for p in partners:
-            out.append(_match(row, p[0], False))
-            self._report(p, row, out)
-        self.last, self.partners = row, partners
-        return out, bool(partners)
-
-    def _report(self, p, row, out) -> None:
-        """``p``'s own side of its match with ``row``, unless the sides reported before cover it: all hold the key."""
-        back, on = _common(p[0][4], row[4]), _common(p[0][5], row[5])
-        if back + KEY_WORDS + on >= MIN_WORDS and (back > p[1] or on > p[2]):
-            p[1], p[2] = max(p[1], back), max(p[2], on)
-            out.append(_match(p[0], row, True))
-
-
-def _match(a, b, first):
-    """Of suffix ``a`` with ``b``: both extended left and right as far as their words agree."""
-    back, on = _common(a[4], b[4]), _common(a[5], b[5])
-    return (a[1], a[2] - back, back + KEY_WORDS + on, b[1], b[2] - back, first, a[3])
-
-
-def matches(docs: DataFrame) -> DataFrame:
-    """Matches of the sorted sparse suffixes: ``doc_id, start, n_words, of_doc_id, of_start, first``.
-
-    Suffixes are sorted by key, document and place over all partitions. Those of a key stand together; each is
-    compared with the first ones that share a passage of MIN_WORDS with it and the match is extended left and right
-    as far as the words agree (at most WINDOW words beyond the key; what reaches further is found from the next
-    retained place). ``first`` marks the partner's side. The sort splits a key of any size over partitions; what a
-    partition leaves unmatched of its first key, and the unmatched of its last, are compared after.
+
+def matches(docs: DataFrame, many: int = MANY) -> DataFrame:
+    """Matches of the sorted sparse suffixes: ``doc_id, version, start, n_words, of_doc_id, of_start, first``.
+
+    Suffixes are dealt by key and sorted by key, document and place; those of a key stand together and are compared
+    with the first ones. ``first`` marks passages that this document holds first. A key of very many suffixes is dealt
+    over tasks by document: each task finds its own first holders, and these are compared by window over the tasks,
+    at most one for each window and task.
     """
     spark = docs.sparkSession
-    small_arrow_batches(spark)
-    kept = saved(suffixes(docs, _repeated_keys(docs)), "suffixes")
-    names = ["key", "doc_id", "at", "n_words", "left", "right"]
-    order = ["key", "doc_id", "at"]
-    fields = (
-        "doc_id {0}, start bigint, n_words bigint, of_doc_id {0}, of_start bigint, first boolean, text_words bigint, "
-        "edge boolean, key bigint, at bigint, `left` binary, `right` binary"
-    ).format(dict(docs.dtypes)["doc_id"])
-    id_type = pa.int64() if dict(docs.dtypes)["doc_id"] == "bigint" else pa.string()
-    kinds = [id_type, pa.int64(), pa.int64(), id_type, pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    cols = ["doc_id", "start", "n_words", "of_doc_id", "of_start", "first", "text_words", "edge", "key", "at", "left", "right"]
-
-    def table(rows):
-        data = list(zip(*rows)) or [()] * len(cols)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(data, kinds)], cols)
+    small_arrow_batches(spark, rows=2500)
+    kind = dict(docs.dtypes)["doc_id"]
+    fields = f"doc_id {kind}, version bigint, start bigint, n_words bigint, of_doc_id {kind}, of_start bigint, first boolean, `window` bigint"
 
     def compare(batches):
-        run, key, n_runs, open_rows = _Run(), None, 0, []
-        edges = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            rows = []
-            for row in zip(*(batch[c].to_pylist() for c in names)):
-                if row[0] != key:
-                    if n_runs == 1:
-                        edges += open_rows
-                    run, key, n_runs, open_rows = _Run(), row[0], n_runs + 1, []
-                found, matched = run.add(row)
-                rows += [(*m, False, None, None, None, None) for m in found]
-                if not matched:
-                    open_rows.append(row)
-            if rows:
-                yield table(rows)
-        for r in edges + open_rows:
-            yield table([(r[1], None, None, None, None, None, r[3], True, r[0], r[2], r[4], r[5])])
-
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = saved(kept.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(compare, fields), "matches")
-    left_over = found.filter("edge").select(
-        "key", "doc_id", "at", F.col("text_words").alias("n_words"), "left", "right"
-    )
-    late = left_over.coalesce(1).sortWithinPartitions(*order).mapInArrow(compare, fields)
-    return (
-        found.filter("not edge")
-        .unionByName(late.filter("not edge"))
-        .select("doc_id", "start", "n_words", "of_doc_id", "of_start", "first", "text_words")
-        .filter(F.col("n_words") >= MIN_WORDS)
+            if not batch.num_rows:
+                continue
+            key, salt = batch["key"].to_numpy(), batch["salt"].to_numpy()
+            same = (key == key[-1]) & (salt == salt[-1])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last key may go on
+            if cut or (held and (held[-1]["key"][-1].as_py(), held[-1]["salt"][-1].as_py()) != (key[0], salt[0])):
+                yield _compared(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield _compared(pa.Table.from_batches(held))
+
+    kept = suffixes(docs, _repeated_keys(docs, many)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), "ways"))
+    dealt = kept.repartition(_tasks(spark), "key", "salt").sortWithinPartitions("key", "salt", "doc_id", "version", "at")
+    found = saved(dealt.mapInArrow(compare, fields), "matches")
+    by_window = Window.partitionBy("window")
+    late = (
+        found.filter("window is not null")
+        .withColumn("least", F.min(F.struct("doc_id", "version", "start")).over(by_window))
+        .withColumn("shared", F.max("first").over(by_window) | (F.count("*").over(by_window) > 1))
+        .filter("shared")
+        .withColumn("first", F.struct("doc_id", "version", "start") == F.col("least"))
+        .withColumn("of_doc_id", F.col("least.doc_id"))
+        .withColumn("of_start", F.col("least.start"))
     )
+    return found.filter("window is null").unionByName(late.select(*found.columns)).drop("window")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """One row per repeated passage of a document: ``doc_id, start, n_words, of_doc_id, of_start, dropped``.
-
-    Matches of MIN_WORDS words or more; overlapping ones of a document make one passage. Places
-    are numbers of white-space words from 0. ``dropped`` is false where the passage is its first occurrence (smallest
-    ``doc_id``, then place); ``of_doc_id`` and ``of_start`` tell a neighbour that shares its first match. A document
-    may repeat a passage within itself. Null, empty and short texts have none; repeated rows of the same ``doc_id``
-    are occurrences of it in the same place and count as one; a null ``doc_id`` is left out; other columns are
-    ignored.
-    """
-    rows = matches(docs.filter("doc_id is not null")).filter("doc_id <> of_doc_id or start <> of_start").distinct()
+def _passages(docs: DataFrame, many: int) -> DataFrame:
+    """Overlapping matches of a document and kind as one."""
+    rows = matches(docs.filter("doc_id is not null"), many)
     w_rows = rows.withColumn("dropped", ~F.col("first")).withColumn("stop", F.col("start") + F.col("n_words"))
-    w = Window.partitionBy("doc_id", "dropped").orderBy("start", "stop")
+    w = Window.partitionBy("doc_id", "version", "dropped").orderBy("start", "stop")
     reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     return (
         w_rows.withColumn("new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
         .withColumn("passage", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "dropped", "passage")
+        .groupBy("doc_id", "version", "dropped", "passage")
         .agg(
             F.min("start").alias("start"),
             (F.max("stop") - F.min("start")).alias("n_words"),
             F.min_by(F.struct("of_doc_id", "of_start"), F.struct("start", "stop", "of_doc_id", "of_start")).alias("of"),
         )
-        .select("doc_id", "start", "n_words", F.col("of.of_doc_id"), F.col("of.of_start"), "dropped")
+        .select("doc_id", "start", "n_words", F.col("of.of_doc_id"), F.col("of.of_start"), "dropped", "version")
     )
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, many: int = MANY) -> DataFrame:
+    """One row per repeated passage of a document: ``doc_id, start, n_words, of_doc_id, of_start, dropped``.
+
+    Passages of MIN_WORDS words or more; overlapping ones of a document and kind make one. Places are numbers of
+    white-space words from 0. ``dropped`` is false where the passage is its first occurrence (smallest ``doc_id``, then
+    place); else ``of_doc_id`` and ``of_start`` tell where its first words stand first. A document may repeat a passage
+    within itself. Null, empty and short texts have none; rows of the same ``doc_id`` and text count as one, rows of
+    the same ``doc_id`` with another text as another document; a null ``doc_id`` is left out; other columns are
+    ignored.
+    """
+    return _passages(docs, many).drop("version")
+
+
+def cut_repeats(docs: DataFrame, many: int = MANY) -> DataFrame:
     """``docs`` with every repeated passage but its first occurrence cut out of ``text``; all columns, all rows."""
     cuts = (
-        spans(docs)
+        _passages(docs, many)
         .filter("dropped")
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("__of"), F.col("version").alias("__version"))
         .agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("__cuts"))
     )
-    joined = docs.join(cuts.withColumnRenamed("doc_id", "__of"), F.col("doc_id") == F.col("__of"), "left").drop("__of")
+    same = (F.col("doc_id") == F.col("__of")) & (F.xxhash64("text") == F.col("__version"))
+    joined = docs.join(cuts, same, "left").drop("__of", "__version")
     names = docs.columns
     small_arrow_batches(docs.sparkSession)
 
