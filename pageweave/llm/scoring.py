@@ -1,219 +1,344 @@
-"""Masked pseudo-likelihood of documents under a bidirectional window network."""
+"""Masked pseudo-likelihood of documents under a bidirectional window network over a vocabulary that is the corpus's."""
 
 from __future__ import annotations
 
+from itertools import repeat
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageweave.functions.scratch import saved, small_arrow_batches
 
-CLASSES = 256
+#: Token classes: the most frequent words have one each, all other words share RARE classes.
+GROUPS = 16
+CLASSES = GROUPS * GROUPS
 RARE = 64
+OWN = CLASSES - RARE
 SIDE = 2
 WIDTH = 16
-_ROWS = 4096
+#: Words whose counts every task holds; those of all other words are joined.
+COMMON = 1 << 16
+#: Rows of a product of matrices, so few that it runs in one thread.
+_ROWS = 1024
+_AT_ONCE = 1 << 20
+_MICRO = 1e6
+_BYTE = float(np.log(257))
+#: Outputs are held between these, so that their exponentials are finite.
+_FAR = 60.0
+_PLACES, _COLUMNS = np.arange(2 * SIDE) * (CLASSES + 1), np.arange(WIDTH)
 
 
 class Network:
-    """Embeddings of the ``SIDE`` tokens on each side, one table per place, summed, tanh, softmax over classes."""
+    """Embeddings of the ``SIDE`` tokens on each side, one table per place, summed, tanh, softmax in two levels.
+
+    A class is one of GROUPS groups and one of GROUPS members of it: its probability is that of the group times that
+    of the member in the group, so that a token costs 2 * GROUPS outputs.
+    """
 
     def __init__(self, weights: np.ndarray | None = None):
-        n = 2 * SIDE * (CLASSES + 1) * WIDTH
+        shapes = [(2 * SIDE, CLASSES + 1, WIDTH), (WIDTH, GROUPS), (GROUPS,), (GROUPS, WIDTH, GROUPS), (GROUPS, GROUPS)]
+        sizes = [int(np.prod(s)) for s in shapes]
         if weights is None:
             rng = np.random.default_rng(1)
-            weights = np.concatenate([rng.normal(0, 0.3, n), rng.normal(0, 0.1, WIDTH * CLASSES), np.zeros(CLASSES)])
+            weights = np.concatenate([rng.normal(0, sd, n) for sd, n in zip((0.3, 0.1, 0, 0.1, 0), sizes)])
         self.flat = np.array(weights, np.float32)
-        self.enter = self.flat[:n].reshape(2 * SIDE, CLASSES + 1, WIDTH)
-        self.leave = self.flat[n : n + WIDTH * CLASSES].reshape(WIDTH, CLASSES)
-        self.bias = self.flat[n + WIDTH * CLASSES :]
+        ends = np.cumsum(sizes)
+        self.enter, self.out, self.bias, self.inner, self.inner_bias = (
+            self.flat[b - n : b].reshape(s) for b, n, s in zip(ends, sizes, shapes)
+        )
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hidden = self.enter[0][around[:, 0]]
+    def hidden(self, around: np.ndarray) -> np.ndarray:
+        out = self.enter[0][around[:, 0]]
         for k in range(1, 2 * SIDE):
-            hidden += self.enter[k][around[:, k]]
-        np.tanh(hidden, out=hidden)
-        z = hidden @ self.leave
-        z += self.bias
-        return hidden, z
+            out += self.enter[k][around[:, k]]
+        return np.tanh(out, out=out)
+
+    @staticmethod
+    def _softmax(z: np.ndarray) -> np.ndarray:
+        np.clip(z, -_FAR, _FAR, out=z)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        return z
+
+    @staticmethod
+    def _by_group(target: np.ndarray):
+        """Order of the tokens by the group of their class, and each group's stretch there."""
+        order = np.argsort(target // GROUPS, kind="stable")
+        stops = np.cumsum(np.bincount(target // GROUPS, minlength=GROUPS))
+        return order, [(g, a, b) for g, (a, b) in enumerate(zip([0, *stops[:-1]], stops)) if b > a]
 
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of each token given both sides."""
+        """Of each token's class given both sides."""
         out = np.empty(len(target), np.float32)
         for k in range(0, len(target), _ROWS):
-            _, z = self.forward(around[k : k + _ROWS])
-            t = target[k : k + _ROWS]
-            own = z[np.arange(len(t)), t]
-            top = z.max(1)
-            z -= top[:, None]
-            np.exp(z, out=z)
-            out[k : k + _ROWS] = own - top - np.log(z.sum(1))
+            order, stretches = self._by_group(target[k : k + _ROWS])
+            t = target[k : k + _ROWS][order]
+            hidden = self.hidden(around[k : k + _ROWS][order])
+            row = np.arange(len(t))
+            p = self._softmax(hidden @ self.out + self.bias)[row, t // GROUPS]
+            for g, a, b in stretches:
+                p[a:b] *= self._softmax(hidden[a:b] @ self.inner[g] + self.inner_bias[g])[row[: b - a], t[a:b] % GROUPS]
+            out[k + order] = np.log(np.maximum(p, 1e-30))
         return out
 
     def train(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient descent on a batch."""
-        hidden, z = self.forward(around)
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(target)), target] -= 1
-        z /= len(target)
-        back = (z @ self.leave.T) * (1 - hidden * hidden)
-        self.leave -= rate * (hidden.T @ z)
-        self.bias -= rate * z.sum(0)
-        for k in range(2 * SIDE):
-            np.subtract.at(self.enter[k], around[:, k], rate * back)
-
-
-def words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+        order, stretches = self._by_group(target)
+        around, t = around[order], target[order]
+        hidden, row, step = self.hidden(around), np.arange(len(t)), rate / len(t)
+        z = self._softmax(hidden @ self.out + self.bias)
+        z[row, t // GROUPS] -= 1
+        back = z @ self.out.T
+        grad, bias = hidden.T @ z, z.sum(0)
+        for g, a, b in stretches:
+            z = self._softmax(hidden[a:b] @ self.inner[g] + self.inner_bias[g])
+            z[row[: b - a], t[a:b] % GROUPS] -= 1
+            back[a:b] += z @ self.inner[g].T
+            self.inner[g] -= step * (hidden[a:b].T @ z)
+            self.inner_bias[g] -= step * z.sum(0)
+        self.out -= step * grad
+        self.bias -= step * bias
+        back *= step * (1 - hidden * hidden)
+        at = ((around + _PLACES)[:, :, None] * WIDTH + _COLUMNS).reshape(len(t), -1)
+        sums = np.bincount(at.ravel(), np.tile(back, 2 * SIDE).ravel(), self.enter.size)
+        self.enter -= sums.reshape(self.enter.shape).astype(np.float32)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct lower-cased white-space words of the texts (null: none), the word at each place, bounds of each text."""
+    split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, ""))))
+    coded = split.flatten().dictionary_encode()
+    within, bounds = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+    blank = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+    if blank.any():  # a text without a word is one empty string
+        real = ~blank[within]
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        within = within[real]
+    return coded.dictionary, within, bounds
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, n`` over the whole corpus; each slice counts its own words first."""
-    small_arrow_batches(docs.sparkSession)
+    """``word, n`` over the whole corpus; each batch counts its own words first."""
+    small_arrow_batches(docs.sparkSession, rows=2500)
 
     def run(batches):
-        from collections import Counter
-
-        seen: Counter = Counter()
         for b in batches:
-            for t in b["text"].to_pylist():
-                seen.update(words(t))
-            if len(seen) > 500_000:
-                yield _counted(seen)
-                seen.clear()
-        yield _counted(seen)
-
-    def _counted(seen):
-        return pa.RecordBatch.from_pydict(
-            {"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())}
-        )
+            names, within, _ = words_of(b["text"])
+            n = np.bincount(within, minlength=len(names))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(some)).cast(pa.string()), pa.array(n[some])], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> list[str]:
-    """The ``CLASSES - RARE`` most frequent words, ties by word: each is a token class; other words are hashed."""
-    top = counts.orderBy(F.desc("n"), "word").limit(CLASSES - RARE).collect()  # bounded by the number of classes
-    return [r["word"] for r in top]
+class Lexicon(NamedTuple):
+    """The most frequent words with their counts; tokens and once-found words of each of the RARE classes."""
 
+    common: list[str]
+    counts: np.ndarray
+    tokens: np.ndarray
+    once: np.ndarray
 
-class Tokens:
-    """Class of each word: its place among the frequent words, or one of ``RARE`` classes by its hash."""
+    @property
+    def seen(self) -> np.ndarray:
+        """Per class, the logarithm of what an earlier occurrence of a word counts for."""
+        with np.errstate(divide="ignore"):
+            return np.log(1 - self.once / np.maximum(self.tokens, 1)) - np.log(np.maximum(self.tokens - 1, 1))
+
+    @property
+    def unseen(self) -> np.ndarray:
+        """Per class, the logarithm of the share of words that are found nowhere else."""
+        return np.log(np.maximum(self.once, 1) / np.maximum(self.tokens, 1))
 
-    def __init__(self, vocab: list[str]):
-        self.base = {w: k for k, w in enumerate(vocab)}
-        self.known = dict(self.base)
 
-    def of(self, text: str | None) -> np.ndarray:
-        known, ws = self.known, words(text)
-        if len(known) > 500_000:
-            known = self.known = dict(self.base)
-        for w in set(ws).difference(known):
-            known[w] = CLASSES - RARE + xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % RARE
-        return np.array([known[w] for w in ws], np.int64)
+def rare_class(word: str) -> int:
+    """One of RARE classes by a word's last two characters."""
+    return xxhash.xxh64_intdigest(word[-2:].encode("utf-8", "surrogatepass"), 42) % RARE
 
 
-def windows(tokens: list[np.ndarray]) -> np.ndarray:
-    """Rows of the classes around each token of each text; ``CLASSES`` stands beyond a text's ends."""
-    gap = np.full(SIDE, CLASSES, np.int64)
-    line = np.concatenate([x for t in tokens for x in (gap, t)] + [gap])
-    at = np.concatenate([np.zeros(0, np.int64)] + [np.arange(len(t)) for t in tokens])
-    lens = np.array([len(t) for t in tokens], np.int64)
-    base = np.cumsum(lens + SIDE) - lens
-    at = at + np.repeat(base, lens)
-    return np.stack([line[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
+def lexicon(counts: DataFrame, common: int = COMMON) -> Lexicon:
+    """From ``counts(word, n)``. The driver gets at most ``common`` words (ties by word) and RARE numbers."""
+    top = counts.orderBy(F.desc("n"), "word").limit(common).collect()
+    own = [r["word"] for r in top[:OWN]]
+    of = F.pmod(F.xxhash64(F.right("word", F.lit(2))), F.lit(RARE))
+    rest = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in own], "word string")), "word", "left_anti")
+    sums = rest.groupBy(of.alias("c")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).collect()
+    tokens, once = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
+    for r in sums:
+        tokens[r["c"]], once[r["c"]] = r["n"], r["once"]
+    return Lexicon([r["word"] for r in top], np.array([r["n"] for r in top], np.int64), tokens, once)
 
 
-def train(docs: DataFrame, vocab: list[str], rounds: int = 2, every: int = 16, rate: float = 2.0) -> np.ndarray:
+class Tokens:
+    """Class of each word, and the logarithm of a common word's share of its class, in millionths."""
+
+    def __init__(self, lex: Lexicon):
+        self.place = {w: k for k, w in enumerate(lex.common)}
+        n = len(lex.common)
+        self.klass = np.arange(n)
+        self.klass[OWN:] = [OWN + rare_class(w) for w in lex.common[OWN:]]
+        size = np.array([len(w.encode("utf-8", "surrogatepass")) for w in lex.common], np.int64)
+        self.share = np.where(np.arange(n) < OWN, 0, _share(lex, lex.counts, np.maximum(self.klass - OWN, 0), size))
+        self.suffix: dict[str, int] = {}
+
+    def of(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each name, and its place among the common words or -1."""
+        words = names.to_numpy(zero_copy_only=False)
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        klass = self.klass[place] if len(self.klass) else place.copy()
+        suffix = self.suffix
+        for k in np.flatnonzero(place < 0).tolist():
+            end = words[k][-2:]
+            if (c := suffix.get(end)) is None:
+                c = suffix[end] = OWN + rare_class(end)
+            klass[k] = c
+        return klass, place
+
+
+def _share(lex: Lexicon, n: np.ndarray, klass: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Log-share of a word in its class in millionths, without the occurrence itself; see ``score``."""
+    known = lex.seen[klass] + np.log(np.maximum(n - 1, 1))
+    return np.rint(_MICRO * np.where(n > 1, known, lex.unseen[klass] - (size + 1) * _BYTE)).astype(np.int64)
+
+
+def windows(target: np.ndarray, bounds: np.ndarray, first: int, stop: int) -> np.ndarray:
+    """Classes around the places ``first`` to ``stop``; ``CLASSES`` stands beyond a text's ends."""
+    at = np.arange(first, stop)
+    text = np.searchsorted(bounds, at, "right") - 1
+    low, high = bounds[text], bounds[text + 1]
+    out = np.full((len(at), 2 * SIDE), CLASSES, np.int64)
+    for j, k in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
+        ok = (at + k >= low) & (at + k < high)
+        out[ok, j] = target[(at + k)[ok]]
+    return out
+
+
+def train(docs: DataFrame, lex: Lexicon, rounds: int = 1, rate: float = 2.0, batch: int = _ROWS) -> np.ndarray:
     """Weights of the network after ``rounds`` of averaging what the slices of the corpus have learned.
 
-    In a round each slice descends from the common weights over one in ``every`` tokens of each of its texts
-    (another one each round) and Spark averages the results, weighted by tokens. The driver gets one number per
-    weight. A corpus without words leaves the first weights.
+    In a round each slice descends from the common weights over all tokens of its texts, in an order that its seed
+    fixes, and Spark averages the results, weighted by tokens, in whole numbers, so that their order does not matter.
+    The driver gets one number per weight. The slices are those of the input, so the same files give the same
+    weights. A corpus without words leaves the first weights.
     """
     sc = docs.sparkSession.sparkContext
-    small_arrow_batches(docs.sparkSession)
+    small_arrow_batches(docs.sparkSession, rows=2500)
     weights = Network().flat
     for r in range(rounds):
-        shared = sc.broadcast((weights, vocab))  # a fixed number of weights and words
+        shared = sc.broadcast((weights, lex))  # a fixed number of weights, at most COMMON words
 
         def learn(batches, r=r, shared=shared):
-            start, vocab = shared.value
-            net, tokens, n, held = Network(start), Tokens(vocab), 0, [[], []]
+            start, lex = shared.value
+            net, tokens, n = Network(start), Tokens(lex), 0
             rng = np.random.default_rng(r)
-
-            def step():
-                a, t = np.concatenate(held[0]), np.concatenate(held[1])
-                for k in rng.permutation(-(-len(t) // 256)).tolist():
-                    net.train(a[k * 256 : k * 256 + 256], t[k * 256 : k * 256 + 256], rate)
-                held[0].clear(), held[1].clear()
-                return len(t)
-
             for b in batches:
-                ts = [tokens.of(x) for x in b["text"].to_pylist()]
-                if sum(map(len, ts)):
-                    around, target = windows(ts), np.concatenate(ts)
-                    pick = np.concatenate([np.arange(len(t)) % every == (r * 7 + 3) % every for t in ts])
-                    held[0].append(around[pick])
-                    held[1].append(target[pick])
-                    if sum(map(len, held[1])) > 20_000:
-                        n += step()
-            if held[0]:
-                n += step()
+                names, within, bounds = words_of(b["text"])
+                target = tokens.of(names)[0][within]
+                for k in range(0, len(target), _AT_ONCE):
+                    around, t = windows(target, bounds, k, min(k + _AT_ONCE, len(target))), target[k : k + _AT_ONCE]
+                    order = rng.permutation(len(t))
+                    for j in range(0, len(t), batch):
+                        some = order[j : j + batch]
+                        net.train(around[some], t[some], rate * len(some) / batch)
+                    n += len(t)
             if n:
-                yield pa.RecordBatch.from_pydict(
-                    {"k": pa.array(np.arange(len(net.flat)), pa.int32()), "w": pa.array(net.flat * float(n), pa.float64()), "n": pa.array(np.full(len(net.flat), n), pa.int64())}
+                fixed = np.rint(net.flat.astype(np.float64) * (1 << 24)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(fixed)), pa.int32()), pa.array(fixed), pa.array(np.full(len(fixed), n))], ["k", "w", "n"]
                 )
 
+        whole = "decimal(38, 0)"
         got = (
             docs.select("text")
-            .mapInArrow(learn, "k int, w double, n bigint")
+            .mapInArrow(learn, "k int, w bigint, n bigint")
             .groupBy("k")
-            .agg((F.sum("w") / F.sum("n")).alias("w"))
+            .agg((F.sum(F.col("w").cast("decimal(20, 0)") * F.col("n").cast("decimal(18, 0)")).cast(whole).cast("double") / F.sum("n")).alias("w"))
             .toArrow()  # one row per weight
         )
         if got.num_rows:
             weights = np.array(weights)
-            weights[got["k"].to_numpy()] = got["w"].to_numpy()
+            weights[got["k"].to_numpy()] = got["w"].to_numpy() / (1 << 24)
     return weights
 
 
-def score(docs: DataFrame, vocab: list[str], weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, lex: Lexicon, counts: DataFrame, weights: np.ndarray) -> DataFrame:
     """``doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability``.
 
-    The sum, over every token of the whole text, of its log-probability given the tokens on both sides. A null,
-    empty or blank text has no token: sum 0 and a null mean. Repeated rows score alike; other columns are ignored.
+    The sum, over every token of the whole text, of its log-probability given the tokens on both sides: that of its
+    class by the network, and that of the word in the class. Words with a class of their own have all of it. In a
+    shared class, words found elsewhere in the corpus (the occurrence itself left out) share by their counts what
+    once-found words leave; a word found nowhere else takes the once-found words' share, written out in bytes, all
+    equally likely. The counts of words beyond the common ones are joined by hash, at most one row a document and
+    word. Sums are made in whole millionths, so their order does not matter; the network's outputs are 32-bit numbers,
+    whose last digit may follow the batch that a text comes in.
+
+    A null, empty or blank text has no token: sum 0 and a null mean. Repeated rows score alike; a null ``doc_id`` is
+    scored like any other; other columns are ignored.
     """
-    small_arrow_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, vocab))
+    spark = docs.sparkSession
+    small_arrow_batches(spark, rows=2500)
+    shared = spark.sparkContext.broadcast((weights, lex))
     kind = dict(docs.dtypes)["doc_id"]
+    item = pa.struct([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32())])
 
     def run(batches):
-        weights, vocab = shared.value
-        net, tokens = Network(weights), Tokens(vocab)
+        weights, lex = shared.value
+        net, tokens = Network(weights), Tokens(lex)
         for b in batches:
-            ts = [tokens.of(x) for x in b["text"].to_pylist()]
-            n = np.array([len(t) for t in ts], np.int64)
-            total = np.zeros(len(ts))
-            if n.sum():
-                lp = np.concatenate([np.zeros(1), np.cumsum(net.log_probability(windows(ts), np.concatenate(ts)), dtype=np.float64)])
-                ends = np.cumsum(n)
-                total = lp[ends] - lp[ends - n]
+            names, within, bounds = words_of(b["text"])
+            klass, place = tokens.of(names)
+            target, n = klass[within], np.diff(bounds)
+            parts = [np.zeros(0, np.int64)]
+            for k in range(0, len(target), _AT_ONCE):
+                lp = net.log_probability(windows(target, bounds, k, min(k + _AT_ONCE, len(target))), target[k : k + _AT_ONCE])
+                parts.append(np.rint(_MICRO * lp.astype(np.float64)).astype(np.int64))
+            common = np.where(place < 0, 0, tokens.share[place]) if len(tokens.share) else np.zeros(len(names), np.int64)
+            sums = np.concatenate([[0], np.cumsum(np.concatenate(parts) + common[within])])[bounds]
+            at = np.flatnonzero(place[within] < 0)
+            pair, tf = np.unique((np.searchsorted(bounds, at, "right") - 1) * len(names) + within[at], return_counts=True)
+            text, word = np.divmod(pair, max(1, len(names)))
+            distinct, where = np.unique(word, return_inverse=True)
+            rare = names.take(pa.array(distinct))
+            h = np.array([xxhash.xxh64_intdigest(w, 42) for w in rare.to_pylist()], np.uint64).view(np.int64)[where]
+            size = pc.binary_length(rare).to_numpy().astype(np.int64)[where]
+            # one item of class -1 for each text with its tokens and sum, then its rare words
+            first = np.searchsorted(text, np.arange(len(n)))
+            mark = np.random.default_rng(len(pair)).integers(-(1 << 63), 1 << 63, len(n))  # these meet no word, and no one task
+            cols = [np.insert(x, first, y) for x, y in ((h, mark), (tf, n), (size, np.diff(sums)), (klass[word] - OWN, -1))]
+            items = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(cols, item)], fields=list(item))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(n)) + 1)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(n), pa.array(np.round(total, 4)), pa.array([round(t / k, 6) if k else None for t, k in zip(total.tolist(), n.tolist())], pa.float64())],
-                ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_probability"],
+                [b["doc_id"], b["version"], pa.ListArray.from_arrays(pa.array(ends), items)], ["doc_id", "version", "items"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, pseudo_log_likelihood double, mean_log_probability double"
+    items = "array<struct<h: bigint, a: bigint, b: bigint, c: int>>"
+    rows = (
+        docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+        .mapInArrow(run, f"doc_id {kind}, version bigint, items {items}")
+        .select("doc_id", "version", F.inline("items"))
+    )
+    known = counts.filter("n > 1").groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("n"))
+    seen, unseen = (F.get(F.array(*[F.lit(float(x)) for x in t]), F.col("c")) for t in (np.maximum(lex.seen, -1e9), lex.unseen))
+    own = F.when(F.col("n") > 1, seen + F.log(F.col("n") - 1.0)).otherwise(unseen - (F.col("b") + 1) * F.lit(_BYTE))
+    part = F.when(F.col("c") < 0, F.col("b")).otherwise(F.col("a") * F.rint(_MICRO * own).cast("bigint"))
+    sums = (
+        rows.join(known, "h", "left")
+        .groupBy("doc_id", "version")
+        .agg(F.sum(part).alias("s"), F.max(F.when(F.col("c") < 0, F.col("a"))).alias("n_tokens"), F.count_if(F.col("c") < 0).alias("copies"))
     )
+    total = (F.expr("s div copies") / F.lit(_MICRO)).alias("total")
+    once = sums.select("doc_id", "n_tokens", total, F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    mean = F.when(F.col("n_tokens") > 0, F.round(F.col("total") / F.col("n_tokens"), 6))
+    return once.select("doc_id", "n_tokens", F.round("total", 4).alias("pseudo_log_likelihood"), mean.alias("mean_log_probability"))
 
 
-def fit_and_score(docs: DataFrame) -> DataFrame:
+def fit_and_score(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """Count words, train over the corpus, score every document."""
-    vocab = vocabulary(saved(word_counts(docs).filter("n > 1"), "words"))
-    return score(docs, vocab, train(docs, vocab))
+    counts = saved(word_counts(docs), "words")
+    lex = lexicon(counts, common)
+    return score(docs, lex, counts, train(docs, lex))

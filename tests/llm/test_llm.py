@@ -221,24 +221,89 @@ def test_media_features(spark):
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------
+def brute_scores(texts, lex, weights):
+    """Sum of each text's log-probabilities, a token at a time, from all counts."""
+    def split(t):  # white space by Unicode, lower case letter by letter
+        return [w for w in regex.split(r"[\s\x1c-\x1f]+", "".join(c.lower()[0] for c in t or "")) if w]
+
+    net, counts = scoring.Network(weights), collections.Counter(w for t in texts for w in split(t))
+    own = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[: scoring.OWN])}
+    klass = {w: own.get(w, scoring.OWN + scoring.rare_class(w)) for w in counts}
+    tokens, once = collections.Counter(), collections.Counter()
+    for w, n in counts.items():
+        tokens[klass[w]] += n
+        once[klass[w]] += n == 1
+    assert all(lex.tokens[c - scoring.OWN] == n for c, n in tokens.items() if c >= scoring.OWN)
+    out = []
+    for t in texts:
+        ws, total = split(t), 0.0
+        for k, w in enumerate(ws):
+            around = [klass[ws[j]] if 0 <= j < len(ws) else scoring.CLASSES for j in (k - 2, k - 1, k + 1, k + 2)]
+            hidden = np.tanh(sum(net.enter[i][c] for i, c in enumerate(around)).astype(float))
+            g, m = divmod(klass[w], scoring.GROUPS)
+            for z, j in ((hidden @ net.out + net.bias, g), (hidden @ net.inner[g] + net.inner_bias[g], m)):
+                total += z[j] - np.log(np.exp(z).sum())
+            c = klass[w]
+            if c >= scoring.OWN:
+                if counts[w] > 1:
+                    total += np.log((1 - once[c] / tokens[c]) * (counts[w] - 1) / (tokens[c] - 1))
+                else:
+                    total += np.log(once[c] / tokens[c]) - (len(w.encode()) + 1) * np.log(257)
+        out.append((len(ws), total))
+    return out
+
+
+@pytest.mark.parametrize("common", [scoring.COMMON, 250])
+def test_scores_by_brute_force(spark, sf, common):
+    """With all words common, and with most words joined; repeated rows, null ids, odd texts."""
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + ODD
+    rows = [(k, t, 0) for k, t in enumerate(texts)] + [(3, texts[3], 0), (3, texts[3], 0), (None, texts[4], 0), (3, texts[5], 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    counts = scoring.word_counts(docs)
+    lex = scoring.lexicon(counts, common)
+    weights = scoring.train(docs, lex, batch=64)
+    got = sorted(((r["doc_id"], r["n_tokens"], r["pseudo_log_likelihood"]) for r in scoring.score(docs, lex, counts, weights).collect()), key=str)
+    want = sorted(((d, n, s) for (d, _, _), (n, s) in zip(rows, brute_scores([t for _, t, _ in rows], lex, weights))), key=str)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-3 + 1e-5 * g[1]
+
+
+def test_scores_do_not_depend_on_order(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50).coalesce(1).cache()
+    lex = scoring.lexicon(scoring.word_counts(docs))
+    weights = scoring.train(docs, lex)
+    assert (weights == scoring.train(docs, lex)).all()
+    counts = scoring.word_counts(docs)
+    a = sorted(map(tuple, scoring.score(docs, lex, counts, weights).collect()))
+    b = sorted(map(tuple, scoring.score(docs.repartition(5), lex, counts, weights).collect()))
+    for x, y in zip(a, b, strict=True):  # but for the last digit of 32-bit outputs, which follow the batch
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-6 * abs(x[2]) + 1e-4
+
+
 def test_pseudo_likelihood(spark):
     rng = random.Random(5)
     order = ["the", "cat", "sat", "on", "a", "mat"]
     regular = [" ".join(order[(k + j) % 6] for j in range(300)) for k in range(40)]
     mixed = " ".join(rng.choice(order) for _ in range(300))
     docs = frame(spark, regular + [mixed, None, "", "cat"])
-    vocab = scoring.vocabulary(scoring.word_counts(docs))
-    assert set(vocab) == set(order)
-    rows = scoring.score(docs, vocab, scoring.train(docs, vocab, rounds=3, every=2)).orderBy("doc_id").collect()
+    counts = scoring.word_counts(docs)
+    lex = scoring.lexicon(counts)
+    assert set(lex.common) == set(order)
+    rows = scoring.score(docs, lex, counts, scoring.train(docs, lex, rounds=2, batch=64)).orderBy("doc_id").collect()
     assert rows[0]["mean_log_probability"] > rows[40]["mean_log_probability"] + 0.5
     assert rows[41]["n_tokens"] == 0 and rows[42]["mean_log_probability"] is None and rows[43]["n_tokens"] == 1
-    net = scoring.Network()
-    toks = [scoring.Tokens(vocab).of(t) for t in ("the cat", "", "sat on a mat the cat")]
-    around, target = scoring.windows(toks), np.concatenate(toks)
-    assert around[0].tolist() == [256, 256, toks[0][1], 256] and around[3].tolist() == [256, toks[2][0], toks[2][2], toks[2][3]]
-    lp = net.log_probability(around, target)
-    _, z = net.forward(around)
-    assert np.allclose(lp, np.log(np.exp(z) / np.exp(z).sum(1, keepdims=True))[np.arange(len(target)), target], atol=1e-4)
+    assert scoring.fit_and_score(frame(spark, [])).count() == 0
+    around = scoring.windows(np.array([5, 6, 7, 8, 9]), np.array([0, 2, 2, 5]), 0, 5)
+    end = scoring.CLASSES
+    assert around.tolist() == [[end, end, 6, end], [end, 5, end, end], [end, end, 8, 9], [end, 7, 9, end], [7, 8, end, end]]
+
+
+def test_document_found_twice_scores_above_its_like(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 200, 10**6) for _ in range(60)]
+    rows = scoring.fit_and_score(frame(spark, texts + texts[:5])).collect()
+    twice = [r["mean_log_probability"] for r in rows if r["doc_id"] < 5 or r["doc_id"] >= 60]
+    assert min(twice) > max(r["mean_log_probability"] for r in rows if 5 <= r["doc_id"] < 60)
 
 
 def test_gradient():
