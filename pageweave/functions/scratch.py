@@ -32,6 +32,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sorted_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``saved``, but in as many buckets of ``key`` as a shuffle has partitions, each sorted by it.
+
+    Joins of such tables on the key need no shuffle. The catalog forgets the table at once; its files stay.
+    """
+    spark = df.sparkSession
+    table, path = f"pageweave_{uuid.uuid4().hex}", new_path(spark, name)
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table, format="parquet")
+    out = spark.table(table)
+    out.schema  # resolved while the catalog knows the buckets
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def small_arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
     """Bound the Arrow batches that Python workers get, by rows and by bytes, so that very long texts fit."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
