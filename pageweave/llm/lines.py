@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageweave.functions.scratch import saved
+from pageweave.functions.scratch import saved, sorted_by
 
 MIN_POINTS = 20
 MIN_DOCS = 3
+#: Least number of documents of a line that is joined apart.
+HOT_DOCS = 100
 _BLANKS = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -41,54 +43,76 @@ def keyed_lines(docs: DataFrame, batches: int) -> DataFrame:
 
 
 class LineRuns:
-    """Sorted runs ``key, n_docs, last`` by level; ``fanout`` runs of a level are compacted into one of the next.
+    """Sorted runs ``key, n_docs, last`` by level; two runs of a level are merged into one of the next.
 
-    Any run may hold any key: what is known of a key is the sum over the runs. Documents of different batches must
-    differ; a batch's run is written once and compaction writes another, so a lost executor loses nothing.
+    A key stands in one run only: that of the batch which brought it. What later batches add to it stands in the
+    batches' increments. Runs and batches are tables bucketed and sorted by key, so that the merge joins between them
+    move no rows. Documents of different batches must differ; every table is written once, so a lost executor loses
+    nothing.
     """
 
-    def __init__(self, fanout: int = 3):
-        self.fanout = fanout
+    def __init__(self):
         self.levels: list[list[DataFrame]] = [[]]
+        self.increments: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
     @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.unionByName(r)
-        return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"))
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """No key is in both, so a full merge join lets the rows of both through in order."""
+        x, y = a.select(F.struct("n_docs", "last").alias("x"), "key"), b.select(F.struct("n_docs", "last").alias("y"), "key")
+        both = F.coalesce("x", "y")
+        return x.join(y.hint("merge"), "key", "full").select("key", both["n_docs"].alias("n_docs"), both["last"].alias("last"))
 
     def add(self, lines: DataFrame) -> None:
-        """A batch of ``(did, key)``: keys that no run knows, found by merge anti-join, make a run of their own.
-
-        Keys that some run knows make a second run with what the batch adds to their counts.
-        """
-        batch = saved(
-            lines.groupBy("key").agg(F.count_distinct("did").alias("n_docs"), F.max("did").alias("last")), "batch"
-        )
-        fresh, again = batch, None
-        for run in self.runs():
+        """A batch of ``(did, key)``: keys that no run knows, by merge anti-join, are a new run; the rest are increments."""
+        counted = lines.groupBy("key").agg(F.count_distinct("did").alias("n_docs"), F.max("did").alias("last"))
+        runs = self.runs()
+        fresh = batch = sorted_by(counted, "key", "batch")
+        for run in runs:
             fresh = fresh.join(run.select("key").hint("merge"), "key", "left_anti")
-        if self.runs():
-            fresh = saved(fresh.sortWithinPartitions("key"), "run")
-            again = batch.join(fresh.select("key").hint("merge"), "key", "left_anti")
-            self.levels[0].append(saved(fresh.unionByName(again).sortWithinPartitions("key"), "run"))
-        else:
-            self.levels[0].append(batch)
-        for k, level in enumerate(self.levels):
-            if len(level) >= self.fanout:
-                merged = saved(self._merged(level).sortWithinPartitions("key"), "run")
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[k + 1].append(merged)
-                self.levels[k] = []
-                break
+        if runs:
+            fresh = sorted_by(fresh, "key", "run")
+            self.increments.append(batch.join(fresh.select("key").hint("merge"), "key", "left_anti"))
+        self.levels[0].append(fresh)
+        k = 0
+        while len(self.levels[k]) == 2:
+            if k + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[k + 1].append(sorted_by(self._merged(*self.levels[k]), "key", "run"))
+            self.levels[k] = []
+            k += 1
 
     def frequent(self, min_docs: int) -> DataFrame:
-        return self._merged(self.runs()).filter(F.col("n_docs") >= min_docs)
+        """``key, n_docs, last`` of the keys found in ``min_docs`` documents or more."""
+        more = None
+        for x in self.increments:
+            more = x if more is None else more.unionByName(x)
+        parts = []
+        for run in self.runs():
+            if more is not None:
+                added = more.groupBy("key").agg(F.sum("n_docs").alias("n"), F.max("last").alias("l"))
+                run = run.join(added.hint("merge"), "key", "left").select(
+                    "key", (F.col("n_docs") + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("last", "l").alias("last")
+                )
+            parts.append(run.filter(F.col("n_docs") >= min_docs))
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
+
+
+def _dropped(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``lines`` whose key is frequent, but for those of the last document.
+
+    Keys of very many lines, at most eight a task, are joined from every task's memory and meet in no one place.
+    """
+    spark = lines.sparkSession
+    share = lines.count() // (8 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = F.broadcast(frequent.filter(F.col("n_docs") > max(share, HOT_DOCS)).select("key", "last"))
+    rest = lines.join(hot.select("key"), "key", "left_anti").join(frequent.select("key", "last"), "key")
+    return lines.join(hot, "key").unionByName(rest).filter("did <> last")
 
 
 def drop_frequent_lines(docs: DataFrame, batches: int = 4, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -104,10 +128,9 @@ def drop_frequent_lines(docs: DataFrame, batches: int = 4, min_docs: int = MIN_D
     runs = LineRuns()
     for k in range(batches):
         runs.add(lines.filter(F.col("batch") == k))
-    frequent = runs.frequent(min_docs)
+    frequent = saved(runs.frequent(min_docs), "frequent")
     drops = (
-        lines.join(frequent, "key")
-        .filter("did <> last")
+        _dropped(lines, frequent)
         .groupBy(F.col("did").alias("__d"), F.col("version").alias("__v"))
         .agg(F.sort_array(F.collect_set("at")).alias("__drops"))
     )

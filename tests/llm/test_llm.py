@@ -543,11 +543,30 @@ def test_line_runs(spark, sf):
     assert lines.drop_frequent_lines(frame(spark, [])).count() == 0
 
 
+def test_hot_line_and_repeated_ids(spark, monkeypatch):
+    """A line of nearly all documents is joined apart; rows of one id, and of the null id, are one document."""
+    monkeypatch.setattr(lines, "HOT_DOCS", 5)
+    hot, warm = "this line is nearly everywhere", "this line is in four documents"
+    texts = [f"{hot}\nown {k}" + (f"\n{warm}" if k % 15 == 1 else "") for k in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in lines.drop_frequent_lines(frame(spark, texts)).collect()}
+    assert got == brute_lines(rows)
+    odd = [(7, f"{hot}\nx"), (7, f"{hot}\nx"), (7, f"y\n{hot}"), (None, f"{hot}\nz"), (None, hot)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string")
+    assert {r["n_dropped"] for r in lines.drop_frequent_lines(docs).collect()} == {0}
+    out = lines.drop_frequent_lines(docs.unionByName(spark.createDataFrame([(9, hot)], docs.schema))).collect()
+    assert sorted((r["doc_id"] or 0, r["n_dropped"]) for r in out) == [(0, 1), (0, 1), (7, 1), (7, 1), (7, 1), (9, 0)]
+
+
 def test_runs_are_compacted(spark):
-    runs = lines.LineRuns(fanout=2)
+    runs = lines.LineRuns()
     for k in range(4):
         runs.add(spark.createDataFrame([(k, b"a"), (k, b"a"), (k, str(k).encode())], "did long, key binary"))
-    assert [len(x) for x in runs.levels] == [0, 2] or sum(map(len, runs.levels)) < 4
+        stored = [bytes(r["key"]) for run in runs.runs() for r in run.collect()]
+        assert sorted(stored) == sorted({b"a", *(str(j).encode() for j in range(k + 1))})  # a key is in one run only
+        assert sum(map(len, runs.levels)) == (k + 1).bit_count()
+    fresh = runs.levels[2][0].join(runs.levels[2][0].select("key").hint("merge"), "key", "left_anti")
+    assert "Exchange" not in fresh._jdf.queryExecution().executedPlan().toString()
     got = {bytes(r["key"]): (r["n_docs"], r["last"]) for r in runs.frequent(1).collect()}
     assert got == {b"a": (4, 3)} | {str(k).encode(): (1, k) for k in range(4)}
 
