@@ -25,7 +25,9 @@ WIDTH = 16
 COMMON = 1 << 16
 #: Rows of a product of matrices, so few that it runs in one thread.
 _ROWS = 1024
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 18
+#: Bars of the histogram of counts for each doubling of the count.
+_STEPS = 64
 _MICRO = 1e6
 _BYTE = float(np.log(257))
 #: Outputs are held between these, so that their exponentials are finite.
@@ -124,7 +126,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n`` over the whole corpus; each batch counts its own words first."""
-    small_arrow_batches(docs.sparkSession, rows=2500)
+    small_arrow_batches(docs.sparkSession, rows=1500)
 
     def run(batches):
         for b in batches:
@@ -162,8 +164,20 @@ def rare_class(word: str) -> int:
 
 
 def lexicon(counts: DataFrame, common: int = COMMON) -> Lexicon:
-    """From ``counts(word, n)``. The driver gets at most ``common`` words (ties by word) and RARE numbers."""
-    top = counts.orderBy(F.desc("n"), "word").limit(common).collect()
+    """From ``counts(word, n)``: the words of the highest counts that are at most ``common`` together; ties by word.
+
+    The driver gets a histogram of the counts' logarithms, those words, and RARE numbers.
+    """
+    step = F.floor(F.log2("n") * _STEPS).alias("step")
+    found = sorted(((r["step"], r["count"]) for r in counts.groupBy(step).count().collect()), reverse=True)
+    lowest, total = None, 0
+    for k, n in found:
+        total += n
+        if total > common:
+            break
+        lowest = k
+    top = [] if lowest is None else counts.filter(step >= lowest).collect()
+    top.sort(key=lambda r: (-r["n"], r["word"]))
     own = [r["word"] for r in top[:OWN]]
     of = F.pmod(F.xxhash64(F.right("word", F.lit(2))), F.lit(RARE))
     rest = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in own], "word string")), "word", "left_anti")
@@ -227,7 +241,7 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = 1, rate: float = 2.0, bat
     weights. A corpus without words leaves the first weights.
     """
     sc = docs.sparkSession.sparkContext
-    small_arrow_batches(docs.sparkSession, rows=2500)
+    small_arrow_batches(docs.sparkSession, rows=1500)
     weights = Network().flat
     for r in range(rounds):
         shared = sc.broadcast((weights, lex))  # a fixed number of weights, at most COMMON words
@@ -281,7 +295,7 @@ def score(docs: DataFrame, lex: Lexicon, counts: DataFrame, weights: np.ndarray)
     scored like any other; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_arrow_batches(spark, rows=2500)
+    small_arrow_batches(spark, rows=1500)
     shared = spark.sparkContext.broadcast((weights, lex))
     kind = dict(docs.dtypes)["doc_id"]
     item = pa.struct([("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32())])

@@ -227,7 +227,8 @@ def brute_scores(texts, lex, weights):
         return [w for w in regex.split(r"[\s\x1c-\x1f]+", "".join(c.lower()[0] for c in t or "")) if w]
 
     net, counts = scoring.Network(weights), collections.Counter(w for t in texts for w in split(t))
-    own = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[: scoring.OWN])}
+    assert lex.common == sorted(counts, key=lambda w: (-counts[w], w))[: len(lex.common)]
+    own = {w: k for k, w in enumerate(lex.common[: scoring.OWN])}
     klass = {w: own.get(w, scoring.OWN + scoring.rare_class(w)) for w in counts}
     tokens, once = collections.Counter(), collections.Counter()
     for w, n in counts.items():
