@@ -13,7 +13,7 @@ SIGNS = (
     "ℏℑℓℕℙℚℝℤℬℰℱℋℐℒℳ"
     "×÷…–—‘’“”′″"
 )
-STRUCTURE = ("NONE", "PAGE", "PARAGRAPH", "LINE", "WORD")
+STRUCTURE = ("NONE", "PAGE", "PARA", "LINE", "WORD")
 FIRST_CHAR = 5
 
 
@@ -32,8 +32,10 @@ def encode_chars(chars: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def decode_class(rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``label``: the structure's name, the quoted character, or ``?``."""
+    """``label``: the structure's name, the character as a quoted literal, or ``'?'``."""
     names = F.array(*[F.lit(x) for x in STRUCTURE])
-    quoted = F.concat(F.lit("'"), F.col("ch"), F.lit("'"))
-    named = F.when(F.col("class_id") < FIRST_CHAR, F.get(names, F.col("class_id"))).otherwise(F.coalesce(quoted, F.lit("?")))
+    mark = F.when(F.col("ch") == "'", '"').otherwise("'")  # a quote stands between double quotes
+    shown = F.when(F.col("ch") == "\\", "\\\\").when(F.col("ch") == "\u00a0", r"\xa0").when(F.col("ch") == "\u00ad", r"\xad").otherwise(F.col("ch"))
+    quoted = F.concat(mark, shown, mark)
+    named = F.when(F.col("class_id") < FIRST_CHAR, F.get(names, F.col("class_id"))).otherwise(F.coalesce(quoted, F.lit("'?'")))
     return rows.join(vocab, "class_id", "left").withColumn("label", named).drop("ch")

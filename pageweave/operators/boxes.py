@@ -272,3 +272,30 @@ def drop_substring_overlaps(cands: DataFrame, group: str) -> DataFrame:
     kinds = dict(cands.dtypes)
     lost = met.groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, id {kinds['id']}")
     return cands.join(lost, [group, "id"], "left_anti")
+
+
+def invert_index(labelled: DataFrame, label: str = "label", place: str = "doc_id") -> DataFrame:
+    """``label, n, docs``: how often and in how many places each label stands."""
+    return labelled.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.count_distinct(place).alias("docs"))
+
+
+def pyramid(images: DataFrame, scales: tuple[float, ...] = (0.5, 0.75, 1.0)) -> DataFrame:
+    """Each image (``width, height``) at each scale, its sides cut to whole points."""
+    rows = images.withColumn("scale", F.explode(F.array(*[F.lit(float(s)) for s in scales])))
+    return rows.withColumns({c: (F.col(c) * F.col("scale")).cast("int") for c in ("width", "height")})
+
+
+def to_base_coords(boxes: DataFrame) -> DataFrame:
+    """Boxes found at ``scale``, in the points of the image itself."""
+    return boxes.withColumns({c: F.col(c) / F.col("scale") for c in _BOX})
+
+
+def window_vector(scores: DataFrame, windows: DataFrame, group: str) -> DataFrame:
+    """``group, window_id, label, score``: the best score of each label over the boxes that lie in a window.
+
+    ``scores`` has ``group, id``, a box, ``label, score``; ``windows`` has ``group, id`` and a box. Boxes meet windows
+    once, whatever the number of labels; edges count as inside; a window without a box is left out.
+    """
+    rects = scores.select(group, "id", *_BOX).distinct()
+    inside = contains_join(windows, rects, group, tile=128).select(group, F.col("a_id").alias("window_id"), F.col("b_id").alias("id"))
+    return inside.join(scores.select(group, "id", "label", "score"), [group, "id"]).groupBy(group, "window_id", "label").agg(F.max("score").alias("score"))

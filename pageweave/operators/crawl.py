@@ -48,13 +48,19 @@ def insert_or_replace(existing: DataFrame, new: DataFrame, key: str, ts: str) ->
     return rows.withColumn("__n", last).filter("__n = 1").drop("__n", "__new")
 
 
-def asset_status(assets: DataFrame, min_bytes: int = 5000, min_side: int = 200, min_pdf: int = 10000) -> DataFrame:
+def union_sources(links: DataFrame, hits: DataFrame) -> DataFrame:
+    """``url, source``: links with the page they are from, and search hits ``url, query`` with ``google:`` and the query."""
+    found = hits.select("url", F.concat(F.lit("google:"), F.col("query").cast("string")).alias("source"))
+    return links.select("url", "source").unionByName(found)
+
+
+def asset_status(assets: DataFrame, min_bytes: int = 5000, min_side: int = 200, min_pdf: int = 10_000, max_pdf: int = 200_000_000) -> DataFrame:
     """Decision table on ``kind, bytes, width, height, pages``."""
     small = F.least("width", "height") < min_side
     return assets.withColumn(
         "status",
         F.when(F.col("bytes").isNull(), "failed")
-        .when((F.col("kind") == "pdf") & (F.col("bytes") < min_pdf), "failed")
+        .when((F.col("kind") == "pdf") & ((F.col("bytes") < min_pdf) | (F.col("bytes") > max_pdf)), "failed")
         .when((F.col("kind") == "pdf") & (F.col("pages") < 1), "no_pages")
         .when((F.col("kind") != "pdf") & (F.col("bytes") < min_bytes), "skip_small")
         .when((F.col("kind") != "pdf") & small, "skip_small")

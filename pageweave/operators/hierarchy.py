@@ -91,8 +91,25 @@ def class_distribution(samples: DataFrame, label: str = "label") -> DataFrame:
     return samples.groupBy(label).agg(F.count("*").alias("n"))
 
 
-def handwritten_flag(paragraphs: DataFrame, name: str = "font", force: str | None = None) -> DataFrame:
-    """True where the font's name tells a hand; ``force`` names a boolean column that overrides it."""
-    # The words in font names that mean handwriting.
-    told = F.lower(name).rlike("hand|script|caveat|dancing|marker|indie|shadows|pacifico|satisfy")
+# The words in font names that mean handwriting.
+HANDWRITING = (
+    "Bradley Hand", "Brush Script", "Chalkduster", "Comic Sans", "Zapfino", "Apple Chancery", "Trattatello", "PartyLET",
+    "Farisi", "Snell Roundhand", "SignPainter", "Segoe Script", "Kristen", "Marker Felt",
+)
+
+
+def handwritten_flag(paragraphs: DataFrame, name: str = "font", force: str | None = None, probability: str | None = None) -> DataFrame:
+    """True where the font's name tells a hand, or a model's ``probability`` is over a half; ``force`` overrides both.
+
+    ``name``, ``force`` and ``probability`` name columns; the last two may be left out or null in a row.
+    """
+    told = F.coalesce(F.lower(name).rlike("|".join(HANDWRITING).lower()), F.lit(False))
+    if probability:
+        told = F.when(F.col(probability).isNotNull(), F.col(probability) > 0.5).otherwise(told)
     return paragraphs.withColumn("is_handwritten", F.coalesce(F.col(force), told) if force else told)
+
+
+def inherit_flag(children: DataFrame, paragraphs: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines, words or characters with their paragraph's ``is_handwritten``; false where it has none."""
+    flags = paragraphs.select(*keys, "is_handwritten").dropDuplicates(keys)
+    return children.join(flags, keys, "left").withColumn("is_handwritten", F.coalesce("is_handwritten", F.lit(False)))

@@ -9,10 +9,19 @@ ADVANCE, LINE_HEIGHT, MARGIN, WIDTH, PARAGRAPH = 12, 28, 40, 2048, 5
 FIT = (WIDTH - 2 * MARGIN) // ADVANCE
 
 
+#: Pieces of a line: as much as fits up to a space or the end, or a whole width of a word that is longer.
+PIECES = f"[^\\n]{{1,{FIT}}}( |\\z)|[^\\n]{{1,{FIT}}}"
+
+
 def layout_words(docs: DataFrame) -> DataFrame:
-    """``doc_id, pi, li, wi, text, x1, y1, x2, y2``: words parted by spaces; a line too wide ends at its last space."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    pieces = lines.select("doc_id", "n", F.split(F.regexp_extract("line", f"^(.{{0,{FIT}}})( |$)", 1), " ", -1).alias("p"))
+    """``doc_id, pi, li, wi, text, x1, y1, x2, y2``: words parted by spaces, every one of the text.
+
+    A line too wide goes on in a further line after its last space that fits; a word wider than a line is parted at
+    the width. Empty lines take their place; null texts have no words.
+    """
+    wrapped = F.transform(F.split("text", "\n", -1), lambda x: F.when(x == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(x, F.lit(PIECES), 0)))
+    lines = docs.select("doc_id", F.posexplode(F.flatten(wrapped)).alias("n", "line"))
+    pieces = lines.select("doc_id", "n", F.split("line", " ", -1).alias("p"))
     words = pieces.select("doc_id", "n", "p", F.posexplode("p").alias("k", "text")).filter("text <> ''")
     x1 = F.expr(f"{MARGIN} + {ADVANCE} * (length(array_join(slice(p, 1, k), ' ')) + if(k > 0, 1, 0))")
     y1 = MARGIN + LINE_HEIGHT * F.col("n")

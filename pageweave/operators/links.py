@@ -2,45 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Extensions of what is fetched as an image and what is never fetched.
-IMAGES = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "tiff", "tif")
-SKIPPED = ("css", "js", "xml", "json", "zip", "gz", "tar", "mp3", "mp4", "avi", "exe", "dmg", "ico", "svg", "woff", "woff2", "ttf")
-_ANCHOR, _IMG = r'<a\s[^>]*href="([^"]*)"', r'<img\s[^>]*src="([^"]*)"'
+# Extensions of what is fetched as an image and of what is never fetched.
+IMAGES = ("jpg", "jpeg", "png", "gif", "bmp", "webp", "tiff", "tif")
+SKIPPED = (
+    "zip", "gz", "tar", "rar", "7z", "bz2", "xz",
+    "mp3", "mp4", "avi", "mov", "wmv", "flac", "ogg",
+    "exe", "dmg", "iso", "msi", "deb", "rpm",
+    "css", "js", "woff", "woff2", "ttf", "otf", "eot",
+    "svg", "ico",
+)
+#: What a page's links are not looked for in.
+UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+#: Tags that may hold a link; a quoted attribute may hold a ``>``.
+TAGS = r"""(?is)<(?:img|source|meta|a)\s(?:"[^"]*"|'[^']*'|[^'">])*>"""
+SCRIPT_IMAGES = r"""(https?://[^\s"'\\]+\.(?:jpg|jpeg|png|webp|bmp|tiff))"""
+
+
+def attribute(name: str) -> str:
+    """Pattern of an attribute of a tag: its value is one of three groups, by the quotes."""
+    return rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def _value(name: str) -> Column:
+    """The attribute's value in ``tag``, null where it is missing or empty."""
+    found = F.coalesce(*[F.nullif(F.regexp_extract("tag", attribute(name), k), F.lit("")) for k in (1, 2, 3)])
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        found = F.replace(found, F.lit(entity), F.lit(char))
+    return found
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """``page_id, url, kind, ordinal, raw_url``: anchors and images, each target once per page at its first place."""
-    parts = []
-    for kind, pattern in (("page", _ANCHOR), ("image", _IMG)):
-        found = F.regexp_extract_all("html", F.lit(pattern), 1)
-        parts.append(pages.select("page_id", "url", F.lit(kind).alias("kind"), F.posexplode(found).alias("ordinal", "raw_url")))
-    rows = parts[0].unionByName(parts[1])
-    return rows.groupBy("page_id", "url", "kind", "raw_url").agg(F.min("ordinal").alias("ordinal"))
+    """``page_id, url, kind, raw_url, ordinal``: each target once per page and kind, at its first tag's place.
+
+    Images are those of ``img`` (src, else data-src, else data-original), of each part of a ``source``'s srcset, and of
+    the ``meta`` og:image and twitter:image; pages those of ``a href``. Values may be quoted in either way or not at
+    all. Comments, scripts and styles hold no links; a null ``html`` has none.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace("html", UNSEEN, ""), F.lit(TAGS), 0)
+    rows = pages.select("page_id", "url", F.posexplode(tags).alias("ordinal", "tag"))
+    name = F.lower(F.regexp_extract("tag", r"^<([a-zA-Z]+)", 1))
+    parts = F.transform(F.split(_value("srcset"), ","), lambda x: F.regexp_extract(x, r"^\s*(\S*)", 1))
+    shown = F.coalesce(_value("property"), _value("name")).isin("og:image", "twitter:image")
+    found = (
+        F.when(name == "a", F.array(_value("href")))
+        .when(name == "img", F.array(F.coalesce(_value("src"), _value("data-src"), _value("data-original"))))
+        .when(name == "source", parts)
+        .when(shown, F.array(_value("content")))
+    )
+    kind = F.when(name == "a", "page").otherwise("image")
+    rows = rows.select("page_id", "url", kind.alias("kind"), "ordinal", F.explode(found).alias("raw_url"))
+    return rows.filter("raw_url <> ''").groupBy("page_id", "url", "kind", "raw_url").agg(F.min("ordinal").alias("ordinal"))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from the root without ``.`` and ``..`` segments, however many."""
+    segments = F.split(path, "/")
+    folded = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
+    )
+    ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    joined = F.array_join(ended, "/")
+    return F.when(joined == "", "/").otherwise(joined)
 
 
 def resolve_links(links: DataFrame) -> DataFrame:
     """``target``: the raw link made absolute against its page (absolute, ``//host``, ``/path``, ``?``, ``#``, relative)."""
     raw, url = F.trim("raw_url"), F.col("url")
     scheme, host = F.regexp_extract(url, r"^([a-z]+:)//", 1), F.regexp_extract(url, r"^([a-z]+://[^/?#]*)", 1)
-    bare = F.regexp_extract(url, r"^([^#]*)", 1)
-    path = F.regexp_extract(url, r"^([^?#]*)", 1)
-    folder = F.when(path.rlike(r"^[a-z]+://[^/]*$"), F.concat(path, F.lit("/"))).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
-    joined = F.concat(folder, F.regexp_replace(raw, r"^(\./)+", ""))
-    for _ in range(8):  # one step up for each `..`, as many as a link may hold
-        joined = F.regexp_replace(joined, r"(://[^/]*)/\.\./", "$1/")
-        joined = F.regexp_replace(joined, r"(://[^/?#]*(?:/[^/?#]+)*?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
+    bare, full = F.regexp_extract(url, r"^([^#]*)", 1), F.regexp_extract(url, r"^([^?#]*)", 1)
+    folder = F.regexp_extract(url, r"^[a-z]+://[^/?#]*(/(?:[^?#]*/)?)", 1)
+    path, tail = F.regexp_extract(raw, r"^([^?#]*)", 1), F.regexp_extract(raw, r"^[^?#]*(.*)$", 1)
+    beside = F.regexp_replace(F.concat(F.when(folder == "", "/").otherwise(folder), path), "/{2,}", "/")
     return links.withColumn(
         "target",
         F.when(raw.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), raw)
         .when(raw.startswith("//"), F.concat(scheme, raw))
-        .when(raw.startswith("/"), F.concat(host, raw))
+        .when(raw.startswith("/"), F.concat(host, _without_dots(path), tail))
         .when(raw.startswith("#"), F.concat(bare, raw))
-        .when(raw.startswith("?"), F.concat(path, raw))
+        .when(raw.startswith("?"), F.concat(full, raw))
         .when(raw == "", bare)
-        .otherwise(joined),
+        .otherwise(F.concat(host, _without_dots(beside), tail)),
     )
 
 
@@ -62,8 +108,8 @@ def same_domain(rows: DataFrame) -> DataFrame:
     return rows.filter(host("url") == host("target"))
 
 
-def script_urls(pages: DataFrame, first: int = 10, pattern: str = r"(https?://[^\s\"'<>]+)") -> DataFrame:
-    """The first distinct URLs inside script text of each page, in order."""
+def script_urls(pages: DataFrame, first: int = 10, pattern: str = SCRIPT_IMAGES) -> DataFrame:
+    """The first distinct image URLs inside script text of each page, in order; those of ``google`` and ``gstatic`` not."""
     scripts = F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), 1), "\n")
     rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(scripts, F.lit(pattern), 1)).alias("at", "link"))
     rows = rows.filter(~F.col("link").rlike("google|gstatic")).groupBy("page_id", "link").agg(F.min("at").alias("at"))

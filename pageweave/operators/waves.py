@@ -164,3 +164,28 @@ def message_table(conversations: DataFrame) -> DataFrame:
     """The messages of each conversation in order of turn, one string ``role: text`` each."""
     rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     return conversations.groupBy("conv_id").agg(F.transform(rows, lambda r: F.concat(r["role"], F.lit(": "), r["text"])).alias("messages"))
+
+
+def wave_stats(responses: DataFrame) -> DataFrame:
+    """``wave, stored, errors`` from ``wave, usable``; a null counts as an error."""
+    usable = F.coalesce("usable", F.lit(False))
+    return responses.groupBy("wave").agg(F.count_if(usable).alias("stored"), F.count_if(~usable).alias("errors"))
+
+
+def status_report(claims: DataFrame, cascade: DataFrame, batches: DataFrame, processed: DataFrame) -> DataFrame:
+    """``item, status, n, seconds``: claimed files, cascade rows, batches of each status with the time they took, files
+    of each status, and the last completed wave (-1 if none)."""
+    took = F.sum(F.unix_timestamp("completed") - F.unix_timestamp("created"))
+    none, no_time = F.lit("all"), F.lit(None).cast("bigint")
+    last = F.coalesce(F.max(F.when(F.col("status") == "completed", F.col("wave"))), F.lit(-1)).cast("bigint")
+    parts = [
+        claims.agg(F.count("*").alias("n")).select(F.lit("claimed").alias("item"), none.alias("status"), "n", no_time.alias("seconds")),
+        cascade.agg(F.count("*").alias("n")).select(F.lit("cascade").alias("item"), none.alias("status"), "n", no_time.alias("seconds")),
+        batches.groupBy("status").agg(F.count("*").alias("n"), took.alias("seconds")).select(F.lit("batches").alias("item"), "status", "n", "seconds"),
+        processed.groupBy("status").agg(F.count("*").alias("n")).select(F.lit("files").alias("item"), "status", "n", no_time.alias("seconds")),
+        batches.agg(last.alias("n")).select(F.lit("last wave").alias("item"), none.alias("status"), "n", no_time.alias("seconds")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -27,9 +27,10 @@ def longs(df: DataFrame, *names: str) -> DataFrame:
 
 
 #: Words with boxes, as ``layout.layout_words`` makes them.
-WORDS = """
-ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
-pc AS (SELECT doc_id, n, string_split(regexp_extract(line, '^(.{0,164})( |$)', 1), ' ') AS p FROM ln),
+WORDS = f"""
+wr AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN x = '' THEN [''] ELSE regexp_extract_all(x, '{layout.PIECES}') END)) AS w FROM documents),
+ln AS (SELECT doc_id, unnest(w) AS line, unnest(range(len(w))) AS n FROM wr),
+pc AS (SELECT doc_id, n, string_split(line, ' ') AS p FROM ln),
 wk AS (SELECT doc_id, n, p, unnest(range(len(p))) AS k FROM pc),
 words AS (SELECT doc_id, (n // 5)::INT AS pi, (n % 5)::INT AS li, len(list_filter(p[1:k], lambda x: x <> ''))::INT AS wi, p[k + 1] AS text,
   (40 + 12 * (length(array_to_string(p[1:k], ' ')) + (k > 0)::INT))::INT AS x1, (40 + 28 * n)::INT AS y1,

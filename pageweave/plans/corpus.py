@@ -21,9 +21,52 @@ def register(sql: str | None = None):
     return add
 
 
-LINKS = """a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS raw_url, unnest(range(len(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1))))::INT AS ordinal FROM pages),
- links AS (SELECT page_id, url, 'page' AS kind, raw_url, min(ordinal) AS ordinal FROM a GROUP BY ALL),
- res AS (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || raw_url AS target FROM links WHERE raw_url LIKE '/%')"""
+#: What every page gets after its own text, so that all kinds of links, quotes and classes occur; %d is the page's id.
+MORE = (
+    "<img src='/i/%d.PNG'><img data-src=\"../thumb/%d.jpg?w=1&amp;h=2\"><IMG alt=\"a > b\" src=\"\" data-original=plain%d.webp>"
+    "<source srcset=\"/s/%d-1.png 1x, ./s/%d-2.png 2x,\"><meta property=\"og:image\" content=\"//cdn.example.org/%d.gif\">"
+    "<meta name='twitter:image' content='https://img.example.org/%d.bmp'><meta name=\"author\" content=\"x%d\">"
+    "<a class=x href='/docs/../papers/./%d.PDF#page=2'>p</a><a href=\"/data/%d.tar\">t</a><a href=\"feed%d.xml\">f</a><a href=\"?q=%d\">q</a>"
+    "<a href=\"#top%d\">h</a><a href=\"mailto:a%d@example.org\">m</a><a href=\"a/b/c/../../../../../../../../../../d/%d/..\">u</a>"
+    "<!-- <a href=\"/hidden/%d\">n</a> --><a href=\"http://other.example.org:8080/%d\">o</a>"
+    "<script>var s = \"https://pics.example.net/%d.jpeg\", g = 'https://www.gstatic.com/%d.png', t = 'https://pics.example.net/%d.tiff';</script>"
+)
+_SQL_MORE = MORE.replace("'", "''")
+
+
+def _pages(spark, d):
+    return table(spark, d, "pages").withColumn("html", F.concat("html", F.replace(F.lit(MORE), F.lit("%d"), F.col("page_id").cast("string"))))
+
+
+def _sql_value(name: str) -> str:
+    p = links.attribute(name).replace("'", "''")
+    found = "coalesce(" + ", ".join(f"nullif(regexp_extract(tag, '{p}', {k}), '')" for k in (1, 2, 3)) + ")"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        found = f"replace({found}, '{entity}', '{char}')"
+    return found
+
+
+_TAGS_SQL, _IMAGES_SQL = links.TAGS.replace("'", "''"), ", ".join(f"'{x}'" for x in links.IMAGES)
+LINKS = rf"""more AS (SELECT page_id, url, html || replace('{_SQL_MORE}', '%d', page_id::VARCHAR) AS html FROM pages),
+ tags AS (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '{links.UNSEEN}', '', 'g'), '{_TAGS_SQL}') AS t FROM more),
+ tg AS (SELECT page_id, url, unnest(t) AS tag, unnest(range(len(t)))::INT AS ordinal FROM tags),
+ nm AS (SELECT *, lower(regexp_extract(tag, '^<([a-zA-Z]+)', 1)) AS name FROM tg),
+ vl AS (SELECT page_id, url, ordinal, CASE WHEN name = 'a' THEN 'page' ELSE 'image' END AS kind, unnest(
+  CASE WHEN name = 'a' THEN [{_sql_value("href")}] WHEN name = 'img' THEN [coalesce({_sql_value("src")}, {_sql_value("data-src")}, {_sql_value("data-original")})]
+  WHEN name = 'source' THEN list_transform(string_split({_sql_value("srcset")}, ','), lambda x: regexp_extract(x, '^\s*(\S*)', 1))
+  WHEN coalesce({_sql_value("property")}, {_sql_value("name")}) IN ('og:image', 'twitter:image') THEN [{_sql_value("content")}] END) AS raw_url FROM nm),
+ links AS (SELECT page_id, url, kind, raw_url, min(ordinal) AS ordinal FROM vl WHERE raw_url <> '' GROUP BY ALL),
+ pt AS (SELECT *, trim(raw_url) AS raw, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*(/(?:[^?#]*/)?)', 1) AS folder,
+  regexp_extract(trim(raw_url), '^([^?#]*)', 1) AS path, regexp_extract(trim(raw_url), '^[^?#]*(.*)$', 1) AS tail FROM links),
+ sg AS (SELECT *, string_split(CASE WHEN raw LIKE '/%' THEN path ELSE regexp_replace(CASE WHEN folder = '' THEN '/' ELSE folder END || path, '/{{2,}}', '/', 'g') END, '/') AS s FROM pt),
+ fd AS (SELECT *, list_reduce(list_transform(s, lambda x: [x]), lambda acc, x: CASE WHEN x[1] = '..' THEN acc[1:greatest(len(acc) - 1, 1)] WHEN x[1] = '.' THEN acc ELSE list_concat(acc, x) END) AS f FROM sg),
+ jn AS (SELECT *, array_to_string(CASE WHEN s[-1] IN ('.', '..') THEN list_concat(f, ['']) ELSE f END, '/') AS j FROM fd),
+ res AS (SELECT page_id, url, kind, raw_url, ordinal, CASE WHEN regexp_matches(raw, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN raw
+  WHEN raw LIKE '//%' THEN regexp_extract(url, '^([a-z]+:)//', 1) || raw WHEN raw LIKE '#%' THEN regexp_extract(url, '^([^#]*)', 1) || raw
+  WHEN raw LIKE '?%' THEN regexp_extract(url, '^([^?#]*)', 1) || raw ELSE host || CASE WHEN j = '' THEN '/' ELSE j END || tail END AS target FROM jn),
+ ex AS (SELECT *, lower(regexp_extract(regexp_extract(target, '^[a-z]+://[^/?#]*([^?#]*)', 1), '\.([^./]+)$', 1)) AS ext FROM res WHERE regexp_matches(target, '^https?://')),
+ cl AS (SELECT page_id, url, CASE WHEN ext = 'pdf' THEN 'pdf' WHEN ext IN ({_IMAGES_SQL}) THEN 'image' WHEN ext IN ('tar', 'zip', 'js', 'css', 'svg', 'ico', 'mp4', 'exe') THEN 'skip' ELSE 'page' END AS class, target AS t0 FROM ex),
+ cls AS (SELECT page_id, url, class, CASE WHEN class = 'page' THEN regexp_replace(t0, '#.*$', '') ELSE t0 END AS target FROM cl)"""
 
 
 @register("SELECT page_id, url, length(html) AS n FROM pages WHERE regexp_matches(html, '(?i)<\\s*(?:!doctype|html|body|a|p|div)\\b')")
@@ -35,33 +78,32 @@ def s1_read_pages(spark, d):
 
 @register(f"WITH {LINKS} SELECT page_id, kind, raw_url, ordinal FROM links")
 def c1_extract_links(spark, d):
-    return links.extract_links(table(spark, d, "pages")).select("page_id", "kind", "raw_url", "ordinal")
+    return links.extract_links(_pages(spark, d)).select("page_id", "kind", "raw_url", "ordinal")
 
 
 @register(f"WITH {LINKS} SELECT page_id, raw_url, target FROM res")
 def c2_resolve_links(spark, d):
-    return links.resolve_links(links.extract_links(table(spark, d, "pages"))).select("page_id", "raw_url", "target")
+    return links.resolve_links(links.extract_links(_pages(spark, d))).select("page_id", "raw_url", "target")
 
 
-@register(f"WITH {LINKS} SELECT page_id, target, 'page' AS class FROM res")
+@register(f"WITH {LINKS} SELECT page_id, target, class FROM cls")
 def c3_classify_links(spark, d):
-    r = links.classify_links(links.resolve_links(links.extract_links(table(spark, d, "pages"))))
+    r = links.classify_links(links.resolve_links(links.extract_links(_pages(spark, d))))
     return r.select("page_id", "target", "class")
 
 
-@register(f"WITH {LINKS} SELECT page_id, count(*) AS n FROM res GROUP BY page_id")
+@register(f"WITH {LINKS} SELECT page_id, count(*) AS n FROM cls WHERE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(target, '^[a-z]+://([^/?#]*)', 1) GROUP BY page_id")
 def c6_same_domain(spark, d):
-    r = links.same_domain(links.classify_links(links.resolve_links(links.extract_links(table(spark, d, "pages")))))
+    r = links.same_domain(links.classify_links(links.resolve_links(links.extract_links(_pages(spark, d)))))
     return r.groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@register("""WITH s AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), chr(10)) AS t FROM pages),
- u AS (SELECT page_id, unnest(regexp_extract_all(t, '([a-zA-Z_]+)', 1)) AS link, unnest(range(len(regexp_extract_all(t, '([a-zA-Z_]+)', 1)))) AS pos FROM s),
- f AS (SELECT page_id, link, min(pos) AS pos FROM u GROUP BY ALL)
+@register(f"""WITH {LINKS}, s AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), chr(10)) AS t FROM more),
+ u AS (SELECT page_id, unnest(regexp_extract_all(t, '{links.SCRIPT_IMAGES.replace("'", "''")}', 1)) AS link, unnest(range(len(regexp_extract_all(t, '{links.SCRIPT_IMAGES.replace("'", "''")}', 1)))) AS pos FROM s),
+ f AS (SELECT page_id, link, min(pos) AS pos FROM u WHERE NOT regexp_matches(link, 'google|gstatic') GROUP BY ALL)
  SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS rank FROM f QUALIFY rank <= 10""")
 def c7_script_image_urls(spark, d):
-    """The pages' scripts hold no URLs; the operator runs with a pattern for names."""
-    return links.script_urls(table(spark, d, "pages"), 10, "([a-zA-Z_]+)")
+    return links.script_urls(_pages(spark, d))
 
 
 @register("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
@@ -160,8 +202,8 @@ def c18_crawl_counts(spark, d):
 
 @register("SELECT url, 'crawl' AS source FROM pages UNION ALL SELECT text, 'google:' || item_id FROM benchmark")
 def c19_union_sources(spark, d):
-    hits = table(spark, d, "benchmark").select(F.col("text").alias("url"), F.concat(F.lit("google:"), "item_id").alias("source"))
-    return table(spark, d, "pages").select("url", F.lit("crawl").alias("source")).unionByName(hits)
+    hits = table(spark, d, "benchmark").select(F.col("text").alias("url"), F.col("item_id").cast("string").alias("query"))
+    return crawl.union_sources(table(spark, d, "pages").select("url", F.lit("crawl").alias("source")), hits)
 
 
 @register("SELECT page_id, printf('doc_%06d_%s.png', page_id, md5(url)[1:12]) AS name, 'documents/' || printf('doc_%06d_%s.png', page_id, md5(url)[1:12]) AS object_key FROM pages")
@@ -206,16 +248,22 @@ def w11_assembly_status(spark, d):
     return waves.assembly_status(docs, docs.filter("doc_id % 4 = 0")).select("doc_id", "status")
 
 
-@register("SELECT 'orders' AS item, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'events', event_type, count(*) FROM events GROUP BY ALL")
+@register("""WITH b AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'submitted' ELSE 'failed' END AS status, o_orderkey % 7 AS wave, (o_custkey % 5) * 3600 AS took FROM orders)
+ SELECT 'claimed' AS item, 'all' AS status, count(*) AS n, NULL::BIGINT AS seconds FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'cascade', 'all', count(*), NULL FROM lineitem
+ UNION ALL SELECT 'batches', status, count(*), sum(took)::BIGINT FROM b GROUP BY status UNION ALL SELECT 'files', event_type, count(*), NULL FROM events GROUP BY event_type
+ UNION ALL SELECT 'last wave', 'all', coalesce(max(wave) FILTER (status = 'completed'), -1), NULL FROM b""")
 def w12_status_report(spark, d):
-    o = crawl.counts_by(table(spark, d, "orders").select(F.lit("orders").alias("item"), F.col("o_orderstatus").alias("status")), "item", "status")
-    return o.unionByName(crawl.counts_by(table(spark, d, "events").select(F.lit("events").alias("item"), F.col("event_type").alias("status")), "item", "status"))
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "submitted").otherwise("failed")
+    done = F.timestamp_seconds(F.unix_timestamp("o_orderdate") + (F.col("o_custkey") % 5) * 3600)
+    batches = table(spark, d, "orders").select(status.alias("status"), (F.col("o_orderkey") % 7).alias("wave"), F.col("o_orderdate").alias("created"), done.alias("completed"))
+    claims = table(spark, d, "documents").filter("doc_id % 3 = 0")
+    return waves.status_report(claims, table(spark, d, "lineitem"), batches, table(spark, d, "events").withColumnRenamed("event_type", "status"))
 
 
 @register("SELECT user_id % 5 AS wave, count(*) FILTER (value >= 20) AS stored, count(*) FILTER (value < 20) AS errors FROM events GROUP BY ALL")
 def w13_wave_stats(spark, d):
-    e = table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("wave"))
-    return e.agg(F.count_if(F.col("value") >= 20).alias("stored"), F.count_if(F.col("value") < 20).alias("errors"))
+    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("wave"), (F.col("value") >= 20).alias("usable"))
+    return waves.wave_stats(e)
 
 
 @register("""SELECT role, count(*) AS calls, sum(length(text))::BIGINT AS prompt, sum(length(text) // 3)::BIGINT AS completion, (sum(length(text)) + sum(length(text) // 3))::BIGINT AS total,

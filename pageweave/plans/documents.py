@@ -83,10 +83,15 @@ def h8_assemble_text(spark, d):
     return hierarchy.assemble_text(layout.layout_chars(words(spark, d)))
 
 
-@register("SELECT source, count(*) AS n, count(*) FILTER (regexp_matches(lower(source || '-' || lang), 'src1|hand|script')) AS n_hand FROM documents GROUP BY source")
+@register("""SELECT source, count(*) AS n, count(*) FILTER (CASE WHEN doc_id % 5 = 0 THEN doc_id % 10 = 0 WHEN doc_id % 7 = 0 THEN doc_id % 3 = 2
+ ELSE doc_id % 4 < 2 END) AS n_hand FROM documents GROUP BY source""")
 def h9_handwritten_flag(spark, d):
-    font = table(spark, d, "documents").withColumn("font", F.concat_ws("-", F.regexp_replace("source", "^src1", "Script"), "lang"))
-    return hierarchy.handwritten_flag(font).groupBy("source").agg(F.count("*").alias("n"), F.count_if("is_handwritten").alias("n_hand"))
+    """A forced flag at every fifth document, else a probability at every seventh, else the font's name."""
+    i = F.col("doc_id")
+    names = F.get(F.array(*[F.lit(x) for x in ("Comic Sans MS.ttf", "MarkerFelt and Marker Felt", "Arial", "Handel Gothic")]), (i % 4).cast("int"))
+    rows = table(spark, d, "documents").select("source", names.alias("font"), F.when(i % 5 == 0, i % 10 == 0).alias("forced"), F.when(i % 7 == 0, (i % 3) / 3.0).alias("p"))
+    flags = hierarchy.handwritten_flag(rows, "font", "forced", "p")
+    return flags.groupBy("source").agg(F.count("*").alias("n"), F.count_if("is_handwritten").alias("n_hand"))
 
 
 @register("SELECT doc_id, pi, li, x1, y1, x2, y2 FROM lines")
@@ -247,7 +252,7 @@ def b11_best_box(spark, d):
 
 @register("SELECT text AS label, count(*) AS n, count(DISTINCT doc_id) AS docs FROM words GROUP BY text")
 def b12_invert_index(spark, d):
-    return words(spark, d).groupBy(F.col("text").alias("label")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return boxes.invert_index(words(spark, d), "text")
 
 
 @register("""WITH i AS (SELECT doc_id, 64 + (n_chars % 700)::INT AS width, 64 + (n_chars % 300)::INT AS height FROM documents),
@@ -259,10 +264,12 @@ def b14_sliding_windows(spark, d):
     return longs(w, "last", "x1", "y1")
 
 
-@register("""SELECT doc_id, s AS scale, trunc((64 + n_chars % 700) * s)::INT AS width FROM documents, (SELECT unnest([0.5, 0.75, 1.0])::DOUBLE AS s)""")
+@register("""SELECT doc_id, s AS scale, trunc((64 + n_chars % 700) * s)::INT AS width, trunc((64 + n_chars % 300) * s)::INT AS height,
+ round(trunc((64 + n_chars % 700) * s) / s, 6) AS base_width FROM documents, (SELECT unnest([0.5, 0.75, 1.0])::DOUBLE AS s)""")
 def b15_pyramid(spark, d):
-    i = table(spark, d, "documents").withColumn("scale", F.explode(F.array(F.lit(0.5), F.lit(0.75), F.lit(1.0))))
-    return i.select("doc_id", "scale", ((64 + F.col("n_chars") % 700) * F.col("scale")).cast("int").alias("width"))
+    i = table(spark, d, "documents").select("doc_id", (64 + F.col("n_chars") % 700).alias("width"), (64 + F.col("n_chars") % 300).alias("height"))
+    p = boxes.pyramid(i).withColumns({"x1": F.lit(0), "y1": F.lit(0), "x2": F.col("width"), "y2": F.col("height")})
+    return boxes.to_base_coords(p).select("doc_id", "scale", "width", "height", F.round("x2", 6).alias("base_width"))
 
 
 def _scores(spark, d):
@@ -289,9 +296,18 @@ def b18_argmax_label(spark, d):
     return boxes.argmax_label(_scores(spark, d), "vec_id").withColumn("score", F.round("score", 6))
 
 
-@register(f"WITH {SCORES} SELECT vec_id // 10 AS win, label, round(max(score), 6) AS score FROM sc GROUP BY ALL")
+@register(f"""WITH {SCORES}, r AS (SELECT *, vec_id // 100 AS img, (vec_id % 10) * 32 AS x1, (vec_id % 100 // 10) * 32 AS y1 FROM sc),
+ w AS (SELECT DISTINCT img, 10 * i + j AS window_id, 40 * i AS x1, 50 * j AS y1 FROM r, (SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j))
+ SELECT r.img, window_id, label, round(max(score), 6) AS score FROM w JOIN r ON w.img = r.img AND r.x1 >= w.x1 AND r.y1 >= w.y1 AND r.x1 + 64 <= w.x1 + 192 AND r.y1 + 64 <= w.y1 + 128
+ GROUP BY ALL""")
 def b19_window_vector(spark, d):
-    return _scores(spark, d).groupBy(F.expr("vec_id div 10").alias("win"), "label").agg(F.round(F.max("score"), 6).alias("score"))
+    """Boxes of 64 by 64 on a grid of 32 in images of a hundred, windows of 192 by 128."""
+    at = {"img": F.expr("vec_id div 100"), "x1": F.expr("(vec_id % 10) * 32"), "y1": F.expr("(vec_id % 100 div 10) * 32")}
+    s = _scores(spark, d).withColumns(at).withColumnRenamed("vec_id", "id")
+    s = s.withColumns({"x2": F.col("x1") + 64, "y2": F.col("y1") + 64})
+    w = s.select("img").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    w = w.selectExpr("img", "10 * i + j AS id", "40 * i AS x1", "50 * j AS y1", "40 * i + 192 AS x2", "50 * j + 128 AS y2")
+    return longs(boxes.window_vector(s, w, "img").withColumn("score", F.round("score", 6)), "window_id")
 
 
 @register("""WITH t AS (SELECT label AS key, arg_min(embedding, vec_id) AS tv FROM embeddings GROUP BY label),
@@ -361,7 +377,7 @@ def t5_pad_batch(spark, d):
     return training.pad_batch(_sequences(spark, d), "doc_id", 8).select("doc_id", "pi", "li", "batch", "padding")
 
 
-@register(f"""WITH {WORDS}{CHARS} SELECT CASE WHEN {KNOWN} THEN '''' || ch || '''' ELSE 'NONE' END AS label, count(*) AS n FROM chars GROUP BY ALL""")
+@register(f"""WITH {WORDS}{CHARS} SELECT CASE WHEN NOT {KNOWN} THEN 'NONE' WHEN ch = '''' THEN '"''"' WHEN ch = '\\\\' THEN '''\\\\\\\\''' WHEN unicode(ch) IN (160, 173) THEN '''\\\\x' || lower(hex(unicode(ch))) || '''' ELSE '''' || ch || '''' END AS label, count(*) AS n FROM chars GROUP BY ALL""")
 def t6_encode_decode(spark, d):
     v = vocabulary(spark)
     codes = encode_chars(layout.layout_chars(words(spark, d)).select("ch"), v).select("class_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pageweave.functions.scratch import new_path
 from pageweave.operators import boxes, crawl, detect, geometry, hierarchy, links, metrics
 from pageweave.plans.common import WORDS, lines, table, words
-from pageweave.plans.corpus import LINKS, LOGS, _logs
+from pageweave.plans.corpus import LINKS, _pages, LOGS, _logs
 from pageweave.plans.documents import DETS, _BOX, _contours, _dets
 from pageweave.sources import files
 from pageweave.streaming import ingest
@@ -126,12 +126,12 @@ def d3_close_contours(spark, d):
     return detect.close_contours(w, ["doc_id", "pi"], "k", 200.0)
 
 
-@register(f"""WITH {LINKS}, f AS (SELECT target AS url, min({{'o': 1000 * page_id + ordinal, 's': 'page' || page_id}}) AS f FROM res GROUP BY target),
+@register(f"""WITH {LINKS}, f AS (SELECT target AS url, min({{'o': 1000 * page_id + ordinal, 's': 'page' || page_id}}) AS f FROM res WHERE kind = 'page' GROUP BY target),
  t AS (SELECT url, f.s AS source, f.o AS o FROM f WHERE length(url) % 7 <> 0 AND length(url) % 6 >= 2 ORDER BY o, url LIMIT 150),
  n AS (SELECT url, source, row_number() OVER (ORDER BY o) - 1 AS index FROM t)
  SELECT url, source, index, printf('doc_%04d_%s.png', index, md5(url)[1:8]) AS name FROM n""")
 def d7_collect_documents(spark, d):
-    found = links.resolve_links(links.extract_links(table(spark, d, "pages"))).select(
+    found = links.resolve_links(links.extract_links(_pages(spark, d)).filter("kind = 'page'")).select(
         F.col("target").alias("url"), (1000 * F.col("page_id") + F.col("ordinal")).alias("ordinal"), F.concat(F.lit("page"), "page_id").alias("source")
     )
     counts = found.select("url").distinct().withColumn("paragraphs", F.length("url") % 6).filter(F.length("url") % 7 != 0)

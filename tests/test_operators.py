@@ -223,3 +223,32 @@ def test_changed_files(spark):
     before = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, hash string")
     now = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4"), ("d", None)], "path string, hash string")
     assert sorted(r["path"] for r in crawl.changed_files(before, now).collect()) == ["b", "c"]
+
+
+def test_every_word_gets_a_box(spark):
+    """Lines too wide go on in further lines; a word wider than a line is parted at the width."""
+    texts = ["a " * 300 + "\n\n b", "x" * 400, "w" * 164 + " z", "\r q\u0085r  ", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = layout.layout_words(docs).orderBy("doc_id", "pi", "li", "wi").collect()
+    for k, t in enumerate(texts):
+        mine = [r for r in rows if r["doc_id"] == k]
+        joined = "".join(r["text"] for r in mine)
+        assert joined == (t or "").replace(" ", "").replace("\n", "")
+        assert all(r["x2"] <= layout.WIDTH - layout.MARGIN for r in mine)
+    assert [len(r["text"]) for r in rows if r["doc_id"] == 1] == [164, 164, 72]
+    assert max(5 * r["pi"] + r["li"] for r in rows if r["doc_id"] == 0) == 5  # four lines of the first, an empty one, the last
+
+
+def test_links_of_all_tags(spark):
+    html = """<img src=one.png><IMG data-src='/two.jpg'><img src="" data-original="three.gif?a=1&amp;b=2"><source srcset="s1 1x, s2 2x,">
+     <meta property="og:image" content="og.png"><meta name=viewport content="no"><a title="a > b" href='four.html'><a href=""><!-- <a href="no"> -->
+     <script>"<a href='no2'>"</script><a href="four.html">"""
+    rows = links.extract_links(spark.createDataFrame([(1, "http://h/", html), (2, "http://h/", None)], "page_id long, url string, html string")).collect()
+    want = ["one.png", "/two.jpg", "three.gif?a=1&b=2", "s1", "s2", "og.png", "four.html"]
+    assert [r["raw_url"] for r in sorted(rows, key=lambda r: (r["ordinal"], r["raw_url"]))] == want
+
+
+def test_any_number_of_steps_up(spark):
+    raw = {"../" * 30 + "x": "http://h/x", "/a/../b/./c": "http://h/b/c", "..": "http://h/d/", "e/f/../..//g?q=../..": "http://h/d/e2/g?q=../..", ".": "http://h/d/e2/"}
+    df = spark.createDataFrame([(u,) for u in raw], "raw_url string").selectExpr("1L AS page_id", "'http://h/d/e2/p.html?x=/y/' AS url", "raw_url")
+    assert {r["raw_url"]: r["target"] for r in links.resolve_links(df).collect()} == raw
