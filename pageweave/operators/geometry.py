@@ -72,14 +72,20 @@ def normalise_winding(df: DataFrame, c: str = "contour") -> DataFrame:
     return df.withColumn(c, F.when((F.size(c) > 2) & (shoelace(c) > 0), F.reverse(c)).otherwise(F.col(c)))
 
 
+def _once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Columns that are computed once a row: a one-row generator keeps the optimiser from repeating them at each use."""
+    made = df.withColumn("__made", F.explode(F.array(F.struct(*[e.alias(n) for n, e in cols.items()]))))
+    return made.withColumns({n: F.col(f"__made.{n}") for n in cols}).drop("__made")
+
+
 def cascade_params(df: DataFrame, c: str = "contour") -> DataFrame:
     """Crop origin and size, angle (none below half a degree), rotation centre, scale and pads of a contour's retina."""
     ext = {f"{f}_{a}": F.expr(f"array_{f}(transform({c}, p -> p.{a}))") for f in ("min", "max") for a in "xy"}
-    df = df.withColumns({"px": ext["min_x"], "py": ext["min_y"], "cw": ext["max_x"] - ext["min_x"], "chh": ext["max_y"] - ext["min_y"], "angle": dominant_angle(c)})
+    df = _once(df, px=ext["min_x"], py=ext["min_y"], cw=ext["max_x"] - ext["min_x"], chh=ext["max_y"] - ext["min_y"], angle=dominant_angle(c))
     df = df.withColumn("angle", F.when(F.abs("angle") < 0.5, 0.0).otherwise(F.col("angle")))
     cos, sin = F.abs(F.cos(F.radians("angle"))), F.abs(F.sin(F.radians("angle")))
     rw, rh = F.ceil(F.col("cw") * cos + F.col("chh") * sin - 1e-9), F.ceil(F.col("cw") * sin + F.col("chh") * cos - 1e-9)
-    df = df.withColumns({"rw": F.greatest(rw, F.lit(1)), "rh": F.greatest(rh, F.lit(1))})
+    df = _once(df, rw=F.greatest(rw, F.lit(1)), rh=F.greatest(rh, F.lit(1)))
     s = F.least(F.lit(float(SIDE)) / F.col("rw"), F.lit(float(SIDE)) / F.col("rh"))
     df = df.withColumn("scale", s)
     return df.withColumns({"ox": F.floor((SIDE - (F.col("rw") * s).cast("int")) / 2), "oy": F.floor((SIDE - (F.col("rh") * s).cast("int")) / 2)})
@@ -89,18 +95,18 @@ def forward_contours(df: DataFrame, c: str = "contour") -> DataFrame:
     """Crop, rotate about the crop's centre, shift, scale and pad; coordinates cut toward zero."""
     x, y = "(p.x - px - cw / 2)", "(p.y - py - chh / 2)"
     a = "radians(angle)"
-    return df.withColumn(c, F.expr(
+    return _once(df, **{c: F.expr(
         f"transform({c}, p -> struct(cast(({x} * cos({a}) + {y} * sin({a}) + rw / 2) * scale + ox AS int) AS x, cast((-{x} * sin({a}) + {y} * cos({a}) + rh / 2) * scale + oy AS int) AS y))"
-    ))
+    )})
 
 
 def lift_contours(df: DataFrame, c: str = "contour") -> DataFrame:
     """Inverse of ``forward_contours``, rounded half to even."""
     u, v = "((p.x - ox) / scale - rw / 2)", "((p.y - oy) / scale - rh / 2)"
     a = "radians(angle)"
-    return df.withColumn(c, F.expr(
+    return _once(df, **{c: F.expr(
         f"transform({c}, p -> struct(cast(bround({u} * cos({a}) - {v} * sin({a}) + cw / 2 + px) AS int) AS x, cast(bround({u} * sin({a}) + {v} * cos({a}) + chh / 2 + py) AS int) AS y))"
-    ))
+    )})
 
 
 def globalise_contours(df: DataFrame, c: str = "contour") -> DataFrame:
