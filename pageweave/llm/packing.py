@@ -100,7 +100,7 @@ def slots(chosen: list[tuple[tuple[tuple[int, int], ...], int]]) -> np.ndarray:
     return a[np.lexsort((a[:, 1], a[:, 0]))]
 
 
-def ranked(cut: DataFrame, histogram: dict[int, int], per_part: int = 2000) -> DataFrame:
+def ranked(cut: DataFrame, histogram: dict[int, int], per_part: int = 500) -> DataFrame:
     """``rank`` of each piece among those of its length, from 0, in no task that holds all of a length.
 
     Pieces of a length are dealt by hash into as many parts as it needs; the parts' counts give their first ranks.

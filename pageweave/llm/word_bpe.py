@@ -27,10 +27,9 @@ def _tokenizers(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
 
-    whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    whole = Tokenizer.from_file(path)
     whole.encode_special_tokens = True  # added tokens are parted off before, where they stand in the text as it is
-    bare.encode_special_tokens = True
-    bare.normalizer = None
+    bare = Tokenizer(whole.model)
     bare.pre_tokenizer = pre_tokenizers.Sequence(
         [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
     )
@@ -72,7 +71,7 @@ class WordEncoder:
     ``most`` bounds what is remembered, never the result.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         self.whole, self.bare = _tokenizers(path)
         self.most = most
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
