@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -56,6 +56,21 @@ def line_fails(line: str) -> bool:
     return matched > 0 and matched >= MATCHED * chars
 
 
+def repeated_words(words: list[bytes]) -> int:
+    """Words in windows of three that are found twice or more, in arrays of one number a word."""
+    code: dict[bytes, int] = {}
+    c = np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, len(words))
+    n = len(code)
+    if len(words) < 4 or n == len(words):
+        return 0
+    pair = np.unique(c[:-1] * n + c[1:], return_inverse=True)[1]
+    _, which, count = np.unique(pair[:-1] * n + c[2:], return_inverse=True, return_counts=True)
+    k = np.flatnonzero(count[which] > 1)
+    covered = np.zeros(len(words), bool)
+    covered[k] = covered[k + 1] = covered[k + 2] = True
+    return int(covered.sum())
+
+
 def measure(text: str | None) -> tuple:
     """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned text``."""
     text = text or ""
@@ -64,15 +79,7 @@ def measure(text: str | None) -> tuple:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     chars = len(text) - sum(text.count(c) for c in SPACES)
     symbols = sum(text.count(c) for c in SYMBOLS)
-    windows = list(zip(words, words[1:], words[2:]))
-    repeated = 0
-    seen = Counter(windows)
-    if len(seen) < len(windows):
-        last = -1
-        for i, w in enumerate(windows):
-            if seen[w] > 1:
-                repeated += i + 3 - max(i, last)
-                last = i + 3
+    repeated = repeated_words(words)
     failed = len(words) < MIN_WORDS or 100 * repeated > 50 * len(words)
     parts = text.split("\n")
     good = [x for x in parts if not line_fails(x)]
