@@ -16,19 +16,25 @@ SKIPPED = (
 )
 #: What a page's links are not looked for in.
 UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-#: Tags that may hold a link; a quoted attribute may hold a ``>``.
-TAGS = r"""(?is)<(?:img|source|meta|a)\s(?:"[^"]*"|'[^']*'|[^'">])*>"""
-SCRIPT_IMAGES = r"""(https?://[^\s"'\\]+\.(?:jpg|jpeg|png|webp|bmp|tiff))"""
+#: Tags that may hold a link; a quoted attribute may hold a ``>``. Nothing is tried twice, so a tag may be of any length.
+TAGS = r"""(?is)<(?:img|source|meta|a)\s(?:"[^"]*+"|'[^']*+'|[^'">]++)*+>"""
+#: Name and value (one of three groups, by the quotes) of each attribute of a tag, one after the other.
+ATTRIBUTES = r"""([^\s"'>/=]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))"""
+#: What scripts hold as URLs.
+URLS = r"""https?://[^\s"'\\<>()]++"""
 
 
-def attribute(name: str) -> str:
-    """Pattern of an attribute of a tag: its value is one of three groups, by the quotes."""
-    return rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+def _attributes() -> Column:
+    """The attributes of ``tag`` in order: ``name`` (lower case) and ``value``."""
+    names = F.transform(F.regexp_extract_all("tag", F.lit(ATTRIBUTES), 1), F.lower)
+    values = [F.regexp_extract_all("tag", F.lit(ATTRIBUTES), k) for k in (2, 3, 4)]
+    whole = F.transform(F.arrays_zip(*[v.alias(f"v{k}") for k, v in enumerate(values)]), lambda v: F.concat(v["v0"], v["v1"], v["v2"]))
+    return F.arrays_zip(names.alias("name"), whole.alias("value"))
 
 
 def _value(name: str) -> Column:
-    """The attribute's value in ``tag``, null where it is missing or empty."""
-    found = F.coalesce(*[F.nullif(F.regexp_extract("tag", attribute(name), k), F.lit("")) for k in (1, 2, 3)])
+    """The value of the first attribute of that name in ``attributes``, null where it is missing or empty."""
+    found = F.nullif(F.get(F.filter("attributes", lambda a: a["name"] == name), F.lit(0))["value"], F.lit(""))
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         found = F.replace(found, F.lit(entity), F.lit(char))
     return found
@@ -42,7 +48,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     all. Comments, scripts and styles hold no links; a null ``html`` has none.
     """
     tags = F.regexp_extract_all(F.regexp_replace("html", UNSEEN, ""), F.lit(TAGS), 0)
-    rows = pages.select("page_id", "url", F.posexplode(tags).alias("ordinal", "tag"))
+    rows = pages.select("page_id", "url", F.posexplode(tags).alias("ordinal", "tag")).withColumn("attributes", _attributes())
     name = F.lower(F.regexp_extract("tag", r"^<([a-zA-Z]+)", 1))
     parts = F.transform(F.split(_value("srcset"), ","), lambda x: F.regexp_extract(x, r"^\s*(\S*)", 1))
     shown = F.coalesce(_value("property"), _value("name")).isin("og:image", "twitter:image")
@@ -90,10 +96,15 @@ def resolve_links(links: DataFrame) -> DataFrame:
     )
 
 
+def extension(url: str) -> Column:
+    """The lower-case extension of the path of a URL in column ``url``, empty if none."""
+    path = F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+
+
 def classify_links(resolved: DataFrame) -> DataFrame:
     """http(s) targets with ``class`` pdf, image, skip or page by the path's extension; page targets lose the fragment."""
-    path = F.regexp_extract("target", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    ext = extension("target")
     kind = F.when(ext == "pdf", "pdf").when(ext.isin(*IMAGES), "image").when(ext.isin(*SKIPPED), "skip").otherwise("page")
     rows = resolved.filter(F.col("target").rlike("^https?://")).withColumn("class", kind)
     return rows.withColumn("target", F.when(F.col("class") == "page", F.regexp_replace("target", "#.*$", "")).otherwise(F.col("target")))
@@ -108,10 +119,14 @@ def same_domain(rows: DataFrame) -> DataFrame:
     return rows.filter(host("url") == host("target"))
 
 
-def script_urls(pages: DataFrame, first: int = 10, pattern: str = SCRIPT_IMAGES) -> DataFrame:
-    """The first distinct image URLs inside script text of each page, in order; those of ``google`` and ``gstatic`` not."""
-    scripts = F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), 1), "\n")
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(scripts, F.lit(pattern), 1)).alias("at", "link"))
-    rows = rows.filter(~F.col("link").rlike("google|gstatic")).groupBy("page_id", "link").agg(F.min("at").alias("at"))
+def script_urls(pages: DataFrame, first: int = 10, also: str | None = None) -> DataFrame:
+    """``page_id, link, rank``: the first distinct image URLs (by extension) of each page, those inside script text in order
+    and then, with ``also``, the URLs in that array column; those of ``google`` and ``gstatic`` not."""
+    scripts = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*+>(.*?)</script"), 1), "\n")
+    urls = F.regexp_extract_all(scripts, F.lit(URLS), 0)
+    every = F.concat(urls, F.coalesce(also, F.array().cast("array<string>"))) if also else urls
+    rows = pages.select("page_id", F.posexplode(every).alias("at", "link"))
+    rows = rows.filter(extension("link").isin(*IMAGES) & ~F.col("link").rlike("google|gstatic"))
+    rows = rows.groupBy("page_id", "link").agg(F.min("at").alias("at"))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("at"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= first).select("page_id", "link", "rank")

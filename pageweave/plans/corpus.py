@@ -29,6 +29,7 @@ MORE = (
     "<a class=x href='/docs/../papers/./%d.PDF#page=2'>p</a><a href=\"/data/%d.tar\">t</a><a href=\"feed%d.xml\">f</a><a href=\"?q=%d\">q</a>"
     "<a href=\"#top%d\">h</a><a href=\"mailto:a%d@example.org\">m</a><a href=\"a/b/c/../../../../../../../../../../d/%d/..\">u</a>"
     "<!-- <a href=\"/hidden/%d\">n</a> --><a href=\"http://other.example.org:8080/%d\">o</a>"
+    "<a title=\"x href=wrong%d\" rel='y href=wrong' HREF=\"right%d.html\" href=late>r</a><img data-x=%d src=data:image/png;base64," + "iVBORw0K" * 400 + " alt=long>"
     "<script>var s = \"https://pics.example.net/%d.jpeg\", g = 'https://www.gstatic.com/%d.png', t = 'https://pics.example.net/%d.tiff';</script>"
 )
 _SQL_MORE = MORE.replace("'", "''")
@@ -39,18 +40,22 @@ def _pages(spark, d):
 
 
 def _sql_value(name: str) -> str:
-    p = links.attribute(name).replace("'", "''")
-    found = "coalesce(" + ", ".join(f"nullif(regexp_extract(tag, '{p}', {k}), '')" for k in (1, 2, 3)) + ")"
+    """First pair of that name, parted at its first equals sign; quotes go by their place."""
+    pair = f"list_filter(pairs, lambda z: lower(trim(split_part(z, '=', 1), chr(32) || chr(9) || chr(10) || chr(13) || chr(12))) = '{name}')[1]"
+    raw = f"trim(substring({pair}, strpos({pair}, '=') + 1), chr(32) || chr(9) || chr(10) || chr(13) || chr(12))"
+    found = f"nullif(CASE WHEN left({raw}, 1) IN (chr(34), chr(39)) THEN substring({raw}, 2, length({raw}) - 2) ELSE {raw} END, '')"
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
         found = f"replace({found}, '{entity}', '{char}')"
     return found
 
 
-_TAGS_SQL, _IMAGES_SQL = links.TAGS.replace("'", "''"), ", ".join(f"'{x}'" for x in links.IMAGES)
+_TAGS_SQL = r"""(?is)<(?:img|source|meta|a)\s(?:"[^"]*"|'[^']*'|[^'">])*>""".replace("'", "''")
+_PAIRS_SQL = r"""[^\s"'>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""".replace("'", "''")
+_IMAGES_SQL = ", ".join(f"'{x}'" for x in links.IMAGES)
 LINKS = rf"""more AS (SELECT page_id, url, html || replace('{_SQL_MORE}', '%d', page_id::VARCHAR) AS html FROM pages),
  tags AS (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '{links.UNSEEN}', '', 'g'), '{_TAGS_SQL}') AS t FROM more),
  tg AS (SELECT page_id, url, unnest(t) AS tag, unnest(range(len(t)))::INT AS ordinal FROM tags),
- nm AS (SELECT *, lower(regexp_extract(tag, '^<([a-zA-Z]+)', 1)) AS name FROM tg),
+ nm AS (SELECT *, lower(regexp_extract(tag, '^<([a-zA-Z]+)', 1)) AS name, regexp_extract_all(tag, '{_PAIRS_SQL}') AS pairs FROM tg),
  vl AS (SELECT page_id, url, ordinal, CASE WHEN name = 'a' THEN 'page' ELSE 'image' END AS kind, unnest(
   CASE WHEN name = 'a' THEN [{_sql_value("href")}] WHEN name = 'img' THEN [coalesce({_sql_value("src")}, {_sql_value("data-src")}, {_sql_value("data-original")})]
   WHEN name = 'source' THEN list_transform(string_split({_sql_value("srcset")}, ','), lambda x: regexp_extract(x, '^\s*(\S*)', 1))
@@ -98,9 +103,11 @@ def c6_same_domain(spark, d):
     return r.groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@register(f"""WITH {LINKS}, s AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), chr(10)) AS t FROM more),
- u AS (SELECT page_id, unnest(regexp_extract_all(t, '{links.SCRIPT_IMAGES.replace("'", "''")}', 1)) AS link, unnest(range(len(regexp_extract_all(t, '{links.SCRIPT_IMAGES.replace("'", "''")}', 1)))) AS pos FROM s),
- f AS (SELECT page_id, link, min(pos) AS pos FROM u WHERE NOT regexp_matches(link, 'google|gstatic') GROUP BY ALL)
+@register(rf"""WITH {LINKS}, b AS (SELECT page_id, array_to_string(list_transform(string_split(html, '<script')[2:], lambda z: split_part(z, '</script', 1)), chr(10)) AS t FROM more),
+ u AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(t, '[\s"''\\<>()]+'), lambda z: contains(z, 'http'))) AS w, unnest(range(len(list_filter(regexp_split_to_array(t, '[\s"''\\<>()]+'), lambda z: contains(z, 'http'))))) AS pos FROM b),
+ v AS (SELECT page_id, pos, regexp_extract(w, 'https?://.+') AS link FROM u),
+ f AS (SELECT page_id, link, min(pos) AS pos FROM v WHERE NOT contains(link, 'google') AND NOT contains(link, 'gstatic')
+  AND lower(string_split(string_split(split_part(split_part(link, '?', 1), '#', 1), '/')[-1], '.')[-1]) IN ({_IMAGES_SQL}) GROUP BY ALL)
  SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS rank FROM f QUALIFY rank <= 10""")
 def c7_script_image_urls(spark, d):
     return links.script_urls(_pages(spark, d))
