@@ -14,45 +14,57 @@ from pageweave.functions.scratch import small_arrow_batches
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
-#: A line fails as navigation or boilerplate if it matches one of these (on the lower-cased line).
+#: A line that is one of these and no more is navigation.
 NAVIGATION = re.compile(
-    r"^(?:home|menu|login|log in|sign in|sign up|register|next|previous|back to top|skip to content|read more|"
-    r"click here|share(?: this)?|subscribe|sitemap|search|contact(?: us)?|about(?: us)?)\W*$|(?:\S+ *[|»>] *){3,}"
+    r"(?:home|menu|login|log in|sign in|sign up|register|next|previous|back to top|skip to content|read more|"
+    r"click here|share(?: this)?|subscribe|sitemap|search|contact(?: us)?|about(?: us)?)\W*"
 )
+#: Marks after the items of a menu or a trail, the fewest items that make one, and the most words of an item.
+MARKS, ITEMS, ITEM_WORDS = re.compile("[|»>]"), 3, 3
 BOILERPLATE = re.compile(
     r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept cookies|lorem ipsum|javascript"
 )
-#: A longer line fails by these two only if what matches holds this share of its word characters.
-SHORT_LINE = 30
-MATCHED = 0.5
+#: A line fails by menu items or boilerplate if they hold this share of its word characters, however long it is.
+MATCHED = 0.3
 #: Largest share of a document's word characters that failed lines may hold.
 MOST_LOST = 0.5
 MOST_SYMBOLS = 0.2
 
 
+def _chars(text: str) -> int:
+    return len(text) - sum(text.count(c) for c in SPACES)
+
+
+def _menu(line: str) -> int:
+    """Word characters of the items of a menu or trail (``Home | News | Contact``) with their marks; 0 if too few."""
+    parts = MARKS.split(line)
+    items = [x for x in parts[:-1] if 0 < len(x.split(None, ITEM_WORDS)) <= ITEM_WORDS]
+    if len(items) < ITEMS:
+        return 0
+    last = parts[-1] if len(parts[-1].split(None, ITEM_WORDS)) <= ITEM_WORDS else ""
+    return sum(_chars(x) + 1 for x in items) + _chars(last)
+
+
 def line_fails(line: str) -> bool:
     """Punctuation, navigation and boilerplate rules of one line; a line without a word never fails.
 
     Punctuation: more than a fifth of its word characters are symbols, or most words end in such marks or in two
-    exclamation marks. Navigation and boilerplate: a line of at most SHORT_LINE words that matches, a longer one if the
-    matches hold at least the share MATCHED of its word characters, so that prose may name such a phrase.
+    exclamation marks. Navigation: the line is one such phrase, or the items of a menu hold the share MATCHED of its word
+    characters. Boilerplate: its phrases hold that share, so prose may name one. Each rule takes time in proportion to
+    the line.
     """
     words = line.encode("utf-8", "surrogatepass").split()
     if not words:
         return False
-    chars = len(line) - sum(line.count(c) for c in SPACES)
+    chars = _chars(line)
     if sum(line.count(c) for c in SYMBOLS) > MOST_SYMBOLS * chars:
         return True
     if 2 * sum(w.endswith(b"!!") or w[-1:] in b"#*$%&|<>" for w in words) > len(words):
         return True
     low = line.lower()
-    if len(words) <= SHORT_LINE:
-        return bool(NAVIGATION.search(low.strip()) or BOILERPLATE.search(low))
-    matched = sum(
-        len(m[0]) - sum(m[0].count(c) for c in SPACES)
-        for rule, x in ((NAVIGATION, low.strip()), (BOILERPLATE, low))
-        for m in rule.finditer(x)
-    )
+    if NAVIGATION.fullmatch(low.strip()):
+        return True
+    matched = max(_menu(low), sum(_chars(m[0]) for m in BOILERPLATE.finditer(low)))
     return matched > 0 and matched >= MATCHED * chars
 
 
