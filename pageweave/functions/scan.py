@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -159,3 +160,19 @@ def xors(**columns: str) -> dict:
         return {k: a[k] ^ b[k] for k in columns}
 
     return {"state": ", ".join(f"{k} bigint" for k in columns), "local": local, "combine": combine}
+
+
+def schedule(delay: float, arrive: str) -> dict:
+    """Arguments of ``scan`` for starts at least ``delay`` apart: ``i`` counts the rows, ``peak`` is the largest arrival minus
+    place times delay. Nulls arrive at no time of their own."""
+
+    def local(cols: dict, starts: np.ndarray) -> State:
+        i = _within(np.ones(len(starts), np.int64), starts, np.add, np.subtract)
+        rest = pd.Series(cols[arrive].astype(np.float64) - (i - 1) * delay)
+        peak = rest.groupby(np.cumsum(starts)).cummax()  # passes over nulls, so fill them from before
+        return {"i": i, "peak": peak.groupby(np.cumsum(starts)).ffill().to_numpy()}
+
+    def combine(a: State, b: State) -> State:
+        return {"i": a["i"] + b["i"], "peak": np.fmax(a["peak"], b["peak"] - a["i"] * delay)}
+
+    return {"state": "i bigint, peak double", "local": local, "combine": combine}

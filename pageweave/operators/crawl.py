@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageweave.functions.scan import scan, schedule
 from pageweave.functions.scratch import saved
 
 
@@ -27,11 +28,15 @@ def bfs_frontier(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages:
 
 
 def rate_limit_schedule(requests: DataFrame, delay: float, key: str = "host", arrive: str = "arrive") -> DataFrame:
-    """Earliest start per host, at least ``delay`` apart: a running maximum of arrival minus place times delay."""
-    w = Window.partitionBy(key).orderBy(arrive, *[c for c in requests.columns if c not in (key, arrive)])
-    at = requests.withColumn("i", F.row_number().over(w) - 1)
-    peak = F.max(F.col(arrive) - F.col("i") * delay).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return at.withColumn("start", F.col("i") * delay + peak).drop("i")
+    """Earliest start per host, at least ``delay`` apart: a running maximum of arrival minus place times delay.
+
+    Ties go by the other columns. A host of any size lies over many tasks; its stretches meet as one place count and one
+    maximum each. A request without an arrival starts as soon as the one before it lets it, and null if there is none.
+    """
+    rest = [c for c in requests.columns if c not in (key, arrive)]
+    at = scan(requests, [key], [arrive, *rest], **schedule(delay, arrive), name="schedule")
+    start = (F.col("i") - 1) * delay + F.col("peak")
+    return at.withColumn("start", F.when(~F.isnan(start), start)).drop("i", "peak")
 
 
 def insert_or_ignore(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:

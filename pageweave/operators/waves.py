@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageweave.functions.scan import scan, sums
+from pageweave.functions.scratch import saved
+
 _BOX = ("x1", "y1", "x2", "y2")
 
 
@@ -68,23 +70,34 @@ def build_requests(regions: DataFrame, level: int) -> DataFrame:
 
 
 def chunk_requests(requests: DataFrame, max_rows: int = 45_000, max_bytes: int = 150 << 20) -> DataFrame:
-    """``wave, seq, chunk``: greedy in order, a new chunk where the next row would pass a limit.
+    """``wave, seq, chunk``: greedy in order (ties by size), a new chunk where the next row would pass a limit.
 
-    Only three narrow columns move; an ordered fold per wave.
+    Running sums give each row the place where a chunk that began with it would end; from a wave's first row those places
+    are followed by pointer doubling, and the starts found are counted up. A wave of any size lies over many tasks, and the
+    rounds grow with the logarithm of its chunks. A row over the limit has a chunk of its own; rows without
+    a wave go; a null size counts as none.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out, chunk, rows, size = [], 0, 0, 0
-        for n in pdf["nbytes"].tolist():
-            if rows and (rows >= max_rows or size + n > max_bytes):
-                chunk, rows, size = chunk + 1, 0, 0
-            rows, size = rows + 1, size + n
-            out.append(chunk)
-        return pd.DataFrame({"wave": pdf["wave"], "seq": pdf["seq"], "chunk": out})
-
-    narrow = requests.select(F.col("wave").cast("bigint"), F.col("seq").cast("bigint"), F.col("nbytes").cast("bigint"))
-    return narrow.groupBy("wave").applyInPandas(fold, "wave bigint, seq bigint, chunk bigint")
+    narrow = requests.select(*[F.col(c).cast("bigint").alias(c) for c in ("wave", "seq")], F.coalesce(F.col("nbytes").cast("bigint"), F.lit(0)).alias("nbytes")).filter("wave is not null")
+    rows = scan(narrow, ["wave"], ["seq", "nbytes"], **sums(pos="1", upto="nbytes"), name="requests")
+    fits = rows.select("wave", F.col("upto").alias("v"), F.lit(0).alias("kind"), F.lit(1).alias("one"), "pos")
+    asks = rows.select("wave", (F.col("upto") - F.col("nbytes") + max_bytes).alias("v"), F.lit(1).alias("kind"), F.lit(0).alias("one"), "pos")
+    met = scan(fits.unionByName(asks), ["wave"], ["v", "kind", "pos"], **sums(reach="one"), name="reach", keep=["wave", "kind", "pos"])
+    beyond = F.greatest(F.col("pos") + 1, F.least(F.col("pos") + max_rows, F.col("reach") + 1))
+    hops = met.filter("kind = 1").select("wave", "pos", beyond.alias("to"))
+    size = rows.groupBy("wave").agg(F.max("pos").alias("n"))
+    hops = saved(hops.join(size, "wave").filter("to <= n").drop("n"), "hops")
+    starts = size.select("wave", F.lit(1).cast("bigint").alias("pos"))
+    while True:
+        further = saved(starts.join(hops, ["wave", "pos"]).select("wave", F.col("to").alias("pos")), "starts")
+        if further.isEmpty():
+            break
+        starts = starts.unionByName(further)
+        nxt = hops.select("wave", F.col("pos").alias("to"), F.col("to").alias("further"))
+        hops = saved(hops.join(nxt, ["wave", "to"]).select("wave", "pos", F.col("further").alias("to")), "hops")
+    marked = rows.join(starts.withColumn("new", F.lit(1)), ["wave", "pos"], "left")
+    marked = marked.select("wave", "seq", "pos", F.coalesce("new", F.lit(0)).alias("new"))
+    out = scan(marked, ["wave"], ["pos"], **sums(chunk="new"), name="chunks", keep=["wave", "seq"])
+    return out.select("wave", "seq", (F.col("chunk") - 1).alias("chunk"))
 
 
 def parse_responses(lines: DataFrame, vocab: DataFrame | None = None) -> DataFrame:

@@ -231,7 +231,12 @@ def w3_downscale_dims(spark, d):
     return r.select("doc_id", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
 
 
-@register()
+@register("""WITH RECURSIVE q AS (SELECT l_orderkey % 50 AS wave, l_orderkey * 10 + l_linenumber AS seq, l_quantity::BIGINT AS nbytes,
+  row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey * 10 + l_linenumber, l_quantity) AS pos FROM lineitem),
+ r AS (SELECT wave, pos, seq, 0::BIGINT AS chunk, 1 AS n, nbytes AS size FROM q WHERE pos = 1
+  UNION ALL SELECT q.wave, q.pos, q.seq, chunk + (n >= 40 OR size + nbytes > 1000)::BIGINT, CASE WHEN n >= 40 OR size + nbytes > 1000 THEN 1 ELSE n + 1 END,
+   CASE WHEN n >= 40 OR size + nbytes > 1000 THEN nbytes ELSE size + nbytes END FROM r JOIN q ON q.wave = r.wave AND q.pos = r.pos + 1)
+ SELECT wave, seq, chunk FROM r""")
 def w4_chunk_requests(spark, d):
     li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("wave"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").cast("bigint").alias("nbytes"))
     return waves.chunk_requests(li, 40, 1000)
