@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageweave.functions.scratch import saved
@@ -64,20 +64,22 @@ class _Fold:
 
     def stripes(self) -> Iterator[pa.RecordBatch]:
         for lang, docs in self.docs.items():
-            by = list(self.counts[lang].items())
-            rows: list[tuple] = []
-            for term, n in docs.items():
-                has = [(s, c[term]) for s, c in by if term in c]
-                rows.append((lang, term.decode("utf-8", "replace"), n, [s for s, _ in has], [c for _, c in has]))
-                if len(rows) == 5000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+            rows: dict[bytes, list] = {}
+            for source, counts in self.counts[lang].items():
+                for term, n in counts.items():
+                    rows.setdefault(term, []).append((source, n))
+            terms = list(rows)
+            for k in range(0, len(terms), 20_000):
+                some = terms[k : k + 20_000]
+                at = [rows[t] for t in some]
+                ends = pa.array(np.cumsum([0, *map(len, at)]), pa.int32())
+                flat = [x for row in at for x in row]
+                cells = [
+                    pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([docs[t] for t in some], pa.int64()),
+                    pa.ListArray.from_arrays(ends, pa.array([s for s, _ in flat], pa.string())),
+                    pa.ListArray.from_arrays(ends, pa.array([n for _, n in flat], pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(cells, schema=_ARROW)
 
 
 def stripes(docs: DataFrame, entries: int = 400_000) -> DataFrame:
@@ -260,8 +262,33 @@ def divergences(docs: DataFrame, least_docs: int = 10, top: int = 10, slots: int
         if slot:
             yield from slot.result()
 
-    found = rows.mapInArrow(emit, _OUT)
-    each = found.select("lang", "source", "part", F.explode(F.arrays_zip("items", "values")).alias("x"))
-    sums = each.groupBy("lang", "source", "part", F.col("x.items").alias("item")).agg(F.sum("x.values").alias("value"))
-    place = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return sums.withColumn("rank", place).filter((F.col("part") == "pair") | (F.col("rank") <= top))
+    found = rows.mapInArrow(emit, _OUT).repartition("lang", "source").sortWithinPartitions("lang", "source", "part")
+    return found.mapInArrow(lambda b: _ranked(b, top), "lang string, source string, part string, item string, value long, rank int")
+
+
+def _ranked(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
+    """The shares of each group and part added up (``pair``) or their best taken (``term``), with their ranks."""
+    kinds = [pa.string()] * 4 + [pa.int64(), pa.int32()]
+    names = ["lang", "source", "part", "item", "value", "rank"]
+    key, sums = None, Counter()
+
+    def rows() -> pa.RecordBatch:
+        best = sorted(sums.items(), key=lambda x: (-x[1], x[0].encode()))
+        best = best if key[2] == "pair" else best[:top]
+        n = len(best)
+        cells = [[key[0]] * n, [key[1]] * n, [key[2]] * n, [i for i, _ in best], [v for _, v in best], range(1, n + 1)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=names)
+
+    for b in batches:
+        for r in b.to_pylist():
+            now = r["lang"], r["source"], r["part"]
+            if now != key:
+                if key:
+                    yield rows()
+                key, sums = now, Counter()
+            for i, v in zip(r["items"], r["values"], strict=True):
+                sums[i] += v
+            if key[2] == "term" and len(sums) > 100 * top:  # a term stands in one share only
+                sums = Counter(dict(sorted(sums.items(), key=lambda x: (-x[1], x[0].encode()))[:top]))
+    if key:
+        yield rows()

@@ -25,7 +25,10 @@ BLOCKS = frozenset(
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Blocks whose end closes all that is still open in them.
-CONTAINERS = BLOCKS - frozenset("caption dd dt h1 h2 h3 h4 h5 h6 hr legend li option p summary td th tr tbody tfoot thead".split())
+CONTAINERS = BLOCKS - frozenset("caption dd dt h1 h2 h3 h4 h5 h6 hr legend li option p summary tr tbody tfoot thead".split())
+
+#: Blocks that hold a part of a page of their own.
+SECTIONS = frozenset("html body div section article main td th center".split())
 
 # Elements that never are main text; ``header`` only outside an article.
 STRIPPED = frozenset("nav aside footer form head noscript template svg canvas select datalist button dialog menu object audio video map search".split())
@@ -71,9 +74,11 @@ class _Lines:
         self.text: list[str] = []
         self.free: list[int] = []  # characters outside links
         self.inside: list[bool] = []
+        self.section: list[int] = []  # the innermost section
+        self.sections = 0
         self.parts: list[str] = []
         self.linked = self.in_link = 0
-        self.open: list[tuple[str, str, bool]] = []  # name, why all in it is stripped, whether it begins an article
+        self.open: list[tuple[str, str, bool, int]] = []  # name, why all in it is stripped, whether it begins an article, section
         self.stripped = ""  # why, now
         self.counted: dict[str, int] = {}
         self.articles = 0
@@ -84,6 +89,7 @@ class _Lines:
             self.text.append(text)
             self.free.append(0 if 2 * self.linked > len(text) else len(text))
             self.inside.append(self.articles > 0)
+            self.section.append(self.open[-1][3] if self.open else 0)
         self.parts, self.linked = [], 0
 
     def gap(self) -> None:
@@ -91,6 +97,7 @@ class _Lines:
         self.text += [""] * WINDOW
         self.free += [0] * WINDOW
         self.inside += [self.articles > 0] * WINDOW
+        self.section += [-1] * WINDOW
 
     def words(self, text: str) -> None:
         if text and not self.stripped:
@@ -137,12 +144,14 @@ class _Lines:
                 self.gap()
             self.stripped = around or why
             own = main and not self.stripped
-            self.open.append((name, self.stripped, own))
+            self.sections += name in SECTIONS
+            section = self.sections if name in SECTIONS else self.open[-1][3] if self.open else 0
+            self.open.append((name, self.stripped, own, section))
             self.counted[name] = self.counted.get(name, 0) + 1
             self.articles += own
 
     def _pop(self) -> None:
-        name, _, own = self.open.pop()
+        name, _, own, _ = self.open.pop()
         self.counted[name] -= 1
         self.line()
         self.articles -= own
@@ -227,7 +236,7 @@ def main_text(page: str) -> str:
     """The page's main text: its lines between surges and dives, joined by a space.
 
     Where an article holds the fullest window, its lines alone count, whatever their length. Otherwise lines that are half
-    links count as empty, and stretches stay that reach a share of the fullest one.
+    links count as empty, and stretches stay that reach a share of the fullest one or stand in the same section as it.
     """
     for keep_forms in (False, True):
         got = lines(page, keep_forms)
@@ -240,7 +249,10 @@ def main_text(page: str) -> str:
             if own and max(m for *_, m in own) >= SHARE * most:
                 return " ".join(t for i, j, _ in own for t, x in zip(got.text[i:j], got.inside[i:j], strict=True) if t and x)
             if rest:
-                kept = [(i, j) for i, j, m in rest if m >= SHARE * most]
+                first, last = next((i, j) for i, j, m in rest if m == most)
+                room = np.bincount(np.array(got.section[first:last]) + 1, np.array(got.free[first:last]))
+                home = int(room.argmax()) - 1  # most of the fullest stretch stands there
+                kept = [(i, j) for i, j, m in rest if m >= SHARE * most or home in got.section[i:j]]
                 text = [t for i, j in kept for t in got.text[i:j] if t]
                 while text and _LEGAL.match(text[-1]):
                     text.pop()
