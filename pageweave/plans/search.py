@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -218,30 +220,56 @@ def _incoming(spark, d):
 
 
 def _ingested(spark, d):
-    """Two runs over the folder, the second with a new checkpoint: it finds every file handled."""
-    source, status, out = _incoming(spark, d), new_path(spark, "status"), new_path(spark, "out")
-    for _ in range(2):
-        stream = ingest.watch_dir(spark, source, EVENTS, 2)
-        ingest.ingest_once(stream, status, new_path(spark, "stream"), lambda rows, _: rows.filter("value > 10"), out).awaitTermination()
-    return source, status, out
+    """Two writers run over the folder, then a third with a new checkpoint: it finds every file handled."""
+    source, status, out, claims = _incoming(spark, d), *(new_path(spark, n) for n in ("status", "out", "claims"))
+    for together in (2, 1):
+        runs = []
+        for _ in range(together):
+            stream = ingest.watch_dir(spark, source, EVENTS, 2)
+            runs.append(ingest.ingest_once(stream, status, new_path(spark, "stream"), lambda rows, _: rows.filter("value > 10"), out, claims))
+        for r in runs:
+            ingest.drain(r)
+    return out
 
 
 @register("SELECT event_id, user_id FROM events WHERE value > 10")
 def x1_x2_once_per_file(spark, d):
-    """Also X5: both runs drain the folder, two files a round."""
-    return spark.read.parquet(_ingested(spark, d)[2]).select("event_id", "user_id")
+    """Also X5: the runs drain the folder, two files a round."""
+    return spark.read.parquet(_ingested(spark, d)).select("event_id", "user_id")
 
 
-@register("SELECT 'annotated' AS status, count(*) AS n FROM events")
-def x6_status_sink(spark, d):
-    """Rows of the files by their files' status."""
-    source, status, _ = _ingested(spark, d)
-    rows = spark.read.parquet(source).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("filename"))
-    return crawl.counts_by(rows.join(ingest.processed(spark, status), "filename"), "status")
+def _over_ten(name: str, content: bytes) -> pd.DataFrame:
+    rows = pd.read_parquet(io.BytesIO(content))
+    return rows[rows["value"] > 10][["event_id", "value"]]
 
 
-@register("SELECT count(*) AS n FROM events")
+@register("""SELECT k, CASE WHEN k % 3 = 0 THEN 'error' WHEN bool_or(value > 10) THEN 'annotated' ELSE 'empty' END AS status,
+ CASE WHEN k % 3 = 0 THEN 0 ELSE count(*) FILTER (value > 10) END AS n FROM (SELECT user_id % 12 AS k, value FROM events WHERE user_id % 12 <> 2 OR value <= 10) GROUP BY k""")
+def x6_status_sink(spark, d):
+    """A folder of twelve files, four of which are no Parquet files and one of which has no result; each file's status and rows."""
+    path, status, out = (new_path(spark, n) for n in ("files", "status", "out"))
+    rows = table(spark, d, "events").select("event_id", "value", (F.col("user_id") % 12).alias("k")).filter("k <> 2 or value <= 10").repartition("k")
+    rows.filter("k % 3 <> 0").write.partitionBy("k").parquet(path)
+    rows.filter("k % 3 = 0").write.mode("append").partitionBy("k").option("extension", "parquet").csv(path)
+    handle = ingest.each_file(_over_ten, "event_id long, value double")
+    ingest.drain(ingest.ingest_once(ingest.watch_files(spark, path, 4, "*.parquet"), status, new_path(spark, "stream"), handle, out))
+    found = spark.read.parquet(out).groupBy("filename").agg(F.count("*").alias("n"))
+    files_ = ingest.processed(spark, status).join(found, "filename", "left")
+    k = F.regexp_extract("filename", "k=([0-9]+)/", 1).cast("bigint")
+    return files_.select(k.alias("k"), F.regexp_extract("status", "^[a-z]+", 0).alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@register("SELECT user_id % 12 AS k, count(*) AS n FROM events GROUP BY k")
 def x7_running_totals(spark, d):
-    path = new_path(spark, "totals")
-    ingest.running_totals(ingest.watch_dir(spark, _incoming(spark, d), EVENTS, 2), path, new_path(spark, "stream")).awaitTermination()
-    return ingest.totals(spark, path).agg(F.sum("n").alias("n"))
+    """Totals of each file over rounds of two files, half of them merged into a snapshot."""
+    path, source = new_path(spark, "totals"), new_path(spark, "files")
+    rows = table(spark, d, "events").select("event_id", "user_id", "value", (F.col("user_id") % 12).alias("k")).repartition("k")
+    for part in ("k < 6", "k >= 6"):
+        rows.filter(part).write.mode("append").partitionBy("k").parquet(source)
+        if part == "k < 6":
+            checkpoint = new_path(spark, "stream")
+        else:
+            ingest.compact_totals(spark, path)
+        ingest.running_totals(ingest.watch_dir(spark, source, EVENTS, 2), path, checkpoint).awaitTermination()
+    k = F.regexp_extract("filename", "k=([0-9]+)/", 1).cast("bigint")
+    return ingest.totals(spark, path).select(k.alias("k"), "n")
