@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -102,3 +103,13 @@ class Versions:
             remove(self.spark, f"{self.path}/{name}")
             raise Conflict(f"version {base + 1} of {self.path} is another writer's")
         return base + 1
+
+    def update(self, step: Callable[[DataFrame], DataFrame], tries: int = 8) -> int:
+        """Make ``step`` of the newest version the next one, anew from the newest as often as another writer came first."""
+        for _ in range(tries):
+            base = self.latest()
+            try:
+                return self.commit(step(self.read(base)), base)
+            except Conflict:
+                continue
+        raise Conflict(f"{tries} tries to change {self.path} came too late")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from pageweave.functions.scratch import saved
 from pageweave.operators.graph import connected_components
@@ -71,34 +75,100 @@ def best_box(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max(F.struct("score", *_BOX)).alias("b")).select(key, "b.*")
 
 
-def nms(dets: DataFrame, group: list[str], thr: float = 0.3, min_conf: float = 0.1) -> DataFrame:
-    """Greedy suppression per group by falling confidence (ties by id); NONE and weak detections go.
+#: Conflicts of a component that one task settles in order; larger components go on in rounds.
+COMPONENT = 1 << 17
+
+
+def _fold(conflicts: DataFrame) -> DataFrame:
+    """``loser`` of each component of ``component, turn, a, b, loser``: in order, where both still stand, the loser goes."""
+    shape = StructType([StructField("loser", conflicts.schema["loser"].dataType)])
+    arrow = to_arrow_schema(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, gone = None, set()
+        for batch in batches:
+            out = []
+            for c, *ends in zip(*(batch[n].to_pylist() for n in ("component", "a", "b", "loser")), strict=True):
+                a, b, loser = (tuple(e.values()) for e in ends)
+                if c != component:
+                    component, gone = c, set()
+                if a not in gone and b not in gone:
+                    gone.add(loser)
+                    out.append(ends[2])
+            yield pa.RecordBatch.from_arrays([pa.array(out, arrow[0].type)], schema=arrow)
+
+    return conflicts.repartition("component").sortWithinPartitions("component", "turn").mapInArrow(run, shape)
+
+
+def _settled(conflicts: DataFrame, one_round: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+    """``loser`` of the conflicts ``a, b, loser, turn`` taken in order of ``turn``: where both ends still stand, the loser goes.
 
-    Spark groups by the first key (the document); the narrower groups are told apart within it.
+    ``one_round(live)`` tells losers that are certain whatever becomes of the rest. After some rounds the components of what
+    is left are settled in order, each in one task, if they have at most COMPONENT conflicts; larger ones go on in
+    rounds, which break them up. So no task holds a group, long rows of neighbours need few rounds, and the result is that
+    of the order in every case. What is open is written to the shared folder in each round.
     """
-    names, rest = dets.columns, group[1:]
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "id"], ascending=[False, True], ignore_index=True)
-        sub = list(zip(*(pdf[c] for c in rest))) if rest else [()] * len(pdf)
-        rows = list(zip(sub, pdf["x1"].tolist(), pdf["y1"].tolist(), pdf["x2"].tolist(), pdf["y2"].tolist()))
-        kept: dict[tuple, list] = {}
-        good = []
-        for at, (key, x1, y1, x2, y2) in enumerate(rows):
-            own = kept.setdefault(key, [])
-            for a1, b1, a2, b2 in own:
-                w, h = min(x2, a2) - max(x1, a1), min(y2, b2) - max(y1, b1)
-                inter = w * h if w > 0 and h > 0 else 0
-                union = (x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - inter
-                if union > 0 and inter / union >= thr:
-                    break
-            else:
-                own.append((x1, y1, x2, y2))
-                good.append(at)
-        return pdf.loc[good, names].sort_values([*rest, "x1", "id"])
+    live, gone = saved(conflicts, "conflicts"), []
+
+    def without(lost: DataFrame) -> DataFrame:
+        left = live
+        for side in "ab":
+            left = left.join(lost.withColumnRenamed("loser", side), side, "left_anti")
+        return left
+
+    while not live.isEmpty():
+        for _ in range(rounds):
+            lost = saved(one_round(live), "lost")
+            gone.append(lost)
+            live = saved(without(lost), "conflicts")
+            if live.isEmpty():
+                break
+        else:
+            parts = connected_components(live.select("a", "b")).withColumnRenamed("vertex", "a")
+            tagged = saved(live.join(parts, "a"), "components")
+            small = tagged.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") <= COMPONENT)
+            gone.append(saved(_fold(tagged.join(small, "component")), "lost"))
+            live = saved(tagged.join(small, "component", "left_anti").drop("component"), "conflicts")
+    out = live.select("loser")
+    for lost in gone:
+        out = out.unionByName(lost)
+    return out
+
+
+def _unbeaten(live: DataFrame) -> DataFrame:
+    """A round where winners are ranked: who loses to one that no open conflict holds down, goes."""
+    free = live.select("a").distinct().join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    return live.join(free, "a").select("loser").distinct()
+
+
+def _first_of_both(live: DataFrame) -> DataFrame:
+    """A round where turns alone count: the losers of conflicts that come first among those of both their ends."""
+    ends = live.select(F.explode(F.array("a", "b")).alias("v"), "turn").groupBy("v").agg(F.min("turn").alias("turn"))
+    now = live
+    for side in "ab":
+        now = now.join(ends.withColumnRenamed("v", side), [side, "turn"], "left_semi")
+    return now.select("loser").distinct()
+
+
+def nms(dets: DataFrame, group: list[str], thr: float = 0.3, min_conf: float = 0.1) -> DataFrame:
+    """Greedy suppression per group by falling confidence (ties by id); NONE, weak and unmeasured detections go.
 
+    ``id`` is unique within the first key of the group. Conflicts are found by tiles and settled as in ``_settled``.
+    """
     strong = dets.filter((F.col("class_id") != 0) & (F.col("confidence") >= min_conf))
-    return strong.groupBy(group[0]).applyInPandas(keep, dets.schema)
+    keyed = strong.withColumn("__g", F.struct(*group))
+    pairs = overlap_join(keyed, keyed, "__g").filter("a_id <> b_id").withColumn("inter", overlap_area())
+    union = _area("a") + _area("b") - F.col("inter")
+    pairs = pairs.filter((union > 0) & (F.col("inter") / union >= thr))
+    score = keyed.select("__g", "id", "confidence")
+    for side in "ab":
+        pairs = pairs.join(score.withColumnsRenamed({"id": f"{side}_id", "confidence": f"{side}_c"}), ["__g", f"{side}_id"])
+    rank = {s: F.struct((-F.col(f"{s}_c")).alias("c"), F.col(f"{s}_id").alias("id")) for s in "ab"}
+    key = {s: F.struct(F.col(f"__g.{group[0]}").alias("g"), F.col(f"{s}_id").alias("id")) for s in "ab"}
+    ranked = pairs.filter(rank["a"] < rank["b"])
+    turn = F.struct(rank["a"].alias("a"), rank["b"].alias("b"))
+    lost = _settled(ranked.select(key["a"].alias("a"), key["b"].alias("b"), key["b"].alias("loser"), turn.alias("turn")), _unbeaten)
+    return strong.join(lost.select(F.col("loser.g").alias(group[0]), F.col("loser.id").alias("id")), [group[0], "id"], "left_anti").select(*dets.columns)
 
 
 def content_regions(profile: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -225,77 +295,35 @@ def merged_sequence_search(boxes: DataFrame, group: str, word: str, reach: int =
 def greedy_same_label(cands: DataFrame, group: str) -> DataFrame:
     """Candidates by rising distance (ties: upper, then left, then id); one that overlaps an accepted one of its label goes.
 
-    Spark finds the overlaps; only candidates that overlap another of their label are folded, per group.
+    Conflicts are found by tiles and settled as in ``_settled``. Ids are unique within a group and label.
     """
     own = cands.withColumn("__g", F.struct(group, "label"))
     pairs = overlap_join(own, own, "__g").filter("a_id <> b_id")
-    links = pairs.select(F.col(f"__g.{group}").alias(group), F.col("__g.label").alias("label"), F.col("a_id").alias("id"), F.col("b_id").alias("other"))
-    met = links.groupBy(group, "label", "id").agg(F.collect_list("other").alias("others"))
-    met = met.join(cands.select(group, "label", "id", "distance", "y1", "x1"), [group, "label", "id"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: set = set()
-        lost = []
-        for r in pdf.sort_values(["distance", "y1", "x1", "id"]).itertuples():
-            if any((r.label, o) in kept for o in r.others):
-                lost.append((pdf[group].iloc[0], r.label, r.id))
-            else:
-                kept.add((r.label, r.id))
-        return pd.DataFrame(lost, columns=[group, "label", "id"])
-
-    kinds = dict(cands.dtypes)
-    lost = met.groupBy(group).applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in (group, "label", "id")))
-    return cands.join(lost, [group, "label", "id"], "left_anti")
+    order = ("distance", "y1", "x1", "id")
+    rank = own.select("__g", "id", F.struct(*order).alias("rank"))
+    for side in "ab":
+        pairs = pairs.join(rank.withColumnsRenamed({"id": f"{side}_id", "rank": f"{side}_rank"}), ["__g", f"{side}_id"])
+    key = {s: F.struct(F.col(f"__g.{group}").alias("g"), F.col("__g.label").alias("label"), F.col(f"{s}_id").alias("id")) for s in "ab"}
+    turn = F.struct(F.col("a_rank").alias("a"), F.col("b_rank").alias("b"))
+    ranked = pairs.filter("a_rank < b_rank").select(key["a"].alias("a"), key["b"].alias("b"), key["b"].alias("loser"), turn.alias("turn"))
+    lost = _settled(ranked, _unbeaten).select(F.col("loser.g").alias(group), "loser.label", "loser.id")
+    return cands.join(lost, [group, "label", "id"], "left_anti").select(*cands.columns)
 
 
 def drop_substring_overlaps(cands: DataFrame, group: str) -> DataFrame:
     """Of two overlapping labels, one within the other, the longer stays; of equal length the later box stays.
 
-    Boxes are taken in the order of their sides, then labels; a box that is gone takes no other with it. Spark finds the
-    conflicts; only those are folded, per group.
+    Boxes are taken in the order of their sides, then labels; a box that is gone takes no other with it. Conflicts are found by
+    tiles and settled as in ``_settled``.
     """
     met = overlap_join(cands, cands, group).filter("a_id <> b_id")
     labels = cands.select(group, "id", "label")
     for side in "ab":
         met = met.join(labels.withColumnsRenamed({"id": f"{side}_id", "label": f"{side}_label"}), [group, f"{side}_id"])
-    place = {s: F.struct(*[f"{s}_{c}" for c in (*_BOX, "label", "id")]) for s in "ab"}
+    place = {s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in (*_BOX, "label", "id")]) for s in "ab"}
     met = met.filter(place["a"] < place["b"]).filter(F.contains("a_label", "b_label") | F.contains("b_label", "a_label"))
-    order = [f"{s}_{c}" for s in "ab" for c in (*_BOX, "label", "id")]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for r in pdf.sort_values(order).itertuples():
-            if r.a_id not in gone and r.b_id not in gone:
-                gone.add(r.b_id if len(r.a_label) > len(r.b_label) else r.a_id)
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(gone), "id": list(gone)})
-
-    kinds = dict(cands.dtypes)
-    lost = met.groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, id {kinds['id']}")
-    return cands.join(lost, [group, "id"], "left_anti")
-
-
-def invert_index(labelled: DataFrame, label: str = "label", place: str = "doc_id") -> DataFrame:
-    """``label, n, docs``: how often and in how many places each label stands."""
-    return labelled.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.count_distinct(place).alias("docs"))
-
-
-def pyramid(images: DataFrame, scales: tuple[float, ...] = (0.5, 0.75, 1.0)) -> DataFrame:
-    """Each image (``width, height``) at each scale, its sides cut to whole points."""
-    rows = images.withColumn("scale", F.explode(F.array(*[F.lit(float(s)) for s in scales])))
-    return rows.withColumns({c: (F.col(c) * F.col("scale")).cast("int") for c in ("width", "height")})
-
-
-def to_base_coords(boxes: DataFrame) -> DataFrame:
-    """Boxes found at ``scale``, in the points of the image itself."""
-    return boxes.withColumns({c: F.col(c) / F.col("scale") for c in _BOX})
-
-
-def window_vector(scores: DataFrame, windows: DataFrame, group: str) -> DataFrame:
-    """``group, window_id, label, score``: the best score of each label over the boxes that lie in a window.
-
-    ``scores`` has ``group, id``, a box, ``label, score``; ``windows`` has ``group, id`` and a box. Boxes meet windows
-    once, whatever the number of labels; edges count as inside; a window without a box is left out.
-    """
-    rects = scores.select(group, "id", *_BOX).distinct()
-    inside = contains_join(windows, rects, group, tile=128).select(group, F.col("a_id").alias("window_id"), F.col("b_id").alias("id"))
-    return inside.join(scores.select(group, "id", "label", "score"), [group, "id"]).groupBy(group, "window_id", "label").agg(F.max("score").alias("score"))
+    key = {s: F.struct(F.col(group).alias("g"), F.col(f"{s}_id").alias("id")) for s in "ab"}
+    lesser = F.when(F.length("a_label") > F.length("b_label"), key["b"]).otherwise(key["a"])
+    turn = F.struct(place["a"].alias("a"), place["b"].alias("b"))
+    lost = _settled(met.select(key["a"].alias("a"), key["b"].alias("b"), lesser.alias("loser"), turn.alias("turn")), _first_of_both)
+    return cands.join(lost.select(F.col("loser.g").alias(group), "loser.id"), [group, "id"], "left_anti")

@@ -123,6 +123,14 @@ def upsert(snapshot: DataFrame, changes: DataFrame, deleted: DataFrame, key: str
     return insert_or_replace(snapshot, changes, key, ts).join(deleted.select(key), key, "left_anti")
 
 
+def update_scores(snapshot: DataFrame, scores: DataFrame, key: str, score: str, ts: str) -> DataFrame:
+    """Rows with the last ``score`` given for their key (of equal times the larger); keys without a row change nothing."""
+    last = scores.groupBy(key).agg(F.max(F.struct(ts, score)).alias("__s"))
+    j = snapshot.join(last, key, "left")
+    new = F.when(F.col("__s").isNotNull(), F.col(f"__s.{score}")).otherwise(F.col(score))
+    return j.withColumn(score, new).select(*snapshot.columns)
+
+
 def collect_documents(found: DataFrame, counts: DataFrame, threshold: int, most: int) -> DataFrame:
     """``url, source, index, name`` of the first ``most`` distinct URLs (by ``ordinal``) with enough paragraphs.
 

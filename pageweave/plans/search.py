@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pageweave.functions.scratch import new_path
+from pageweave.functions.store import Versions
 from pageweave.operators import boxes, crawl, detect, geometry, hierarchy, links, metrics
 from pageweave.plans.common import WORDS, lines, table, words
 from pageweave.plans.corpus import LINKS, _pages, LOGS, _logs
@@ -273,3 +274,32 @@ def x7_running_totals(spark, d):
         ingest.running_totals(ingest.watch_dir(spark, source, EVENTS, 2), path, checkpoint).awaitTermination()
     k = F.regexp_extract("filename", "k=([0-9]+)/", 1).cast("bigint")
     return ingest.totals(spark, path).select(k.alias("k"), "n")
+
+
+@register("""WITH f AS (SELECT printf('f%09d', doc_id) AS filename FROM documents WHERE doc_id % 5 <> 0)
+ SELECT filename, CASE WHEN n <= 20 THEN 'a' ELSE 'b' END AS owner, 'batch_pending' AS status FROM (SELECT filename, row_number() OVER (ORDER BY filename) AS n FROM f) WHERE n <= 50""")
+def w1_claims_appended(spark, d):
+    """Twenty names for one writer and thirty for another; every fifth document is done."""
+    f = table(spark, d, "documents").select(F.format_string("f%09d", "doc_id").alias("filename"), "doc_id")
+    path = new_path(spark, "claims")
+    pending = ingest.claim_first(f, f.filter("doc_id % 5 = 0"), path, 20, "a").unionByName(ingest.claim_first(f, f.filter("doc_id % 5 = 0"), path, 30, "b"))
+    return ingest.claims(spark, path).join(pending, "filename")
+
+
+@register("""WITH r AS (SELECT user_id, event_id, CASE WHEN user_id % 4 = 0 THEN (100 * last)::INT ELSE -1 END AS paragraph_count
+  FROM (SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) FILTER (event_type = (SELECT min(event_type) FROM events)) AS v, coalesce(v, -0.01) AS last FROM events GROUP BY user_id)
+  WHERE user_id % 10 <> 0) SELECT *, (SELECT count(*) FROM r) AS n, 4::BIGINT AS version FROM r""")
+def s8_registry_snapshots(spark, d):
+    """A registry of users through four versions: two upserts, scores, deletions; with its exact count."""
+    e = table(spark, d, "events")
+    store = Versions(spark, new_path(spark, "registry"), "user_id bigint, event_id bigint, paragraph_count int")
+    rows = e.select("user_id", "event_id", F.lit(-1).alias("paragraph_count"))
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        store.update(lambda old, part=part: crawl.insert_or_replace(old, rows.filter(part), "user_id", "event_id"))
+    kind = e.agg(F.min("event_type").alias("event_type"))
+    scores = e.join(F.broadcast(kind), "event_type").filter("user_id % 4 = 0")  # one row
+    scores = scores.select("user_id", "event_id", F.round(100 * F.col("value")).cast("int").alias("paragraph_count"))
+    store.update(lambda old: crawl.update_scores(old, scores.withColumnRenamed("event_id", "ts"), "user_id", "paragraph_count", "ts"))
+    version = store.update(lambda old: old.filter("user_id % 10 <> 0"))
+    now = store.read()
+    return now.withColumns({"n": F.lit(now.count()), "version": F.lit(version).cast("bigint")})

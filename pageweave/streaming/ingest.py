@@ -68,6 +68,23 @@ def claims(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "filename string, owner string")
 
 
+def claim_first(images: DataFrame, done: DataFrame, path: str, n: int, owner: str) -> DataFrame:
+    """The first ``n`` names of ``images(filename)`` that are neither in ``done`` nor claimed, claimed for ``owner``.
+
+    They are put among the claims at once, so writers who choose at the same time get different names. Reads as
+    ``filename, status`` (``batch_pending``) for a tracker.
+    """
+    spark = images.sparkSession
+    got: set[str] = set()
+    while len(got) < n:
+        open_ = images.join(done.select("filename").union(claims(spark, path).select("filename")), "filename", "left_anti")
+        names = [r["filename"] for r in open_.select("filename").distinct().orderBy("filename").limit(n - len(got)).collect()]
+        if not names:
+            break
+        got |= claim_names(spark, path, names, owner)
+    return spark.createDataFrame([(name, "batch_pending") for name in sorted(got)], "filename string, status string")
+
+
 def each_file(one: Callable[[str, bytes], pd.DataFrame], schema: str) -> Callable[[DataFrame, int], DataFrame]:
     """A handler that gives ``one`` each file by itself: what it raises is the file's ``error`` and spoils no other file.
 
