@@ -15,6 +15,11 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     p, fs = _path(spark, path)
     if not fs.exists(p):

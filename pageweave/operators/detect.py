@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageweave.functions.scratch import saved
+from pageweave.functions.store import exists
 
 
 def score_wave(regions: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch: int = 32) -> DataFrame:
@@ -22,12 +23,31 @@ def score_wave(regions: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFram
     return regions.mapInPandas(run, schema)
 
 
-def run_cascade(pages: DataFrame, predict: Callable[[int], Callable[[pd.DataFrame], pd.DataFrame]], levels: int, schema: str) -> list[DataFrame]:
-    """One wave per level over all parents of all documents; each wave's table is written before the next."""
-    out, current = [], pages
+def run_cascade(
+    pages: DataFrame,
+    predict: Callable[[int], Callable[[pd.DataFrame], pd.DataFrame]],
+    levels: int,
+    schema: str,
+    store: str | None = None,
+    shared: int = 1,
+) -> list[DataFrame]:
+    """The waves' tables, one wave per level over all parents of all documents; each is written before the next begins.
+
+    The first ``shared`` levels read the pages, each later one the wave before it. With ``store``, a folder of the shared
+    store, waves are written there, and those that a run before has finished are read instead of computed again; one that it
+    left unfinished is written anew.
+    """
+    spark = pages.sparkSession
+    out: list[DataFrame] = []
     for level in range(levels):
-        current = saved(score_wave(current, predict(level), schema), f"wave{level}")
-        out.append(current)
+        source = pages if level < shared else out[-1]
+        if store is None:
+            out.append(saved(score_wave(source, predict(level), schema), f"wave{level}"))
+            continue
+        path = f"{store.rstrip('/')}/wave{level}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            score_wave(source, predict(level), schema).write.mode("overwrite").parquet(path)
+        out.append(spark.read.schema(schema).parquet(path))
     return out
 
 

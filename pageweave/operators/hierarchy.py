@@ -7,26 +7,87 @@ from pyspark.sql import functions as F
 
 from pageweave.operators.layout import rollup_boxes
 
-LEVELS = ("page", "paragraph", "line", "word")
-KEYS = ("doc_id", "pi", "li", "wi")
+LEVELS = ("page", "paragraph", "line", "word", "character")
+KEYS = ("doc_id", "pi", "li", "wi", "ci")
 _BOX = ("x1", "y1", "x2", "y2")
 
 
-def flatten(words: DataFrame) -> DataFrame:
-    """Page, then each paragraph followed by its lines and words; ``id`` counts from 0 in that order."""
-    parts = []
-    for depth, name in enumerate(LEVELS):
-        keys = list(KEYS[: depth + 1])
-        part = words.select(*KEYS, "text", *_BOX) if name == "word" else rollup_boxes(words, keys)
-        for k in KEYS[depth + 1 :]:
-            part = part.withColumn(k, F.lit(None).cast("int"))
-        text = F.col("text") if name == "word" else F.lit(None).cast("string")
-        parts.append(part.select(*KEYS, F.lit(name).alias("type"), F.lit(depth).alias("level"), text.alias("text"), *_BOX))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    order = [F.asc_nulls_first(k) for k in KEYS[1:]]
-    return rows.withColumn("id", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1)
+def flatten(leaves: DataFrame) -> DataFrame:
+    """Page, then each paragraph followed by its lines, words and (if ``leaves`` are those) characters; ``id`` counts from 0 in
+    that order.
+
+    ``leaves`` are words (``text``) or characters (``ci, ch``) with all keys above them. All levels come from one grouping.
+    """
+    depth = 5 if "ci" in leaves.columns else 4
+    keys = list(KEYS[:depth])
+    item = "ch" if depth == 5 else "text"
+    rows = leaves.select(*keys, F.col(item).alias("text"), *_BOX)
+    sets = rows.groupingSets([keys[:n] for n in range(1, depth + 1)], *keys)
+    level = depth - 1 - F.floor(F.log2(F.grouping_id() + 1)).cast("int")  # the keys left out are the last ones
+    all_ = sets.agg(
+        level.alias("level"), F.min("text").alias("text"), *[f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), _BOX, strict=True)]
+    )
+    name = F.element_at(F.array(*[F.lit(n) for n in LEVELS]), F.col("level") + 1)
+    flat = all_.select(*keys, name.alias("type"), "level", F.when(F.col("level") == depth - 1, F.col("text")).alias("text"), *_BOX)
+    order = [F.asc_nulls_first(k) for k in keys[1:]]
+    return flat.withColumn("id", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1)
+
+
+def nest_tree(flat: DataFrame) -> DataFrame:
+    """``doc_id, page_region, paragraphs`` from flat rows of all types (``KEYS`` but ``ci``, ``type, id, text, is_handwritten``, box).
+
+    Children come in the order of their index, characters in that of ``id``; what has no parent is dropped with all below it,
+    and a parent without children has an empty list. Of rows with one type and place the last ``id`` stands. A document
+    without a page row has a null region.
+    """
+    box = F.struct(*_BOX).alias("box")
+
+    def rows(kind: str, depth: int) -> DataFrame:
+        some = flat.filter(F.col("type") == kind)
+        if kind == "character":
+            return some
+        w = Window.partitionBy(*KEYS[:depth]).orderBy(F.desc("id"))
+        return some.withColumn("__n", F.row_number().over(w)).filter("__n = 1")
+
+    def listed(children: DataFrame, parent: tuple, order: str, *cells) -> DataFrame:
+        of = F.sort_array(F.collect_list(F.struct(F.col(order).alias("__o"), F.struct(*cells).alias("c"))))
+        return children.groupBy(*parent).agg(F.transform(of, lambda r: r["c"]).alias("children"))
+
+    def held(kind: str, depth: int, below: DataFrame, name: str) -> DataFrame:
+        none = F.array().cast(below.schema["children"].dataType)
+        keys = list(KEYS[:depth])
+        return rows(kind, depth).join(below, keys, "left").withColumn(name, F.coalesce("children", none)).drop("children")
+
+    characters = listed(rows("character", 4), KEYS[:4], "id", box, F.col("text").alias("char"))
+    words = listed(held("word", 4, characters, "characters"), KEYS[:3], "wi", box, "characters")
+    lines = listed(held("line", 3, words, "words"), KEYS[:2], "li", box, "words")
+    hand = F.coalesce("is_handwritten", F.lit(False)).alias("is_handwritten")
+    paragraphs = listed(held("paragraph", 2, lines, "lines"), KEYS[:1], "pi", box, hand, "lines")
+    page = rows("page", 1).select("doc_id", F.struct(*_BOX).alias("page_region"))
+    out = flat.select("doc_id").distinct().join(page, "doc_id", "left").join(paragraphs, "doc_id", "left")
+    none = F.array().cast(paragraphs.schema["children"].dataType)
+    return out.select("doc_id", "page_region", F.coalesce("children", none).alias("paragraphs"))
+
+
+def unnest_tree(nested: DataFrame) -> DataFrame:
+    """Every node of ``nest_tree``'s rows: ``doc_id, pi, li, wi, ci`` (dense places), ``type, text, is_handwritten``, box.
+
+    Parents without children are there; a document without a region has no page row.
+    """
+    none = F.lit(None)
+
+    def node(rows: DataFrame, item: str, depth: int, text=none, hand=none) -> DataFrame:
+        keys = [F.col(k) if n <= depth else none.cast("int").alias(k) for n, k in enumerate(KEYS)]
+        cells = [F.col(f"{item}.{c}").alias(c) for c in _BOX]
+        return rows.select(*keys, F.lit(LEVELS[depth]).alias("type"), text.cast("string").alias("text"), hand.cast("boolean").alias("is_handwritten"), *cells)
+
+    page = nested.filter("page_region is not null")
+    p = nested.select("doc_id", F.posexplode("paragraphs").alias("pi", "p"))
+    ln = p.select("doc_id", "pi", F.posexplode("p.lines").alias("li", "l"))
+    w = ln.select("doc_id", "pi", "li", F.posexplode("l.words").alias("wi", "w"))
+    c = w.select("doc_id", "pi", "li", "wi", F.posexplode("w.characters").alias("ci", "c"))
+    out = node(page, "page_region", 0).unionByName(node(p, "p.box", 1, hand=F.col("p.is_handwritten")))
+    return out.unionByName(node(ln, "l.box", 2)).unionByName(node(w, "w.box", 3)).unionByName(node(c, "c.box", 4, text=F.col("c.char")))
 
 
 def nest(words: DataFrame) -> DataFrame:

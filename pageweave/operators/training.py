@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageweave.functions.scan import scan, sums
 from pageweave.operators import geometry, hierarchy, layout
 
 
@@ -18,6 +21,15 @@ def sequence_index(flat: DataFrame, with_page: bool) -> DataFrame:
     return flat.filter(F.col("level") >= (0 if with_page else 1)).filter("type <> 'word'").select("doc_id", "type", "pi", "li")
 
 
+def level_index(flat: DataFrame, page_level: bool) -> DataFrame:
+    """``doc_id, level, pi, li, wi``: a sequence of each level (``para``, ``line``, ``word``, ``char``) for its parent, of ``flatten``'s
+    rows; with ``page_level`` also ``page``, for the page itself."""
+    kinds = F.create_map(*[F.lit(x) for kv in (("page", "para"), ("paragraph", "line"), ("line", "word"), ("word", "char")) for x in kv])
+    rows = flat.select("doc_id", F.try_element_at(kinds, F.col("type")).alias("level"), "pi", "li", "wi").filter("level is not null")
+    pages = rows.filter("level = 'para'").withColumn("level", F.lit("page"))
+    return rows.unionByName(pages) if page_level else rows
+
+
 def teacher_forcing(steps: DataFrame, parent: list[str], order: str, target: str) -> DataFrame:
     """``prev``: the previous target in order, 0 (NONE) for the first."""
     w = Window.partitionBy(*parent).orderBy(order)
@@ -49,6 +61,69 @@ def pad_batch(sequences: DataFrame, seq: str, batch: int) -> DataFrame:
     return rows.withColumn("target", F.concat("target", F.array_repeat(F.lit(0), F.col("padding"))))
 
 
+#: A step of a contour and a box as vectors, and their NONE.
+STEP = {"x": "double", "y": "double", "dx": "double", "dy": "double", "class_id": "int"}
+ITEM = {"x1": "int", "y1": "int", "x2": "int", "y2": "int", "class_id": "int", "is_handwritten": "int"}
+
+
+def _vector(kind: dict[str, str], row: Column | None = None) -> Column:
+    return F.struct(*[(F.lit(0) if row is None else row[c]).cast(t).alias(c) for c, t in kind.items()])
+
+
+def _collected(children: DataFrame, parents: DataFrame, parent: list[str], order: str, kind: dict[str, str]) -> DataFrame:
+    """Each parent with its children's vectors in order; none for a parent without children."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*kind).alias("v"))))
+    lists = children.groupBy(*parent).agg(F.transform(rows, lambda r: _vector(kind, r["v"])).alias("s"))
+    none = F.array().cast(lists.schema["s"].dataType)
+    return parents.select(*parent).distinct().join(lists, parent, "left").withColumn("s", F.coalesce("s", none))
+
+
+def teacher_forced_items(items: DataFrame, parents: DataFrame, parent: list[str], order: str) -> DataFrame:
+    """``item`` (0 to n), ``prev`` and ``target`` of each parent's n items as vectors: box in the retina, class and handwriting.
+
+    Item k is told its predecessor and asked for itself; the first is told NONE (zeros), and after the last NONE is asked
+    for. A parent without items has that one row.
+    """
+    got = _collected(items, parents, parent, order, ITEM)
+    none = F.array(_vector(ITEM))
+    rows = got.select(*parent, F.arrays_zip(F.concat(none, "s").alias("prev"), F.concat("s", none).alias("target")).alias("z"))
+    return rows.select(*parent, F.posexplode("z").alias("item", "v")).select(*parent, "item", "v.prev", "v.target")
+
+
+def contour_sequences(steps: DataFrame, parents: DataFrame, parent: list[str], order: str, most: int) -> DataFrame:
+    """``prev, target, x0, y0, n`` of each parent: its steps (point, direction, class) after NONE and before it, cut to ``most``.
+
+    ``x0, y0`` is the first step of the cut target with a class, 0 if none has one; ``n`` the length.
+    """
+    got = _collected(steps, parents, parent, order, STEP)
+    none = F.array(_vector(STEP))
+    cut = got.select(*parent, F.slice(F.concat(none, "s"), 1, most).alias("prev"), F.slice(F.concat("s", none), 1, most).alias("target"))
+    first = F.get(F.filter("target", lambda r: r["class_id"] != 0), F.lit(0))
+    zero = F.lit(0.0)
+    return cut.withColumns({"x0": F.coalesce(first["x"], zero), "y0": F.coalesce(first["y"], zero), "n": F.size("target")})
+
+
+def pad_sequences(sequences: DataFrame, seq: str, batch: int) -> DataFrame:
+    """``batch`` by ``seq``; ``prev`` and ``target`` padded with zeros to the batch's longest, ``mask`` true where padded."""
+    rows = sequences.withColumn("batch", F.floor(F.col(seq) / batch))
+    longest = rows.groupBy("batch").agg(F.max("n").alias("__longest"))
+    rows = rows.join(longest, "batch").withColumn("__more", F.col("__longest") - F.col("n"))
+    filled = {c: F.concat(c, F.array_repeat(_vector(STEP), F.col("__more"))) for c in ("prev", "target")}
+    mask = F.concat(F.array_repeat(F.lit(False), F.col("n")), F.array_repeat(F.lit(True), F.col("__more")))
+    return rows.withColumns(filled | {"mask": mask}).drop("__longest", "__more")
+
+
+def normalise_steps(sequences: DataFrame, side: float = 1024.0, classes: int = 460) -> DataFrame:
+    """``prev`` with points over the retina's side and classes over their number; directions stay."""
+
+    def one(r: Column) -> Column:
+        return F.struct(
+            (r["x"] / side).alias("x"), (r["y"] / side).alias("y"), r["dx"].alias("dx"), r["dy"].alias("dy"), (r["class_id"] / F.lit(float(classes))).alias("class_id")
+        )
+
+    return sequences.withColumn("prev", F.transform("prev", one))
+
+
 def parent_local(children: DataFrame, parent: list[str]) -> DataFrame:
     """Children's boxes in the retina of the box that their parent's children span.
 
@@ -83,21 +158,28 @@ def mix_sources(df: DataFrame, source: str, shares: dict[str, float]) -> DataFra
 
 
 def draw_with_replacement(weighted: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """``n`` keys drawn by weight: uniform places on the cumulative weight, dealt by stretches of it."""
+    """``id`` (0 to n - 1) and the ``key`` drawn for it, by weight: the same under any partitioning and order of rows.
+
+    Weights become whole units (about 2^51 in all, so a weight is exact to that share), running sums of which are ranges; a
+    draw's place is the hash of seed and number. Rows and draws meet in one ordered pass over range partitions. Rows
+    without a positive weight are never drawn; without any there are no draws.
+    """
+    rows = weighted.select(key, F.col("weight").cast("double").alias("weight")).filter("weight > 0")
+    total = rows.agg(F.sum("weight").alias("t")).first()["t"]
     spark = weighted.sparkSession
-    parts = 64
-    rows = weighted.select(key, "weight").withColumn("__p", F.pmod(F.xxhash64(key), F.lit(parts)))
-    sums = rows.groupBy("__p").agg(F.sum("weight").alias("s"))
-    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
-    cum = sums.withColumn("hi", F.sum("s").over(w)).withColumn("lo", F.col("hi") - F.col("s")).crossJoin(sums.agg(F.sum("s").alias("total")))
-    draws = spark.range(n).withColumn("u", F.rand(seed))
-    dealt = draws.join(F.broadcast(cum), (F.col("u") * F.col("total") >= F.col("lo")) & (F.col("u") * F.col("total") < F.col("hi")))
-    dealt = dealt.select("id", "__p", (F.col("u") * F.col("total") - F.col("lo")).alias("at"))
-    own = rows.withColumn("at", F.sum("weight").over(Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
-    both = dealt.select("id", "__p", "at", F.lit(None).cast(dict(weighted.dtypes)[key]).alias(key)).unionByName(own.select(F.lit(None).cast("bigint").alias("id"), "__p", "at", key))
-    nxt = F.first(key, ignorenulls=True).over(Window.partitionBy("__p").orderBy("at").rowsBetween(0, Window.unboundedFollowing))
-    last = F.max(key).over(Window.partitionBy("__p"))
-    return both.withColumn("drawn", F.coalesce(nxt, last)).filter("id is not null").select("id", F.col("drawn").alias(key))
+    if not total:
+        return spark.createDataFrame([], f"id bigint, {key} {dict(weighted.dtypes)[key]}")
+    scale = 2.0 ** (51 - math.ceil(math.log2(total)))  # a power of two, so that products are exact
+    units = rows.withColumn("units", (F.col("weight") * scale).cast("bigint")).filter("units > 0")
+    units = scan(units, [], [key, "weight"], **sums(upto="units", place="1"), name="ranges")
+    whole = units.agg(F.max("upto").alias("whole"))
+    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), 1, 13), 16, 10)
+    draws = spark.range(n).withColumn("h", hashed.cast("bigint")).crossJoin(F.broadcast(whole))  # one row
+    at = F.expr("cast(cast(h as decimal(18, 0)) * cast(whole as decimal(18, 0)) div 4503599627370496 as bigint)")
+    asks = draws.select(at.alias("v"), F.lit(1).alias("kind"), F.lit(0).alias("one"), "id")
+    starts = units.select((F.col("upto") - F.col("units")).alias("v"), F.lit(0).alias("kind"), F.lit(1).alias("one"), F.lit(None).cast("bigint").alias("id"))
+    met = scan(asks.unionByName(starts), [], ["v", "kind"], **sums(place="one"), name="draws", keep=["kind", "id"])
+    return met.filter("kind = 1").select("id", "place").join(units.select("place", key), "place").select("id", key)
 
 
 def detect_none_pairs(samples: DataFrame, label: str) -> DataFrame:

@@ -57,6 +57,42 @@ def h5_nested_to_flat(spark, d):
     return hierarchy.unnest(hierarchy.nest(words(spark, d)))
 
 
+#: A tree with gaps: paragraphs whose lines are orphans, lines without words, words without characters.
+_GAPS = {"paragraph": "(doc_id + pi) % 7 <> 3", "word": "li <> 2", "character": "wi % 5 <> 1"}
+TREE = f"""{FLAT}, tp AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY pi) - 1 AS np FROM paras WHERE {_GAPS["paragraph"]}),
+ tl AS (SELECT l.*, np, dense_rank() OVER (PARTITION BY l.doc_id, l.pi ORDER BY li) - 1 AS nl FROM lines l JOIN tp USING (doc_id, pi)),
+ tw AS (SELECT w.*, np, nl, dense_rank() OVER (PARTITION BY w.doc_id, w.pi, w.li ORDER BY wi) - 1 AS nw FROM words w JOIN tl USING (doc_id, pi, li) WHERE {_GAPS["word"]}),
+ tc AS (SELECT *, unnest(range(length(text))) AS nc FROM tw WHERE {_GAPS["character"]}),
+ tree AS (SELECT doc_id, NULL::INT AS pi, NULL::INT AS li, NULL::INT AS wi, NULL::INT AS ci, 'page' AS type, NULL AS text, NULL::BOOLEAN AS is_handwritten, x1, y1, x2, y2 FROM pgs
+  UNION ALL SELECT doc_id, np, NULL, NULL, NULL, 'paragraph', NULL, pi % 2 = 1, x1, y1, x2, y2 FROM tp UNION ALL SELECT doc_id, np, nl, NULL, NULL, 'line', NULL, NULL, x1, y1, x2, y2 FROM tl
+  UNION ALL SELECT doc_id, np, nl, nw, NULL, 'word', NULL, NULL, x1, y1, x2, y2 FROM tw
+  UNION ALL SELECT doc_id, np, nl, nw, nc, 'character', text[nc + 1], NULL, (x1 + 12 * nc)::INT, y1, (x1 + 12 * nc + 12)::INT, y2 FROM tc)"""
+
+
+def _tree(spark, d):
+    flat = hierarchy.flatten(layout.layout_chars(words(spark, d)))
+    kept = F.lit(True)
+    for kind, rule in _GAPS.items():
+        kept = kept & ((F.col("type") != kind) | F.expr(rule))
+    return hierarchy.nest_tree(flat.withColumn("is_handwritten", F.col("pi") % 2 == 1).filter(kept))
+
+
+@register(f"WITH {WORDS}{FLAT}, c AS (SELECT doc_id, pi, li, wi, unnest(range(length(text)))::INT AS ci, text, x1, y1, x2, y2 FROM words), f AS (SELECT doc_id, pi, li, wi, NULL::INT AS ci, type, level, NULL AS text, x1, y1, x2, y2 FROM flat UNION ALL SELECT doc_id, pi, li, wi, ci, 'character', 4, text[ci + 1], (x1 + 12 * ci)::INT, y1, (x1 + 12 * ci + 12)::INT, y2 FROM c) SELECT doc_id, count(*) AS n, md5(string_agg(type[1] || coalesce(text, '') || x1 || ',' || y2, '|' ORDER BY pi NULLS FIRST, li NULLS FIRST, wi NULLS FIRST, ci NULLS FIRST)) AS digest FROM f GROUP BY doc_id")
+def h3_flatten_characters(spark, d):
+    """All five levels; a digest of each document's rows in order of ``id``."""
+    flat = hierarchy.flatten(layout.layout_chars(words(spark, d)))
+    cell = F.concat(F.substring("type", 1, 1), F.coalesce("text", F.lit("")), "x1", F.lit(","), "y2")
+    rows = F.sort_array(F.collect_list(F.struct("id", cell.alias("t"))))
+    digest = F.md5(F.array_join(F.transform(rows, lambda r: r["t"]), "|").cast("binary"))
+    return flat.groupBy("doc_id").agg(F.count("*").alias("n"), digest.alias("digest"))
+
+
+@register(f"WITH {WORDS}{TREE} SELECT * FROM tree")
+def h4_h5_whole_tree(spark, d):
+    """Flat rows with orphans and empty parents, nested and unnested again."""
+    return hierarchy.unnest_tree(_tree(spark, d))
+
+
 @register("""SELECT w.doc_id, count(DISTINCT pi) AS paragraphs, count(DISTINCT (pi, li)) AS lines, count(*) AS words, sum(length(text))::BIGINT AS chars,
  min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM words w GROUP BY w.doc_id""")
 def h6_hierarchy_counts(spark, d):
@@ -352,12 +388,69 @@ def t2_sequence_index(spark, d):
     return training.sequence_index(hierarchy.flatten(words(spark, d)), True)
 
 
+@register(f"""WITH {WORDS}{FLAT}, k AS (SELECT doc_id, CASE type WHEN 'page' THEN 'para' WHEN 'paragraph' THEN 'line' WHEN 'line' THEN 'word' ELSE 'char' END AS level, pi, li, wi FROM flat)
+ SELECT 'v3' AS scheme, * FROM k UNION ALL SELECT 'v4', * FROM k UNION ALL SELECT 'v4', doc_id, 'page', NULL, NULL, NULL FROM pgs""")
+def t2_level_index(spark, d):
+    """Both schemes: the third generation's without a page level, the fourth's with it."""
+    flat = hierarchy.flatten(words(spark, d))
+    both = [training.level_index(flat, page).withColumn("scheme", F.lit(name)) for name, page in (("v3", False), ("v4", True))]
+    return both[0].unionByName(both[1])
+
+
 @register("SELECT doc_id, pi, li, wi, length(text)::INT AS target, lag(length(text)::INT, 1, 0) OVER (PARTITION BY doc_id, pi, li ORDER BY wi) AS prev FROM words")
 def t3_teacher_forcing(spark, d):
     w = words(spark, d).select("doc_id", "pi", "li", "wi", F.length("text").alias("target"))
     return training.teacher_forcing(w, ["doc_id", "pi", "li"], "wi", "target")
 
 
+@register(f"""WITH {WORDS}, f AS (SELECT doc_id, pi, li, x1 AS fx, y1 AS fy, least(1024.0::DOUBLE / (x2 - x1), 1024.0::DOUBLE / (y2 - y1)) AS s, x2 - x1 AS w, y2 - y1 AS h FROM lines WHERE li <> 3),
+ o AS (SELECT *, floor((1024 - trunc(w * s)) / 2) AS ox, floor((1024 - trunc(h * s)) / 2) AS oy FROM f),
+ v AS (SELECT o.doc_id, o.pi, o.li, wi, trunc((v.x1 - fx) * s + ox)::INT AS x1, trunc((v.y1 - fy) * s + oy)::INT AS y1, trunc((v.x2 - fx) * s + ox)::INT AS x2, trunc((v.y2 - fy) * s + oy)::INT AS y2,
+  (3 + length(text) % 5)::INT AS c, (o.pi % 2)::INT AS h FROM words v JOIN o USING (doc_id, pi, li)),
+ n AS (SELECT *, (row_number() OVER k - 1)::INT AS item, coalesce(lag(x1) OVER k, 0) || ',' || coalesce(lag(y1) OVER k, 0) || ',' || coalesce(lag(x2) OVER k, 0) || ',' || coalesce(lag(y2) OVER k, 0) || ',' || coalesce(lag(c) OVER k, 0) || ',' || coalesce(lag(h) OVER k, 0) AS prev,
+  x1 || ',' || y1 || ',' || x2 || ',' || y2 || ',' || c || ',' || h AS target FROM v WINDOW k AS (PARTITION BY doc_id, pi, li ORDER BY wi)),
+ z AS (SELECT doc_id, pi, li, max(item) + 1 AS item, arg_max(target, item) AS prev FROM n GROUP BY ALL)
+ SELECT doc_id, pi, li, item, prev, target FROM n UNION ALL SELECT doc_id, pi, li, item, prev, '0,0,0,0,0,0' FROM z
+ UNION ALL SELECT doc_id, pi, li, 0, '0,0,0,0,0,0', '0,0,0,0,0,0' FROM lines WHERE li = 3""")
+def t3_teacher_forced_items(spark, d):
+    """Words in their line's retina as vectors; every fourth line is asked for without words."""
+    w = words(spark, d).filter("li <> 3").withColumns({"class_id": 3 + F.length("text") % 5, "is_handwritten": F.col("pi") % 2})
+    key = ["doc_id", "pi", "li"]
+    got = training.teacher_forced_items(training.parent_local(w, key), lines(spark, d), key, "wi")
+    told = {c: F.concat_ws(",", *[F.col(c)[k] for k in training.ITEM]) for c in ("prev", "target")}
+    return got.withColumns(told)
+
+
+_STEPS_SQL = """st AS (SELECT doc_id, pi, li, wi * 2 + k AS o, (CASE k WHEN 0 THEN x1 ELSE x2 END)::DOUBLE AS x, (CASE k WHEN 0 THEN y1 ELSE y2 END)::DOUBLE AS y, CASE k WHEN 0 THEN 0.6 ELSE -0.8 END::DOUBLE AS dx, CASE k WHEN 0 THEN 0.8 ELSE 0.6 END::DOUBLE AS dy, (length(text) % 3)::INT AS c
+  FROM words, (SELECT unnest([0, 1]) AS k) WHERE li <> 3),
+ sn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pi, li ORDER BY o) - 1 AS i FROM st),
+ al AS (SELECT doc_id, pi, li, i + d AS k, CASE d WHEN 1 THEN 'prev' ELSE 'target' END AS side, x, y, dx, dy, c FROM sn, (SELECT unnest([0, 1]) AS d)
+  UNION ALL SELECT l.doc_id, l.pi, l.li, CASE s WHEN 'prev' THEN 0 ELSE (SELECT count(*) FROM sn WHERE (sn.doc_id, sn.pi, sn.li) = (l.doc_id, l.pi, l.li)) END, s, 0, 0, 0, 0, 0 FROM lines l, (SELECT unnest(['prev', 'target']) AS s)),
+ cu AS (SELECT * FROM al WHERE k < 16), le AS (SELECT doc_id, pi, li, count(*) // 2 AS n, doc_id // 8 AS batch FROM cu GROUP BY ALL),
+ mx AS (SELECT *, max(n) OVER (PARTITION BY batch) AS longest FROM le),
+ fi AS (SELECT doc_id, pi, li, arg_min(x, k) AS x0, arg_min(y, k) AS y0 FROM cu WHERE side = 'target' AND c <> 0 GROUP BY ALL),
+ pd AS (SELECT doc_id, pi, li, batch, n, longest, unnest(range(longest)) AS k FROM mx),
+ fl AS (SELECT pd.*, pd.k >= n AS padded, p.x AS px, p.y AS py, p.dx AS pdx, p.dy AS pdy, p.c AS pc, t.x AS tx, t.y AS ty, t.dx AS tdx, t.dy AS tdy, t.c AS tc FROM pd
+  LEFT JOIN cu p ON (p.doc_id, p.pi, p.li, p.k) = (pd.doc_id, pd.pi, pd.li, pd.k) AND p.side = 'prev' LEFT JOIN cu t ON (t.doc_id, t.pi, t.li, t.k) = (pd.doc_id, pd.pi, pd.li, pd.k) AND t.side = 'target')"""
+
+
+@register(f"""WITH {WORDS}, {_STEPS_SQL}
+ SELECT doc_id, pi, li, batch, n::INT AS n, k::INT AS k, padded, coalesce(px, 0) AS px, coalesce(py, 0) AS py, coalesce(pdx, 0) AS pdx, coalesce(pdy, 0) AS pdy, coalesce(pc, 0) AS pc, round(coalesce(px, 0) / 1024, 9) AS nx,
+  round(coalesce(pc, 0) / 460.0::DOUBLE, 9) AS nc, coalesce(tx, 0) AS tx, coalesce(ty, 0) AS ty, coalesce(tdx, 0) AS tdx, coalesce(tdy, 0) AS tdy, coalesce(tc, 0) AS tc, coalesce(x0, 0) AS x0, coalesce(y0, 0) AS y0 FROM fl LEFT JOIN fi USING (doc_id, pi, li)""")
+def t4_t5_t13_vectors(spark, d):
+    """Two steps of each word (point, direction, class) as sequences of their line, padded in batches of eight documents, each place
+    a row with every field; the inputs also normalised. Every fourth line has no steps."""
+    w = words(spark, d).filter("li <> 3").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    at = lambda a, b: F.when(F.col("k") == 0, a).otherwise(b)
+    steps = w.select("doc_id", "pi", "li", (2 * F.col("wi") + F.col("k")).alias("o"), at(F.col("x1"), F.col("x2")).cast("double").alias("x"), at(F.col("y1"), F.col("y2")).cast("double").alias("y"),
+                     at(F.lit(0.6), F.lit(-0.8)).alias("dx"), at(F.lit(0.8), F.lit(0.6)).alias("dy"), (F.length("text") % 3).alias("class_id"))
+    padded = training.pad_sequences(training.contour_sequences(steps, lines(spark, d), ["doc_id", "pi", "li"], "o", 16), "doc_id", 8)
+    both = padded.withColumn("plain", F.col("prev")).transform(training.normalise_steps)
+    rows = both.select("doc_id", "pi", "li", "batch", "n", "x0", "y0", F.posexplode(F.arrays_zip("plain", "prev", "target", "mask")).alias("k", "z"))
+    cells = [F.col(f"z.{c}.{f}").alias(s + ("c" if f == "class_id" else f)) for c, s in (("plain", "p"), ("target", "t")) for f in training.STEP]
+    return rows.select("doc_id", "pi", "li", "batch", "n", "k", F.col("z.mask").alias("padded"), "x0", "y0", *cells, F.round("z.prev.x", 9).alias("nx"), F.round("z.prev.class_id", 9).alias("nc"))
+
+
 def _sequences(spark, d):
     w = words(spark, d).withColumn("class_id", F.length("text") % 3)
     return training.build_sequences(w, ["doc_id", "pi", "li"], "wi", 16)
@@ -406,7 +499,11 @@ def t10_mix_sources(spark, d):
     return training.mix_sources(rows, "s", {"1": 0.7, "0": 0.3}).select("doc_id", F.round("weight", 9).alias("weight"))
 
 
-@register()
+@register("""WITH w AS (SELECT doc_id, (CASE quality WHEN 1 THEN 0.7 ELSE 0.3 END)::DOUBLE / count(*) OVER (PARTITION BY quality) AS weight FROM labels WHERE quality IS NOT NULL),
+ u AS (SELECT doc_id, weight, floor(weight * power(2, 51 - ceil(log2(t)))::DOUBLE)::BIGINT AS u FROM w, (SELECT round(sum(weight), 6) AS t FROM w)),
+ c AS (SELECT doc_id, sum(u) OVER (ORDER BY doc_id, weight ROWS UNBOUNDED PRECEDING)::HUGEINT AS hi, u FROM u WHERE u > 0),
+ d AS (SELECT i AS id, ('0x' || md5('3:' || i)[1:13])::BIGINT::HUGEINT * (SELECT max(hi) FROM c) // 4503599627370496 AS spot FROM range(500) r(i))
+ SELECT id, doc_id FROM d JOIN c ON spot >= hi - u AND spot < hi""")
 def t10_draw(spark, d):
     rows = table(spark, d, "labels").filter("quality is not null").withColumn("s", F.col("quality").cast("string"))
     return training.draw_with_replacement(training.mix_sources(rows, "s", {"1": 0.7, "0": 0.3}), "doc_id", 500, 3)

@@ -122,6 +122,23 @@ def d2_run_cascade(spark, d):
     return detect.run_cascade(pages.withColumn("path", F.lit(0)), _halves, 2, schema)[-1]
 
 
+_WAVES = "w1 AS (SELECT doc_id, k AS path, x1, CASE k WHEN 1 THEN (y1 + y2) // 2 ELSE y1 END AS y1, x2, CASE k WHEN 0 THEN (y1 + y2) // 2 ELSE y2 END AS y2 FROM pgs, (SELECT unnest([0, 1]) AS k))" + "".join(
+    f", w{n} AS (SELECT doc_id, 2 * path + k AS path, {cells} FROM w{n - 1}, (SELECT unnest([0, 1]) AS k))"
+    for n in (2, 3, 4)
+    for cells in ["CASE k WHEN 1 THEN (x1 + x2) // 2 ELSE x1 END AS x1, y1, CASE k WHEN 0 THEN (x1 + x2) // 2 ELSE x2 END AS x2, y2" if n % 2 == 0 else "x1, CASE k WHEN 1 THEN (y1 + y2) // 2 ELSE y1 END AS y1, x2, CASE k WHEN 0 THEN (y1 + y2) // 2 ELSE y2 END AS y2"]
+)
+
+
+@register(f"""WITH {WORDS}, {_WAVES} SELECT doc_id, path::BIGINT AS path, x1::BIGINT AS x1, y1::BIGINT AS y1, x2::BIGINT AS x2, y2::BIGINT AS y2 FROM w4""")
+def d2_resumed_cascade(spark, d):
+    """Five levels, of which the first two read the pages: a run that stops after the third wave, and one that goes on from there."""
+    pages = lines(spark, d).groupBy("doc_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    pages = pages.withColumn("path", F.lit(0))
+    schema, store = "doc_id long, path long, x1 long, y1 long, x2 long, y2 long", new_path(spark, "waves")
+    detect.run_cascade(pages, _halves, 3, schema, store, 2)
+    return detect.run_cascade(pages, _halves, 5, schema, store, 2)[-1]
+
+
 @register()
 def d3_close_contours(spark, d):
     """Each word's upper left corner is a step of its paragraph; words of thirteen letters, or more, end it."""
