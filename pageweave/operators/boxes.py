@@ -16,21 +16,38 @@ from pageweave.operators.graph import connected_components
 _BOX = ("x1", "y1", "x2", "y2")
 
 
-def _tiled(boxes: DataFrame, tile: int) -> DataFrame:
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(b) / tile)))
-    return boxes.withColumn("tx", span("x1", "x2")).withColumn("ty", span("y1", "y2"))
+Tile = int | tuple[int, int]
 
 
-def overlap_join(a: DataFrame, b: DataFrame, group: str, tile: int = 256) -> DataFrame:
+def _tiled(boxes: DataFrame, tile: tuple[int, int]) -> DataFrame:
+    span = lambda a, b, t: F.explode(F.sequence(F.floor(F.col(a) / t), F.floor(F.col(b) / t)))
+    return boxes.withColumn("tx", span("x1", "x2", tile[0])).withColumn("ty", span("y1", "y2", tile[1]))
+
+
+def fitting_tile(boxes: DataFrame) -> tuple[int, int]:
+    """Width and height of twice the median box, so that a tile holds few boxes and a box stands in few tiles."""
+    sides = [F.percentile_approx(F.col(b) - F.col(a), 0.5).alias(n) for a, b, n in (("x1", "x2", "w"), ("y1", "y2", "h"))]
+    r = boxes.agg(*sides).first()
+    return max(8, 2 * int(r["w"] or 0)), max(8, 2 * int(r["h"] or 0))
+
+
+def _met_itself(boxes: DataFrame, group: str, tile: Tile | None) -> DataFrame:
+    """``overlap_join`` of boxes with themselves: laid out once, in tiles that fit them unless told."""
+    own = saved(boxes.select(group, "id", *_BOX), "boxes")
+    return overlap_join(own, own, group, tile or fitting_tile(own))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, group: str, tile: Tile = 256) -> DataFrame:
     """Pairs of ``a`` and ``b`` (ids ``id``; columns prefixed) of a group whose closed boxes meet.
 
     An equi-join on group and tile; a pair is taken in the one tile that holds the upper left corner of its overlap, so
     nothing has to be made distinct.
     """
+    tile = tile if isinstance(tile, tuple) else (tile, tile)
     left = _tiled(a.select(group, "id", *_BOX), tile).select(group, "tx", "ty", *[F.col(c).alias("a_" + c) for c in ("id", *_BOX)])
     right = _tiled(b.select(group, "id", *_BOX), tile).select(group, "tx", "ty", *[F.col(c).alias("b_" + c) for c in ("id", *_BOX)])
     meets = "a_x1 <= b_x2 and b_x1 <= a_x2 and a_y1 <= b_y2 and b_y1 <= a_y2"
-    once = (F.col("tx") == F.floor(F.greatest("a_x1", "b_x1") / tile)) & (F.col("ty") == F.floor(F.greatest("a_y1", "b_y1") / tile))
+    once = (F.col("tx") == F.floor(F.greatest("a_x1", "b_x1") / tile[0])) & (F.col("ty") == F.floor(F.greatest("a_y1", "b_y1") / tile[1]))
     return left.join(right, [group, "tx", "ty"]).filter(meets).filter(once).drop("tx", "ty")
 
 
@@ -49,16 +66,16 @@ def _area(side: str) -> Column:
     return (F.col(f"{side}_x2") - F.col(f"{side}_x1")) * (F.col(f"{side}_y2") - F.col(f"{side}_y1"))
 
 
-def iou_pairs(boxes: DataFrame, group: str, tile: int = 256) -> DataFrame:
+def iou_pairs(boxes: DataFrame, group: str, tile: Tile | None = None) -> DataFrame:
     """``iou`` of every meeting pair of a group, the smaller id first; 0 where the union is empty."""
-    pairs = overlap_join(boxes, boxes, group, tile).filter("a_id < b_id").withColumn("inter", overlap_area())
+    pairs = _met_itself(boxes, group, tile).filter("a_id < b_id").withColumn("inter", overlap_area())
     union = _area("a") + _area("b") - F.col("inter")
     return pairs.withColumn("iou", F.when(union > 0, F.col("inter") / union).otherwise(0.0))
 
 
-def overlap_pairs(boxes: DataFrame, group: str, tile: int = 256) -> DataFrame:
+def overlap_pairs(boxes: DataFrame, group: str, tile: Tile | None = None) -> DataFrame:
     """``inter`` and its share ``of_smaller`` of the smaller box."""
-    pairs = overlap_join(boxes, boxes, group, tile).filter("a_id < b_id").withColumn("inter", overlap_area())
+    pairs = _met_itself(boxes, group, tile).filter("a_id < b_id").withColumn("inter", overlap_area())
     small = F.least(_area("a"), _area("b"))
     return pairs.withColumn("of_smaller", F.when(small > 0, F.col("inter") / small).otherwise(0.0))
 
@@ -157,7 +174,7 @@ def nms(dets: DataFrame, group: list[str], thr: float = 0.3, min_conf: float = 0
     """
     strong = dets.filter((F.col("class_id") != 0) & (F.col("confidence") >= min_conf))
     keyed = strong.withColumn("__g", F.struct(*group))
-    pairs = overlap_join(keyed, keyed, "__g").filter("a_id <> b_id").withColumn("inter", overlap_area())
+    pairs = _met_itself(keyed, "__g", None).filter("a_id <> b_id").withColumn("inter", overlap_area())
     union = _area("a") + _area("b") - F.col("inter")
     pairs = pairs.filter((union > 0) & (F.col("inter") / union >= thr))
     score = keyed.select("__g", "id", "confidence")
@@ -197,7 +214,9 @@ def apply_thresholds(scores: DataFrame, thresholds: DataFrame, factor: float) ->
     return scores.join(thresholds, "label").filter(F.col("score") >= factor * F.col("thr"))
 
 
-def argmax_label(scores: DataFrame, key: str) -> DataFrame:
+def argmax_label(scores: DataFrame, key: str, blank: object | None = None) -> DataFrame:
+    """``label`` of the highest score per key, the smaller of equals; a ``blank`` label never wins, and a key that has no other goes."""
+    scores = scores if blank is None else scores.filter(F.col("label") != blank)
     return scores.groupBy(key).agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("label"), F.max("score").alias("score"))
 
 
@@ -298,7 +317,7 @@ def greedy_same_label(cands: DataFrame, group: str) -> DataFrame:
     Conflicts are found by tiles and settled as in ``_settled``. Ids are unique within a group and label.
     """
     own = cands.withColumn("__g", F.struct(group, "label"))
-    pairs = overlap_join(own, own, "__g").filter("a_id <> b_id")
+    pairs = _met_itself(own, "__g", None).filter("a_id <> b_id")
     order = ("distance", "y1", "x1", "id")
     rank = own.select("__g", "id", F.struct(*order).alias("rank"))
     for side in "ab":
@@ -316,7 +335,7 @@ def drop_substring_overlaps(cands: DataFrame, group: str) -> DataFrame:
     Boxes are taken in the order of their sides, then labels; a box that is gone takes no other with it. Conflicts are found by
     tiles and settled as in ``_settled``.
     """
-    met = overlap_join(cands, cands, group).filter("a_id <> b_id")
+    met = _met_itself(cands, group, None).filter("a_id <> b_id")
     labels = cands.select(group, "id", "label")
     for side in "ab":
         met = met.join(labels.withColumnsRenamed({"id": f"{side}_id", "label": f"{side}_label"}), [group, f"{side}_id"])

@@ -23,7 +23,7 @@ def bfs_frontier(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages:
         layer = saved(nxt.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)), "layer")
         if layer.isEmpty():
             break
-        seen = saved(seen.unionByName(layer), "seen")
+        seen = seen.unionByName(layer)  # the layers' own tables: none is written again
     return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
 
 
@@ -89,6 +89,22 @@ def pdf_pages(assets: DataFrame, most: int = 100) -> DataFrame:
     return assets.filter("pages > 0").withColumn("page", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("pages_extracted", n)
 
 
+def extracted_pages(assets: DataFrame, sizes: DataFrame, key: str, most: int = 100, least: int = 200) -> DataFrame:
+    """The first ``most`` pages of each asset that are ``least`` wide and high (``sizes``: key, ``page, width, height``), with
+    ``pages_extracted``, how many of an asset's stayed."""
+    rows = pdf_pages(assets, most).drop("pages_extracted", "width", "height").join(sizes, [key, "page"])
+    rows = rows.filter((F.col("width") >= least) & (F.col("height") >= least))
+    n = rows.groupBy(key).agg(F.count("*").cast("int").alias("pages_extracted"))
+    return rows.join(n, key)
+
+
+def crawl_report(documents: DataFrame, queue: DataFrame, visited: DataFrame, assets: DataFrame) -> DataFrame:
+    """``item, n``: documents kept, pages queued and visited, assets of each status."""
+    parts = [d.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n") for name, d in (("documents", documents), ("queue", queue), ("visited", visited))]
+    status = counts_by(assets, "status").select(F.concat(F.lit("assets: "), "status").alias("item"), "n")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(status)
+
+
 def score_gate(docs: DataFrame, scores: DataFrame, key: str, threshold: float) -> DataFrame:
     """Rows not scored yet take their score if it reaches the threshold and go otherwise; scored rows stay."""
     j = docs.join(scores.select(key, F.col("score").alias("__s")), key, "left")
@@ -118,6 +134,16 @@ def image_names(rows: DataFrame, index: str, url: str, prefix: str = "documents/
     return rows.withColumn("name", name).withColumn("object_key", F.concat(F.lit(prefix), name))
 
 
+def pdf_page_names(rows: DataFrame, index: str, url: str, page: str) -> DataFrame:
+    """``name`` of each page: ``pdf_`` + six digits + twelve characters of the URL's md5 + ``_p`` + three digits."""
+    return rows.withColumn("name", F.format_string("pdf_%06d_%s_p%03d.png", F.col(index), F.substring(F.md5(F.col(url).cast("binary")), 1, 12), F.col(page)))
+
+
+def public_urls(rows: DataFrame, base: str, key: str = "object_key") -> DataFrame:
+    """``public_url``: the object's key under the ``base`` of its store, one slash between."""
+    return rows.withColumn("public_url", F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(F.col(key), F.lit("/"))))
+
+
 def upsert(snapshot: DataFrame, changes: DataFrame, deleted: DataFrame, key: str, ts: str) -> DataFrame:
     """A registry's next snapshot: last write of a key wins, deleted keys go."""
     return insert_or_replace(snapshot, changes, key, ts).join(deleted.select(key), key, "left_anti")

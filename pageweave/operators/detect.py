@@ -89,5 +89,7 @@ def pair_by_ordinal(regions: DataFrame, classes: DataFrame, key: str, order: str
     return regions.withColumn("n", n).join(classes.withColumn("n", n).drop(order), [key, "n"])
 
 
-def score_document(counts: DataFrame, threshold: int) -> DataFrame:
+def score_document(counts: DataFrame, threshold: int, deep: bool = False) -> DataFrame:
+    """``is_document`` where there are enough paragraphs; ``line_count`` of a deep look, else 0."""
+    counts = counts.withColumn("line_count", F.col("lines") if deep else F.lit(0))
     return counts.withColumn("is_document", F.col("paragraphs") >= threshold)

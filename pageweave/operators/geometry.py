@@ -25,6 +25,15 @@ def to_retina(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns({c: (F.col(c) * F.col("scale") + F.col("o" + c[0])).cast("int") for c in ("x1", "y1", "x2", "y2")})
 
 
+def contours_to_retina(contours: DataFrame) -> DataFrame:
+    """Every point of ``contour`` in its frame's retina, cut toward zero as in ``to_retina``."""
+
+    def point(p: Column) -> Column:
+        return F.struct(*[(p[a] * F.col("scale") + F.col("o" + a)).cast("int").alias(a) for a in "xy"])
+
+    return contours.withColumn("contour", F.transform("contour", point))
+
+
 def to_source(dets: DataFrame) -> DataFrame:
     """Inverse of ``to_retina``, cut to the image."""
     back = {c: ((F.col(c) - F.col("o" + c[0])) / F.col("scale")).cast("int") for c in ("x1", "y1", "x2", "y2")}
@@ -141,6 +150,19 @@ def content_mask(pixels: DataFrame, background: DataFrame, least: int = 0) -> Da
     return pixels.join(bg, "image_id").filter(diff > least).drop("br", "bg", "bb")
 
 
+def boxed_mask(pixels: DataFrame, background: DataFrame, boxes: DataFrame, least: int = 0, tile: int = 64) -> DataFrame:
+    """Content pixels inside each of ``boxes(image_id, id, x1, y1, x2, y2)`` (right and lower edge outside), with its ``id``.
+
+    An equi-join on image and tile; a pixel in several boxes is there for each.
+    """
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor((F.col(b) - 1) / tile)))
+    tiles = boxes.filter("x2 > x1 and y2 > y1").select("image_id", "id", *[F.col(c).alias("__" + c) for c in ("x1", "y1", "x2", "y2")])
+    tiles = tiles.withColumn("__tx", span("__x1", "__x2")).withColumn("__ty", span("__y1", "__y2"))
+    ink = content_mask(pixels, background, least).withColumns({"__tx": F.floor(F.col("x") / tile), "__ty": F.floor(F.col("y") / tile)})
+    met = ink.join(tiles, ["image_id", "__tx", "__ty"]).filter("x >= __x1 and x < __x2 and y >= __y1 and y < __y2")
+    return met.drop("__tx", "__ty", "__x1", "__y1", "__x2", "__y2")
+
+
 def region_contours(pixels: DataFrame, epsilon: float = 2.0, most: int = 20, least: int = 4) -> DataFrame:
     """``region, contour``: hull of each region's pixels, simplified to at most ``most`` points, at least ``least``.
 

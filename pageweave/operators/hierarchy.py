@@ -108,7 +108,11 @@ def unnest(nested: DataFrame) -> DataFrame:
 
 
 def assemble_text(chars: DataFrame, with_words: bool = True) -> DataFrame:
-    """Characters joined to words, words by a space, lines by a newline, paragraphs by an empty line."""
+    """Characters joined to words, words by a space, lines by a newline, paragraphs by an empty line; no character (null): ``?``.
+
+    All levels are grouped within one exchange, on the document.
+    """
+    chars = chars.withColumn("ch", F.coalesce("ch", F.lit("?"))).repartition("doc_id")
 
     def joined(df, keys, order, item, sep):
         rows = F.sort_array(F.collect_list(F.struct(*order, item)))

@@ -83,7 +83,52 @@ def self_intersection(contours: DataFrame, key: str, k: float = 0.01) -> DataFra
     return pairs.groupBy(key).agg(F.avg(F.expr(score)).alias("score"))
 
 
-def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
-    """Files whose content hash is new or differs from the last one seen."""
-    b = before.select("path", F.col("hash").alias("__h"))
-    return now.join(b, "path", "left").filter("__h is null or __h <> hash").drop("__h")
+
+#: Weights of the generations' totals, by the name of the loss.
+WEIGHTS = {
+    "contours": {"point": 1.0, "orientation": 0.5, "class": 1.0, "intersection": 0.1},
+    "boxes": {"point": 1.0, "class": 1.0, "handwritten": 0.5},
+    "items": {"point": 1.0, "class": 1.0},
+}
+
+
+def evaluate_losses(
+    preds: DataFrame,
+    targets: DataFrame,
+    keys: list[str],
+    points: tuple[str, ...] = ("x", "y"),
+    paragraph: int = 2,
+    smoothing: float = 0.1,
+    side: float = 1024.0,
+    crossing: DataFrame | None = None,
+) -> DataFrame:
+    """Per ``level``: ``point_loss, orientation_loss, class_loss, handwritten_loss, intersection_loss, n`` and ``total_`` of each of WEIGHTS.
+
+    One join of predictions (``points``, ``dx, dy, logit, logits``) and targets (``points``, ``dx, dy, flag, class_id``). Points and
+    directions count where the target is no NONE, classes everywhere, handwriting at paragraphs only; a loss without rows is
+    0. ``crossing(level, score)`` brings the self-intersection of a level's contours (``self_intersection``), 0 if left out.
+    """
+    p = preds.select(*keys, "logits", *[F.col(c).alias("p_" + c) for c in (*points, "dx", "dy", "logit")])
+    j = class_loss(targets.join(p, keys).withColumn("target", F.col("class_id")), smoothing)
+    valid, handed = F.col("class_id") != 0, F.col("class_id") == paragraph
+    point = sum(smooth_l1((F.col(f"p_{c}") - F.col(c)) / side) for c in points) / len(points)
+    turn = 1 - (F.col("p_dx") * F.col("dx") + F.col("p_dy") * F.col("dy"))
+    z = F.col("p_logit")
+    bce = F.greatest(z, F.lit(0.0)) - z * F.col("flag") + F.log1p(F.exp(-F.abs(z)))
+    mean = lambda x: F.coalesce(F.avg(x), F.lit(0.0))
+    out = j.groupBy("level").agg(
+        mean(F.when(valid, point)).alias("point_loss"), mean(F.when(valid, turn)).alias("orientation_loss"), mean("loss").alias("class_loss"),
+        mean(F.when(handed, bce)).alias("handwritten_loss"), F.count_if(valid).alias("n"),
+    )
+    if crossing is not None:
+        out = out.join(crossing.select("level", F.col("score").alias("intersection_loss")), "level", "left")
+    found = F.coalesce("intersection_loss", F.lit(0.0)) if crossing is not None else F.lit(0.0)
+    out = out.withColumn("intersection_loss", found)
+    return out.withColumns({f"total_{k}": sum(w * F.col(f"{loss}_loss") for loss, w in v.items()) for k, v in WEIGHTS.items()})
+
+
+def component_means(batches: DataFrame, components: list[str], rank: str | None = None) -> DataFrame:
+    """Each of the ``components`` per run and epoch, weighted by ``n``; with ``rank`` the plain mean over the ranks' own means."""
+    keys = ["run", "epoch", *([rank] if rank else [])]
+    means = batches.groupBy(*keys).agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in components])
+    return means.groupBy("run", "epoch").agg(*[F.avg(c).alias(c) for c in components]) if rank else means

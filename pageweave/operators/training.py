@@ -188,6 +188,14 @@ def detect_none_pairs(samples: DataFrame, label: str) -> DataFrame:
     return samples.withColumn("p", F.explode(pair)).select(*[c for c in samples.columns if c != label], "p.prev", "p.next")
 
 
+def annotation_status(pages: DataFrame, annotated: DataFrame, key: str, kind: str) -> DataFrame:
+    """Pages, annotated and remaining ones by ``kind``."""
+    done = annotated.select(key).distinct().withColumn("__done", F.lit(True))
+    rows = pages.join(done, key, "left")
+    had = F.count_if(F.coalesce("__done", F.lit(False)))
+    return rows.groupBy(kind).agg(F.count("*").alias("pages"), had.alias("annotated"), (F.count("*") - had).alias("remaining"))
+
+
 def concat_sources(synthetic: DataFrame, real: DataFrame) -> DataFrame:
     return synthetic.withColumn("origin", F.lit("synthetic")).unionByName(real.withColumn("origin", F.lit("real")), allowMissingColumns=True)
 

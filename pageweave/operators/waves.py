@@ -54,6 +54,16 @@ def downscale_dims(images: DataFrame, most: int) -> DataFrame:
     return images.withColumns({c: F.when(side > most, (F.col(c) * s).cast("int")).otherwise(F.col(c)) for c in ("width", "height")})
 
 
+# The shapes that answers must have, by level.
+SCHEMAS = (
+    '{"page_region":{"bbox":[int]}}',
+    '{"paragraphs":[{"bbox":[int]}]}',
+    '{"lines":[{"bbox":[int]}]}',
+    '{"words":[{"bbox":[int]}]}',
+    '{"characters":[{"bbox":[int],"char":string}]}',
+)
+
+
 def build_requests(regions: DataFrame, level: int) -> DataFrame:
     """``custom_id``, crop size, detail, and the message array as JSON of each open node (key columns carried typed)."""
     prompt = ["Find the page region.", "Find the paragraphs.", "Find the lines.", "Find the words.", "Find the characters."][level]
@@ -64,6 +74,7 @@ def build_requests(regions: DataFrame, level: int) -> DataFrame:
             "crop_w": F.col("x2") - F.col("x1"),
             "crop_h": F.col("y2") - F.col("y1"),
             "detail": F.lit("low" if level < 2 else "high"),
+            "schema": F.lit(SCHEMAS[level]),
             "body": F.to_json(F.struct(F.array(F.struct(F.lit("system").alias("role"), F.lit(prompt).alias("text")), F.struct(F.lit("user").alias("role"), F.col("custom_id").alias("text"))).alias("messages"))),
         }
     )
@@ -110,6 +121,43 @@ def parse_responses(lines: DataFrame, vocab: DataFrame | None = None) -> DataFra
     return rows if vocab is None else rows.filter(F.length("ch") == 1).join(vocab.select("ch"), "ch", "left_semi")
 
 
+#: The list that an answer of a level holds (level 0: one region).
+ITEMS = ("page_region", "paragraphs", "lines", "words", "characters")
+
+
+def read_answers(responses: DataFrame, level: int) -> DataFrame:
+    """``custom_id, items`` of each response's ``body`` (``choices``, of the first the message's ``content``, JSON again).
+
+    ``items`` is null where the answer is unusable: no choice, or a content that is no JSON object; empty where the object
+    has no list of that level.
+    """
+    body = F.from_json("body", "choices array<struct<message:struct<content:string>>>")
+    content = F.get(body["choices"], F.lit(0))["message"]["content"]
+    item, name = "struct<bbox:array<double>,char:string>", ITEMS[level]
+    kind = item if level == 0 else f"array<{item}>"
+    read = F.from_json("__content", f"{name} {kind}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = responses.withColumn("__content", F.trim(content)).withColumn("__read", F.when(F.col("__content").startswith("{"), read))
+    rows = rows.withColumn("__read", F.when(F.col("__read._bad").isNull(), F.col("__read")))
+    found = F.col(f"__read.{name}")
+    found = F.when(found.isNotNull(), F.array(found)) if level == 0 else found
+    none = F.array().cast(f"array<{item}>")
+    return rows.withColumn("items", F.when(F.col("__read").isNotNull(), F.coalesce(found, none))).drop("__content", "__read")
+
+
+def answer_items(answers: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """``custom_id, ordinal``, box and ``ch`` of what ``read_answers`` read: boxes of four numbers, and with ``vocab(ch)`` its single characters."""
+    rows = answers.select("custom_id", F.posexplode("items").alias("ordinal", "item")).filter(F.size("item.bbox") == 4)
+    rows = rows.select("custom_id", "ordinal", F.col("item.char").alias("ch"), *[F.get("item.bbox", k).cast("int").alias(c) for k, c in enumerate(_BOX)])
+    return rows if vocab is None else rows.filter(F.length("ch") == 1).join(vocab.select("ch"), "ch", "left_semi")
+
+
+def answer_counts(answers: DataFrame, by: str) -> DataFrame:
+    """Answers, unusable ones (``errors``) and items kept (``stored``) by a column."""
+    good = F.size(F.filter("items", lambda r: F.size(r["bbox"]) == 4))
+    stored = F.sum(F.when(F.col("items").isNotNull(), good).otherwise(0))
+    return answers.groupBy(by).agg(F.count("*").alias("answers"), F.count_if(F.col("items").isNull()).alias("errors"), stored.alias("stored"))
+
+
 def store_cascade(cascade: DataFrame, new: DataFrame, parents: DataFrame, parent_key: list[str], key: list[str]) -> DataFrame:
     """Upsert rows whose parent exists; the new row of a key wins."""
     valid = new.join(parents.select(*parent_key).distinct(), parent_key, "left_semi")
@@ -139,6 +187,31 @@ def usage_rollup(usage: DataFrame, key: str, prompt_price: float = 2.5, completi
     )
 
 
+def usage_so_far(calls: DataFrame, run: str, order: str, seconds: str) -> DataFrame:
+    """Each call of a run with the tokens so far and their rate: ``prompt_sum, completion_sum, total_sum, tok_s``.
+
+    ``seconds`` have passed since the run began; no time, no rate (0). A run of any length lies over many tasks. Calls
+    without usage count nothing.
+    """
+    rows = calls.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("prompt", "completion")})
+    out = scan(rows, [run], [order], **sums(prompt_sum="prompt", completion_sum="completion"), name="usage")
+    total = F.col("prompt_sum") + F.col("completion_sum")
+    return out.withColumns({"total_sum": total, "tok_s": F.when(F.col(seconds) > 0, total / F.col(seconds)).otherwise(0.0)})
+
+
+def call_costs(plan: DataFrame, kind: str) -> DataFrame:
+    """Pages, and average, least and most calls and cost of ``call_plan``'s pages by ``kind`` of page."""
+    sides = [f(c).alias(f"{n}_{c}") for c in ("calls", "cost") for f, n in ((F.avg, "avg"), (F.min, "min"), (F.max, "max"))]
+    return plan.groupBy(kind).agg(F.count("*").alias("pages"), *sides)
+
+
+def level_calls(counts: DataFrame) -> DataFrame:
+    """``doc_id, level, calls, detail``: one call for the page region and one for its paragraphs, then one a paragraph, line and word."""
+    n = [F.lit(1), F.lit(1), F.col("paragraphs"), F.col("lines"), F.col("words")]
+    rows = F.array(*[F.struct(F.lit(k).alias("level"), x.cast("bigint").alias("calls"), F.lit("low" if k < 2 else "high").alias("detail")) for k, x in enumerate(n)])
+    return counts.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
+
+
 def call_plan(counts: DataFrame, unit: float = 0.00322) -> DataFrame:
     """Calls of each page: 2 + paragraphs + lines + words; and their cost."""
     calls = 2 + F.col("paragraphs") + F.col("lines") + F.col("words")
@@ -173,6 +246,14 @@ def proposals_json(dets: DataFrame, keys: list[str]) -> DataFrame:
     return dets.groupBy(*keys).agg(F.to_json(F.transform(rows, lambda r: r["bbox"])).alias("proposals"))
 
 
+def contour_proposals(dets: DataFrame, keys: list[str], with_char: bool = False) -> DataFrame:
+    """Compact JSON list per parent, in order of ``ordinal``: ``{"bbox", "contour_points"}`` of each detection with a ``contour``, or
+    ``{"bbox", "char"}`` (``?`` where the class is no character)."""
+    more = F.coalesce("ch", F.lit("?")).alias("char") if with_char else F.size("contour").alias("contour_points")
+    rows = F.sort_array(F.collect_list(F.struct("ordinal", F.struct(F.array(*_BOX).alias("bbox"), more).alias("p"))))
+    return dets.groupBy(*keys).agg(F.to_json(F.transform(rows, lambda r: r["p"])).alias("proposals"))
+
+
 def message_table(conversations: DataFrame) -> DataFrame:
     """The messages of each conversation in order of turn, one string ``role: text`` each."""
     rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
@@ -187,16 +268,15 @@ def wave_stats(responses: DataFrame) -> DataFrame:
 
 def status_report(claims: DataFrame, cascade: DataFrame, batches: DataFrame, processed: DataFrame) -> DataFrame:
     """``item, status, n, seconds``: claimed files, cascade rows, batches of each status with the time they took, files
-    of each status, and the last completed wave (-1 if none)."""
+    of each status, and the last wave all of whose batches are completed (-1 if none)."""
     took = F.sum(F.unix_timestamp("completed") - F.unix_timestamp("created"))
     none, no_time = F.lit("all"), F.lit(None).cast("bigint")
-    last = F.coalesce(F.max(F.when(F.col("status") == "completed", F.col("wave"))), F.lit(-1)).cast("bigint")
     parts = [
         claims.agg(F.count("*").alias("n")).select(F.lit("claimed").alias("item"), none.alias("status"), "n", no_time.alias("seconds")),
         cascade.agg(F.count("*").alias("n")).select(F.lit("cascade").alias("item"), none.alias("status"), "n", no_time.alias("seconds")),
         batches.groupBy("status").agg(F.count("*").alias("n"), took.alias("seconds")).select(F.lit("batches").alias("item"), "status", "n", "seconds"),
         processed.groupBy("status").agg(F.count("*").alias("n")).select(F.lit("files").alias("item"), "status", "n", no_time.alias("seconds")),
-        batches.agg(last.alias("n")).select(F.lit("last wave").alias("item"), none.alias("status"), "n", no_time.alias("seconds")),
+        last_completed_wave(batches).select(F.col("last_wave").cast("bigint").alias("n")).select(F.lit("last wave").alias("item"), none.alias("status"), "n", no_time.alias("seconds")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["documents", "corpus", "search"]
+_MODULES = ["documents", "corpus", "search", "details"]
 
 
 def _all(name: str) -> dict:

@@ -30,6 +30,13 @@ def write_annotations(nested: DataFrame, path: str) -> None:
     nested.write.json(path)
 
 
+def mask_paths(nodes: DataFrame) -> DataFrame:
+    """``mask_path`` of each node of ``hierarchy.unnest_tree``: ``masks/word_2_0_5_mask.png`` by its places."""
+    kinds = {"page": "page_region", "paragraph": "para", "line": "line", "word": "word", "character": "char"}
+    name = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in kinds.items()])
+    return nodes.withColumn("mask_path", F.concat(F.lit("masks/"), F.concat_ws("_", name, "pi", "li", "wi", "ci", F.lit("mask.png"))))
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Nested annotations; a missing ``is_handwritten`` is false, files that do not parse are left out."""
     rows = spark.read.schema(ANNOTATION).option("columnNameOfCorruptRecord", "_corrupt").json(path)
@@ -52,6 +59,12 @@ def export_metadata(registry: DataFrame, path: str, order: str = "ts") -> None:
     registry.orderBy(order).write.json(path)
 
 
+def export_scores(collected: DataFrame, path: str, order: str = "index") -> None:
+    """Collected documents with what their score rests on: ``details`` holds ``paragraph_count, line_count`` and the threshold."""
+    details = F.struct("paragraph_count", "line_count", "threshold").alias("details")
+    collected.orderBy(order).select("filename", "source_url", "paragraph_count", "line_count", "is_document", details).write.json(path)
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """``file, line_no, line`` in the order of each file; a log is read whole by one task."""
     files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
