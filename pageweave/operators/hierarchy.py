@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageweave.functions.scratch import saved
 from pageweave.operators.layout import rollup_boxes
 
 LEVELS = ("page", "paragraph", "line", "word", "character")
@@ -40,6 +41,7 @@ def nest_tree(flat: DataFrame) -> DataFrame:
     and a parent without children has an empty list. Of rows with one type and place the last ``id`` stands. A document
     without a page row has a null region.
     """
+    flat = saved(flat, "flat")  # each level reads its rows from it
     box = F.struct(*_BOX).alias("box")
 
     def rows(kind: str, depth: int) -> DataFrame:
@@ -74,6 +76,7 @@ def unnest_tree(nested: DataFrame) -> DataFrame:
 
     Parents without children are there; a document without a region has no page row.
     """
+    nested = saved(nested, "nested")
     none = F.lit(None)
 
     def node(rows: DataFrame, item: str, depth: int, text=none, hand=none) -> DataFrame:

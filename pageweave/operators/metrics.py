@@ -67,11 +67,14 @@ def class_loss(rows: DataFrame, smoothing: float) -> DataFrame:
 
 
 def self_intersection(contours: DataFrame, key: str, k: float = 0.01) -> DataFrame:
-    """Mean over pairs of segments that are not neighbours of a soft crossing score; fewer than four points: none."""
+    """Mean over pairs of an open contour's segments that are no neighbours (nor the first and the last) of a soft crossing score.
+
+    A contour of fewer than four points, or without such a pair, has no row.
+    """
     seg = contours.filter(F.size("contour") >= 4).select(key, F.size("contour").alias("n"), F.posexplode("contour").alias("i", "a"), "contour")
-    seg = seg.withColumn("b", F.get("contour", (F.col("i") + 1) % F.col("n"))).drop("contour")
+    seg = seg.filter("i < n - 1").withColumn("b", F.get("contour", F.col("i") + 1)).drop("contour")
     s, t = seg.alias("s"), seg.alias("t")
-    pairs = s.join(t, key).filter("t.i >= s.i + 2 and not (s.i = 0 and t.i = s.n - 1)")
+    pairs = s.join(t, key).filter("t.i >= s.i + 2 and not (s.i = 0 and t.i = s.n - 2)")
 
     def side(a, b, p):
         return f"(({b}.x - {a}.x) * ({p}.y - {a}.y) - ({b}.y - {a}.y) * ({p}.x - {a}.x))"

@@ -39,3 +39,14 @@ words AS (SELECT doc_id, (n // 5)::INT AS pi, (n % 5)::INT AS li, len(list_filte
 lines AS (SELECT doc_id, pi, li, (5 * pi + li)::BIGINT AS id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM words GROUP BY ALL),
 paras AS (SELECT doc_id, pi, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM words GROUP BY ALL),
 pgs AS (SELECT doc_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM words GROUP BY ALL)"""
+
+#: Lines as slanted quadrilaterals with their retina's parameters (``pr``) and forward points (``fw``).
+CASCADE = f"""{WORDS}, c AS (SELECT doc_id, id, x1 AS px, y1 AS py, x2 - x1 AS cw, y2 + id % 7 - y1 AS chh, x1, y1, x2, y2, id % 7 AS m,
+  CASE WHEN (x2 - x1) ** 2 + (id % 7) ** 2 >= (y2 - y1) ** 2 THEN degrees(atan2((id % 7)::DOUBLE, (x2 - x1)::DOUBLE)) ELSE -90.0::DOUBLE END AS raw FROM lines),
+ a AS (SELECT *, CASE WHEN abs(raw) < 0.5 THEN 0.0 ELSE raw END AS angle, abs(cos(radians(CASE WHEN abs(raw) < 0.5 THEN 0.0 ELSE raw END))) AS co, abs(sin(radians(CASE WHEN abs(raw) < 0.5 THEN 0.0 ELSE raw END))) AS si FROM c),
+ r AS (SELECT *, greatest(ceil(cw * co + chh * si - 1e-9), 1) AS rw, greatest(ceil(cw * si + chh * co - 1e-9), 1) AS rh FROM a),
+ s AS (SELECT *, least(1024.0::DOUBLE / rw, 1024.0::DOUBLE / rh) AS scale FROM r),
+ pr AS (SELECT *, floor((1024 - trunc(rw * scale)) / 2) AS ox, floor((1024 - trunc(rh * scale)) / 2) AS oy FROM s),
+ pt AS (SELECT *, unnest([x1, x2, x2, x1]) AS x, unnest([y1, y1 + m, y2 + m, y2]) AS y, unnest([0, 1, 2, 3]) AS k FROM pr),
+ fw AS (SELECT *, trunc(((x - px - cw / 2) * cos(radians(angle)) + (y - py - chh / 2) * sin(radians(angle)) + rw / 2) * scale + ox)::INT AS fx,
+  trunc((-(x - px - cw / 2) * sin(radians(angle)) + (y - py - chh / 2) * cos(radians(angle)) + rh / 2) * scale + oy)::INT AS fy FROM pt)"""

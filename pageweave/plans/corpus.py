@@ -358,11 +358,17 @@ def m7_class_loss(spark, d):
     return metrics.class_loss(e, 0.1).select("vec_id", F.round("loss", 5).alias("loss"))
 
 
-@register()
+@register("""WITH c AS (SELECT doc_id, (n_chars % 97)::DOUBLE AS a, doc_id % 2 = 0 AS even FROM documents),
+ p AS (SELECT doc_id, [0, a, a, CASE WHEN even THEN 0 ELSE 200 END, a / 2, a / 3][k + 1] AS x, [0, 0, 50, CASE WHEN even THEN 50 ELSE -50 END, 25, -9][k + 1] AS y, k FROM c, (SELECT unnest(range(6)) AS k)),
+ s AS (SELECT a.doc_id, a.k AS i, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
+ q AS (SELECT s.doc_id, (t.bx - t.ax) * (s.ay - t.ay) - (t.by - t.ay) * (s.ax - t.ax) AS d1, (t.bx - t.ax) * (s.by - t.ay) - (t.by - t.ay) * (s.bx - t.ax) AS d2,
+  (s.bx - s.ax) * (t.ay - s.ay) - (s.by - s.ay) * (t.ax - s.ax) AS d3, (s.bx - s.ax) * (t.by - s.ay) - (s.by - s.ay) * (t.bx - s.ax) AS d4
+  FROM s JOIN s t ON s.doc_id = t.doc_id AND t.i >= s.i + 2 AND NOT (s.i = 0 AND t.i = 4))
+ SELECT doc_id, round(avg(1 / (1 + exp(least(700, greatest(-700, d1 * d2 * 0.01)))) / (1 + exp(least(700, greatest(-700, d3 * d4 * 0.01))))), 7)::DOUBLE AS score FROM q GROUP BY doc_id""")
 def m9_self_intersection(spark, d):
-    """Quadrilaterals of growing size, some of them crossed."""
-    pts = "array(struct(0D AS x, 0D AS y), struct(cast(n_chars % 97 AS double) AS x, 0D AS y), struct(cast(n_chars % 97 AS double) AS x, 50D AS y), struct(if(doc_id % 2 = 0, 0D, 200D) AS x, if(doc_id % 2 = 0, 50D, -50D) AS y))"
-    return metrics.self_intersection(table(spark, d, "documents").select("doc_id", F.expr(pts).alias("contour")), "doc_id")
+    """Open contours of six points and growing size, some of them crossed."""
+    pts = "array(struct(0D AS x, 0D AS y), struct(cast(n_chars % 97 AS double) AS x, 0D AS y), struct(cast(n_chars % 97 AS double) AS x, 50D AS y), struct(if(doc_id % 2 = 0, 0D, 200D) AS x, if(doc_id % 2 = 0, 50D, -50D) AS y), struct(n_chars % 97 / 2D AS x, 25D AS y), struct(n_chars % 97 / 3D AS x, -9D AS y))"
+    return metrics.self_intersection(table(spark, d, "documents").select("doc_id", F.expr(pts).alias("contour")), "doc_id").withColumn("score", F.round("score", 7))
 
 
 def _pixels(spark, d):
@@ -385,8 +391,12 @@ def g18_content_mask(spark, d):
     return geometry.content_mask(p, geometry.background_color(p, 1)).groupBy("image_id").agg(F.count("*").alias("n"))
 
 
-@register()
+@register("""WITH r AS (SELECT doc_id AS region, n_chars % 8 AS w, n_chars % 6 AS h FROM documents)
+ SELECT region, CASE WHEN w = 0 OR h = 0 THEN '' WHEN (w * h) ** 2 > 4 * (w ** 2 + h ** 2) THEN '4,' || (3 + h) || ';' || (4 + w) || ',' || (3 + h) || ';' || (4 + w) || ',3;4,3'
+  ELSE '4,3;' || (4 + w // 2) || ',' || (3 + h // 2) || ';' || (4 + w) || ',' || (3 + h) || ';' || (4 + w // 2) || ',' || (3 + h // 2) END AS contour FROM r""")
 def g14_region_contours(spark, d):
+    """Rectangles of ink; thin ones are simplified to their diagonal, to which midpoints are added, and lines have none."""
     p = _pixels(spark, d)
     ink = geometry.content_mask(p, geometry.background_color(p, 1)).withColumnRenamed("image_id", "region")
-    return geometry.region_contours(ink)
+    out = geometry.region_contours(ink)
+    return out.withColumn("contour", F.array_join(F.expr("transform(contour, p -> concat(p.x, ',', p.y))"), ";"))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from pageweave.functions.scratch import new_path
 from pageweave.operators import boxes, crawl, detect, geometry, hierarchy, layout, metrics, training, waves
-from pageweave.plans.common import WORDS, lines, table, words
+from pageweave.plans.common import CASCADE, WORDS, lines, table, words
 from pageweave.plans.corpus import ASSETS, _assets, _pixels
-from pageweave.plans.documents import SCORES, TREE, _scores, _tree
+from pageweave.plans.documents import SCORES, TREE, _contours, _scores, _tree
 from pageweave.sources import files
 
 _BOX = ("x1", "y1", "x2", "y2")
@@ -246,3 +246,54 @@ def s10_pdf_page_names(spark, d):
     rows = table(spark, d, "pages").select("page_id", "url", F.explode(F.array(F.lit(0), F.lit(7), F.lit(99))).alias("page"))
     named = crawl.pdf_page_names(rows, "page_id", "url", "page").withColumn("object_key", F.concat(F.lit("documents/"), "name"))
     return crawl.public_urls(named, "https://store.example.org/").select("page_id", "page", "name", "public_url")
+
+
+@register(f"WITH {CASCADE} SELECT doc_id, id, px, py, cw, chh, round(angle, 6)::DOUBLE AS angle, rw::BIGINT AS rw, rh::BIGINT AS rh, round(scale, 9) AS scale, ox::BIGINT AS ox, oy::BIGINT AS oy FROM pr")
+def g9_cascade_params(spark, d):
+    out = geometry.cascade_params(_contours(spark, d))
+    return out.select("doc_id", "id", "px", "py", "cw", "chh", F.round("angle", 6).alias("angle"), *[F.col(c).cast("bigint").alias(c) for c in ("rw", "rh", "ox", "oy")], F.round("scale", 9).alias("scale"))
+
+
+@register(f"""WITH {CASCADE} SELECT doc_id, id, string_agg(round_even(((fx - ox) / scale - rw / 2) * cos(radians(angle)) - ((fy - oy) / scale - rh / 2) * sin(radians(angle)) + cw / 2 + px, 0)::INT || ','
+ || round_even(((fx - ox) / scale - rw / 2) * sin(radians(angle)) + ((fy - oy) / scale - rh / 2) * cos(radians(angle)) + chh / 2 + py, 0)::INT, ';' ORDER BY k) AS points FROM fw GROUP BY ALL""")
+def g11_lifted_contours(spark, d):
+    """Forward points lifted back to the page."""
+    out = geometry.lift_contours(geometry.forward_contours(geometry.cascade_params(_contours(spark, d))))
+    return out.select("doc_id", "id", F.array_join(F.expr("transform(contour, p -> concat(p.x, ',', p.y))"), ";").alias("points"))
+
+
+@register(f"WITH {WORDS} SELECT l.doc_id, l.pi, l.li, (l.x1 - p.x1)::INT AS x1, (l.y1 - p.y1)::INT AS y1, (l.x2 - p.x1)::INT AS x2, (l.y2 - p.y1)::INT AS y2 FROM lines l JOIN paras p USING (doc_id, pi) WHERE l.pi <> 1")
+def h10_local_boxes(spark, d):
+    """Lines in their paragraph, but for those whose paragraph is missing."""
+    ln = lines(spark, d).drop("id")
+    return hierarchy.local_boxes(ln, layout.rollup_boxes(ln, ["doc_id", "pi"]).filter("pi <> 1"), ["doc_id", "pi"])
+
+
+@register(f"""WITH {WORDS} SELECT doc_id, pi, li, greatest(0, least(trunc((x1 - 16) / 0.3)::INT, 2999)) AS x1, greatest(0, least(trunc((y1 - 32) / 0.3)::INT, 4999)) AS y1,
+ greatest(0, least(trunc((x2 - 16) / 0.3)::INT, 3000)) AS x2, greatest(0, least(trunc((y2 - 32) / 0.3)::INT, 5000)) AS y2 FROM lines""")
+def g3_clipped_boxes(spark, d):
+    """Boxes of a retina that reach beyond the image on both sides."""
+    rows = lines(spark, d).withColumns({"scale": F.lit(0.3), "ox": F.lit(16), "oy": F.lit(32), "width": F.lit(3000), "height": F.lit(5000)})
+    return geometry.to_source(rows).select("doc_id", "pi", "li", *_BOX)
+
+
+@register("""SELECT doc_id, n_chars % 5 AS slot, CASE WHEN n_chars % 3 = 0 AND doc_id % 4 <> 1 THEN 'new' ELSE 'old' END AS origin FROM documents WHERE doc_id % 2 = 0 OR n_chars % 3 = 0 AND doc_id % 4 <> 1""")
+def w9_store_over_existing(spark, d):
+    """Even documents are stored already; new rows, of documents whose parent is there, replace or add to them."""
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 5).alias("slot"), "n_chars")
+    old = docs.filter("doc_id % 2 = 0").select("doc_id", "slot", F.lit("old").alias("origin"))
+    new = docs.filter("n_chars % 3 = 0").select("doc_id", "slot", F.lit("new").alias("origin"))
+    return waves.store_cascade(old, new, docs.filter("doc_id % 4 <> 1").select("doc_id"), ["doc_id"], ["doc_id", "slot"])
+
+
+@register("SELECT coalesce(lang, 'none') AS lang, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents WHERE doc_id % 3 <> 2 GROUP BY 1")
+def s2_listed_images(spark, d):
+    """A file of every document, two thirds of them images by their name, which holds the id; counted by language."""
+    path = new_path(spark, "images")
+    docs = table(spark, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "doc_id", F.lit("x").alias("line"))
+    for rest, ending in ((0, "PNG"), (1, "jpeg"), (2, "txt")):
+        some = docs.filter(F.col("doc_id") % 3 == rest).repartition(8, "doc_id")
+        some.write.mode("append").partitionBy("lang", "doc_id").option("extension", ending.lower()).csv(path)
+    listed = files.list_images(spark, path)
+    found = listed.select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id"))
+    return found.groupBy("lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))

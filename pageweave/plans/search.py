@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pageweave.functions.scratch import new_path
 from pageweave.functions.store import Versions
 from pageweave.operators import boxes, crawl, detect, geometry, hierarchy, links, metrics
-from pageweave.plans.common import WORDS, lines, table, words
+from pageweave.plans.common import CASCADE, WORDS, lines, table, words
 from pageweave.plans.corpus import LINKS, _pages, LOGS, _logs
 from pageweave.plans.documents import DETS, _BOX, _contours, _dets
 from pageweave.sources import files
@@ -158,7 +158,7 @@ def d7_collect_documents(spark, d):
     return crawl.collect_documents(found, counts, 2, 150)
 
 
-@register()
+@register(f"WITH {CASCADE} SELECT doc_id, id, string_agg(fx || ',' || fy, ';' ORDER BY k) AS points FROM fw GROUP BY ALL")
 def g10_forward_contours(spark, d):
     out = geometry.forward_contours(geometry.cascade_params(_contours(spark, d)))
     return out.select("doc_id", "id", F.array_join(F.expr("transform(contour, p -> concat(p.x, ',', p.y))"), ";").alias("points"))
