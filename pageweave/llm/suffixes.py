@@ -69,7 +69,7 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def retained(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``place, key, first window, number of windows`` of each retained suffix, and the hashes of all its windows.
+    """``place, key, first window, number of windows`` of each retained suffix, and the first places of all windows.
 
     A window is MIN_WORDS consecutive words of a text. It holds WINDOW places from each of which KEY_WORDS words follow
     inside it; the suffix at the one with the least gram is retained, wherever these words stand, and the window
@@ -78,7 +78,7 @@ def retained(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     parts = []
     for k in range(0, len(h) - MIN_WORDS + 1, _AT_ONCE):
         some = h[k : k + _AT_ONCE + MIN_WORDS - 1]
-        windows, low = _grams(some, MIN_WORDS), _grams(some, GRAM)
+        low = _grams(some, GRAM)
         # the place stands in the low bits, so that the least tells its place and equal grams go by place
         low = (low >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(low), dtype=np.uint64)
         size = 1
@@ -86,33 +86,35 @@ def retained(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             step = min(size, WINDOW - size)
             low = np.minimum(low[:-step], low[step:])
             size += step
-        at = (low[: len(windows)] & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
-        parts.append((at + k, _grams(some, KEY_WORDS)[at], windows))
+        at = (low[: len(some) - MIN_WORDS + 1] & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+        parts.append((at + k, _grams(some, KEY_WORDS)[at]))
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none, none.astype(np.uint64)
-    at, key, windows = (np.concatenate(x) for x in zip(*parts))
-    inside = np.zeros(len(windows) + 1, np.int64)
+        return none, none.astype(np.uint64), none, none, none
+    at, key = (np.concatenate(x) for x in zip(*parts))
+    inside = np.zeros(len(at) + 1, np.int64)
     long = np.diff(bounds) >= MIN_WORDS
     np.add.at(inside, bounds[:-1][long], 1)
     np.add.at(inside, bounds[1:][long] - MIN_WORDS + 1, -1)
     start = np.flatnonzero(np.cumsum(inside)[:-1])
-    at, key, windows = at[start], key[start], windows[start]
+    at, key = at[start], key[start]
     new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(start, prepend=-1) != 1))
-    return at[new], key[new], start[new], np.diff(np.append(new, len(start))), windows
+    return at[new], key[new], start[new], np.diff(np.append(new, len(start))), start
 
 
-def _binaries(numbers: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Stretches of 64-bit numbers as binaries."""
-    ends = pa.py_buffer(np.concatenate([[0], 8 * np.cumsum(sizes)]).astype(np.int64).tobytes())
-    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, ends, pa.py_buffer(numbers.tobytes())]).cast(pa.binary())
+def _binaries(numbers: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Stretches of 64-bit numbers, by their first places and lengths, as binaries."""
+    ends = np.cumsum(sizes)
+    place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)
+    bounds = pa.py_buffer(np.concatenate([[0], 8 * ends]).astype(np.int64).tobytes())
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, bounds, pa.py_buffer(numbers[place].tobytes())]).cast(pa.binary())
 
 
 def suffixes(docs: DataFrame, repeated=None) -> DataFrame:
-    """``(doc_id, text)`` -> ``(key, ways, doc_id, version, at, start, windows)`` of retained suffixes.
+    """``(doc_id, text)`` -> ``(key, ways, doc_id, version, at, start, n, before, after)`` of retained suffixes.
 
-    ``at`` is the suffix's place, ``windows`` the 64-bit hashes of the MIN_WORDS words from ``start``, ``start + 1``
-    and so on. With ``repeated``, a broadcast pair of a bit table and of the tasks that hot keys are dealt over, only
+    ``at`` is the suffix's place; ``n`` windows from ``start`` on count as its own. ``before`` and ``after`` are the words of
+    these windows before the place and after the key, 64 bits each. With ``repeated``, a broadcast pair of a bit table and of the tasks that hot keys are dealt over, only
     suffixes whose key may be repeated; without, ``key`` alone.
     """
     kind = dict(docs.dtypes)["doc_id"]
@@ -121,7 +123,7 @@ def suffixes(docs: DataFrame, repeated=None) -> DataFrame:
         table = None if repeated is None else np.frombuffer(repeated.value[0], np.uint8)
         for b in batches:
             h, bounds = word_hashes(b["text"])
-            at, key, start, sizes, windows = retained(h, bounds)
+            at, key, start, sizes, _ = retained(h, bounds)
             if table is None:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
                 continue
@@ -143,15 +145,17 @@ def suffixes(docs: DataFrame, repeated=None) -> DataFrame:
                     b["version"].take(own),
                     pa.array(at[on] - bounds[of]),
                     pa.array(start[on] - bounds[of]),
-                    _binaries(windows, sizes).take(pa.array(on)),
+                    pa.array(sizes[on]),
+                    _binaries(h, start[on], at[on] - start[on]),
+                    _binaries(h, at[on] + KEY_WORDS, start[on] + sizes[on] - 1 + MIN_WORDS - at[on] - KEY_WORDS),
                 ],
-                ["key", "ways", "doc_id", "version", "at", "start", "windows"],
+                ["key", "ways", "doc_id", "version", "at", "start", "n", "before", "after"],
             )
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
     if repeated is None:
         return rows.mapInArrow(run, "key bigint")
-    return rows.mapInArrow(run, f"key bigint, ways int, doc_id {kind}, version bigint, at bigint, start bigint, windows binary")
+    return rows.mapInArrow(run, f"key bigint, ways int, doc_id {kind}, version bigint, at bigint, start bigint, n bigint, before binary, after binary")
 
 
 def _repeated_keys(docs: DataFrame, many: int):
@@ -185,21 +189,62 @@ def _tasks(spark) -> int:
 _FOUND = ("doc_id", "version", "start", "n_words", "of_doc_id", "of_start", "first", "window")
 
 
+def _words(stretches: pa.ChunkedArray, backwards: bool) -> np.ndarray:
+    """A row of WINDOW - 1 words for each stretch, from the key outwards; zeros after its end."""
+    sizes = pc.binary_length(stretches).to_numpy().astype(np.int64) // 8
+    flat = np.frombuffer(b"".join(stretches.to_pylist()), np.uint64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.zeros((len(sizes), WINDOW - 1), np.uint64)
+    out[row, sizes[row] - 1 - column if backwards else column] = flat
+    return out
+
+
+def _classes(key: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """``(WINDOW, rows)``: at n, equal numbers for rows of one key whose first n words agree.
+
+    Rows are sorted by key and words, that is in suffix order; how many words neighbours share tells where rows that
+    agree on n words begin and end.
+    """
+    order = np.lexsort((*words.T[::-1], key))
+    shared = np.minimum.accumulate(words[order][1:] == words[order][:-1], axis=1).sum(axis=1)
+    shared[key[order][1:] != key[order][:-1]] = -1
+    out = np.empty((WINDOW, len(key)), np.int64)
+    for n in range(WINDOW):
+        out[n, order] = np.concatenate([[0], np.cumsum(shared < n)])
+    return out
+
+
+def _window_hash(key: np.ndarray, before: np.ndarray, after: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """64 bits of a window that takes ``left`` words before the key and the rest after it."""
+    out = key.astype(np.uint64) + left.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for n in range(WINDOW - 1):
+            out = np.where(n < left, _mix(out * np.uint64(3) + before[:, n]), out)
+            out = np.where(n < WINDOW - 1 - left, _mix(out * np.uint64(5) + after[:, n]), out)
+    return out
+
+
 def _compared(rows: pa.Table) -> pa.RecordBatch:
     """What the sorted suffixes of whole keys share, as rows of _FOUND.
 
-    Neighbours of one key agree on a window if its hash is the same: then their match extends as far to the left and
-    to the right as that window. A window's first holder is the first in order; stretches of windows that another
-    suffix holds first, and of those that this one holds first and another too, make a row each.
+    The suffixes of a key are sorted by the words after it, and neighbours compared: so it is known which ones agree how
+    far to the right. The words before it, sorted and compared alike, tell how far the matches extend to the left. Two
+    suffixes share a window if they agree on its words on both sides. A window's first holder is the first in order;
+    stretches of windows that another suffix holds first, and of those that this one holds first and another too, make a
+    row each.
     """
-    sizes = pc.binary_length(rows["windows"]).to_numpy().astype(np.int64) // 8
-    windows = np.frombuffer(b"".join(rows["windows"].to_pylist()), np.uint64)
+    sizes = rows["n"].to_numpy()
     row = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.cumsum(sizes)
     start = rows["start"].to_numpy()[row] + np.arange(len(row)) - (ends - sizes)[row]
     entity = _entities(rows)[row]
-    with np.errstate(over="ignore"):
-        here = windows ^ _mix(rows["salt"].to_numpy().astype(np.uint64))[row]  # tasks of a hot key may meet in one
+    own_key, salt = rows["key"].to_numpy(), rows["salt"].to_numpy()
+    key = np.cumsum(np.concatenate([[0], (own_key[1:] != own_key[:-1]) | (salt[1:] != salt[:-1])])[: len(own_key)])
+    before, after = _words(rows["before"], True), _words(rows["after"], False)
+    right, left = _classes(key, after), _classes(key, before)
+    to_left = rows["at"].to_numpy()[row] - start  # words of the window before the key
+    here = (right[WINDOW - 1 - to_left, row] * len(sizes) + left[to_left, row]) * WINDOW + to_left
     order = np.argsort(here, kind="stable")
     group = np.flatnonzero(np.diff(here[order], prepend=~here[order[:1]]) != 0) if len(order) else order
     count = np.diff(np.append(group, len(order)))
@@ -220,6 +265,8 @@ def _compared(rows: pa.Table) -> pa.RecordBatch:
     parts.append((late, np.full(len(late), MIN_WORDS), shared[late], np.ones(len(late), bool)))
     k, n, is_first, is_late = (np.concatenate(x) for x in zip(*parts))
     own, partner = pa.array(row[k]), pa.array(row[first[k]])
+    window = np.zeros(len(k), np.uint64)
+    window[is_late] = _window_hash(own_key[row[late]], before[row[late]], after[row[late]], to_left[late])
     return pa.RecordBatch.from_arrays(
         [
             rows["doc_id"].combine_chunks().take(own),
@@ -229,7 +276,7 @@ def _compared(rows: pa.Table) -> pa.RecordBatch:
             rows["doc_id"].combine_chunks().take(partner),
             pa.array(start[first[k]]),
             pa.array(is_first),
-            pa.array(windows[k].view(np.int64), mask=~is_late),
+            pa.array(window.view(np.int64), mask=~is_late),
         ],
         list(_FOUND),
     )
@@ -245,8 +292,8 @@ def _entities(rows: pa.Table) -> np.ndarray:
 def matches(docs: DataFrame, many: int = MANY) -> DataFrame:
     """Matches of the sorted sparse suffixes: ``doc_id, version, start, n_words, of_doc_id, of_start, first``.
 
-    Suffixes are dealt by key and sorted by key, document and place; those of a key stand together and are compared
-    with the first ones. ``first`` marks passages that this document holds first. A key of very many suffixes is dealt
+    Suffixes are dealt by key; those of a key stand together, are sorted by their words and compared with their neighbours,
+    and matches extended to both sides (``_compared``). ``first`` marks passages that this document holds first. A key of very many suffixes is dealt
     over tasks by document: each task finds its own first holders, and these are compared by window over the tasks,
     at most one for each window and task.
     """
