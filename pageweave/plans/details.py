@@ -58,12 +58,12 @@ def m10_evaluate_losses(spark, d):
 
 @register("""WITH b AS (SELECT user_id % 5 AS run, dayofmonth(ts)::INT AS epoch, event_id % 3 AS rank, value AS a, value * value AS b, 1 + event_id % 4 AS n FROM events),
  m AS (SELECT run, epoch, rank, sum(a * n) / sum(n) AS a, sum(b * n) / sum(n) AS b FROM b GROUP BY ALL)
- SELECT run, epoch, round(avg(a), 5) AS loss, round(avg(b), 4) AS square FROM m GROUP BY ALL""")
+ SELECT run, epoch, round(avg(a), 5) AS loss, round(avg(b), 2) AS square FROM m GROUP BY ALL""")
 def m1_component_means(spark, d):
     """Two components of the loss, averaged over three ranks."""
     v = F.col("value")
     e = table(spark, d, "events").select((F.col("user_id") % 5).alias("run"), F.dayofmonth("ts").alias("epoch"), (F.col("event_id") % 3).alias("rank"), v.alias("loss"), (v * v).alias("square"), (1 + F.col("event_id") % 4).alias("n"))
-    return metrics.component_means(e, ["loss", "square"], "rank").select("run", "epoch", F.round("loss", 5).alias("loss"), F.round("square", 4).alias("square"))
+    return metrics.component_means(e, ["loss", "square"], "rank").select("run", "epoch", F.round("loss", 5).alias("loss"), F.round("square", 2).alias("square"))
 
 
 def _answers(spark, d):
@@ -297,3 +297,21 @@ def s2_listed_images(spark, d):
     listed = files.list_images(spark, path)
     found = listed.select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id"))
     return found.groupBy("lang").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@register(f"WITH {WORDS} SELECT doc_id, pi, li, pi % 2 = 1 AND pi <> 3 AS is_handwritten FROM lines")
+def h9_inherit_flag(spark, d):
+    """Lines with their paragraph's flag; every fourth paragraph has none."""
+    ln = lines(spark, d).select("doc_id", "pi", "li")
+    flags = ln.select("doc_id", "pi").distinct().filter("pi <> 3").withColumn("is_handwritten", F.col("pi") % 2 == 1)
+    return hierarchy.inherit_flag(ln, flags, ["doc_id", "pi"])
+
+
+@register(f"WITH {WORDS} SELECT doc_id, pi, li, wi, text, x1, y1, x2, y2 FROM words")
+def s3_bad_files(spark, d):
+    """Annotations of every document among files that are cut short or hold something else."""
+    path = new_path(spark, "annotations")
+    files.write_annotations(hierarchy.nest(words(spark, d)), path)
+    other = table(spark, d, "documents").select(F.concat(F.lit('{"doc_id": '), "doc_id", F.lit(', "paragraphs": [{"pi": 0, "lines": [')).alias("value"))
+    other.unionByName(other.select(F.lit("no json at all").alias("value"))).write.mode("append").text(path)
+    return hierarchy.unnest(files.read_annotations(spark, path))
