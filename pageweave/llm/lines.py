@@ -47,7 +47,7 @@ class LineRuns:
 
     A key stands in one run only: that of the batch which brought it. What later batches add to it stands in the
     batches' increments. Runs and batches are tables bucketed and sorted by key, so that the merge joins between them
-    move no rows. Documents of different batches must differ; every table is written once, so a lost executor loses
+    move no rows between tasks (Spark sorts each bucket anew, in its task, when it reads several runs). Documents of different batches must differ; every table is written once, so a lost executor loses
     nothing.
     """
 

@@ -31,42 +31,51 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by a mixture fitted on the rows whose id's checksum is not held out; see ``language.predict`` for nulls and ties."""
     docs = _documents(spark, sf_dir)
     return language.predict(docs, language.fit(docs))
 
 
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of every text; see ``quality.clean_lines``."""
     return quality.clean_lines(_documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
 def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as TIFF pages, read back, with digests and a feature; a null text is empty, repeated rows give equal files."""
     return tiff.page_features(tiff.pages(tiff.store_texts(_documents(spark, sf_dir))))
 
 
 def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every text under a network trained on all of them; see ``scoring.fit_and_score``."""
     return scoring.fit_and_score(_documents(spark, sf_dir))
 
 
 def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text; wordless ones link like any other."""
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 50 words or more of all texts; see ``suffixes.spans``."""
     return suffixes.spans(_documents(spark, sf_dir))
 
 
 def op8_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all texts in sequences of at most 4096 ids; a null text is its end id alone."""
     return packing.pack(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
 def op9_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before and dropped, and the digest of what stays, of every text. Needs numeric ids; see ``lines.drop_frequent_lines``."""
     out = lines.drop_frequent_lines(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op10_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of every text's ids as read back from the compressed files. Needs numeric ids; a null text is its end id alone."""
     return grammar.id_checksums(grammar.stored_ids(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json")))
 
 
