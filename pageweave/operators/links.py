@@ -119,14 +119,29 @@ def same_domain(rows: DataFrame) -> DataFrame:
     return rows.filter(host("url") == host("target"))
 
 
-def script_urls(pages: DataFrame, first: int = 10, also: str | None = None) -> DataFrame:
-    """``page_id, link, rank``: the first distinct image URLs (by extension) of each page, those inside script text in order
-    and then, with ``also``, the URLs in that array column; those of ``google`` and ``gstatic`` not."""
+def _script_urls(pages: DataFrame) -> DataFrame:
     scripts = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*+>(.*?)</script"), 1), "\n")
-    urls = F.regexp_extract_all(scripts, F.lit(URLS), 0)
-    every = F.concat(urls, F.coalesce(also, F.array().cast("array<string>"))) if also else urls
-    rows = pages.select("page_id", F.posexplode(every).alias("at", "link"))
-    rows = rows.filter(extension("link").isin(*IMAGES) & ~F.col("link").rlike("google|gstatic"))
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(scripts, F.lit(URLS), 0)).alias("at", "link"))
+    return rows.filter(extension("link").isin(*IMAGES) & ~F.col("link").rlike("google|gstatic"))
+
+
+def _first_ones(rows: DataFrame, first: int) -> DataFrame:
     rows = rows.groupBy("page_id", "link").agg(F.min("at").alias("at"))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("at"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= first).select("page_id", "link", "rank")
+
+
+def script_urls(pages: DataFrame, first: int = 10) -> DataFrame:
+    """The first distinct image URLs (by extension) inside script text of each page, in order; those of ``google`` and ``gstatic`` not."""
+    return _first_ones(_script_urls(pages), first)
+
+
+def search_images(pages: DataFrame, first: int = 100) -> DataFrame:
+    """``page_id, link, rank``: what a search page shows: the ``img`` tags' absolute sources (src, else data-src) that are not
+    ``google``'s, whatever their extension, then its ``script_urls``; each once, at most ``first`` a page."""
+    tags = F.regexp_extract_all(F.regexp_replace("html", UNSEEN, ""), F.lit(TAGS), 0)
+    images = pages.select("page_id", F.posexplode(tags).alias("at", "tag")).filter(F.col("tag").rlike(r"(?i)^<img\s")).withColumn("attributes", _attributes())
+    shown = images.select("page_id", F.struct(F.lit(0).alias("kind"), "at").alias("at"), F.coalesce(_value("src"), _value("data-src")).alias("link"))
+    shown = shown.filter(F.col("link").startswith("http") & ~F.contains("link", F.lit("google")))
+    told = _script_urls(pages).select("page_id", F.struct(F.lit(1).alias("kind"), "at").alias("at"), "link")
+    return _first_ones(shown.unionByName(told), first)

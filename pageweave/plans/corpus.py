@@ -29,6 +29,7 @@ MORE = (
     "<a class=x href='/docs/../papers/./%d.PDF#page=2'>p</a><a href=\"/data/%d.tar\">t</a><a href=\"feed%d.xml\">f</a><a href=\"?q=%d\">q</a>"
     "<a href=\"#top%d\">h</a><a href=\"mailto:a%d@example.org\">m</a><a href=\"a/b/c/../../../../../../../../../../d/%d/..\">u</a>"
     "<!-- <a href=\"/hidden/%d\">n</a> --><a href=\"http://other.example.org:8080/%d\">o</a>"
+    "<img src='https://shown.example.org/%d'><img data-src=https://www.google.com/logo%d.png>"
     "<a title=\"x href=wrong%d\" rel='y href=wrong' HREF=\"right%d.html\" href=late>r</a><img data-x=%d src=data:image/png;base64," + "iVBORw0K" * 400 + " alt=long>"
     "<script>var s = \"https://pics.example.net/%d.jpeg\", g = 'https://www.gstatic.com/%d.png', t = 'https://pics.example.net/%d.tiff';</script>"
 )
@@ -103,16 +104,26 @@ def c6_same_domain(spark, d):
     return r.groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@register(rf"""WITH {LINKS}, b AS (SELECT page_id, array_to_string(list_transform(string_split(html, '<script')[2:], lambda z: split_part(z, '</script', 1)), chr(10)) AS t FROM more),
+#: Image URLs of each page's scripts with their first places (``f``).
+SCRIPTS = rf"""b AS (SELECT page_id, array_to_string(list_transform(string_split(html, '<script')[2:], lambda z: split_part(z, '</script', 1)), chr(10)) AS t FROM more),
  u AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(t, '[\s"''\\<>()]+'), lambda z: contains(z, 'http'))) AS w, unnest(range(len(list_filter(regexp_split_to_array(t, '[\s"''\\<>()]+'), lambda z: contains(z, 'http'))))) AS pos FROM b),
  v AS (SELECT page_id, pos, regexp_extract(w, 'https?://.+') AS link FROM u),
  f AS (SELECT page_id, link, min(pos) AS pos FROM v WHERE NOT contains(link, 'google') AND NOT contains(link, 'gstatic')
-  AND lower(string_split(string_split(split_part(split_part(link, '?', 1), '#', 1), '/')[-1], '.')[-1]) IN ({_IMAGES_SQL}) GROUP BY ALL)
- SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS rank FROM f QUALIFY rank <= 10""")
+  AND lower(string_split(string_split(split_part(split_part(link, '?', 1), '#', 1), '/')[-1], '.')[-1]) IN ({_IMAGES_SQL}) GROUP BY ALL)"""
+
+
+@register(f"""WITH {LINKS}, {SCRIPTS} SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS rank FROM f QUALIFY rank <= 10""")
 def c7_script_image_urls(spark, d):
     return links.script_urls(_pages(spark, d))
 
 
+@register(f"""WITH {LINKS}, {SCRIPTS}, g AS (SELECT page_id, coalesce({_sql_value("src")}, {_sql_value("data-src")}) AS link, ordinal FROM nm WHERE name = 'img'),
+ h AS (SELECT page_id, link, 0 AS kind, ordinal AS pos FROM g WHERE starts_with(link, 'http') AND NOT contains(link, 'google') UNION ALL SELECT page_id, link, 1, pos FROM f),
+ m AS (SELECT page_id, link, min((kind, pos)) AS o FROM h GROUP BY ALL) SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY o)::INT AS rank FROM m QUALIFY rank <= 3""")
+def c7_search_images(spark, d):
+    return links.search_images(_pages(spark, d), 3)
+
+
 @register("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
  e AS (SELECT page_id AS src, (7 * page_id + k) % n AS dst FROM pages, n, (SELECT unnest([1, 2, 3]) AS k)),
  r(url, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 4)

@@ -39,6 +39,9 @@ def test_names_inside_values_are_no_attributes(spark):
 
 def test_script_urls_by_extension_of_the_path(spark):
     html = "<script>a('https://x.example/a.jpg?w=1');b=\"https://x.example/b.txt\";c('https://www.gstatic.com/c.png')</script>https://x.example/out.png<SCRIPT>'https://x.example/D.WEBP#f'</SCRIPT>"
-    df = spark.createDataFrame([(1, html, ["https://x.example/i.png", "https://x.example/a.jpg?w=1"])], "page_id long, html string, images array<string>")
+    html = "<img src=/relative.png><img data-src=http://y.example/shown><img src='https://www.google.com/l.png'>" + html
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
     assert [r["link"] for r in links.script_urls(df).orderBy("rank").collect()] == ["https://x.example/a.jpg?w=1", "https://x.example/D.WEBP#f"]
-    assert [r["link"] for r in links.script_urls(df, also="images").orderBy("rank").collect()][2:] == ["https://x.example/i.png"]
+    shown = [r["link"] for r in links.search_images(df).orderBy("rank").collect()]
+    assert shown == ["http://y.example/shown", "https://x.example/a.jpg?w=1", "https://x.example/D.WEBP#f"]
+    assert [r["link"] for r in links.search_images(df, 1).collect()] == shown[:1]
