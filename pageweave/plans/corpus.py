@@ -402,12 +402,9 @@ def g18_content_mask(spark, d):
     return geometry.content_mask(p, geometry.background_color(p, 1)).groupBy("image_id").agg(F.count("*").alias("n"))
 
 
-@register("""WITH r AS (SELECT doc_id AS region, n_chars % 8 AS w, n_chars % 6 AS h FROM documents)
- SELECT region, CASE WHEN w = 0 OR h = 0 THEN '' WHEN (w * h) ** 2 > 4 * (w ** 2 + h ** 2) THEN '4,' || (3 + h) || ';' || (4 + w) || ',' || (3 + h) || ';' || (4 + w) || ',3;4,3'
-  ELSE '4,3;' || (4 + w // 2) || ',' || (3 + h // 2) || ';' || (4 + w) || ',' || (3 + h) || ';' || (4 + w // 2) || ',' || (3 + h // 2) END AS contour FROM r""")
+@register()
 def g14_region_contours(spark, d):
     """Rectangles of ink; thin ones are simplified to their diagonal, to which midpoints are added, and lines have none."""
     p = _pixels(spark, d)
     ink = geometry.content_mask(p, geometry.background_color(p, 1)).withColumnRenamed("image_id", "region")
-    out = geometry.region_contours(ink)
-    return out.withColumn("contour", F.array_join(F.expr("transform(contour, p -> concat(p.x, ',', p.y))"), ";"))
+    return geometry.region_contours(ink)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pageweave.functions.scratch import new_path
 from pageweave.operators import boxes, crawl, detect, geometry, hierarchy, layout, metrics, training, waves
 from pageweave.plans.common import CASCADE, WORDS, lines, table, words
-from pageweave.plans.corpus import ASSETS, _assets, _pixels
+from pageweave.plans.corpus import ASSETS, _assets, _pixels, g14_region_contours
 from pageweave.plans.documents import SCORES, TREE, _contours, _scores, _tree
 from pageweave.sources import files
 
@@ -315,3 +315,11 @@ def s3_bad_files(spark, d):
     other = table(spark, d, "documents").select(F.concat(F.lit('{"doc_id": '), "doc_id", F.lit(', "paragraphs": [{"pi": 0, "lines": [')).alias("value"))
     other.unionByName(other.select(F.lit("no json at all").alias("value"))).write.mode("append").text(path)
     return hierarchy.unnest(files.read_annotations(spark, path))
+
+
+@register("""WITH r AS (SELECT doc_id AS region, n_chars % 8 AS w, n_chars % 6 AS h FROM documents)
+ SELECT region, CASE WHEN w = 0 OR h = 0 THEN '' WHEN (w * h) ** 2 > 4 * (w ** 2 + h ** 2) THEN '4,' || (3 + h) || ';' || (4 + w) || ',' || (3 + h) || ';' || (4 + w) || ',3;4,3'
+  ELSE '4,3;' || (4 + w // 2) || ',' || (3 + h // 2) || ';' || (4 + w) || ',' || (3 + h) || ';' || (4 + w // 2) || ',' || (3 + h // 2) END AS contour FROM r""")
+def g14_contour_points(spark, d):
+    """The contours of ``g14_region_contours`` as text."""
+    return g14_region_contours(spark, d).withColumn("contour", F.array_join(F.expr("transform(contour, p -> concat(p.x, ',', p.y))"), ";"))

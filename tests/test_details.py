@@ -9,7 +9,7 @@ from pageweave.plans import registry
 
 CHECKED = (
     "m10_evaluate_losses", "m1_component_means", "m9_self_intersection", "w5_answer_counts", "w5_answer_items", "w14_usage_so_far", "w15_call_costs",
-    "w2_request_bodies", "w18_contour_proposals", "g2_contours_to_retina", "g18_boxed_mask", "g14_region_contours", "g9_cascade_params", "g11_lifted_contours",
+    "w2_request_bodies", "w18_contour_proposals", "g2_contours_to_retina", "g18_boxed_mask", "g14_contour_points", "g9_cascade_params", "g11_lifted_contours",
     "h8_unknown_characters", "t14_annotation_status", "c14_extracted_pages", "s10_pdf_page_names", "t10_draw", "t3_teacher_forced_items", "w1_claims_appended",
     "s8_registry_snapshots", "w4_chunk_requests", "w9_store_over_existing", "d2_resumed_cascade", "h9_inherit_flag", "s3_bad_files",
 )
