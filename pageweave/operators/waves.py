@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pageweave.functions.scan import scan, sums
 from pageweave.functions.scratch import saved
 
+#: Stands for no wave while rows are joined by wave.
+_NO_WAVE = -(1 << 63)
 _BOX = ("x1", "y1", "x2", "y2")
 
 
@@ -86,9 +88,12 @@ def chunk_requests(requests: DataFrame, max_rows: int = 45_000, max_bytes: int =
     Running sums give each row the place where a chunk that began with it would end; from a wave's first row those places
     are followed by pointer doubling, and the starts found are counted up. A wave of any size lies over many tasks, and the
     rounds grow with the logarithm of its chunks. A row over the limit has a chunk of its own; rows without
-    a wave go; a null size counts as none.
+    a wave are a wave of their own; a null size counts as none.
     """
-    narrow = requests.select(*[F.col(c).cast("bigint").alias(c) for c in ("wave", "seq")], F.coalesce(F.col("nbytes").cast("bigint"), F.lit(0)).alias("nbytes")).filter("wave is not null")
+    narrow = requests.select(
+        F.coalesce(F.col("wave").cast("bigint"), F.lit(_NO_WAVE)).alias("wave"), F.col("seq").cast("bigint").alias("seq"),
+        F.coalesce(F.col("nbytes").cast("bigint"), F.lit(0)).alias("nbytes"),
+    )
     rows = scan(narrow, ["wave"], ["seq", "nbytes"], **sums(pos="1", upto="nbytes"), name="requests")
     fits = rows.select("wave", F.col("upto").alias("v"), F.lit(0).alias("kind"), F.lit(1).alias("one"), "pos")
     asks = rows.select("wave", (F.col("upto") - F.col("nbytes") + max_bytes).alias("v"), F.lit(1).alias("kind"), F.lit(0).alias("one"), "pos")
@@ -108,7 +113,7 @@ def chunk_requests(requests: DataFrame, max_rows: int = 45_000, max_bytes: int =
     marked = rows.join(starts.withColumn("new", F.lit(1)), ["wave", "pos"], "left")
     marked = marked.select("wave", "seq", "pos", F.coalesce("new", F.lit(0)).alias("new"))
     out = scan(marked, ["wave"], ["pos"], **sums(chunk="new"), name="chunks", keep=["wave", "seq"])
-    return out.select("wave", "seq", (F.col("chunk") - 1).alias("chunk"))
+    return out.select(F.nullif("wave", F.lit(_NO_WAVE)).alias("wave"), "seq", (F.col("chunk") - 1).alias("chunk"))
 
 
 def parse_responses(lines: DataFrame, vocab: DataFrame | None = None) -> DataFrame:

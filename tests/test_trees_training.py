@@ -100,7 +100,7 @@ def test_chunks_equal_the_fold(spark, limits):
     df = spark.createDataFrame(rows, "wave long, seq long, nbytes long").repartition(3)
     got = {(r["wave"], r["seq"]): r["chunk"] for r in waves.chunk_requests(df, *limits).collect()}
     want = {}
-    for wave in (0, 1, 5, 6):
+    for wave in (0, 1, 5, 6, None):
         chunk = n = size = 0
         for _, seq, b in sorted(r for r in rows if r[0] == wave):
             if n and (n >= limits[0] or size + (b or 0) > limits[1]):
