@@ -31,21 +31,21 @@ def fitting_tile(boxes: DataFrame) -> tuple[int, int]:
     return max(8, 2 * int(r["w"] or 0)), max(8, 2 * int(r["h"] or 0))
 
 
-def _met_itself(boxes: DataFrame, group: str, tile: Tile | None) -> DataFrame:
+def _met_itself(boxes: DataFrame, group: str, tile: Tile | None, also: tuple[str, ...] = ()) -> DataFrame:
     """``overlap_join`` of boxes with themselves: laid out once, in tiles that fit them unless told."""
-    own = saved(boxes.select(group, "id", *_BOX), "boxes")
-    return overlap_join(own, own, group, tile or fitting_tile(own))
+    own = saved(boxes.select(group, "id", *_BOX, *also), "boxes")
+    return overlap_join(own, own, group, tile or fitting_tile(own), also)
 
 
-def overlap_join(a: DataFrame, b: DataFrame, group: str, tile: Tile = 256) -> DataFrame:
-    """Pairs of ``a`` and ``b`` (ids ``id``; columns prefixed) of a group whose closed boxes meet.
+def overlap_join(a: DataFrame, b: DataFrame, group: str, tile: Tile = 256, also: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of ``a`` and ``b`` (ids ``id``, boxes and columns ``also``; all prefixed) of a group whose closed boxes meet.
 
     An equi-join on group and tile; a pair is taken in the one tile that holds the upper left corner of its overlap, so
     nothing has to be made distinct.
     """
     tile = tile if isinstance(tile, tuple) else (tile, tile)
-    left = _tiled(a.select(group, "id", *_BOX), tile).select(group, "tx", "ty", *[F.col(c).alias("a_" + c) for c in ("id", *_BOX)])
-    right = _tiled(b.select(group, "id", *_BOX), tile).select(group, "tx", "ty", *[F.col(c).alias("b_" + c) for c in ("id", *_BOX)])
+    left = _tiled(a.select(group, "id", *_BOX, *also), tile).select(group, "tx", "ty", *[F.col(c).alias("a_" + c) for c in ("id", *_BOX, *also)])
+    right = _tiled(b.select(group, "id", *_BOX, *also), tile).select(group, "tx", "ty", *[F.col(c).alias("b_" + c) for c in ("id", *_BOX, *also)])
     meets = "a_x1 <= b_x2 and b_x1 <= a_x2 and a_y1 <= b_y2 and b_y1 <= a_y2"
     once = (F.col("tx") == F.floor(F.greatest("a_x1", "b_x1") / tile[0])) & (F.col("ty") == F.floor(F.greatest("a_y1", "b_y1") / tile[1]))
     return left.join(right, [group, "tx", "ty"]).filter(meets).filter(once).drop("tx", "ty")
@@ -174,17 +174,13 @@ def nms(dets: DataFrame, group: list[str], thr: float = 0.3, min_conf: float = 0
     """
     strong = dets.filter((F.col("class_id") != 0) & (F.col("confidence") >= min_conf))
     keyed = strong.withColumn("__g", F.struct(*group))
-    pairs = _met_itself(keyed, "__g", None).filter("a_id <> b_id").withColumn("inter", overlap_area())
+    rank = F.struct((-F.col("confidence")).alias("c"), F.col("id").alias("id"))
+    pairs = _met_itself(keyed.withColumn("rank", rank), "__g", None, ("rank",)).filter("a_rank < b_rank").withColumn("inter", overlap_area())
     union = _area("a") + _area("b") - F.col("inter")
     pairs = pairs.filter((union > 0) & (F.col("inter") / union >= thr))
-    score = keyed.select("__g", "id", "confidence")
-    for side in "ab":
-        pairs = pairs.join(score.withColumnsRenamed({"id": f"{side}_id", "confidence": f"{side}_c"}), ["__g", f"{side}_id"])
-    rank = {s: F.struct((-F.col(f"{s}_c")).alias("c"), F.col(f"{s}_id").alias("id")) for s in "ab"}
     key = {s: F.struct(F.col(f"__g.{group[0]}").alias("g"), F.col(f"{s}_id").alias("id")) for s in "ab"}
-    ranked = pairs.filter(rank["a"] < rank["b"])
-    turn = F.struct(rank["a"].alias("a"), rank["b"].alias("b"))
-    lost = _settled(ranked.select(key["a"].alias("a"), key["b"].alias("b"), key["b"].alias("loser"), turn.alias("turn")), _unbeaten)
+    turn = F.struct(F.col("a_rank").alias("a"), F.col("b_rank").alias("b"))
+    lost = _settled(pairs.select(key["a"].alias("a"), key["b"].alias("b"), key["b"].alias("loser"), turn.alias("turn")), _unbeaten)
     return strong.join(lost.select(F.col("loser.g").alias(group[0]), F.col("loser.id").alias("id")), [group[0], "id"], "left_anti").select(*dets.columns)
 
 
@@ -317,11 +313,8 @@ def greedy_same_label(cands: DataFrame, group: str) -> DataFrame:
     Conflicts are found by tiles and settled as in ``_settled``. Ids are unique within a group and label.
     """
     own = cands.withColumn("__g", F.struct(group, "label"))
-    pairs = _met_itself(own, "__g", None).filter("a_id <> b_id")
-    order = ("distance", "y1", "x1", "id")
-    rank = own.select("__g", "id", F.struct(*order).alias("rank"))
-    for side in "ab":
-        pairs = pairs.join(rank.withColumnsRenamed({"id": f"{side}_id", "rank": f"{side}_rank"}), ["__g", f"{side}_id"])
+    own = own.withColumn("rank", F.struct("distance", "y1", "x1", "id"))
+    pairs = _met_itself(own, "__g", None, ("rank",)).filter("a_id <> b_id")
     key = {s: F.struct(F.col(f"__g.{group}").alias("g"), F.col("__g.label").alias("label"), F.col(f"{s}_id").alias("id")) for s in "ab"}
     turn = F.struct(F.col("a_rank").alias("a"), F.col("b_rank").alias("b"))
     ranked = pairs.filter("a_rank < b_rank").select(key["a"].alias("a"), key["b"].alias("b"), key["b"].alias("loser"), turn.alias("turn"))
@@ -335,10 +328,7 @@ def drop_substring_overlaps(cands: DataFrame, group: str) -> DataFrame:
     Boxes are taken in the order of their sides, then labels; a box that is gone takes no other with it. Conflicts are found by
     tiles and settled as in ``_settled``.
     """
-    met = _met_itself(cands, group, None).filter("a_id <> b_id")
-    labels = cands.select(group, "id", "label")
-    for side in "ab":
-        met = met.join(labels.withColumnsRenamed({"id": f"{side}_id", "label": f"{side}_label"}), [group, f"{side}_id"])
+    met = _met_itself(cands, group, None, ("label",)).filter("a_id <> b_id")
     place = {s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in (*_BOX, "label", "id")]) for s in "ab"}
     met = met.filter(place["a"] < place["b"]).filter(F.contains("a_label", "b_label") | F.contains("b_label", "a_label"))
     key = {s: F.struct(F.col(group).alias("g"), F.col(f"{s}_id").alias("id")) for s in "ab"}
