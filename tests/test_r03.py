@@ -25,6 +25,6 @@ def matches_sql(spark, sf, name):
     assert sorted(repr([plain(r[c]) for c in cols]) for r in df.collect()) == sorted(repr([plain(v) for v in r]) for r in got.fetchall())
 
 
-@pytest.mark.parametrize("name", ["b12_invert_index", "b15_pyramid"])
+@pytest.mark.parametrize("name", ["b12_invert_index", "b15_pyramid", "b19_window_vector"])
 def test_restored_operators(spark, sf, name):
     matches_sql(spark, sf, name)
