@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageweave.functions.scratch import dealt
 from pageweave.operators import layout
 
 
@@ -13,7 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.layout_words(table(spark, sf_dir, "documents"))
+    """Every document's words. Texts are dealt by document before they are laid out, so that what is grouped or joined by document and
+    further keys below moves no word between tasks."""
+    return layout.layout_words(dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_annotations(nested: DataFrame, path: str) -> None:
-    nested.write.json(path)
+    """One JSON object per document; compressed, as it repeats its keys at every word."""
+    nested.write.option("compression", "gzip").json(path)
 
 
 def mask_paths(nodes: DataFrame) -> DataFrame:

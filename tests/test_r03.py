@@ -28,3 +28,13 @@ def matches_sql(spark, sf, name):
 @pytest.mark.parametrize("name", ["b12_invert_index", "b15_pyramid", "b19_window_vector"])
 def test_restored_operators(spark, sf, name):
     matches_sql(spark, sf, name)
+
+
+
+@pytest.mark.parametrize("name", ["h3_flatten_preorder", "h3_flatten_characters", "h4_h5_whole_tree", "s4_mask_paths", "h8_unknown_characters", "h8_assemble_text", "h4_flat_to_nested", "h5_nested_to_flat", "t4_build_sequences", "t13_normalise_prev", "b11_best_box", "g2_contours_to_retina"])
+def test_words_are_not_moved(spark, sf, name):
+    """Texts are dealt once, by document (twice where two sides are joined); nothing that is exploded from them is."""
+    df = registry.queries()[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan
+    assert all("REPARTITION_BY_NUM" in line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning" in line)
