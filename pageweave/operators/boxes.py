@@ -31,10 +31,28 @@ def fitting_tile(boxes: DataFrame) -> tuple[int, int]:
     return max(8, 2 * int(r["w"] or 0)), max(8, 2 * int(r["h"] or 0))
 
 
-def _met_itself(boxes: DataFrame, group: str, tile: Tile | None, also: tuple[str, ...] = ()) -> DataFrame:
-    """``overlap_join`` of boxes with themselves: laid out once, in tiles that fit them unless told."""
-    own = saved(boxes.select(group, "id", *_BOX, *also), "boxes")
-    return overlap_join(own, own, group, tile or fitting_tile(own), also)
+def _met_itself(boxes: DataFrame, group: list[str], tile: Tile | None, also: tuple[str, ...] = (), alone: bool = False) -> DataFrame:
+    """Pairs as of ``overlap_join`` of boxes with themselves, but each also with itself, in tiles that fit them unless told.
+
+    One grouping by group and tile, whose members are paired in place: boxes that are dealt by a column of the group are not
+    moved. With ``alone``, every box, measured or not, has one row with itself.
+    """
+    own = boxes.select(*group, "id", *_BOX, *also)
+    w, h = (tile if isinstance(tile, tuple) else (tile, tile)) if tile else fitting_tile(own)
+    span = lambda x, y, t: F.explode_outer(F.sequence(F.floor(F.col(x) / t), F.floor(F.col(y) / t)))
+    tiles = own.withColumn("tx", span("x1", "x2", w)).withColumn("ty", span("y1", "y2", h))
+    tiles = tiles.groupBy(*group, "tx", "ty").agg(F.collect_list(F.struct("id", *_BOX, *also)).alias("m"))
+    pairs = tiles.select("*", F.explode("m").alias("a")).select(*group, "tx", "ty", "a", F.explode("m").alias("b"))
+    meets = F.expr("a.x1 <= b.x2 and b.x1 <= a.x2 and a.y1 <= b.y2 and b.y1 <= a.y2")
+    once = (F.col("tx") == F.floor(F.greatest("a.x1", "b.x1") / w)) & (F.col("ty") == F.floor(F.greatest("a.y1", "b.y1") / h))
+    if alone:
+        home = F.col("tx").eqNullSafe(F.floor(F.col("a.x1") / w)) & F.col("ty").eqNullSafe(F.floor(F.col("a.y1") / h))
+        home = home | (F.col("tx").isNull() & F.col("ty").eqNullSafe(F.floor(F.col("a.y1") / h))) | (F.col("ty").isNull() & F.col("tx").eqNullSafe(F.floor(F.col("a.x1") / w))) | (F.col("tx").isNull() & F.col("ty").isNull())
+        same = F.col("a.id").eqNullSafe(F.col("b.id"))
+        pairs = pairs.filter((same & home) | (~same & meets & once))
+    else:
+        pairs = pairs.filter(meets & once)
+    return pairs.select(*group, *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("id", *_BOX, *also)])
 
 
 def overlap_join(a: DataFrame, b: DataFrame, group: str, tile: Tile = 256, also: tuple[str, ...] = ()) -> DataFrame:
@@ -68,14 +86,14 @@ def _area(side: str) -> Column:
 
 def iou_pairs(boxes: DataFrame, group: str, tile: Tile | None = None) -> DataFrame:
     """``iou`` of every meeting pair of a group, the smaller id first; 0 where the union is empty."""
-    pairs = _met_itself(boxes, group, tile).filter("a_id < b_id").withColumn("inter", overlap_area())
+    pairs = _met_itself(boxes.filter(F.col(group).isNotNull()), [group], tile).filter("a_id < b_id").withColumn("inter", overlap_area())
     union = _area("a") + _area("b") - F.col("inter")
     return pairs.withColumn("iou", F.when(union > 0, F.col("inter") / union).otherwise(0.0))
 
 
 def overlap_pairs(boxes: DataFrame, group: str, tile: Tile | None = None) -> DataFrame:
     """``inter`` and its share ``of_smaller`` of the smaller box."""
-    pairs = _met_itself(boxes, group, tile).filter("a_id < b_id").withColumn("inter", overlap_area())
+    pairs = _met_itself(boxes.filter(F.col(group).isNotNull()), [group], tile).filter("a_id < b_id").withColumn("inter", overlap_area())
     small = F.least(_area("a"), _area("b"))
     return pairs.withColumn("of_smaller", F.when(small > 0, F.col("inter") / small).otherwise(0.0))
 
@@ -167,21 +185,88 @@ def _first_of_both(live: DataFrame) -> DataFrame:
     return now.select("loser").distinct()
 
 
+def _split(boxes: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Boxes of groups of at most COMPONENT boxes, and those of larger ones, if there are any."""
+    names = [f"__{k}" for k in range(len(group))]
+    large = boxes.groupBy(*[F.col(c).alias(n) for c, n in zip(group, names)]).agg(F.count("*").alias("__n")).filter(F.col("__n") > COMPONENT).drop("__n")
+    if large.isEmpty():
+        return boxes, None
+    large, same = saved(large, "large"), F.lit(True)
+    for c, n in zip(group, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return boxes.join(large, same, "left_anti"), boxes.join(large, same, "left_semi")
+
+
+def _in_order(pairs: DataFrame, columns: list[str], group: list[str], order: str, met: Column, keep: Callable) -> DataFrame:
+    """The boxes of ``pairs`` (``a_*``, from ``_met_itself`` with ``alone``) that stay, group by group in ``order``.
+
+    ``met`` is what a box takes from a pair (null: nothing); ``keep(id, met, state)`` tells whether it stays, with a set that
+    is empty at the group's first box. A task holds ids of one group at a time; groups are of bounded size.
+    """
+    rest = [c for c in columns if c not in (*group, "id")]
+    own = F.when(F.col("a_id").eqNullSafe(F.col("b_id")), F.struct(*[F.col(f"a_{c}").alias(c) for c in (*rest, order)]))
+    rows = pairs.groupBy(*group, F.col("a_id").alias("id")).agg(F.first(own, True).alias("__own"), F.sort_array(F.collect_list(met)).alias("__met"))
+    rows = rows.select(*group, "id", *[F.col(f"__own.{c}").alias(c) for c in rest], "__met", F.row_number().over(Window.partitionBy(*group).orderBy(f"__own.{order}")).alias("__at"))
+    shape = rows.select(*columns).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: set = set()
+        for batch in batches:
+            mask = []
+            for at, i, m in zip(*(batch[n].to_pylist() for n in ("__at", "id", "__met")), strict=True):
+                if at == 1:
+                    state = set()
+                mask.append(keep(i, m, state))
+            yield batch.filter(pa.array(mask, pa.bool_())).select(columns)
+
+    return rows.mapInArrow(run, shape)
+
+
+def _first_come(i, stronger: list, kept: set) -> bool:
+    """A box stays if no stronger one that it conflicts with has stayed."""
+    if stronger and not kept.isdisjoint(stronger):
+        return False
+    kept.add(i)
+    return True
+
+
+def _standing(i, later: list, gone: set) -> bool:
+    """A box meets the later ones in order, until it goes itself."""
+    for m in later:
+        if i in gone:
+            break
+        if m["id"] not in gone:
+            gone.add(m["id"] if m["goes"] else i)
+    return i not in gone
+
+
 def nms(dets: DataFrame, group: list[str], thr: float = 0.3, min_conf: float = 0.1) -> DataFrame:
     """Greedy suppression per group by falling confidence (ties by id); NONE, weak and unmeasured detections go.
 
-    ``id`` is unique within the first key of the group. Conflicts are found by tiles and settled as in ``_settled``.
+    ``id`` is unique within the first key of the group. Conflicts are found by tiles and taken in order within the group; groups of
+    more than COMPONENT detections are settled as in ``_settled``.
     """
     strong = dets.filter((F.col("class_id") != 0) & (F.col("confidence") >= min_conf))
+    small, large = _split(strong, group)
+    rank = F.struct((-F.col("confidence")).alias("c"), F.col("id").alias("id"))
+    rest = [c for c in dets.columns if c not in (*group, "id", *_BOX)]
+    pairs = _met_itself(small.withColumn("rank", rank), group, None, ("rank", *rest), True).withColumn("inter", overlap_area())
+    union = _area("a") + _area("b") - F.col("inter")
+    stronger = F.when((F.col("b_rank") < F.col("a_rank")) & (union > 0) & (F.col("inter") / union >= thr), F.col("b_id"))
+    kept = _in_order(pairs, dets.columns, group, "rank", stronger, _first_come)
+    return kept if large is None else kept.unionByName(_nms_in_rounds(large, group, thr))
+
+
+def _nms_in_rounds(strong: DataFrame, group: list[str], thr: float) -> DataFrame:
     keyed = strong.withColumn("__g", F.struct(*group))
     rank = F.struct((-F.col("confidence")).alias("c"), F.col("id").alias("id"))
-    pairs = _met_itself(keyed.withColumn("rank", rank), "__g", None, ("rank",)).filter("a_rank < b_rank").withColumn("inter", overlap_area())
+    pairs = _met_itself(keyed.withColumn("rank", rank), ["__g"], None, ("rank",)).filter("a_rank < b_rank").withColumn("inter", overlap_area())
     union = _area("a") + _area("b") - F.col("inter")
     pairs = pairs.filter((union > 0) & (F.col("inter") / union >= thr))
     key = {s: F.struct(F.col(f"__g.{group[0]}").alias("g"), F.col(f"{s}_id").alias("id")) for s in "ab"}
     turn = F.struct(F.col("a_rank").alias("a"), F.col("b_rank").alias("b"))
     lost = _settled(pairs.select(key["a"].alias("a"), key["b"].alias("b"), key["b"].alias("loser"), turn.alias("turn")), _unbeaten)
-    return strong.join(lost.select(F.col("loser.g").alias(group[0]), F.col("loser.id").alias("id")), [group[0], "id"], "left_anti").select(*dets.columns)
+    return strong.join(lost.select(F.col("loser.g").alias(group[0]), F.col("loser.id").alias("id")), [group[0], "id"], "left_anti").select(*strong.columns)
 
 
 def content_regions(profile: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -252,10 +337,13 @@ def candidate_boxes(regions: DataFrame, line: list[str]) -> DataFrame:
     return rows.withColumns({"x1": F.col("__c.x1"), "x2": F.col("__c.x2")}).drop("__c", "__e", "__w")
 
 
-def overlap_score(boxes: DataFrame, component: str) -> DataFrame:
-    """``score``: twice the area that a box shares with all boxes of its component, itself included."""
-    pairs = overlap_join(boxes, boxes, component).withColumn("inter", overlap_area())
-    return pairs.groupBy(component, F.col("a_id").alias("id")).agg((2 * F.sum("inter")).alias("score"))
+def overlap_score(boxes: DataFrame, component: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """``score``: twice the area that a box shares with all boxes of its component, itself included.
+
+    ``within`` names columns that are the same throughout a component; boxes that are dealt by one of them are not moved.
+    """
+    pairs = _met_itself(boxes.filter(F.col(component).isNotNull()), [*within, component], None).withColumn("inter", overlap_area())
+    return pairs.groupBy(*within, component, F.col("a_id").alias("id")).agg((2 * F.sum("inter")).alias("score")).drop(*within)
 
 
 def sequence_search(boxes: DataFrame, group: str, word: str, reach: int = 64) -> DataFrame:
@@ -310,11 +398,21 @@ def merged_sequence_search(boxes: DataFrame, group: str, word: str, reach: int =
 def greedy_same_label(cands: DataFrame, group: str) -> DataFrame:
     """Candidates by rising distance (ties: upper, then left, then id); one that overlaps an accepted one of its label goes.
 
-    Conflicts are found by tiles and settled as in ``_settled``. Ids are unique within a group and label.
+    Conflicts are found by tiles and taken in order within group and label; those of more than COMPONENT candidates are settled as in
+    ``_settled``. Ids are unique within a group and label.
     """
+    small, large = _split(cands, [group, "label"])
+    rest = [c for c in cands.columns if c not in (group, "label", "id", *_BOX)]
+    pairs = _met_itself(small.withColumn("rank", F.struct("distance", "y1", "x1", "id")), [group, "label"], None, ("rank", *rest), True)
+    nearer = F.when(F.col("b_rank") < F.col("a_rank"), F.col("b_id"))
+    kept = _in_order(pairs, cands.columns, [group, "label"], "rank", nearer, _first_come)
+    return kept if large is None else kept.unionByName(_greedy_in_rounds(large, group))
+
+
+def _greedy_in_rounds(cands: DataFrame, group: str) -> DataFrame:
     own = cands.withColumn("__g", F.struct(group, "label"))
     own = own.withColumn("rank", F.struct("distance", "y1", "x1", "id"))
-    pairs = _met_itself(own, "__g", None, ("rank",)).filter("a_id <> b_id")
+    pairs = _met_itself(own, ["__g"], None, ("rank",)).filter("a_id <> b_id")
     key = {s: F.struct(F.col(f"__g.{group}").alias("g"), F.col("__g.label").alias("label"), F.col(f"{s}_id").alias("id")) for s in "ab"}
     turn = F.struct(F.col("a_rank").alias("a"), F.col("b_rank").alias("b"))
     ranked = pairs.filter("a_rank < b_rank").select(key["a"].alias("a"), key["b"].alias("b"), key["b"].alias("loser"), turn.alias("turn"))
@@ -326,9 +424,21 @@ def drop_substring_overlaps(cands: DataFrame, group: str) -> DataFrame:
     """Of two overlapping labels, one within the other, the longer stays; of equal length the later box stays.
 
     Boxes are taken in the order of their sides, then labels; a box that is gone takes no other with it. Conflicts are found by
-    tiles and settled as in ``_settled``.
+    tiles and taken in order within the group; groups of more than COMPONENT boxes are settled as in ``_settled``. Rows without a group stay.
     """
-    met = _met_itself(cands, group, None, ("label",)).filter("a_id <> b_id")
+    small, large = _split(cands.filter(F.col(group).isNotNull()), [group])
+    rest = [c for c in cands.columns if c not in (group, "id", *_BOX)]
+    place = F.struct(*_BOX, "label", "id")
+    pairs = _met_itself(small.withColumn("place", place), [group], None, ("place", *rest), True)
+    within = F.contains("a_label", "b_label") | F.contains("b_label", "a_label")
+    later = F.struct("b_place", F.col("b_id").alias("id"), (F.length("a_label") > F.length("b_label")).alias("goes"))
+    kept = _in_order(pairs, cands.columns, [group], "place", F.when((F.col("a_place") < F.col("b_place")) & within, later), _standing)
+    kept = kept.unionByName(cands.filter(F.col(group).isNull()))
+    return kept if large is None else kept.unionByName(_substrings_in_rounds(large, group).select(*cands.columns))
+
+
+def _substrings_in_rounds(cands: DataFrame, group: str) -> DataFrame:
+    met = _met_itself(cands.filter(F.col(group).isNotNull()), [group], None, ("label",)).filter("a_id <> b_id")
     place = {s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in (*_BOX, "label", "id")]) for s in "ab"}
     met = met.filter(place["a"] < place["b"]).filter(F.contains("a_label", "b_label") | F.contains("b_label", "a_label"))
     key = {s: F.struct(F.col(group).alias("g"), F.col(f"{s}_id").alias("id")) for s in "ab"}

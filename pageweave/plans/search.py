@@ -42,7 +42,7 @@ def b2_candidate_boxes(spark, d):
  FROM dl a JOIN dl b ON a.doc_id = b.doc_id AND a.line = b.line GROUP BY ALL""")
 def b10_overlap_score(spark, d):
     rows = _dets(spark, d).withColumn("component", F.concat_ws(":", "doc_id", F.expr("id div 2000")))
-    return boxes.overlap_score(rows, "component").withColumn("score", F.col("score").cast("bigint"))
+    return boxes.overlap_score(rows, "component", ("doc_id",)).withColumn("score", F.col("score").cast("bigint"))
 
 
 def _named(spark, d):

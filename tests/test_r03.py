@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import random
 
 import duckdb
 import pytest
 
+from pageweave.operators import boxes
 from pageweave.plans import registry
 
 
@@ -38,3 +40,43 @@ def test_words_are_not_moved(spark, sf, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan
     assert all("REPARTITION_BY_NUM" in line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning" in line)
+
+
+def some_cands(n=150):
+    rng = random.Random(7)
+    out = []
+    for k in range(n):
+        x, y = rng.randrange(120), rng.randrange(40)
+        out.append((k % 2, k, rng.choice(["a", "ab", "abc", "bc", "b"]), rng.randrange(9), x, y, x + rng.randrange(30), y + rng.randrange(20)))
+    return out
+
+
+CANDS = "doc_id long, id long, label string, distance long, x1 long, y1 long, x2 long, y2 long"
+
+
+def meet(p, q):
+    return p[4] <= q[6] and q[4] <= p[6] and p[5] <= q[7] and q[5] <= p[7]
+
+
+def test_orders_equal_brute_force_and_boxes_without_measure_stay(spark):
+    rows = some_cands()
+    kept = []
+    for r in sorted(rows, key=lambda r: (r[3], r[5], r[4], r[1])):
+        if not any(k[0] == r[0] and k[2] == r[2] and meet(k, r) for k in kept):
+            kept.append(r)
+    alone = (0, 999, "a", 0, None, 1, None, 2)
+    df = spark.createDataFrame([*rows, alone], CANDS)
+    assert sorted(map(tuple, boxes.greedy_same_label(df, "doc_id").collect()), key=str) == sorted([*kept, alone], key=str)
+    place = lambda r: (*r[4:], r[2], r[1])
+    gone: set = set()
+    for p, q in sorted(((p, q) for p in rows for q in rows if p[0] == q[0] and place(p) < place(q) and meet(p, q) and (p[2] in q[2] or q[2] in p[2])), key=lambda z: (place(z[0]), place(z[1]))):
+        if p[1] not in gone and q[1] not in gone:
+            gone.add(q[1] if len(p[2]) > len(q[2]) else p[1])
+    left = sorted([r for r in rows if r[1] not in gone] + [alone], key=str)
+    assert sorted(map(tuple, boxes.drop_substring_overlaps(df, "doc_id").select("doc_id", "id", "label", "distance", *"x1 y1 x2 y2".split()).collect()), key=str) == left
+
+
+def test_small_groups_write_no_rounds(spark, sf, monkeypatch):
+    """Groups of bounded size are settled in place, without tables of conflicts."""
+    monkeypatch.setattr(boxes, "saved", lambda *_: pytest.fail("a table was written"))
+    assert registry.queries()["b22_drop_substring_overlaps"](spark, sf).limit(1).count() == 1
