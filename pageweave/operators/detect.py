@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,23 +65,33 @@ def close_contours(steps: DataFrame, parent: list[str], order: str, near: float
     A NONE step (class 0) closes what is open, if it has three points, and ends; what is open at the end is dropped.
     """
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        done, open_ = [], []
-        for r in pdf.sort_values(order).itertuples():
-            if r.class_id == 0:
-                if len(open_) >= 3:
-                    done.append(open_)
-                break
-            if len(open_) >= 3 and ((r.x - open_[0][0]) ** 2 + (r.y - open_[0][1]) ** 2) ** 0.5 < near:
-                done.append(open_)
-                open_ = []
-                continue
-            open_.append((r.x, r.y))
-        rows = [[pdf[c].iloc[0] for c in parent] + [k, [{"x": float(x), "y": float(y)} for x, y in c]] for k, c in enumerate(done)]
-        return pd.DataFrame(rows, columns=[*parent, "ordinal", "contour"])
-
+    place = F.row_number().over(Window.partitionBy(*parent).orderBy(order))
+    rows = steps.select(*parent, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "class_id", place.alias("__at"))
     kinds = ", ".join(f"{c} {k}" for c, k in steps.dtypes if c in parent)
-    return steps.groupBy(*parent).applyInPandas(trace, f"{kinds}, ordinal int, contour array<struct<x:double,y:double>>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parents one after another, their steps in order; of a parent, only the open contour is held."""
+        open_, ended, ordinal = [], False, 0
+        for batch in batches:
+            at, where = [], []
+            for k, (n, x, y, kind) in enumerate(zip(*(batch[c].to_pylist() for c in ("__at", "x", "y", "class_id")), strict=True)):
+                if n == 1:
+                    open_, ended, ordinal = [], False, 0
+                if ended:
+                    continue
+                ended = kind == 0
+                if len(open_) >= 3 and (ended or ((x - open_[0]["x"]) ** 2 + (y - open_[0]["y"]) ** 2) ** 0.5 < near):
+                    at.append(k)
+                    where.append((ordinal, open_))
+                    open_, ordinal = [], ordinal + 1
+                elif not ended:
+                    open_.append({"x": x, "y": y})
+            keys = [batch[c].take(pa.array(at, pa.int64())) for c in parent]
+            point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+            cells = [pa.array([o for o, _ in where], pa.int32()), pa.array([c for _, c in where], point)]
+            yield pa.RecordBatch.from_arrays([*keys, *cells], [*parent, "ordinal", "contour"])
+
+    return rows.mapInArrow(run, f"{kinds}, ordinal int, contour array<struct<x:double,y:double>>")
 
 
 def pair_by_ordinal(regions: DataFrame, classes: DataFrame, key: str, order: str) -> DataFrame:

@@ -80,3 +80,9 @@ def test_small_groups_write_no_rounds(spark, sf, monkeypatch):
     """Groups of bounded size are settled in place, without tables of conflicts."""
     monkeypatch.setattr(boxes, "saved", lambda *_: pytest.fail("a table was written"))
     assert registry.queries()["b22_drop_substring_overlaps"](spark, sf).limit(1).count() == 1
+
+
+def test_contours_are_closed_in_one_pass(spark, sf):
+    """No frame is made for each paragraph."""
+    plan = registry.queries()["d3_close_contours"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "MapInArrow" in plan
