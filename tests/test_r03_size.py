@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 from pageweave.functions.scratch import shared_dir
+from pageweave.operators import boxes
 from pageweave.plans import registry
 
 
@@ -16,3 +18,37 @@ def test_listed_images_need_no_folder_per_document(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id % 3 <> 2")
     assert sum(r["n"] for r in rows) == docs.count() and sum(r["ids"] for r in rows) == docs.groupBy().sum("doc_id").first()[0]
     assert len([p for p in made.rglob("*") if p.is_dir()]) == len(rows)
+
+
+def test_components_are_followed_in_place(spark, monkeypatch):
+    """Against a plain search; with repeated ids, nulls, boxes without area or measure; no rounds over all links unless a group is large."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(300):
+        x, y = rng.randrange(150), rng.randrange(60)
+        again = k % 97 == 96
+        rows.append((rows[-1][0] if again else rng.choice(["a", "b", None]), k - again, x, y, x + rng.randrange(1, 30), y + rng.randrange(20)))
+    rows.append(("a", 900, None, 3, 4, 5))
+
+    def linked(p, q):
+        w, h = min(p[4], q[4]) - max(p[2], q[2]), min(p[5], q[5]) - max(p[3], q[3])
+        small = min((r[4] - r[2]) * (r[5] - r[3]) for r in (p, q))
+        return small > 0 and max(0, w) * max(0, h) / small >= 0.4
+
+    name = {r[1]: r[1] for r in rows}
+    while True:
+        before = dict(name)
+        for p in rows:
+            for q in rows:
+                if p[0] is not None and p[0] == q[0] and None not in p + q and linked(p, q):
+                    name[p[1]] = name[q[1]] = min(name[p[1]], name[q[1]])
+        if name == before:
+            break
+    want = sorted(repr((*r, name[r[1]])) for r in rows)
+    df = spark.createDataFrame(rows, "g string, id long, x1 long, y1 long, x2 long, y2 long").repartition(3)
+    large = boxes.connected_components
+    for limit in (boxes.COMPONENT, 1):
+        monkeypatch.setattr(boxes, "COMPONENT", limit)
+        monkeypatch.setattr(boxes, "connected_components", large if limit == 1 else None)
+        got = boxes.box_components(df, "g", 0.4).select("g", "id", "x1", "y1", "x2", "y2", "component").collect()
+        assert sorted(repr(tuple(r)) for r in got) == want
