@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    """The smallest id of each group of near copies stays: found by SimHash and by least hashes, confirmed at a similarity of 0.8 or more."""
     return _like(near.keep_one(docs), docs)
 
 

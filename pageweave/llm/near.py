@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageweave.functions.scratch import saved, small_arrow_batches
+from pageweave.llm import simhash
 from pageweave.operators.graph import connected_components
 
 SHINGLE = 5
@@ -56,7 +57,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, size, bands``: ``mark`` is equal for equal sets only, ``size`` counts their shingles."""
+    """``doc_id, mark, fp, size, bands``: ``mark`` is equal for equal sets only, ``size`` counts their shingles, ``fp`` is their SimHash."""
     small_arrow_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -64,12 +65,27 @@ def sketches(docs: DataFrame) -> DataFrame:
         for b in batches:
             sets = [shingles(t) for t in b["text"].to_pylist()]
             mark = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(mark), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "mark", "size", "bands"],
-            )
+            fps = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
+            sizes, found = pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(mark), pa.array(fps), sizes, found], ["doc_id", "mark", "fp", "size", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, mark bigint, size bigint, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, mark bigint, fp bigint, size bigint, bands array<bigint>")
+
+
+def alike(distinct: DataFrame) -> DataFrame:
+    """``(mark, fp, size)``, each mark once -> ``(a, b, lead)``: pairs by SimHash that may be similar by size.
+
+    Marks of one fingerprint meet its least mark, and least marks meet where ``simhash.links`` links their fingerprints. All are
+    leading pairs; a pair may be given more than once.
+    """
+    least = saved(distinct.groupBy("fp").agg(F.min(F.struct("mark", "size")).alias("m")).select("fp", "m.*"), "prints")
+    one, two = (least.select(*[F.col(c).alias(c + k) for c in ("fp", "mark", "size")]) for k in "12")
+    across = simhash.links(least.select("fp")).toDF("fp1", "fp2").distinct().join(one, "fp1").join(two, "fp2")
+    within = distinct.select("fp", F.col("mark").alias("mark1"), F.col("size").alias("size1")).join(least, "fp").filter("mark1 <> mark")
+    within = within.withColumnsRenamed({"mark": "mark2", "size": "size2"})
+    met = across.select("mark1", "size1", "mark2", "size2").unionByName(within.select("mark1", "size1", "mark2", "size2"))
+    met = met.filter(F.least("size1", "size2") >= LEAST * F.greatest("size1", "size2"))
+    return met.select(F.least("mark1", "mark2").alias("a"), F.greatest("mark1", "mark2").alias("b"), F.lit(True).alias("lead"))
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
@@ -237,17 +253,19 @@ def _named(members: DataFrame, parts: DataFrame, by: str) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` per row: components of links of similarity LEAST or more, named by the least id.
 
-    Equal sets, wordless texts among them, are one mark before any pair is made, so exact copies never meet in pairs.
+    Equal sets, wordless texts among them, are one mark before any pair is made, so exact copies never meet in pairs. Pairs come
+    from SimHash and, as sets of similarity LEAST may differ in more bits than it links, from bands of least hashes; all are confirmed exactly.
     Buckets of any size are paired in proportion to their members: first all with their bucket's first, then only what is
     of different components still; where that leaves several components in one bucket, an exact search by shared rare
     shingles looks for the links between them. Null ids are linked like others but name no component.
     """
     marked = saved(sketches(docs), "sketches")
     distinct = saved(
-        marked.groupBy("mark").agg(F.min("doc_id").alias("least"), F.min("size").alias("size"), F.min("bands").alias("bands")), "marks"
+        marked.groupBy("mark").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands")), "marks"
     )
     worded = distinct.filter("size > 0")
-    pairs = saved(candidates(worded), "pairs")
+    pairs = candidates(worded).unionByName(alike(worded)).groupBy("a", "b").agg(F.max("lead").alias("lead"))
+    pairs = saved(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("mark")).union(pairs.select(F.col("b"))).distinct()
     sets = saved(shingle_sets(docs, distinct.join(ends, "mark").select("mark", F.col("least").alias("doc_id"))), "sets")
     members = saved(_named(distinct, connected_components(confirmed(pairs.filter("lead"), sets)), "mark"), "members")

@@ -23,9 +23,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     h = xxhash.xxh64_intdigest
     if len(w) <= shingle:
         return h(b" ".join(w), 42)
-    parts = [h(b" ".join(x), 42) for x in zip(*(w[k:] for k in range(shingle)))]
+    return majority(np.array([h(b" ".join(x), 42) for x in zip(*(w[k:] for k in range(shingle)))], "<u8"))
+
+
+def majority(a: np.ndarray) -> int:
+    """A bit is set if it is set in more than half of the hashes."""
     set_bits = np.zeros(64, np.int64)
-    a = np.array(parts, "<u8")
     for k in range(0, len(a), 1 << 14):
         bits = np.unpackbits(a[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         set_bits += bits.sum(0, dtype=np.uint16)
