@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,31 +167,37 @@ def boxed_mask(pixels: DataFrame, background: DataFrame, boxes: DataFrame, least
 def region_contours(pixels: DataFrame, epsilon: float = 2.0, most: int = 20, least: int = 4) -> DataFrame:
     """``region, contour``: hull of each region's pixels, simplified to at most ``most`` points, at least ``least``.
 
-    Rows are reduced to their extreme pixels by Spark first; the hull of what is left is that of all pixels. Fewer
-    than three pixels or a flat hull give an empty contour.
+    Rows are reduced to their extreme pixels by Spark first; the hull of what is left is that of all pixels. A region is one
+    row of its lines' extremes then, and Python takes many regions a call. Fewer than three pixels or a flat hull give an empty contour.
     """
     rows = pixels.groupBy("region", "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    rows = rows.groupBy("region").agg(F.sum("n").alias("n"), F.collect_list("y").alias("y"), F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted({(int(x), int(y)) for y, lo, hi in zip(pdf["y"], pdf["lo"], pdf["hi"]) for x in (lo, hi)})
-        hull = _hull(pts) if pdf["n"].sum() >= 3 else []
+    def trace(n: int, ys: list, los: list, his: list) -> list:
+        pts = sorted({(int(x), int(y)) for y, lo, hi in zip(ys, los, his) for x in (lo, hi)})
+        hull = _hull(pts) if n >= 3 else []
         if len(hull) < 3:
-            out: list = []
-        else:
-            eps, out = epsilon, hull
-            while True:
-                out = _simplify(hull, eps)
-                if len(out) <= most or eps >= 100:
-                    break
-                eps *= 1.5
-            while len(out) < least:
-                out = [q for a, b in zip(out, out[1:] + out[:1]) for q in (a, ((a[0] + b[0]) // 2, (a[1] + b[1]) // 2))]
-            if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(out, out[1:] + out[:1])) > 0:
-                out = out[::-1]
-        return pd.DataFrame({"region": [pdf["region"].iloc[0]], "contour": [[{"x": x, "y": y} for x, y in out]]})
-
-    kind = dict(pixels.dtypes)["region"]
-    return rows.groupBy("region").applyInPandas(trace, f"region {kind}, contour array<struct<x:int,y:int>>")
+            return []
+        eps, out = epsilon, hull
+        while True:
+            out = _simplify(hull, eps)
+            if len(out) <= most or eps >= 100:
+                break
+            eps *= 1.5
+        while len(out) < least:
+            out = [q for a, b in zip(out, out[1:] + out[:1]) for q in (a, ((a[0] + b[0]) // 2, (a[1] + b[1]) // 2))]
+        if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(out, out[1:] + out[:1])) > 0:
+            out = out[::-1]
+        return [{"x": x, "y": y} for x, y in out]
+
+    kind = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [trace(*r) for r in zip(*(b[c].to_pylist() for c in ("n", "y", "lo", "hi")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["region"], pa.array(found, kind)], ["region", "contour"])
+
+    return rows.mapInArrow(run, f"region {dict(pixels.dtypes)['region']}, contour array<struct<x:int,y:int>>")
 
 
 def _hull(pts: list) -> list:

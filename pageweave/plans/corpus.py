@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pageweave.functions.scratch import dealt
 from pageweave.operators import crawl, geometry, links, metrics, waves
 from pageweave.plans.common import table
 
@@ -383,8 +384,9 @@ def m9_self_intersection(spark, d):
 
 
 def _pixels(spark, d):
-    """Images of 16 x 12 pixels, one per document: a background by id, a rectangle of ink."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), "n_chars", F.lit(16).alias("width"), F.lit(12).alias("height"))
+    """Images of 16 x 12 pixels, one per document: a background by id, a rectangle of ink. Dealt by image, so that no pixel moves."""
+    docs = dealt(table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), "n_chars"), "image_id")
+    docs = docs.withColumns({"width": F.lit(16), "height": F.lit(12)})
     p = docs.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(11))))
     ink = F.expr("x between 4 and 4 + n_chars % 8 and y between 3 and 3 + n_chars % 6")
     base = (200 + F.col("image_id") % 50).cast("int")

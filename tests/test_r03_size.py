@@ -52,3 +52,11 @@ def test_components_are_followed_in_place(spark, monkeypatch):
         monkeypatch.setattr(boxes, "connected_components", large if limit == 1 else None)
         got = boxes.box_components(df, "g", 0.4).select("g", "id", "x1", "y1", "x2", "y2", "component").collect()
         assert sorted(repr(tuple(r)) for r in got) == want
+
+
+def test_pixels_stay_with_their_image(spark, sf):
+    """Pixels are made where their image was dealt; regions go to Python by the batch."""
+    for name in ("g18_content_mask", "g14_region_contours"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan
+        assert all("REPARTITION_BY_NUM" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
