@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,38 +84,76 @@ def build_requests(regions: DataFrame, level: int) -> DataFrame:
     )
 
 
+#: Rows of a wave that one task looks at together; at least four times the rows of a chunk.
+BLOCK = 1 << 17
+
+
+def _hops(upto: np.ndarray, before: int, max_rows: int, max_bytes: int) -> np.ndarray:
+    """Where a chunk that begins at a row ends: the place of the next chunk's first row, as far as rows are given."""
+    start = np.concatenate([[before], upto[:-1]])
+    at = np.arange(len(upto))
+    return np.maximum(at + 1, np.minimum(at + max_rows, np.searchsorted(upto, start + max_bytes, side="right")))
+
+
 def chunk_requests(requests: DataFrame, max_rows: int = 45_000, max_bytes: int = 150 << 20) -> DataFrame:
     """``wave, seq, chunk``: greedy in order (ties by size), a new chunk where the next row would pass a limit.
 
-    Running sums give each row the place where a chunk that began with it would end; from a wave's first row those places
-    are followed by pointer doubling, and the starts found are counted up. A wave of any size lies over many tasks, and the
-    rounds grow with the logarithm of its chunks. A row over the limit has a chunk of its own; rows without
-    a wave are a wave of their own; a null size counts as none.
+    A wave of any size lies in blocks of bounded numbers of rows, with the head of the next block after them. The first chunk
+    to begin in a block begins at one of its first ``max_rows`` rows; each of these is followed to the row where it enters the next
+    block, and only these entries are joined by pointer doubling from block to block. Blocks then count their starts from their
+    entry. A row over the limit has a chunk of its own; rows without a wave are a wave of their own; a null size counts as none.
     """
     narrow = requests.select(
         F.coalesce(F.col("wave").cast("bigint"), F.lit(_NO_WAVE)).alias("wave"), F.col("seq").cast("bigint").alias("seq"),
         F.coalesce(F.col("nbytes").cast("bigint"), F.lit(0)).alias("nbytes"),
     )
     rows = scan(narrow, ["wave"], ["seq", "nbytes"], **sums(pos="1", upto="nbytes"), name="requests")
-    fits = rows.select("wave", F.col("upto").alias("v"), F.lit(0).alias("kind"), F.lit(1).alias("one"), "pos")
-    asks = rows.select("wave", (F.col("upto") - F.col("nbytes") + max_bytes).alias("v"), F.lit(1).alias("kind"), F.lit(0).alias("one"), "pos")
-    met = scan(fits.unionByName(asks), ["wave"], ["v", "kind", "pos"], **sums(reach="one"), name="reach", keep=["wave", "kind", "pos"])
-    beyond = F.greatest(F.col("pos") + 1, F.least(F.col("pos") + max_rows, F.col("reach") + 1))
-    hops = met.filter("kind = 1").select("wave", "pos", beyond.alias("to"))
-    size = rows.groupBy("wave").agg(F.max("pos").alias("n"))
-    hops = saved(hops.join(size, "wave").filter("to <= n").drop("n"), "hops")
-    starts = size.select("wave", F.lit(1).cast("bigint").alias("pos"))
+    size = max(BLOCK, 4 * max_rows)
+    rows = rows.withColumn("block", F.expr(f"(pos - 1) div {size}"))
+
+    def ordered(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        t = t.sort_by("pos")
+        return t, t["upto"].to_numpy(), _hops(t["upto"].to_numpy(), t["upto"][0].as_py() - t["nbytes"][0].as_py(), max_rows, max_bytes)
+
+    def entries(t: pa.Table) -> pa.Table:
+        """``pos`` of each row that may be the first start of its block, the start it comes to in the next one, and its starts here."""
+        t, upto, hop = ordered(t)
+        first, own = t["pos"][0].as_py(), int(np.count_nonzero(~t["ahead"].to_numpy()))
+        to, n = np.append(hop, len(upto)), np.append(np.ones(len(upto), np.int64), 0)
+        to[own:], n[own:] = np.arange(own, len(upto) + 1), 0
+        while (to[:own] < own).any():
+            n, to = n + n[to], to[to]
+        k = min(own, max_rows if t["block"][0].as_py() else 1)
+        cells = {"wave": [t["wave"][0].as_py()] * k, "block": [t["block"][0].as_py()] * k, "pos": first + np.arange(k), "to": first + to[:k], "n": n[:k]}
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in cells.items()})
+
+    def starts(t: pa.Table) -> pa.Table:
+        """The chunk of each row, counted from the block's entry."""
+        t, upto, hop = ordered(t)
+        new, at = np.zeros(len(upto), np.int64), t["entry"][0].as_py()
+        at = len(upto) if at is None else at - t["pos"][0].as_py()
+        while at < len(upto):
+            new[at] = 1
+            at = hop[at]
+        return pa.table({"wave": t["wave"], "seq": t["seq"], "chunk": np.cumsum(new) + t["chunks"][0].as_py() - 1})
+
+    head = F.expr(f"if(block > 0 and (pos - 1) % {size} < {max_rows}, array(block, block - 1), array(block))")
+    seen = rows.select("wave", "pos", "nbytes", "upto", F.posexplode(head).alias("k", "block")).withColumn("ahead", F.expr("k = 1")).drop("k")
+    found = saved(seen.groupBy("wave", "block").applyInArrow(entries, "wave bigint, block bigint, pos bigint, `to` bigint, n bigint"), "entries")
+    reached, hops = found.filter("block = 0").select("wave", "pos"), found.select("wave", "pos", "to")
     while True:
-        further = saved(starts.join(hops, ["wave", "pos"]).select("wave", F.col("to").alias("pos")), "starts")
+        further = saved(reached.join(hops, ["wave", "pos"]).select("wave", F.col("to").alias("pos")).join(found.select("wave", "pos"), ["wave", "pos"], "left_semi"), "starts")
         if further.isEmpty():
             break
-        starts = starts.unionByName(further)
+        reached = reached.unionByName(further)
         nxt = hops.select("wave", F.col("pos").alias("to"), F.col("to").alias("further"))
         hops = saved(hops.join(nxt, ["wave", "to"]).select("wave", "pos", F.col("further").alias("to")), "hops")
-    marked = rows.join(starts.withColumn("new", F.lit(1)), ["wave", "pos"], "left")
-    marked = marked.select("wave", "seq", "pos", F.coalesce("new", F.lit(0)).alias("new"))
-    out = scan(marked, ["wave"], ["pos"], **sums(chunk="new"), name="chunks", keep=["wave", "seq"])
-    return out.select(F.nullif("wave", F.lit(_NO_WAVE)).alias("wave"), "seq", (F.col("chunk") - 1).alias("chunk"))
+    before = Window.partitionBy("wave").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    counted = found.join(reached.withColumn("entry", F.col("pos")), ["wave", "pos"], "left").filter(f"entry is not null or pos % {size} = 1")
+    blocks = counted.groupBy("wave", "block").agg(F.max("entry").alias("entry"), F.max(F.when(F.col("entry").isNotNull(), F.col("n"))).alias("n"))
+    blocks = blocks.select("wave", "block", "entry", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("chunks"))
+    out = rows.join(F.broadcast(blocks), ["wave", "block"]).groupBy("wave", "block").applyInArrow(starts, "wave bigint, seq bigint, chunk bigint")
+    return out.select(F.nullif("wave", F.lit(_NO_WAVE)).alias("wave"), "seq", "chunk")
 
 
 def parse_responses(lines: DataFrame, vocab: DataFrame | None = None) -> DataFrame:

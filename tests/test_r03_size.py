@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+from pageweave.functions import scratch
 from pageweave.functions.scratch import shared_dir
-from pageweave.operators import boxes
+from pageweave.operators import boxes, waves
 from pageweave.plans import registry
 
 
@@ -60,3 +61,32 @@ def test_pixels_stay_with_their_image(spark, sf):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapGroupsInPandas" not in plan
         assert all("REPARTITION_BY_NUM" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_chunks_are_joined_by_blocks(spark, monkeypatch):
+    """Against a plain loop, on waves of many blocks and of many chunks a block; only the heads of blocks are joined from one to the next."""
+    rng = random.Random(5)
+    rows = [(w, k, rng.choice([None, 0, 1, 3, 9, 40])) for w, n in ((0, 1500), (1, 1), (None, 130), (7, 64), (8, 65)) for k in range(n)]
+    joined = []
+
+    def seen(df, name):
+        out = scratch.saved(df, name)
+        joined.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(waves, "saved", seen)
+    monkeypatch.setattr(waves, "BLOCK", 64)
+    df = spark.createDataFrame(rows, "wave long, seq long, nbytes long").repartition(3)
+    for most, least in ((3, 10_000), (16, 60), (1, 1)):
+        want, before, chunk, n, size = [], object(), 0, 0, 0
+        for w, k, b in rows:
+            b = b or 0
+            new = n >= most or size + b > least
+            chunk, n, size = (0, 1, b) if w != before else (chunk + new, 1 if new else n + 1, b if new else size + b)
+            before = w
+            want.append((w, k, chunk))
+        joined.clear()
+        got = sorted(map(tuple, waves.chunk_requests(df, most, least).collect()), key=str)
+        assert got == sorted(want, key=str)
+        blocks = sum(-(-n // 64) for n in (1500, 1, 130, 64, 65))
+        assert {n for name, n in joined if name == "entries"} and all(n <= most * blocks for _, n in joined)
