@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+import pytest
+
 from pageweave.functions import scratch
 from pageweave.functions.scratch import shared_dir
 from pageweave.operators import boxes, waves
@@ -90,3 +92,17 @@ def test_chunks_are_joined_by_blocks(spark, monkeypatch):
         assert got == sorted(want, key=str)
         blocks = sum(-(-n // 64) for n in (1500, 1, 130, 64, 65))
         assert {n for name, n in joined if name == "entries"} and all(n <= most * blocks for _, n in joined)
+
+
+def _plan(spark, sf, name):
+    return registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name, layouts", [("t2_level_index", 1), ("b13_sequence_search", 0)])
+def test_texts_are_laid_out_once(spark, sf, name, layouts):
+    """In ``b13_sequence_search`` for a table of letters, which the plan reads."""
+    assert _plan(spark, sf, name).count("posexplode(flatten(") == layouts
+
+
+def test_answers_are_made_once(spark, sf):
+    assert _plan(spark, sf, "w5_parse_responses").count("StructsToJsonEvaluator") == 1
