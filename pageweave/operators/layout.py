@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ADVANCE, LINE_HEIGHT, MARGIN, WIDTH, PARAGRAPH = 12, 28, 40, 2048, 5
@@ -13,23 +13,37 @@ FIT = (WIDTH - 2 * MARGIN) // ADVANCE
 PIECES = f"[^\\n]{{1,{FIT}}}( |\\z)|[^\\n]{{1,{FIT}}}"
 
 
+def _beside(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c != "text"]
+
+
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """``doc_id, n, line`` and columns beside ``text``: what stands in each line of the page, spaces and empty lines as they are."""
+    wrapped = F.transform(F.split("text", "\n", -1), lambda x: F.when(F.length(x) <= FIT, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(PIECES), 0)))
+    return docs.select(*_beside(docs), F.posexplode(F.flatten(wrapped)).alias("n", "line"))
+
+
+def _place(n: str) -> tuple[Column, Column]:
+    return F.expr(f"cast({n} div {PARAGRAPH} as int)").alias("pi"), (F.col(n) % PARAGRAPH).alias("li")
+
+
 def layout_words(docs: DataFrame) -> DataFrame:
-    """``doc_id, pi, li, wi, text, x1, y1, x2, y2``: words parted by spaces, every one of the text.
+    """``doc_id, pi, li, wi, text, x1, y1, x2, y2``: words parted by spaces, every one of the text. Other columns of ``docs`` stay.
 
     A line too wide goes on in a further line after its last space that fits; a word wider than a line is parted at
     the width. Empty lines take their place; null texts have no words.
     """
-    wrapped = F.transform(F.split("text", "\n", -1), lambda x: F.when(x == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(x, F.lit(PIECES), 0)))
-    lines = docs.select("doc_id", F.posexplode(F.flatten(wrapped)).alias("n", "line"))
-    pieces = lines.select("doc_id", "n", F.split("line", " ", -1).alias("p"))
-    words = pieces.select("doc_id", "n", "p", F.posexplode("p").alias("k", "text")).filter("text <> ''")
-    x1 = F.expr(f"{MARGIN} + {ADVANCE} * (length(array_join(slice(p, 1, k), ' ')) + if(k > 0, 1, 0))")
+    kept = _beside(docs)
+    pieces = _wrapped(docs).select(*kept, "n", "line", F.split("line", " ", -1).alias("p"))
+    pieces = pieces.select(*kept, "n", "line", F.array_position("p", F.lit("")).alias("gap"), "p")
+    words = pieces.select(*kept, "n", "line", "gap", F.posexplode("p").alias("k", "text")).filter("text <> ''")
+    x1 = F.expr(f"{MARGIN} + {ADVANCE} * (length(substring_index(line, ' ', k)) + if(k > 0, 1, 0))")
     y1 = MARGIN + LINE_HEIGHT * F.col("n")
     return words.select(
-        "doc_id",
-        F.expr(f"cast(n div {PARAGRAPH} as int)").alias("pi"),
-        (F.col("n") % PARAGRAPH).alias("li"),
-        F.expr("size(filter(slice(p, 1, k), x -> x <> ''))").alias("wi"),
+        *kept,
+        *_place("n"),
+        # pieces before the line's first gap are all words
+        F.expr("if(gap = 0 or k < gap, k, size(array_remove(split(substring_index(line, ' ', k), ' ', -1), '')))").alias("wi"),
         "text",
         x1.alias("x1"),
         y1.alias("y1"),
@@ -38,6 +52,19 @@ def layout_words(docs: DataFrame) -> DataFrame:
     )
 
 
+def layout_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, pi, li, x1, y1, x2, y2``: the box that the words of each line of ``layout_words`` span, without making them.
+
+    Documents of one id have their lines side by side, as their words.
+    """
+    y1 = MARGIN + LINE_HEIGHT * F.col("n")
+    left = F.length("line") - F.length(F.ltrim("line"))
+    return _wrapped(docs).filter(F.ltrim("line") != "").select(
+        *_beside(docs), *_place("n"), (MARGIN + ADVANCE * left).alias("x1"), y1.alias("y1"),
+        (MARGIN + ADVANCE * F.length(F.rtrim("line"))).alias("x2"), (y1 + LINE_HEIGHT).alias("y2"),
+    )
+
+
 def layout_chars(words: DataFrame) -> DataFrame:
     """One row per character of ``words``, each with the box of its advance."""
     at = words.withColumn("ci", F.explode(F.expr("sequence(0, length(text) - 1)")))

@@ -37,24 +37,28 @@ def teacher_forcing(steps: DataFrame, parent: list[str], order: str, target: str
 
 def build_sequences(steps: DataFrame, parent: list[str], order: str, most: int) -> DataFrame:
     """``prev`` = NONE + steps and ``target`` = steps + NONE, both cut to ``most``; ``x0, y0`` of the first step or 0."""
-    rows = F.transform(F.sort_array(F.collect_list(F.struct(order, "class_id", "x1", "y1"))), lambda r: F.struct(r["class_id"].alias("class_id"), r["x1"].alias("x"), r["y1"].alias("y")))
-    got = steps.groupBy(*parent).agg(rows.alias("s"))
-    ids = F.transform("s", lambda r: r["class_id"].cast("int"))
+    got = steps.groupBy(*parent).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "class_id", "x1", "y1"))).alias("s"))
+    ids = F.col("s")["class_id"].cast("array<int>")
     none = F.array(F.lit(0))
     first = F.get(F.filter("s", lambda r: r["class_id"] != 0), F.lit(0))
     return got.withColumns(
         {
             "prev": F.slice(F.concat(none, ids), 1, most),
             "target": F.slice(F.concat(ids, none), 1, most),
-            "x0": F.coalesce(first["x"], F.lit(0)),
-            "y0": F.coalesce(first["y"], F.lit(0)),
+            "x0": F.coalesce(first["x1"], F.lit(0)),
+            "y0": F.coalesce(first["y1"], F.lit(0)),
         }
     ).drop("s")
 
 
+def batched(rows: DataFrame, seq: str, batch: int) -> DataFrame:
+    """``batch`` by ``seq``; rows that have theirs already, maybe dealt by it, keep it."""
+    return rows if "batch" in rows.columns else rows.withColumn("batch", F.floor(F.col(seq) / batch))
+
+
 def pad_batch(sequences: DataFrame, seq: str, batch: int) -> DataFrame:
     """Targets of a batch padded with 0 to its longest; ``padding`` counts the padded places."""
-    rows = sequences.withColumn("batch", F.floor(F.col(seq) / batch))
+    rows = batched(sequences, seq, batch)
     longest = F.max(F.size("target")).over(Window.partitionBy("batch"))
     rows = rows.withColumn("padding", longest - F.size("target"))
     return rows.withColumn("target", F.concat("target", F.array_repeat(F.lit(0), F.col("padding"))))
@@ -65,14 +69,15 @@ STEP = {"x": "double", "y": "double", "dx": "double", "dy": "double", "class_id"
 ITEM = {"x1": "int", "y1": "int", "x2": "int", "y2": "int", "class_id": "int", "is_handwritten": "int"}
 
 
-def _vector(kind: dict[str, str], row: Column | None = None) -> Column:
-    return F.struct(*[(F.lit(0) if row is None else row[c]).cast(t).alias(c) for c, t in kind.items()])
+def _none(kind: dict[str, str]) -> Column:
+    return F.struct(*[F.lit(0).cast(t).alias(c) for c, t in kind.items()])
 
 
 def _collected(children: DataFrame, parents: DataFrame, parent: list[str], order: str, kind: dict[str, str]) -> DataFrame:
     """Each parent with its children's vectors in order; none for a parent without children."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*kind).alias("v"))))
-    lists = children.groupBy(*parent).agg(F.transform(rows, lambda r: _vector(kind, r["v"])).alias("s"))
+    vector = F.struct(*[F.col(c).cast(t).alias(c) for c, t in kind.items()])
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), vector.alias("v"))))
+    lists = children.groupBy(*parent).agg(rows["v"].alias("s"))
     none = F.array().cast(lists.schema["s"].dataType)
     return parents.select(*parent).distinct().join(lists, parent, "left").withColumn("s", F.coalesce("s", none))
 
@@ -84,7 +89,7 @@ def teacher_forced_items(items: DataFrame, parents: DataFrame, parent: list[str]
     for. A parent without items has that one row.
     """
     got = _collected(items, parents, parent, order, ITEM)
-    none = F.array(_vector(ITEM))
+    none = F.array(_none(ITEM))
     rows = got.select(*parent, F.arrays_zip(F.concat(none, "s").alias("prev"), F.concat("s", none).alias("target")).alias("z"))
     return rows.select(*parent, F.posexplode("z").alias("item", "v")).select(*parent, "item", "v.prev", "v.target")
 
@@ -95,7 +100,7 @@ def contour_sequences(steps: DataFrame, parents: DataFrame, parent: list[str], o
     ``x0, y0`` is the first step of the cut target with a class, 0 if none has one; ``n`` the length.
     """
     got = _collected(steps, parents, parent, order, STEP)
-    none = F.array(_vector(STEP))
+    none = F.array(_none(STEP))
     cut = got.select(*parent, F.slice(F.concat(none, "s"), 1, most).alias("prev"), F.slice(F.concat("s", none), 1, most).alias("target"))
     first = F.get(F.filter("target", lambda r: r["class_id"] != 0), F.lit(0))
     zero = F.lit(0.0)
@@ -104,23 +109,23 @@ def contour_sequences(steps: DataFrame, parents: DataFrame, parent: list[str], o
 
 def pad_sequences(sequences: DataFrame, seq: str, batch: int) -> DataFrame:
     """``batch`` by ``seq``; ``prev`` and ``target`` padded with zeros to the batch's longest, ``mask`` true where padded."""
-    rows = sequences.withColumn("batch", F.floor(F.col(seq) / batch))
-    longest = rows.groupBy("batch").agg(F.max("n").alias("__longest"))
-    rows = rows.join(longest, "batch").withColumn("__more", F.col("__longest") - F.col("n"))
-    filled = {c: F.concat(c, F.array_repeat(_vector(STEP), F.col("__more"))) for c in ("prev", "target")}
+    longest = F.max("n").over(Window.partitionBy("batch"))
+    rows = batched(sequences, seq, batch).withColumn("__more", longest - F.col("n"))
+    filled = {c: F.concat(c, F.array_repeat(_none(STEP), F.col("__more"))) for c in ("prev", "target")}
     mask = F.concat(F.array_repeat(F.lit(False), F.col("n")), F.array_repeat(F.lit(True), F.col("__more")))
-    return rows.withColumns(filled | {"mask": mask}).drop("__longest", "__more")
+    return rows.withColumns(filled | {"mask": mask}).drop("__more")
 
 
-def normalise_steps(sequences: DataFrame, side: float = 1024.0, classes: int = 460) -> DataFrame:
-    """``prev`` with points over the retina's side and classes over their number; directions stay."""
+def normalised(step: Column, side: float = 1024.0, classes: int = 460) -> Column:
+    """A step with its point over the retina's side and its class over their number; the direction stays."""
+    return F.struct(
+        (step["x"] / side).alias("x"), (step["y"] / side).alias("y"), step["dx"].alias("dx"), step["dy"].alias("dy"), (step["class_id"] / F.lit(float(classes))).alias("class_id")
+    )
 
-    def one(r: Column) -> Column:
-        return F.struct(
-            (r["x"] / side).alias("x"), (r["y"] / side).alias("y"), r["dx"].alias("dx"), r["dy"].alias("dy"), (r["class_id"] / F.lit(float(classes))).alias("class_id")
-        )
 
-    return sequences.withColumn("prev", F.transform("prev", one))
+def normalise_steps(sequences: DataFrame, side: float = 1024.0, classes: int = 460) -> DataFrame:
+    """``prev`` with each of its steps ``normalised``."""
+    return sequences.withColumn("prev", F.transform("prev", lambda r: normalised(r, side, classes)))
 
 
 def parent_local(children: DataFrame, parent: list[str]) -> DataFrame:

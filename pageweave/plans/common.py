@@ -6,22 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageweave.functions.scratch import dealt
-from pageweave.operators import layout
+from pageweave.operators import layout, training
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts(spark: SparkSession, sf_dir: str, batch: int = 0) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dealt(training.batched(texts, "doc_id", batch), "batch") if batch else dealt(texts, "doc_id")
+
+
+def words(spark: SparkSession, sf_dir: str, batch: int = 0) -> DataFrame:
     """Every document's words. Texts are dealt by document before they are laid out, so that what is grouped or joined by document and
-    further keys below moves no word between tasks."""
-    return layout.layout_words(dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+    further keys below moves no word between tasks. With ``batch``, column and key are the batch of so many ids instead."""
+    return layout.layout_words(_texts(spark, sf_dir, batch))
+
+
+def spans(spark: SparkSession, sf_dir: str, keys: list[str], batch: int = 0) -> DataFrame:
+    """The boxes that the words sharing ``keys`` (of document, paragraph, line) span; no word is made for them."""
+    return layout.rollup_boxes(layout.layout_lines(_texts(spark, sf_dir, batch)), keys)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line boxes with a dense id per document: ``id = 5 * pi + li``."""
-    rows = layout.rollup_boxes(words(spark, sf_dir), ["doc_id", "pi", "li"])
+    rows = spans(spark, sf_dir, ["doc_id", "pi", "li"])
     return rows.withColumn("id", (5 * F.col("pi") + F.col("li")).cast("bigint"))
 
 
