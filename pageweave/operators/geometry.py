@@ -26,12 +26,17 @@ def to_retina(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns({c: (F.col(c) * F.col("scale") + F.col("o" + c[0])).cast("int") for c in ("x1", "y1", "x2", "y2")})
 
 
-def contours_to_retina(contours: DataFrame) -> DataFrame:
-    """Every point of ``contour`` in its frame's retina, cut toward zero as in ``to_retina``."""
+def contours_to_retina(contours: DataFrame, points: int | None = None) -> DataFrame:
+    """Every point of ``contour`` in its frame's retina, cut toward zero as in ``to_retina``.
+
+    Contours that all have so many ``points`` are written out point by point, which Spark compiles.
+    """
 
     def point(p: Column) -> Column:
         return F.struct(*[(p[a] * F.col("scale") + F.col("o" + a)).cast("int").alias(a) for a in "xy"])
 
+    if points is not None:
+        return contours.withColumn("contour", F.array(*[point(F.col("contour")[k]) for k in range(points)]))
     return contours.withColumn("contour", F.transform("contour", point))
 
 
