@@ -32,7 +32,10 @@ _MICRO = 1e6
 _BYTE = float(np.log(257))
 #: Outputs are held between these, so that their exponentials are finite.
 _FAR = 60.0
-_PLACES, _COLUMNS = np.arange(2 * SIDE) * (CLASSES + 1), np.arange(WIDTH)
+_PLACES = np.arange(2 * SIDE) * (CLASSES + 1)
+#: Places of a row's weights among all that enter.
+_CELLS = np.arange(2 * SIDE * (CLASSES + 1) * WIDTH).reshape(-1, WIDTH)
+_ONES = np.ones(GROUPS, np.float32)
 
 
 class Network:
@@ -55,59 +58,75 @@ class Network:
         )
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        out = self.enter[0][around[:, 0]]
+        out = self.enter[0].take(around[:, 0], 0)
         for k in range(1, 2 * SIDE):
-            out += self.enter[k][around[:, k]]
+            out += self.enter[k].take(around[:, k], 0)
         return np.tanh(out, out=out)
 
     @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        np.clip(z, -_FAR, _FAR, out=z)
+    def _exponentials(z: np.ndarray) -> np.ndarray:
+        """In place; the sums of the rows."""
+        np.minimum(z, _FAR, out=z)
+        np.maximum(z, -_FAR, out=z)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z
+        return z @ _ONES
 
     @staticmethod
-    def _by_group(target: np.ndarray):
+    def _by_group(group: np.ndarray):
         """Order of the tokens by the group of their class, and each group's stretch there."""
-        order = np.argsort(target // GROUPS, kind="stable")
-        stops = np.cumsum(np.bincount(target // GROUPS, minlength=GROUPS))
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        stops = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
         return order, [(g, a, b) for g, (a, b) in enumerate(zip([0, *stops[:-1]], stops)) if b > a]
 
     def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each token's class given both sides."""
         out = np.empty(len(target), np.float32)
-        for k in range(0, len(target), _ROWS):
-            order, stretches = self._by_group(target[k : k + _ROWS])
-            t = target[k : k + _ROWS][order]
-            hidden = self.hidden(around[k : k + _ROWS][order])
-            row = np.arange(len(t))
-            p = self._softmax(hidden @ self.out + self.bias)[row, t // GROUPS]
-            for g, a, b in stretches:
-                p[a:b] *= self._softmax(hidden[a:b] @ self.inner[g] + self.inner_bias[g])[row[: b - a], t[a:b] % GROUPS]
-            out[k + order] = np.log(np.maximum(p, 1e-30))
+        order, stretches = self._by_group(target // GROUPS)
+        for g, a, b in stretches:
+            for k in range(a, b, _ROWS):
+                some = order[k : min(k + _ROWS, b)]
+                hidden = self.hidden(around.take(some, 0))
+                z = hidden @ self.out
+                z += self.bias
+                sums = self._exponentials(z)
+                p = z[:, g] / sums
+                z = hidden @ self.inner[g]
+                z += self.inner_bias[g]
+                sums = self._exponentials(z)
+                p *= z[np.arange(len(some)), target[some] % GROUPS] / sums
+                out[some] = np.log(np.maximum(p, 1e-30))
         return out
 
     def train(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient descent on a batch."""
-        order, stretches = self._by_group(target)
-        around, t = around[order], target[order]
-        hidden, row, step = self.hidden(around), np.arange(len(t)), rate / len(t)
-        z = self._softmax(hidden @ self.out + self.bias)
-        z[row, t // GROUPS] -= 1
+        order, stretches = self._by_group(target // GROUPS)
+        around, t = around.take(order, 0), target.take(order)
+        group, member = np.divmod(t, GROUPS)
+        hidden, row, step = self.hidden(around), np.arange(len(t)), np.float32(rate / len(t))
+        z = hidden @ self.out
+        z += self.bias
+        z /= self._exponentials(z)[:, None]
+        z[row, group] -= 1
         back = z @ self.out.T
         grad, bias = hidden.T @ z, z.sum(0)
         for g, a, b in stretches:
-            z = self._softmax(hidden[a:b] @ self.inner[g] + self.inner_bias[g])
-            z[row[: b - a], t[a:b] % GROUPS] -= 1
-            back[a:b] += z @ self.inner[g].T
-            self.inner[g] -= step * (hidden[a:b].T @ z)
-            self.inner_bias[g] -= step * z.sum(0)
+            np.matmul(hidden[a:b], self.inner[g], out=z[a:b])
+        z += self.inner_bias.take(group, 0)
+        z /= self._exponentials(z)[:, None]
+        z[row, member] -= 1
+        for g, a, b in stretches:
+            back[a:b] += z[a:b] @ self.inner[g].T
+            self.inner[g] -= step * (hidden[a:b].T @ z[a:b])
+        some = [g for g, _, _ in stretches]
+        self.inner_bias[some] -= step * np.add.reduceat(z, [a for _, a, _ in stretches], 0)
         self.out -= step * grad
         self.bias -= step * bias
-        back *= step * (1 - hidden * hidden)
-        at = ((around + _PLACES)[:, :, None] * WIDTH + _COLUMNS).reshape(len(t), -1)
-        sums = np.bincount(at.ravel(), np.tile(back, 2 * SIDE).ravel(), self.enter.size)
+        hidden *= hidden
+        np.subtract(1, hidden, out=hidden)
+        hidden *= step
+        back *= hidden
+        at = _CELLS.take(around + _PLACES, 0).ravel()
+        sums = np.bincount(at, np.repeat(back[:, None], 2 * SIDE, 1).ravel(), self.enter.size)
         self.enter -= sums.reshape(self.enter.shape).astype(np.float32)
 
 
