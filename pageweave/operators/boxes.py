@@ -81,18 +81,49 @@ def _area(side: str) -> Column:
     return (F.col(f"{side}_x2") - F.col(f"{side}_x1")) * (F.col(f"{side}_y2") - F.col(f"{side}_y1"))
 
 
-def iou_pairs(boxes: DataFrame, group: str, tile: Tile | None = None) -> DataFrame:
-    """``iou`` of every meeting pair of a group, the smaller id first; 0 where the union is empty."""
-    pairs = _met_itself(boxes.filter(F.col(group).isNotNull()), [group], tile).filter("a_id < b_id").withColumn("inter", overlap_area())
-    union = _area("a") + _area("b") - F.col("inter")
-    return pairs.withColumn("iou", F.when(union > 0, F.col("inter") / union).otherwise(0.0))
+def _pairs_met(boxes: DataFrame, group: str, tile: Tile | None, share: str, fields: Sequence[str]) -> DataFrame:
+    """Pairs of a group that meet, the smaller id first, with ``inter`` and ``share``; of them ``fields``, or all if none are told.
+
+    Groups of at most COMPONENT boxes are swept as a whole in one pass, larger ones (or any, where a ``tile`` is told) go by tiles.
+    """
+    boxes = boxes.filter(F.col(group).isNotNull())
+    small, large = (boxes.limit(0), boxes) if tile else _split(boxes, [group])
+
+    def by_tiles(rows: DataFrame) -> DataFrame:
+        pairs = _met_itself(rows, [group], tile or (64, 64) if rows is small else tile).filter("a_id < b_id").withColumn("inter", overlap_area())
+        of = F.least(_area("a"), _area("b")) if share == "of_smaller" else _area("a") + _area("b") - F.col("inter")
+        pairs = pairs.withColumn(share, F.when(of > 0, F.col("inter") / of).otherwise(0.0))
+        return pairs.select(group, *fields) if fields else pairs
+
+    shape = by_tiles(small).schema
+    told = arrow(shape)
+
+    def run(table: pa.Table, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = Boxes(table, groups)
+        ident = table["__id"].to_numpy()
+        for i, j in own.pairs():
+            ok = (ident[i] != ident[j]) & (ident[i] > 0)
+            i, j = i[ok], j[ok]
+            inter = own.shared(i, j)
+            of = np.minimum(own.area(i), own.area(j)) if share == "of_smaller" else own.area(i) + own.area(j) - inter
+            with np.errstate(divide="ignore", invalid="ignore"):
+                made = {"inter": inter, share: np.where(of > 0, inter / of, 0.0)}
+            at = {"a": pa.array(i), "b": pa.array(j)}
+            yield batch_of(told, [made[c] if c in made else table[group].take(at["a"]) if c == group else table[c[2:]].take(at[c[0]]) for c in shape.names])
+
+    number = F.when(F.col("id").isNotNull(), F.dense_rank().over(Window.partitionBy(group).orderBy("id"))).otherwise(0)
+    met = by_groups(small.select(group, "id", *_BOX, number.alias("__id")), [group], ["id"], run, shape)
+    return met if large is None else by_tiles(large) if tile else met.unionByName(by_tiles(large))
+
+
+def iou_pairs(boxes: DataFrame, group: str, tile: Tile | None = None, fields: Sequence[str] = ()) -> DataFrame:
+    """``iou`` of every meeting pair of a group, the smaller id first; 0 where the union is empty. With ``fields`` only these beside the group."""
+    return _pairs_met(boxes, group, tile, "iou", fields)
 
 
-def overlap_pairs(boxes: DataFrame, group: str, tile: Tile | None = None) -> DataFrame:
-    """``inter`` and its share ``of_smaller`` of the smaller box."""
-    pairs = _met_itself(boxes.filter(F.col(group).isNotNull()), [group], tile).filter("a_id < b_id").withColumn("inter", overlap_area())
-    small = F.least(_area("a"), _area("b"))
-    return pairs.withColumn("of_smaller", F.when(small > 0, F.col("inter") / small).otherwise(0.0))
+def overlap_pairs(boxes: DataFrame, group: str, tile: Tile | None = None, fields: Sequence[str] = ()) -> DataFrame:
+    """``inter`` and its share ``of_smaller`` of the smaller box. With ``fields`` only these beside the group."""
+    return _pairs_met(boxes, group, tile, "of_smaller", fields)
 
 
 def box_components(boxes: DataFrame, group: str, least: float = 0.9, measured: tuple[tuple[int, int], int] | None = None) -> DataFrame:
