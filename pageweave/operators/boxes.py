@@ -414,10 +414,43 @@ def candidate_boxes(regions: DataFrame, line: list[str]) -> DataFrame:
 def overlap_score(boxes: DataFrame, component: str, within: tuple[str, ...] = ()) -> DataFrame:
     """``score``: twice the area that a box shares with all boxes of its component, itself included.
 
-    ``within`` names columns that are the same throughout a component; boxes that are dealt by one of them are not moved.
+    ``within`` names columns that are the same throughout a component; boxes that are dealt by one of them are not moved. Components of
+    more than COMPONENT boxes go by tiles.
     """
-    pairs = _met_itself(boxes.filter(F.col(component).isNotNull()), [*within, component], None).withColumn("inter", overlap_area())
-    return pairs.groupBy(*within, component, F.col("a_id").alias("id")).agg((2 * F.sum("inter")).alias("score")).drop(*within)
+    group = [*within, component]
+    own = boxes.filter(F.col(component).isNotNull()).select(*group, "id", *_BOX)
+    small, large = _split(own, group)
+
+    def by_tiles(rows: DataFrame, tile: Tile | None) -> DataFrame:
+        pairs = _met_itself(rows, group, tile).withColumn("inter", overlap_area())
+        return pairs.groupBy(*group, F.col("a_id").alias("id")).agg((2 * F.sum("inter")).alias("score")).drop(*within)
+
+    shape = by_tiles(small, 64).schema
+    told = arrow(shape)
+
+    def run(table: pa.Table, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
+        met = Boxes(table, groups)
+        alone = np.arange(len(table))
+        itself = met.known & (met.x1 <= met.x2) & (met.y1 <= met.y2)
+        score = np.where(itself, met.shared(alone, alone), 0)
+        seen = itself.copy()
+        for i, j in met.pairs():
+            inter = met.shared(i, j)
+            for k in (i, j):
+                np.add.at(score, k, inter)
+                seen[k] = True
+        first = np.ones(len(table), bool)  # boxes of one id are one
+        ident = table["__id"].to_numpy()
+        first[1:] = ident[1:] != ident[:-1]
+        first[groups] = True
+        at = np.flatnonzero(first)
+        score, seen = np.add.reduceat(score, at), np.logical_or.reduceat(seen, at)
+        rows = pa.array(at[seen])
+        yield batch_of(told, [table[component].take(rows), table["id"].take(rows), 2 * score[seen]])
+
+    number = F.dense_rank().over(Window.partitionBy(*group).orderBy("id"))
+    scored = by_groups(small.withColumn("__id", number), group, ["id"], run, shape)
+    return scored if large is None else scored.unionByName(by_tiles(large, None))
 
 
 def sequence_search(boxes: DataFrame, group: str, word: str, reach: int = 64) -> DataFrame:
